@@ -27,7 +27,7 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def parts(batch: pa.RecordBatch, column: int, most: int = 8 << 20):
+def parts(batch: pa.RecordBatch, column: int, most: int = 1 << 20):
     """Slices of a batch whose texts hold about `most` bytes together (a longer text stands alone)."""
     low, held = 0, 0
     lengths = np.diff(offsets_of(batch.column(column))) if batch.num_rows else []
