@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import chat, exact_dedup, language_id, mixing, packing, quality, sharding
+from braidwork.llm import chat, exact_dedup, language_id, mixing, neighbours, packing, quality, repeats, sharding
 from braidwork.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), k=5, every=50)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture_counts(table(spark, sf_dir, "documents"))
 
@@ -35,6 +39,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -49,9 +57,11 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_packing": op1_packing,
+    "op2_neighbours": op2_neighbours,
     "op3_mixing": op3_mixing,
     "op4_chat": op4_chat,
     "op5_language_id": op5_language_id,
+    "op7_repeats": op7_repeats,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,

@@ -132,9 +132,10 @@ def sort_bucket(length: int, residual: bool):
     """
 
     def repeats(batches):
-        rows = pa.Table.from_batches(list(batches))
-        if not rows.num_rows:
+        held = [b for b in batches if b.num_rows]
+        if not held:
             return
+        rows = pa.Table.from_batches(held)
         bucket = np.asarray(rows.column("bucket"))
         token, context, doc, packed = (np.asarray(rows.column(c)) for c in ("token", "context", "doc", "packed"))
         known = bucket < 0
