@@ -17,7 +17,7 @@ TREES, DEPTH = 4, 8
 #: Distinct vectors that the trees are fitted on (expected number; chosen by hash). Every vector is indexed.
 SAMPLE = 20_000
 #: Leaves of all trees that a query visits, as a part of all leaves.
-VISITS = 0.3
+VISITS = 0.35
 #: Random directions of which a node takes the one that spreads its vectors most.
 DIRECTIONS = 12
 #: Vectors of one leaf that one task compares at a time; larger leaves are salted.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import chat, exact_dedup, language_id, mixing, neighbours, packing, quality, repeats, sharding
+from braidwork.llm import chat, exact_dedup, jaccard_join, language_id, mixing, neighbours, packing, quality, repeats, sharding
 from braidwork.llm.common import table
 
 
@@ -39,6 +39,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.linked(table(spark, sf_dir, "documents"))
+
+
 def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.without_repeats(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op3_mixing": op3_mixing,
     "op4_chat": op4_chat,
     "op5_language_id": op5_language_id,
+    "op6_jaccard": op6_jaccard,
     "op7_repeats": op7_repeats,
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
