@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -163,37 +164,41 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """
     _, pieces, _ = mix(docs, **options)
     row = ["source_key", "doc_id", "size"]
-    spans = pieces.groupBy(*row, "before", "pass").agg(F.sort_array(F.collect_list(F.struct("word_start", "n_words"))).alias("spans"))
-    spans = spans.groupBy(*row, "before").agg(F.collect_list("spans").alias("passes"))
+    spans = pieces.groupBy(*row, "before").agg(F.sort_array(F.collect_list(F.struct("pass", "word_start", "n_words"))).alias("spans"))
     spans = spans.withColumn("_nth", F.row_number().over(Window.partitionBy(*row).orderBy("before")))
-    spans = spans.select(*[F.col(c).alias(f"_{c}") for c in [*row]], F.col("_nth").alias("_turn"), "passes")
+    spans = spans.select(*[F.col(c).alias(f"_{c}") for c in [*row]], F.col("_nth").alias("_turn"), "spans")
     texts = docs.select("doc_id", "text", "lang", "source", source_key().alias("source_key"), F.regexp_count(text_or_empty(), F.lit(WORDS)).cast("long").alias("size"))
     texts = texts.withColumn("_nth", F.row_number().over(Window.partitionBy(*row).orderBy("text", "lang")))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in row] + [F.col("_nth") == F.col("_turn")]
-    joined = texts.join(spans, same).select("doc_id", "text", "lang", "source", "size", "passes")
+    joined = texts.join(spans, same).select("doc_id", "text", "lang", "source", "size", "spans")
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
-    def render(frames):
+    def render(batches):
         import re
 
         word = re.compile("[^\x20\x09-\x0d]+")
-        for frame in frames:
-            out = []
-            for doc_id, text, lang, source, size, passes in frame.itertuples(index=False):
-                places = None
-                for spans in passes:
-                    runs = []
-                    for s in spans:
-                        if runs and runs[-1][1] == s["word_start"]:
-                            runs[-1][1] += s["n_words"]
+        for batch in batches:
+            for part in (batch.slice(low, 500) for low in range(0, batch.num_rows, 500)):
+                texts, sizes, spans = part.column(1).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist()
+                owner, out = [], []
+                for i, (text, size) in enumerate(zip(texts, sizes, strict=True)):
+                    runs: dict[int, list] = {}
+                    for s in spans[i]:
+                        of_pass = runs.setdefault(s["pass"], [])
+                        if of_pass and of_pass[-1][1] == s["word_start"]:
+                            of_pass[-1][1] += s["n_words"]
+                        else:
+                            of_pass.append([s["word_start"], s["word_start"] + s["n_words"]])
+                    places = None
+                    for of_pass in runs.values():
+                        owner.append(i)
+                        if of_pass == [[0, size]]:
+                            out.append(text)
                         else:
-                            runs.append([s["word_start"], s["word_start"] + s["n_words"]])
-                    if runs == [[0, size]]:
-                        taken = text
-                    else:
-                        places = places or [m.span() for m in word.finditer(text)]
-                        taken = "\n".join(text[places[a][0] : places[b - 1][1]] for a, b in runs)
-                    out.append((doc_id, taken, lang, source, len(taken)))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "lang", "source", "n_chars"]).astype({"doc_id": frame["doc_id"].dtype})
-
-    return joined.mapInPandas(render, f"doc_id {id_type}, text string, lang string, source string, n_chars long")
+                            places = places or [m.span() for m in word.finditer(text)]
+                            out.append("\n".join(text[places[a][0] : places[b - 1][1]] for a, b in of_pass))
+                pick = pa.array(owner, pa.int64())
+                columns = [part.column(0).take(pick), pa.array(out, pa.string()), part.column(2).take(pick), part.column(3).take(pick), pa.array([len(t) for t in out], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "lang", "source", "n_chars"])
+
+    return joined.mapInArrow(render, f"doc_id {id_type}, text string, lang string, source string, n_chars long")
