@@ -93,6 +93,17 @@ def prefix_sums(df: DataFrame, key: str, weight: str, order: list[str], rows: in
     )
 
 
+#: Ids up to which a semi join broadcasts them (some 30 MB); beyond, both sides are shuffled.
+BROADCAST_IDS = 500_000
+
+
+def only(df: DataFrame, ids: DataFrame, column: str, key: str) -> DataFrame:
+    """Rows of df whose column (null too) is among the distinct keys of `ids`, a stored table that is counted first."""
+    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    keys = ids.select(F.col(key).alias("_key"))
+    return df.join(F.broadcast(keys) if few else keys, F.col(column).eqNullSafe(F.col("_key")), "left_semi")
+
+
 def worker_state() -> dict:
     """A dictionary that outlives single tasks of a reused Python worker."""
     import sys

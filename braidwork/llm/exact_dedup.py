@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import SPACE, store, text_or_empty
+from braidwork.llm.common import BROADCAST_IDS, SPACE, store, text_or_empty
 
 FIRST_DEPTH, LAST_DEPTH = 8, 16
 
@@ -76,9 +76,10 @@ def exact_groups(docs: DataFrame, capacity: int = 1 << 18) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, capacity: int = 1 << 18) -> DataFrame:
-    """The documents that stay. A row repeated with the id that stays is kept once for each such row."""
-    stay = exact_groups(docs, capacity).where("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    """The documents that stay. Rows that repeat a doc_id go together: they go if one of them is a copy of a smaller id's text."""
+    gone = store(exact_groups(docs, capacity).where("NOT kept").select(F.col("doc_id").alias("_gone")).distinct(), "dedup-gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
 
 
 ORACLE_EXACT = f"""

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import store, text_or_empty
+from braidwork.llm.common import BROADCAST_IDS, only, store, text_or_empty
 from braidwork.llm.components import components
 from braidwork.llm.textbytes import LOWER, Rolling, bytes_of, mix64, parts, words
 
@@ -242,13 +242,50 @@ def _runs(columns, emit):
         low = high
 
 
-def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) of sets that link, by the size of their intersection."""
-    left = sets.select(F.col("set").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("set").alias("b"), F.col("shingles").alias("y"))
-    same = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - same
-    return pairs.join(left, "a").join(right, "b").where(same * MORE >= union * LESS).select("a", "b")
+def sets_of(docs: DataFrame, ids: DataFrame, narrow: bool) -> DataFrame:
+    """Rows (set, n, shingles) of the documents with these ids; narrow: 32 bits of each shingle instead of 64."""
+    kind = "int" if narrow else "long"
+
+    def whole(batches):
+        for batch in batches:
+            for piece in parts(batch, 0):
+                values, ends = shingles(*bytes_of(piece.column(0)))
+                sets = digest(values, ends, 0x1234567)
+                flat = (values >> np.uint64(32)).astype(np.uint32).view(np.int32) if narrow else values.view(np.int64)
+                rows = [pa.array(sets.view(np.int64)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]
+                yield pa.RecordBatch.from_arrays(rows, names=["set", "n", "shingles"])
+
+    chosen = only(docs.select("doc_id", text_or_empty().alias("text")), ids, "doc_id", "doc_id")
+    return chosen.select("text").mapInArrow(whole, f"set long, n long, shingles array<{kind}>")
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, over, room): shingles that the intersection has beyond what a link needs, and how far 32 bits may be wrong."""
+    ends = store(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "jaccard-ends")
+    mine = only(sets, ends, "set", "set")
+    left = mine.select(F.col("set").alias("a"), F.col("n").alias("n1"), F.col("shingles").alias("x"))
+    right = mine.select(F.col("set").alias("b"), F.col("n").alias("n2"), F.col("shingles").alias("y"))
+    need = F.expr(f"((n1 + n2) * {LESS} + {LESS + MORE - 1}) div {LESS + MORE}")
+    over = F.size(F.array_intersect("x", "y")) - need
+    room = F.lit(3) + F.expr("n1 * n2 div 536870912")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", over.alias("over"), room.alias("room"))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """Stored pairs (a, b) of sets that link.
+
+    32 bits of each shingle decide a pair unless the size of the intersection is within `room` of what a link
+    needs, which leaves room for many times the chance collisions to expect; 64 bits decide those pairs.
+    """
+    first = store(compared(pairs, sets), "jaccard-compared")
+    sure = first.where("over >= room").select("a", "b")
+    near = first.where("abs(over) < room").select("a", "b")
+    ends = near.select(F.col("a").alias("set")).union(near.select("b")).distinct()
+    ids = store(groups.join(ends, "set", "left_semi").select("doc_id").distinct(), "jaccard-near")
+    if ids.limit(1).count() == 0:
+        return sure
+    exact = compared(near, store(sets_of(docs, ids, False), "jaccard-wide")).where("over >= 0").select("a", "b")
+    return store(sure.unionByName(exact), "jaccard-links")
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -322,19 +359,10 @@ def linked(docs: DataFrame) -> DataFrame:
     wanted = first.select(F.col("a").alias("set")).union(first.select("b")).union(groups.join(runs.select("group").distinct(), "group", "left_semi").select("set"))
     several = groups.where("set != lead").select("group").distinct()
     partner = pairs.select("a", "b").join(several.withColumnRenamed("group", "a"), "a", "left_semi").unionByName(pairs.select("a", "b").join(several.withColumnRenamed("group", "b"), "b", "left_semi")).distinct()
-    ids = groups.join(wanted.distinct(), "set", "left_semi").select(F.col("doc_id").alias("_wanted")).distinct()
-
-    def whole_sets(batches):
-        for batch in batches:
-            for piece in parts(batch, 0):
-                values, ends = shingles(*bytes_of(piece.column(0)))
-                sets = digest(values, ends, 0x1234567)
-                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))], names=["set", "shingles"])
-
-    chosen = docs.select("doc_id", text_or_empty().alias("text")).join(ids, F.col("doc_id").eqNullSafe(F.col("_wanted")), "left_semi")
-    sets = store(chosen.select("text").mapInArrow(whole_sets, "set long, shingles array<long>"), "jaccard-sets")
+    ids = store(groups.join(wanted.distinct(), "set", "left_semi").select("doc_id").distinct(), "jaccard-wanted")
+    sets = store(sets_of(docs, ids, True), "jaccard-sets")
 
-    links = store(verified(first, sets), "jaccard-links")
+    links = verified(first, sets, docs, groups)
     labels = components(links)
     labelled = groups.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "group", "lead", F.coalesce("label", "set").alias("label"))
     labelled = store(labelled, "jaccard-labelled")
@@ -348,7 +376,7 @@ def linked(docs: DataFrame) -> DataFrame:
     mates = one.join(two.withColumnRenamed("b", "a"), "a").where("x < y AND p != q").select(F.col("x").alias("a"), F.col("y").alias("b"))
     second = store(crossing.unionByName(expanded).unionByName(mates).distinct(), "jaccard-second")
     if second.limit(1).count():
-        more = store(verified(second, sets), "jaccard-links")
+        more = verified(second, sets, docs, groups)
         if more.limit(1).count():
             labels = components(links.unionByName(more))
 
@@ -363,5 +391,6 @@ def linked(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without those that link, directly or through others, to one of smaller doc_id."""
-    stay = linked(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stay, F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
+    gone = store(linked(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
+    few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
