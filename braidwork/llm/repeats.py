@@ -21,6 +21,8 @@ RIGHT = LENGTH - LEFT + 1
 #: Suffixes that a task combines, and about how many a bucket sorts.
 BLOCK_ROWS = 1_000_000
 BUCKET_ROWS = 600_000
+#: Contexts of one token up to which they are compared by the task that gets the token; strings of more common tokens are spread by their own hash.
+TOGETHER = 128
 #: Suffixes sampled for each bucket's splitter.
 SAMPLED = 100
 
@@ -124,8 +126,10 @@ def in_blocks(found, splitters: np.ndarray):
         yield bucket_rows(*(np.concatenate(c) for c in zip(*held, strict=True)), splitters)
 
 
-def sort_bucket(length: int, residual: bool):
-    """The function that sorts a task's buckets and tells repeats: rows (doc, low, high); high -1 marks a suffix to look into, low its packed place.
+def sort_bucket(length: int):
+    """The function that sorts a task's buckets and tells repeats: rows (doc, low, high).
+
+    high below 0 marks a suffix to look into, low its packed place: -1 if few contexts share its token, else -2.
 
     Splitters are whole leading tokens, so suffixes with equal tokens lie in one bucket, and none have to be
     compared across boundaries.
@@ -146,19 +150,19 @@ def sort_bucket(length: int, residual: bool):
         docs, places = (np.concatenate(c) for c in zip(*out, strict=True))
         low = places >> 30
         found = [(docs, low, low + (places >> 23 & 127) + length)]
-        if residual:
-            first = ~again
-            token, doc, packed = token[first], doc[first], packed[first]
-            look = np.zeros(len(token), dtype=bool)
-            if len(token):
-                group = np.cumsum(np.append(False, token[1:] != token[:-1]))
-                for side in (packed >> 8 & 255, packed & 255):
-                    key = group << 8 | side
-                    order = np.argsort(key, kind="stable")
-                    same = key[order][1:] == key[order][:-1]
-                    look[order[1:][same]] = True
-                    look[order[:-1][same]] = True
-            found.append((doc[look], packed[look], np.full(int(look.sum()), -1, dtype=np.int64)))
+        first = ~again
+        token, doc, packed = token[first], doc[first], packed[first]
+        look = np.zeros(len(token), dtype=bool)
+        if len(token):
+            group = np.cumsum(np.append(False, token[1:] != token[:-1]))
+            for side in (packed >> 8 & 255, packed & 255):
+                key = group << 8 | side
+                order = np.argsort(key, kind="stable")
+                same = key[order][1:] == key[order][:-1]
+                look[order[1:][same]] = True
+                look[order[:-1][same]] = True
+        many = np.bincount(group)[group] > TOGETHER if len(token) else look
+        found.append((doc[look], packed[look], np.where(many[look], -2, -1)))
         docs, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
         for i in range(0, len(docs), 1 << 18):
             yield pa.RecordBatch.from_arrays([pa.array(x[i : i + (1 << 18)]) for x in (docs, low, high)], names=["doc", "low", "high"])
@@ -166,6 +170,53 @@ def sort_bucket(length: int, residual: bool):
     return repeats
 
 
+STRINGS = "bucket long, token long, doc long, packed long, context binary"
+
+
+def strings_of(data, starts, rolling, text, packed, length):
+    """(text, start, hash) of all strings that these suffixes represent."""
+    more = (packed >> 23 & 127) + 1
+    owner = np.repeat(text, more)
+    start = np.repeat(packed >> 30, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
+    begin = starts[owner] + start
+    return owner, start, rolling.of(begin, begin + length)
+
+
+def sort_strings(length: int):
+    """The function that sorts strings one by one and tells all but the earliest of equal ones, neighbours joined: rows (doc, low, high)."""
+
+    def repeats(batches):
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        rows = pa.Table.from_batches(held).combine_chunks()
+        token, doc, packed = (np.asarray(rows.column(c)) for c in ("token", "doc", "packed"))
+        known = np.asarray(rows.column("bucket")) < 0
+        context = rows.column("context").combine_chunks() if rows.num_rows else None
+        alone = np.asarray(context.is_null())
+        whole = context.filter(pa.array(~alone))
+        data, starts = bytes_of(whole)
+        place = packed[~alone]
+        owner, start, found = strings_of(data, starts, Rolling(data), np.arange(len(place)), place & ((1 << 30) - 1), length)
+        single = alone & ~known
+        hashes = np.concatenate([token[single].view(np.uint64), found])
+        docs = np.concatenate([doc[single], doc[~alone][owner]])
+        begin = np.concatenate([packed[single] >> 30, (place >> 30)[owner] + start])
+        _, _, docs, begin, again = combined(hashes, np.zeros(len(hashes), dtype=np.uint64), docs, begin)
+        docs, begin = np.concatenate([docs[again], doc[known]]), np.concatenate([begin[again], packed[known] >> 30])
+        order = np.lexsort((begin, docs))
+        docs, begin = docs[order], begin[order]
+        new = np.ones(len(docs), dtype=bool)
+        new[1:] = (docs[1:] != docs[:-1]) | (begin[1:] > begin[:-1] + 1)
+        at = np.flatnonzero(new)
+        last = np.append(at[1:], len(docs)) - 1
+        for i in range(0, len(at), 1 << 18):
+            j = slice(i, i + (1 << 18))
+            yield pa.RecordBatch.from_arrays([pa.array(docs[at[j]]), pa.array(begin[at[j]]), pa.array(begin[last[j]] + length)], names=["doc", "low", "high"])
+
+    return repeats
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """Rows (doc, doc_id, text) with a unique 64-bit doc that sorts like doc_id: doc_id itself where it is unique and not null.
 
@@ -220,29 +271,38 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     splitters = np.unique(np.quantile(np.sort(tokens).astype(np.float64), np.arange(1, buckets) / buckets).astype(np.uint64)) if len(tokens) else np.empty(0, dtype=np.uint64)
 
     rows = pairs.mapInArrow(lambda batches: in_blocks(of_texts(batches), splitters), ROWS)
-    found = store(rows.repartition(buckets, "bucket").mapInArrow(sort_bucket(length, True), FOUND), "repeats-found")
+    found = store(rows.repartition(buckets, "bucket").mapInArrow(sort_bucket(length), FOUND), "repeats-found")
 
-    unsure = found.where("high = -1").groupBy("doc").agg(F.collect_list("low").alias("places"))
+    place = F.struct(F.col("low"), (F.col("high") == -2).alias("many"))
+    unsure = found.where("high < 0").groupBy("doc").agg(F.collect_list(place).alias("places"))
     strings = pairs.join(unsure, "doc").select("doc", "text", "places")
+    even = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
 
     def of_strings(batches):
         for batch in batches:
             for piece in parts(batch, 1, 1 << 20):
                 data, starts = bytes_of(piece.column(1))
                 rolling = Rolling(data)
-                places = piece.column(2)
+                ids, places = np.asarray(piece.column(0)), piece.column(2)
                 count = np.asarray([len(x) for x in places])
-                packed = np.asarray(places.flatten())
+                flat = places.flatten()
+                packed, many = np.asarray(flat.field("low")), np.asarray(flat.field("many").cast(pa.int8())).astype(bool)
                 text = np.repeat(np.arange(piece.num_rows), count)
-                more = (packed >> 23 & 127) + 1
-                owner = np.repeat(text, more)
-                start = np.repeat(packed >> 30, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
-                begin = starts[owner] + start
-                token = rolling.of(begin, begin + length)
-                yield token, np.zeros(len(token), dtype=np.uint64), np.asarray(piece.column(0))[owner], start << 30
-
-    even = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
-    again = strings.mapInArrow(lambda batches: in_blocks(of_strings(batches), even), ROWS).repartition(buckets, "bucket").mapInArrow(sort_bucket(length, False), FOUND)
+                few, few_text = packed[~many], text[~many]
+                low = starts[few_text] + (few >> 30)
+                anchor = low + (few >> 16 & 127)
+                token = rolling.of(anchor, anchor + GRAM)
+                end = low + (few >> 23 & 127) + length
+                raw = data.tobytes()
+                contexts = pa.array([raw[a:b] for a, b in zip(low.tolist(), end.tolist(), strict=True)], pa.binary())
+                bucket = np.searchsorted(even, token, side="right").astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(token.view(np.int64)), pa.array(ids[few_text]), pa.array(few), contexts], names=["bucket", "token", "doc", "packed", "context"])
+                owner, start, found = strings_of(data, starts, rolling, text[many], packed[many], length)
+                if len(found):
+                    rows = bucket_rows(found, np.zeros(len(found), dtype=np.uint64), ids[owner], start << 30, even)
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("bucket", "token", "doc", "packed")), pa.nulls(rows.num_rows, pa.binary())], names=["bucket", "token", "doc", "packed", "context"])
+
+    again = strings.mapInArrow(of_strings, STRINGS).repartition(buckets, "bucket").mapInArrow(sort_strings(length), FOUND)
     spans = found.where("high >= 0").unionByName(again).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
