@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import BROADCAST_IDS, only, store, text_or_empty
+from braidwork.llm.common import BROADCAST_IDS, lean, only, store, text_or_empty
 from braidwork.llm.components import components
 from braidwork.llm.textbytes import LOWER, Rolling, bytes_of, mix64, parts, words
 
@@ -16,9 +16,11 @@ SHINGLE = 5
 #: Two sets link when MORE * intersection >= LESS * union (similarity 3 / 4).
 LESS, MORE = 75, 100
 #: A shingle counts as frequent from this many documents of one block of a task on; so many are told apart at most.
-BLOCK_SHINGLES, BLOCK_COUNT, FREQUENT = 4_000_000, 3, 100_000
-#: Runs of up to this many groups are compared pair by pair at once, longer ones first with one of them.
-SMALL_RUN = 4
+BLOCK_SHINGLES, BLOCK_COUNT, FREQUENT = 3_000_000, 2, 200_000
+#: Runs of up to this many groups are compared pair by pair at once; in longer ones each meets so many neighbours first.
+SMALL_RUN, NEIGHBOURS = 4, 2
+#: Rounds in which members of torn runs meet other neighbours, in random orders, before all pairs left are compared.
+ROUNDS, ROUND_NEIGHBOURS = 2, 4
 #: Rows of sorted runs that a task holds.
 RUN_ROWS = 400_000
 #: Prefix rows for each task of the join.
@@ -90,7 +92,7 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
             yield block()
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([0]), pa.array([total])], names=["h", "n", "total"])
 
-    counted = store(docs.select(text_or_empty().alias("text")).mapInArrow(count, "h long, n long, total long"), "jaccard-frequent")
+    counted = store(docs.select(text_or_empty().alias("text")).mapInArrow(lean(count), "h long, n long, total long"), "jaccard-frequent")
     total = counted.agg(F.sum("total")).first()[0] or 0
     top = counted.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     order = np.argsort(top["h"].to_numpy().astype(np.int64).view(np.uint64))
@@ -143,17 +145,9 @@ def run_pairs(batches):
         length = np.diff(np.append(begin, len(h)))
         index = np.arange(len(h)) - np.repeat(begin, length)
         size, at = place >> 32, place & 0xFFFFFFFF
-        step = np.log(size.astype(float) * (1 + 1e-9)) // np.log(MORE / LESS)
-        head = first.copy()
-        head[1:] |= step[1:] != step[:-1]
-        heads = np.flatnonzero(head)
-        hub = np.repeat(heads, np.diff(np.append(heads, len(h))))
-        left, right = [hub[~head]], [np.flatnonzero(~head)]
-        later = heads[~first[heads]]  # the hub of a size step meets that of the step before
-        left.append(hub[later - 1])
-        right.append(later)
-        for back in range(1, SMALL_RUN):
-            mine = np.flatnonzero((index >= back) & (index < SMALL_RUN))
+        left, right = [], []
+        for back in range(1, max(SMALL_RUN - 1, NEIGHBOURS) + 1):
+            mine = np.flatnonzero((index >= back) & ((index < SMALL_RUN) | (back <= NEIGHBOURS)))
             left.append(mine - back)
             right.append(mine)
         left, right = np.concatenate(left), np.concatenate(right)
@@ -189,14 +183,33 @@ def run_pairs(batches):
                 yield from emit(h[:cut], group[:cut], place[:cut], long_h)
                 long_h = None
                 held, rows = [(h[cut:], group[cut:], place[cut:])], len(h) - cut
-            else:  # one run fills the block: go on with its first row as the hub
+            else:  # one run fills the block: go on from its last rows
                 yield from emit(h, group, place, h[-1])
                 long_h = h[-1]
-                held, rows = [(h[:1], group[:1], place[:1])], 1
+                held, rows = [(h[-NEIGHBOURS:], group[-NEIGHBOURS:], place[-NEIGHBOURS:])], NEIGHBOURS
     if held:
         yield from emit(*(np.concatenate(c) for c in zip(*held, strict=True)), long_h)
 
 
+def near_pairs(batches):
+    """Pairs (a, b) of sets from rows (h, label, set, place) sorted by h: neighbours that may link and have different labels."""
+    rest = [np.empty(0, dtype=np.int64)] * 4
+    for batch in batches:
+        h, label, sets, place = (np.concatenate([r, np.asarray(batch.column(i))]) for i, r in enumerate(rest))
+        size, at, old = place >> 32, place & 0xFFFFFFFF, len(rest[0])
+        a, b = [], []
+        for back in range(1, ROUND_NEIGHBOURS + 1):
+            right = np.arange(max(old, back), len(h))
+            left = right - back
+            good = (h[left] == h[right]) & (label[left] != label[right]) & may_link(size[left], at[left], size[right], at[right])
+            a.append(sets[left[good]])
+            b.append(sets[right[good]])
+        a, b = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        rest = [c[-ROUND_NEIGHBOURS:] for c in (h, label, sets, place)]
+
+
 def crossing_pairs(batches):
     """Pairs (a, b) of sets from rows (h, label, set, place) sorted by h: all that may link and have different labels."""
 
@@ -256,7 +269,7 @@ def sets_of(docs: DataFrame, ids: DataFrame, narrow: bool) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(rows, names=["set", "n", "shingles"])
 
     chosen = only(docs.select("doc_id", text_or_empty().alias("text")), ids, "doc_id", "doc_id")
-    return chosen.select("text").mapInArrow(whole, f"set long, n long, shingles array<{kind}>")
+    return chosen.select("text").mapInArrow(lean(whole), f"set long, n long, shingles array<{kind}>")
 
 
 def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -340,9 +353,9 @@ def linked(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.nulls(len(rows[0]), piece.column(0).type)], names=["h", "pack", "place", "doc_id"])
 
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // (4 * TASK_ROWS)))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(prefixes, f"{PREFIX}, doc_id {id_type}")
+    rows = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lean(prefixes), f"{PREFIX}, doc_id {id_type}")
     rows = rows.repartition(tasks, "h").sortWithinPartitions("h", "place", "pack")
-    joined = store(rows.mapInArrow(run_pairs, f"kind long, a long, b long, c long, doc_id {id_type}"), "jaccard-runs")
+    joined = store(rows.mapInArrow(lean(run_pairs), f"kind long, a long, b long, c long, doc_id {id_type}"), "jaccard-runs")
 
     members = joined.where("kind = 2").select("doc_id", F.col("a").alias("set"), F.col("b").alias("group"), (-1 - F.col("c")).alias("n"))
     pairs = joined.where("kind = 0").select("a", "b").distinct()
@@ -364,17 +377,30 @@ def linked(docs: DataFrame) -> DataFrame:
 
     links = verified(first, sets, docs, groups)
     labels = components(links)
-    labelled = groups.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "group", "lead", F.coalesce("label", "set").alias("label"))
-    labelled = store(labelled, "jaccard-labelled")
 
-    torn = runs.join(labelled, "group").groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h")
-    crossing = runs.join(torn, "h").join(labelled, "group").select("h", "label", "set", "place")
-    crossing = crossing.repartition("h").sortWithinPartitions("h", "place", "set").mapInArrow(crossing_pairs, "a long, b long")
+    def crossing():
+        """Rows (h, label, set, place) of the runs whose members still have several labels."""
+        labelled = groups.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "group", F.coalesce("label", "set").alias("label"))
+        labelled = store(labelled, "jaccard-labelled")
+        torn = runs.join(labelled, "group").groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h")
+        return labelled, runs.join(torn, "h").join(labelled, "group").select("h", "label", "set", "place")
+
+    for turn in range(ROUNDS):
+        labelled, rows = crossing()
+        near = rows.repartition("h").sortWithinPartitions("h", F.xxhash64("set", F.lit(turn))).mapInArrow(lean(near_pairs), "a long, b long")
+        near = store(near.distinct(), "jaccard-near")
+        if near.limit(1).count() == 0:
+            break
+        links = store(links.unionByName(verified(near, sets, docs, groups)), "jaccard-links")
+        labels = components(links)
+
+    labelled, rows = crossing()
+    left_over = rows.repartition("h").sortWithinPartitions("h", "place", "set").mapInArrow(lean(crossing_pairs), "a long, b long")
     one = labelled.select(F.col("group").alias("a"), F.col("set").alias("x"), F.col("label").alias("p"))
     two = labelled.select(F.col("group").alias("b"), F.col("set").alias("y"), F.col("label").alias("q"))
     expanded = partner.join(one, "a").join(two, "b").where("p != q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     mates = one.join(two.withColumnRenamed("b", "a"), "a").where("x < y AND p != q").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    second = store(crossing.unionByName(expanded).unionByName(mates).distinct(), "jaccard-second")
+    second = store(left_over.unionByName(expanded).unionByName(mates).distinct(), "jaccard-second")
     if second.limit(1).count():
         more = verified(second, sets, docs, groups)
         if more.limit(1).count():

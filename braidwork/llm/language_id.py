@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import text_or_empty
+from braidwork.llm.common import lean, text_or_empty
 from braidwork.llm.textbytes import LOWER, bytes_of, mix64, parts
 
 #: Texts of a language that training reads (expected number; chosen by a hash of doc_id).
@@ -104,7 +104,7 @@ def fit(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> LanguageFilters:
             n = np.bincount(inverse, weights=np.concatenate([c for _, c in pairs]), minlength=len(keys)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array([l] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(n)], names=["lang", "gram", "n"])
 
-    counted = sample.select(text_or_empty().alias("text"), "lang").mapInArrow(count, "lang string, gram long, n long")
+    counted = sample.select(text_or_empty().alias("text"), "lang").mapInArrow(lean(count), "lang string, gram long, n long")
     counted = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n")).where("n > 1")
     from pyspark.sql.window import Window
 
@@ -150,7 +150,7 @@ def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
                     names, score = ["und"] * piece.num_rows, np.zeros(piece.num_rows)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(names, pa.string()), pa.array(score, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(scored, f"doc_id {id_type}, lang_pred string, score double")
+    return docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lean(scored), f"doc_id {id_type}, lang_pred string, score double")
 
 
 def identify(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> DataFrame:
@@ -185,4 +185,4 @@ def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
                     good[i] = any(c.isalpha() for c in texts[int(i)].as_py()[:64]) or any(c.isalpha() for c in texts[int(i)].as_py())
                 yield pa.RecordBatch.from_arrays([piece.column(i).filter(pa.array(good)) for i in range(len(columns))], names=columns)
 
-    return docs.select(*columns, text_or_empty().alias("_text")).mapInArrow(kept, docs.schema)
+    return docs.select(*columns, text_or_empty().alias("_text")).mapInArrow(lean(kept), docs.schema)

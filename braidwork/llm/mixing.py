@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import prefix_sums, source_key, store, text_or_empty
+from braidwork.llm.common import lean, prefix_sums, source_key, store, text_or_empty
 
 BLOCK_WORDS, SHARDS = 256, 40
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -201,4 +201,4 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
                 columns = [part.column(0).take(pick), pa.array(out, pa.string()), part.column(2).take(pick), part.column(3).take(pick), pa.array([len(t) for t in out], pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "text", "lang", "source", "n_chars"])
 
-    return joined.mapInArrow(render, f"doc_id {id_type}, text string, lang string, source string, n_chars long")
+    return joined.mapInArrow(lean(render), f"doc_id {id_type}, text string, lang string, source string, n_chars long")

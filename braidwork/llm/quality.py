@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import store, text_or_empty
+from braidwork.llm.common import lean, store, text_or_empty
 from braidwork.llm.textbytes import Rolling, bytes_of, parts, words
 
 #: Labelled rows the fit reads (expected number; chosen by a hash of doc_id).
@@ -94,7 +94,7 @@ def described(docs: DataFrame) -> DataFrame:
                 ends = pa.array(np.arange(len(values) + 1, dtype=np.int32) * STATISTICS)
                 yield pa.RecordBatch.from_arrays([piece.column(0), pa.ListArray.from_arrays(ends, flat)], names=["doc_id", "stats"])
 
-    return store(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(measure, f"doc_id {id_type}, stats array<float>"), "quality-statistics")
+    return store(docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lean(measure), f"doc_id {id_type}, stats array<float>"), "quality-statistics")
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -180,7 +180,7 @@ def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qu
         return out
 
     schema = "i int, row array<double>"
-    first = summed(train.select("stats").mapInArrow(moments, schema))
+    first = summed(train.select("stats").mapInArrow(lean(moments), schema))
     if not first.size:
         return None
     mean = first[1] / first[0]
@@ -197,7 +197,7 @@ def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qu
             yield from summed_rows(total)
 
     # Few partitions: each sends a whole matrix, and the training rows are bounded.
-    equations = summed(train.coalesce(8).mapInArrow(normal, schema))
+    equations = summed(train.coalesce(8).mapInArrow(lean(normal), schema))
     a, b = equations[:, :-1], equations[:, -1]
     model.weights = np.linalg.solve(a + RIDGE * a[-1, -1] / FEATURES * np.eye(len(a)), b)
     fitted = spark.sparkContext.broadcast(model)
@@ -209,7 +209,7 @@ def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qu
             total += np.vstack([np.bincount(at, minlength=BINS), np.bincount(at, weights=y, minlength=BINS)])
         yield from summed_rows(total)
 
-    held = summed(train.coalesce(8).mapInArrow(histogram, schema))
+    held = summed(train.coalesce(8).mapInArrow(lean(histogram), schema))
     model.levels = isotonic(held[0], held[1])
     return model
 
@@ -234,5 +234,5 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values)], names=["doc_id", "score"])
 
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) == 0
-    found = stats.mapInArrow(scored, f"doc_id {id_type}, score double")
+    found = stats.mapInArrow(lean(scored), f"doc_id {id_type}, score double")
     return found.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= THRESHOLD, 1).otherwise(0).alias("predicted"))

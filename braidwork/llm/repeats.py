@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import store, text_or_empty
+from braidwork.llm.common import lean, store, text_or_empty
 from braidwork.llm.textbytes import Rolling, bytes_of, parts
 
 LENGTH = 100
@@ -267,11 +267,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     pairs = texts.select("doc", "text")
     part = min(1.0, buckets * SAMPLED * 30 / max(total, 1))
     some = pairs.where(F.pmod(F.xxhash64(F.lit(7), "doc"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    tokens = np.asarray(some.mapInArrow(sampled, "token long").toArrow().column(0)).view(np.uint64)
+    tokens = np.asarray(some.mapInArrow(lean(sampled), "token long").toArrow().column(0)).view(np.uint64)
     splitters = np.unique(np.quantile(np.sort(tokens).astype(np.float64), np.arange(1, buckets) / buckets).astype(np.uint64)) if len(tokens) else np.empty(0, dtype=np.uint64)
 
-    rows = pairs.mapInArrow(lambda batches: in_blocks(of_texts(batches), splitters), ROWS)
-    found = store(rows.repartition(buckets, "bucket").mapInArrow(sort_bucket(length), FOUND), "repeats-found")
+    rows = pairs.mapInArrow(lean(lambda batches: in_blocks(of_texts(batches), splitters)), ROWS)
+    found = store(rows.repartition(buckets, "bucket").mapInArrow(lean(sort_bucket(length)), FOUND), "repeats-found")
 
     place = F.struct(F.col("low"), (F.col("high") == -2).alias("many"))
     unsure = found.where("high < 0").groupBy("doc").agg(F.collect_list(place).alias("places"))
@@ -302,7 +302,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
                     rows = bucket_rows(found, np.zeros(len(found), dtype=np.uint64), ids[owner], start << 30, even)
                     yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("bucket", "token", "doc", "packed")), pa.nulls(rows.num_rows, pa.binary())], names=["bucket", "token", "doc", "packed", "context"])
 
-    again = strings.mapInArrow(of_strings, STRINGS).repartition(buckets, "bucket").mapInArrow(sort_strings(length), FOUND)
+    again = strings.mapInArrow(lean(of_strings), STRINGS).repartition(buckets, "bucket").mapInArrow(lean(sort_strings(length)), FOUND)
     spans = found.where("high >= 0").unionByName(again).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
@@ -333,4 +333,4 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 
     whole = pairs if texts.columns == ["doc", "text"] else texts
-    return whole.join(spans, "doc", "left").select("doc", "doc_id", "text", "spans").mapInArrow(removed, schema)
+    return whole.join(spans, "doc", "left").select("doc", "doc_id", "text", "spans").mapInArrow(lean(removed), schema)
