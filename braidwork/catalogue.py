@@ -1,8 +1,774 @@
-"""Queries over the driver's tables, with the SQL that states the same results."""
+"""Queries over the driver's tables, one for each operator, with the SQL that states the same results."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    return spark.range(1)
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from braidwork import sources
+from braidwork.plans.seq import Seq
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+Tables = Callable[[str], DataFrame]
+
+
+def query(sql: str | None):
+    """Register the function under its own name: it gets (spark, table) and gives a Seq or DataFrame."""
+
+    def register(build):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            def table(name: str) -> DataFrame:
+                return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+            table.path = lambda name: f"{sf_dir}/{name}.parquet"
+            made = build(spark, table)
+            return made.df if isinstance(made, Seq) else made
+
+        run.__name__, run.__doc__ = build.__name__, build.__doc__
+        QUERIES[build.__name__] = run
+        if sql is not None:
+            ORACLES[build.__name__] = sql
+        return build
+
+    return register
+
+
+def events(t: Tables, where: str | None = None, keys: tuple = ()) -> Seq:
+    df = t("events").select("event_id", "ts", "user_id", "event_type", "value", "props")
+    return Seq(df.where(where) if where else df, "event_id", "ts", keys)
+
+
+def orders(t: Tables) -> Seq:
+    return Seq(t("orders"), "o_orderkey", "o_orderdate")
+
+
+ISLANDS = """
+f AS (SELECT *, CASE WHEN lag(event_type) OVER w IS DISTINCT FROM event_type AND lag(event_id) OVER w IS NOT NULL THEN 1 ELSE 0 END AS cut
+      FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+r AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY event_id) AS window_id FROM f)
+"""
+
+
+@query(f"""
+WITH {ISLANDS}, b AS (SELECT user_id, window_id, count(*) AS n FROM r GROUP BY ALL)
+SELECT user_id, count(*) AS runs, max(n) AS longest FROM b GROUP BY user_id ORDER BY longest DESC, runs DESC, user_id LIMIT 20
+""")
+def user_runs(spark, t):
+    """Flagship: runs of one event type for each user, the users with the longest runs first."""
+    runs = events(t).group_by("user_id").buffer_until_changed(F.col("event_type"))
+    stats = runs.df.groupBy("user_id").agg(F.count("*").alias("runs"), F.max("n").alias("longest"))
+    return Seq(stats, "user_id").top(20, F.desc("longest"), F.desc("runs"), F.col("user_id"))
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QUERIES["user_runs"](spark, sf_dir)
+
+
+# Sources.
+
+
+@query("SELECT range AS value, range * range AS square FROM range(5, 1005)")
+def source_range(spark, t):
+    return sources.range_(spark, 5, 1000).map(square=F.col("value") * F.col("value"))
+
+
+@query("SELECT * FROM (VALUES (0, 'a'), (1, 'b'), (2, 'c')) v(seq, value)")
+def source_just(spark, t):
+    return sources.just(spark, "a", "b", "c", schema="value string").cast("seq", "int")
+
+
+@query("WITH RECURSIVE g(n, s) AS (SELECT 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, s * 3 % 1009 FROM g WHERE n < 60) SELECT n AS seq, s AS value FROM g")
+def source_generate(spark, t):
+    return sources.generate(spark, "CAST(1 AS BIGINT)", "state * 3 % 1009", most=60)
+
+
+@query("SELECT epoch_us(range) AS at_us, row_number() OVER (ORDER BY range) - 1 AS value FROM range(TIMESTAMP '2024-01-01 00:10:00', TIMESTAMP '2024-01-03 00:00:01', INTERVAL 10 MINUTE)")
+def source_interval(spark, t):
+    ticks = sources.interval(spark, "2024-01-01", "2024-01-03", "10 minutes", "10 minutes")
+    return ticks.df.select(ticks.micros().alias("at_us"), "value")
+
+
+@query("SELECT range AS seq, range * 7 % 13 AS value FROM range(0, 40)")
+def source_create(spark, t):
+    def emit(partition):
+        for i in range(20):
+            yield (partition * 20 + i, (partition * 20 + i) * 7 % 13)
+
+    return sources.create(spark, emit, "seq long, value long", "seq", partitions=2)
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE false")
+def source_empty(spark, t):
+    return Seq(t("customer").select("c_custkey", "c_name"), "c_custkey").ignore_elements()
+
+
+# Projections.
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice * (1 - l_discount), 4) AS revenue FROM lineitem WHERE l_quantity < 10 AND l_returnflag = 'R'")
+def filter_map(spark, t):
+    kept = Seq(t("lineitem"), ["l_orderkey", "l_linenumber"]).filter((F.col("l_quantity") < 10) & (F.col("l_returnflag") == "R"))
+    return kept.map(revenue=F.round(F.col("l_extendedprice") * (1 - F.col("l_discount")), 4))
+
+
+@query("SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events WHERE json_extract_string(props, '$.k') IS NOT NULL")
+def map_not_null(spark, t):
+    return events(t).map_not_null(k=F.get_json_object("props", "$.k").cast("long")).df.select("event_id", "k")
+
+
+@query("SELECT event_id, CAST(round(value) AS BIGINT) AS value FROM events")
+def cast(spark, t):
+    return events(t).map(value=F.round("value")).cast("value", "long").df.select("event_id", "value")
+
+
+@query("SELECT doc_id, TRY_CAST(substr(source, 4) AS INTEGER) AS source_no FROM documents WHERE TRY_CAST(substr(source, 4) AS INTEGER) IS NOT NULL")
+def of_type(spark, t):
+    return Seq(t("documents").select("doc_id", F.substring("source", 4, 9).alias("source_no")), "doc_id").of_type("source_no", "int")
+
+
+@query("SELECT event_id, round(value * 2, 4) AS doubled FROM events WHERE event_id <= (SELECT min(event_id) FROM events WHERE event_id > 500 AND event_type = 'signup') AND event_type <> 'error'")
+def handle(spark, t):
+    done = (F.col("event_id") > 500) & (F.col("event_type") == "signup")
+    return events(t).handle(F.round(F.col("value") * 2, 4), emit=F.col("event_type") != "error", complete=done, name="doubled").df.select("event_id", "doubled")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders")
+def index(spark, t):
+    return orders(t).index().df.select("o_orderkey", "index")
+
+
+@query("SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS index FROM events")
+def index_by_key(spark, t):
+    return events(t).group_by("user_id").index().df.select("event_id", "user_id", "index")
+
+
+@query("SELECT event_id, epoch_us(ts) // 1000 AS millis FROM events")
+def timestamp(spark, t):
+    return events(t).timestamp().df.select("event_id", "millis")
+
+
+@query("SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER (ORDER BY event_id), 0) AS elapsed_us FROM events")
+def elapsed(spark, t):
+    return events(t).elapsed().df.select("event_id", "elapsed_us")
+
+
+@query("""
+SELECT event_id, coalesce(epoch_us(ts) - lag(epoch_us(ts)) OVER w, 0) AS elapsed_us, epoch_us(ts) - min(epoch_us(ts)) OVER w AS since_start_us, epoch_us(ts) AS at_us
+FROM events WINDOW w AS (ORDER BY event_id)
+""")
+def timed(spark, t):
+    return events(t).timed().df.select("event_id", "elapsed_us", "since_start_us", "at_us")
+
+
+@query("""
+SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS signal_pos, 'NEXT' AS type, o_orderstatus AS value, NULL::VARCHAR AS error FROM orders
+UNION ALL SELECT count(*), 'COMPLETE', NULL, NULL FROM orders
+""")
+def materialize(spark, t):
+    return orders(t).materialize("o_orderstatus")
+
+
+@query("SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS signal_pos, o_orderstatus AS value FROM orders")
+def dematerialize(spark, t):
+    return orders(t).materialize("o_orderstatus").dematerialize()
+
+
+@query("SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 3) AS scan FROM events")
+def scan(spark, t):
+    return events(t).group_by("user_id").scan(F.col("value")).df.select("event_id", "user_id", F.round("scan", 3).alias("scan"))
+
+
+@query("SELECT event_id, 100 + sum(user_id) OVER (ORDER BY event_id)::BIGINT AS scan FROM events UNION ALL SELECT NULL, 100")
+def scan_seed(spark, t):
+    return events(t).scan(F.col("user_id"), seed=F.lit(100)).df.select("event_id", "scan")
+
+
+@query("SELECT event_id, max(value) OVER (ORDER BY event_id) AS scan FROM events")
+def scan_max(spark, t):
+    return events(t).scan(F.col("value"), "max").df.select("event_id", "scan")
+
+
+@query("SELECT conv_id, turn, pos::INTEGER - 1 AS pos, word FROM (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS pos FROM conversations)")
+def flat_map(spark, t):
+    talk = Seq(t("conversations").where("text IS NOT NULL"), ["conv_id", "turn"])
+    return talk.flat_map(F.split("text", " "), "word").df.select("conv_id", "turn", "pos", "word")
+
+
+@query("SELECT doc_id, pos::INTEGER - 1 AS pos, md5(line) AS line_md5 FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)")
+def concat_map(spark, t):
+    lines = Seq(t("documents").where("text IS NOT NULL"), "doc_id").concat_map(F.split("text", "\n"), "line")
+    return lines.df.select("doc_id", "pos", F.md5("line").alias("line_md5"))
+
+
+@query("SELECT o_orderkey, l_linenumber, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderpriority LIKE '1%'")
+def flat_map_join(spark, t):
+    urgent = orders(t).filter(F.col("o_orderpriority").startswith("1"))
+    items = t("lineitem").withColumnRenamed("l_orderkey", "o_orderkey").select("o_orderkey", "l_linenumber", "l_quantity")
+    return urgent.flat_map_join(items, "o_orderkey", ["l_linenumber"]).df.select("o_orderkey", "l_linenumber", "l_quantity")
+
+
+@query("""
+WITH o AS (SELECT event_id AS outer_id, user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS until FROM events WHERE event_type = 'view')
+SELECT outer_id, event_id FROM o JOIN events e ON e.user_id = o.user_id AND e.event_type = 'click' AND e.ts >= o.ts AND (o.until IS NULL OR e.ts < o.until)
+""")
+def switch_map(spark, t):
+    outer = Seq(t("events").where("event_type = 'view'").select(F.col("event_id").alias("outer_id"), "user_id", F.col("ts").alias("outer_ts")), "outer_id", "outer_ts", ["user_id"])
+    inner = Seq(t("events").where("event_type = 'click'").select("event_id", "user_id", "ts"), "event_id", "ts")
+    return outer.switch_map(inner, on="user_id").df.select("outer_id", "event_id")
+
+
+@query("SELECT event_id, event_type FROM events WHERE event_type = (SELECT event_type FROM events ORDER BY event_id LIMIT 1)")
+def switch_on_first(spark, t):
+    return events(t).switch_on_first(lambda first, s: s.filter(F.col("event_type") == first["event_type"])).df.select("event_id", "event_type")
+
+
+TREE = """
+tree AS (SELECT 'r' || r_regionkey AS node, 'root' AS parent FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey FROM nation
+         UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey FROM supplier)
+"""
+
+
+def tree(t: Tables) -> DataFrame:
+    def level(name, key, mark, above, above_mark):
+        parent = F.lit("root") if above is None else F.concat(F.lit(above_mark), F.col(above).cast("string"))
+        return t(name).select(F.concat(F.lit(mark), F.col(key).cast("string")).alias("node"), parent.alias("parent"))
+
+    return level("region", "r_regionkey", "r", None, "").union(level("nation", "n_nationkey", "n", "n_regionkey", "r")).union(level("supplier", "s_suppkey", "s", "s_nationkey", "n"))
+
+
+EXPAND = f"""
+WITH RECURSIVE {TREE}, e(node, depth, path) AS (
+  SELECT 'root', 0, 'root' UNION ALL SELECT tree.node, depth + 1, path || '/' || tree.node FROM e JOIN tree ON tree.parent = e.node)
+SELECT node, depth, path FROM e
+"""
+
+
+@query(EXPAND)
+def expand(spark, t):
+    found = Seq(spark.sql("SELECT 'root' AS node"), "node").expand(tree(t), "node", "parent")
+    return found.df.select("node", "depth", F.array_join("path", "/").alias("path"))
+
+
+@query(EXPAND.replace("SELECT node, depth, path FROM e", "SELECT node, row_number() OVER (ORDER BY string_split(path, '/')) - 1 AS index FROM e"))
+def expand_deep(spark, t):
+    return Seq(spark.sql("SELECT 'root' AS node"), "node").expand_deep(tree(t), "node", "parent").index().df.select("node", "index")
+
+
+# Selection.
+
+
+@query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+def filter_when(spark, t):
+    tests = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), (F.col("l_returnflag") == "R").alias("good"))
+    return orders(t).filter_when(tests, "o_orderkey", "good").df.select("o_orderkey")
+
+
+@query("SELECT event_id, user_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+def distinct(spark, t):
+    return events(t).distinct("user_id").df.select("event_id", "user_id")
+
+
+@query("SELECT event_id, event_type FROM events QUALIFY lag(event_type) OVER (ORDER BY event_id) IS DISTINCT FROM event_type")
+def distinct_until_changed(spark, t):
+    return events(t).distinct_until_changed(F.col("event_type")).df.select("event_id", "event_type")
+
+
+def cut(name: str, of: Callable[[Tables], Seq], column: str, build: Callable[[Seq], Seq], sql: str) -> None:
+    def run(spark, t):
+        return build(of(t)).df.select(column)
+
+    run.__name__ = name
+    query(sql)(run)
+
+
+for _name, _build, _sql in [
+    ("take", lambda s: s.take(17), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 17"),
+    ("limit_request", lambda s: s.limit_request(3), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 3"),
+    ("skip", lambda s: s.skip(100), "SELECT o_orderkey FROM orders ORDER BY o_orderkey OFFSET 100"),
+    ("take_last", lambda s: s.take_last(25), "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 25"),
+    ("skip_last", lambda s: s.skip_last(25), "SELECT o_orderkey FROM orders QUALIFY row_number() OVER (ORDER BY o_orderkey DESC) > 25"),
+    ("next", lambda s: s.next(), "SELECT min(o_orderkey) AS o_orderkey FROM orders"),
+    ("last", lambda s: s.last(), "SELECT max(o_orderkey) AS o_orderkey FROM orders"),
+    ("element_at", lambda s: s.element_at(7), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 7"),
+    ("single", lambda s: s.filter(F.col("o_orderkey") == 5).single(), "SELECT o_orderkey FROM orders WHERE o_orderkey = 5"),
+    ("single_or_empty", lambda s: s.filter(F.col("o_orderkey") < 0).single_or_empty(), "SELECT o_orderkey FROM orders WHERE o_orderkey < 0"),
+    ("sort", lambda s: s.sort("o_custkey").take(50), "SELECT o_orderkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 50"),
+]:
+    cut(_name, orders, "o_orderkey", _build, _sql)
+
+for _name, _build, _sql in [
+    ("take_while", lambda s: s.take_while(F.col("event_id") % 97 != 96), "event_id < (SELECT min(event_id) FROM events WHERE event_id % 97 = 96)"),
+    ("take_until", lambda s: s.take_until(F.col("value") > 90), "event_id <= (SELECT coalesce(min(event_id), 1e18) FROM events WHERE value > 90)"),
+    ("skip_while", lambda s: s.skip_while(F.col("value") < 90), "event_id >= (SELECT min(event_id) FROM events WHERE value >= 90)"),
+    ("skip_until", lambda s: s.skip_until(F.col("event_type") == "error"), "event_id >= (SELECT min(event_id) FROM events WHERE event_type = 'error')"),
+    ("take_for", lambda s: s.take_for(86_400), "ts < (SELECT min(ts) FROM events) + INTERVAL 1 DAY"),
+    ("skip_for", lambda s: s.skip_for(86_400), "ts >= (SELECT min(ts) FROM events) + INTERVAL 1 DAY"),
+    ("take_until_other", lambda s: s.take_until_other(s.filter(F.col("event_type") == "signup").skip(3)), "ts < (SELECT ts FROM events WHERE event_type = 'signup' ORDER BY event_id LIMIT 1 OFFSET 3)"),
+    ("skip_until_other", lambda s: s.skip_until_other(s.filter(F.col("event_type") == "signup").skip(3)), "ts >= (SELECT ts FROM events WHERE event_type = 'signup' ORDER BY event_id LIMIT 1 OFFSET 3)"),
+]:
+    cut(_name, events, "event_id", _build, f"SELECT event_id FROM events WHERE {_sql}")
+
+
+@query("SELECT -1::BIGINT AS r_regionkey, 'none' AS r_name")
+def default_if_empty(spark, t):
+    none = Seq(t("region").select(F.col("r_regionkey").cast("long").alias("r_regionkey"), "r_name"), "r_regionkey").filter(F.col("r_regionkey") > 99)
+    return none.default_if_empty({"r_regionkey": -1, "r_name": "none"})
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_regionkey = 1")
+def switch_if_empty(spark, t):
+    nations = Seq(t("nation").select("n_nationkey", "n_name", "n_regionkey"), "n_nationkey")
+    chosen = nations.filter(F.col("n_regionkey") == 99).switch_if_empty(nations.filter(F.col("n_regionkey") == 1))
+    return chosen.df.select("n_nationkey", "n_name")
+
+
+# Combination.
+
+CLICK_PURCHASE = "a.event_type = 'click' AND b.event_type = 'purchase'"
+
+
+def clicks(t: Tables, kind: str) -> Seq:
+    return Seq(t("events").where(F.col("event_type") == kind).select("event_id", "ts", "user_id", "value"), "event_id", "ts")
+
+
+@query(f"SELECT a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON {CLICK_PURCHASE} AND a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR")
+def join(spark, t):
+    pairs = clicks(t, "click").join(clicks(t, "purchase"), 6 * 3600, on=["user_id"])
+    return pairs.df.select(F.col("l_event_id").alias("click"), F.col("r_event_id").alias("purchase"))
+
+
+@query(f"SELECT a.event_id AS click, b.event_id AS purchase FROM events a JOIN events b ON {CLICK_PURCHASE} AND b.ts BETWEEN a.ts - INTERVAL 2 MINUTE AND a.ts + INTERVAL 5 MINUTE")
+def join_unkeyed(spark, t):
+    pairs = clicks(t, "click").join(clicks(t, "purchase"), 300, 120)
+    return pairs.df.select(F.col("l_event_id").alias("click"), F.col("r_event_id").alias("purchase"))
+
+
+@query(f"""
+SELECT a.event_id AS click, count(b.event_id) AS n, coalesce(string_agg(b.event_id::VARCHAR, ',' ORDER BY b.event_id), '') AS purchases
+FROM events a LEFT JOIN events b ON {CLICK_PURCHASE} AND a.user_id = b.user_id AND b.ts BETWEEN a.ts AND a.ts + INTERVAL 6 HOUR
+WHERE a.event_type = 'click' GROUP BY a.event_id
+""")
+def group_join(spark, t):
+    grouped = clicks(t, "click").group_join(clicks(t, "purchase"), 6 * 3600, on=["user_id"], collect="event_id")
+    return grouped.df.select(F.col("l_event_id").alias("click"), "n", F.array_join(F.col("values").cast("array<string>"), ",").alias("purchases"))
+
+
+@query("SELECT a.event_id AS click, b.event_id AS view FROM (FROM events WHERE event_type = 'click') a ASOF JOIN (FROM events WHERE event_type = 'view') b ON a.ts > b.ts")
+def with_latest_from(spark, t):
+    return clicks(t, "click").with_latest_from(clicks(t, "view")).df.select(F.col("event_id").alias("click"), F.col("latest.event_id").alias("view"))
+
+
+@query("""
+WITH u AS (SELECT event_id, max(CASE WHEN event_type = 'click' THEN event_id END) OVER w AS click, max(CASE WHEN event_type = 'view' THEN event_id END) OVER w AS view
+           FROM events WHERE event_type IN ('click', 'view') WINDOW w AS (ORDER BY event_id))
+SELECT click, view FROM u WHERE click IS NOT NULL AND view IS NOT NULL
+""")
+def combine_latest(spark, t):
+    return clicks(t, "click").combine_latest(clicks(t, "view")).df.select(F.col("s0.event_id").alias("click"), F.col("s1.event_id").alias("view"))
+
+
+ZIP = """
+a AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS position, event_id FROM events), b AS (SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS position, o_orderkey FROM orders)
+"""
+
+
+@query(f"WITH {ZIP} SELECT position, event_id, o_orderkey FROM a JOIN b USING (position)")
+def zip_positions(spark, t):
+    return events(t).zip(orders(t)).df.select("position", "z0.event_id", "z1.o_orderkey")
+
+
+@query("SELECT n_nationkey, ['x', 'y', 'z'][n_nationkey + 1] AS mark FROM nation WHERE n_nationkey < 3")
+def zip_with_iterable(spark, t):
+    return Seq(t("nation"), "n_nationkey").zip_with_iterable(["x", "y", "z"], "mark").df.select("n_nationkey", "mark")
+
+
+@query("SELECT EXISTS (SELECT 1 FROM nation WHERE n_name = (SELECT min(n_name) FROM nation)) AS has_element")
+def has_element(spark, t):
+    smallest = t("nation").agg(F.min("n_name")).first()[0]
+    return Seq(t("nation"), "n_nationkey").has_element("n_name", smallest)
+
+
+@query("WITH w AS (SELECT event_type FROM events WHERE event_type IN ('error', 'signup', 'purchase') ORDER BY ts LIMIT 1) SELECT event_id FROM events WHERE event_type = (SELECT event_type FROM w)")
+def first_with_value(spark, t):
+    a, b, c = (clicks(t, k) for k in ("error", "signup", "purchase"))
+    return a.first_with_value(b, c).df.select("event_id")
+
+
+@query("SELECT 0 AS source_ord, n_nationkey FROM nation WHERE n_regionkey = 2 UNION ALL SELECT 1, n_nationkey FROM nation WHERE n_regionkey = 0")
+def concat(spark, t):
+    nations = Seq(t("nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
+    return nations.filter(F.col("n_regionkey") == 2).concat_with(nations.filter(F.col("n_regionkey") == 0)).df.select("source_ord", "n_nationkey")
+
+
+@query("SELECT n_nationkey, n_name FROM nation UNION ALL SELECT 99, 'NOWHERE'")
+def concat_with_values(spark, t):
+    return Seq(t("nation").select("n_nationkey", "n_name"), "n_nationkey").concat_with_values({"n_nationkey": 99, "n_name": "NOWHERE"}).df.select("n_nationkey", "n_name")
+
+
+@query("SELECT 0 AS source_ord, n_nationkey FROM nation WHERE n_regionkey = 4 UNION ALL SELECT 1, n_nationkey FROM nation WHERE n_regionkey = 3")
+def start_with(spark, t):
+    nations = Seq(t("nation").select("n_nationkey", "n_regionkey"), "n_nationkey")
+    return nations.filter(F.col("n_regionkey") == 3).start_with(nations.filter(F.col("n_regionkey") == 4)).df.select("source_ord", "n_nationkey")
+
+
+@query("SELECT event_id, row_number() OVER (ORDER BY ts) - 1 AS index FROM events WHERE event_type IN ('click', 'view')")
+def merge(spark, t):
+    return clicks(t, "click").merge_with(clicks(t, "view")).index().df.select("event_id", "index")
+
+
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey, o_orderkey % 2) - 1 AS index FROM orders WHERE o_orderkey % 3 > 0")
+def merge_comparing(spark, t):
+    odd, even = (orders(t).filter((F.col("o_orderkey") % 3 > 0) & (F.col("o_orderkey") % 2 == r)) for r in (1, 0))
+    return odd.merge_comparing(even, by=["o_orderkey"]).index().df.select("o_orderkey", "index")
+
+
+@query("SELECT range AS round, n_nationkey FROM nation, range(3)")
+def repeat(spark, t):
+    return Seq(t("nation").select("n_nationkey"), "n_nationkey").repeat(2)
+
+
+@query("SELECT true AS equal")
+def sequence_equal(spark, t):
+    return orders(t).sequence_equal(Seq(t("orders").repartition(3), "o_orderkey"), ["o_orderkey", "o_custkey"])
+
+
+# Aggregation.
+
+
+@query("SELECT count(*) AS n FROM lineitem")
+def count(spark, t):
+    return Seq(t("lineitem"), "l_orderkey").count()
+
+
+@query("SELECT bool_or(l_quantity > 49) AS any FROM lineitem")
+def any_match(spark, t):
+    return Seq(t("lineitem"), "l_orderkey").any(F.col("l_quantity") > 49)
+
+
+@query("SELECT bool_and(l_quantity < 40) AS all FROM lineitem")
+def all_match(spark, t):
+    return Seq(t("lineitem"), "l_orderkey").all(F.col("l_quantity") < 40)
+
+
+@query("SELECT count(*) > 0 AS has_elements FROM lineitem WHERE l_quantity < 0")
+def has_elements(spark, t):
+    return Seq(t("lineitem"), "l_orderkey").filter(F.col("l_quantity") < 0).has_elements()
+
+
+@query("SELECT user_id, round(sum(value), 3) AS value FROM events GROUP BY user_id")
+def reduce(spark, t):
+    return events(t).group_by("user_id").reduce("sum", F.col("value")).df.select("user_id", F.round("value", 3).alias("value"))
+
+
+@query("""
+WITH RECURSIVE i AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+f(user_id, p, v) AS (SELECT user_id, 0::BIGINT, 7::BIGINT FROM (SELECT DISTINCT user_id FROM events)
+  UNION ALL SELECT f.user_id, i.p, (f.v * 31 + i.event_id) % 1000003 FROM f JOIN i ON i.user_id = f.user_id AND i.p = f.p + 1)
+SELECT user_id, arg_max(v, p) AS value FROM f GROUP BY user_id
+""")
+def reduce_ordered(spark, t):
+    seed = F.lit(7).cast("long")
+    return events(t).group_by("user_id").reduce_ordered(F.col("event_id"), seed, lambda acc, x: (acc * 31 + x) % 1000003)
+
+
+@query("SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS types FROM events GROUP BY user_id")
+def collect_list(spark, t):
+    return events(t).group_by("user_id").collect_list(F.col("event_type")).df.select("user_id", F.array_join("values", ",").alias("types"))
+
+
+@query("SELECT user_id, string_agg(event_id::VARCHAR, ',' ORDER BY value, event_id) AS ids FROM events GROUP BY user_id")
+def collect_sorted_list(spark, t):
+    by_value = Seq(t("events").withColumn("pair", F.struct("value", "event_id")), "event_id", "ts", ["user_id"]).collect_sorted_list(F.col("pair"))
+    return by_value.df.select("user_id", F.array_join(F.transform("values", lambda x: x["event_id"].cast("string")), ",").alias("ids"))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS value FROM events GROUP BY user_id")
+def collect_map(spark, t):
+    mapped = events(t).collect_map("user_id", F.col("event_type"))
+    return mapped.df.select(F.explode("map").alias("user_id", "value"))
+
+
+@query("SELECT c_nationkey, string_agg(c_custkey::VARCHAR, ',' ORDER BY c_custkey) AS customers FROM customer GROUP BY c_nationkey")
+def collect_multimap(spark, t):
+    mapped = Seq(t("customer"), "c_custkey").collect_multimap("c_nationkey", F.col("c_custkey").cast("string"))
+    return mapped.df.select(F.explode("map").alias("c_nationkey", "list")).select("c_nationkey", F.array_join("list", ",").alias("customers"))
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(text, ' ')) AS word FROM documents) WHERE length(word) > 3 GROUP BY word ORDER BY n DESC, word LIMIT 10")
+def group_by_top(spark, t):
+    words = Seq(t("documents").select("doc_id", "text"), "doc_id").flat_map(F.split("text", " "), "word").filter(F.length("word") > 3)
+    return words.with_df(words.df, keys=["word"]).count().top(10, F.desc("n"), F.col("word"))
+
+
+# Windows and buffers.
+
+def counted(name: str, size: int, skip: int) -> None:
+    def run(spark, t):
+        return events(t).buffer(size, skip, F.count("*").alias("n"), F.min("event_id").alias("first_id"), F.max("event_id").alias("last_id"))
+
+    run.__name__ = name
+    query(f"""
+    WITH i AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events), w AS (SELECT range AS window_id FROM range((SELECT count(*) FROM events)))
+    SELECT window_id, count(*) AS n, min(event_id) AS first_id, max(event_id) AS last_id FROM w JOIN i ON p >= window_id * {skip} AND p < window_id * {skip} + {size} GROUP BY window_id
+    """)(run)
+
+
+for _name, _size, _skip in [("buffer_exact", 7, 7), ("buffer_gap", 3, 7), ("buffer_overlap", 10, 4)]:
+    counted(_name, _size, _skip)
+
+
+@query("WITH r AS (SELECT event_id, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS window_id FROM events) SELECT window_id, count(*) AS n FROM r GROUP BY ALL")
+def buffer_until(spark, t):
+    return events(t).buffer_until(F.col("event_type") == "purchase")
+
+
+@query("WITH r AS (SELECT event_id, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (ORDER BY event_id)::BIGINT AS window_id FROM events), c AS (SELECT window_id, count(*) AS n FROM r GROUP BY ALL) SELECT * FROM c UNION ALL SELECT 0, 0 WHERE NOT EXISTS (FROM c WHERE window_id = 0)")
+def window_until_cut_before(spark, t):
+    return events(t).window_until_counts(F.col("event_type") == "purchase", cut_before=True)
+
+
+@query(f"WITH {ISLANDS} SELECT user_id, window_id::BIGINT AS window_id, count(*) AS n FROM r GROUP BY ALL")
+def buffer_until_changed(spark, t):
+    return events(t).group_by("user_id").buffer_until_changed(F.col("event_type"))
+
+
+WHILE = "r AS (SELECT event_id, value < 50 AS matched, coalesce(sum(CASE WHEN value < 50 THEN 0 ELSE 1 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS window_id FROM events)"
+
+
+@query(f"WITH {WHILE} SELECT window_id, count(*) AS n FROM r WHERE matched GROUP BY ALL")
+def buffer_while(spark, t):
+    return events(t).buffer_while(F.col("value") < 50)
+
+
+@query(f"WITH {WHILE} SELECT window_id, count(*) FILTER (WHERE matched) AS n FROM r GROUP BY ALL")
+def window_while(spark, t):
+    return events(t).window_while_counts(F.col("value") < 50)
+
+
+@query("SELECT (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 3600000000 AS window_id, count(*) AS n FROM events GROUP BY ALL")
+def buffer_time(spark, t):
+    return events(t).buffer_time(3600)
+
+
+@query("""
+WITH d AS (SELECT epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events) AS d FROM events)
+SELECT range AS window_id, count(*) AS n FROM range(2000) JOIN d ON d >= range * 3600000000 AND d < range * 3600000000 + 7200000000 GROUP BY range
+""")
+def window_sliding(spark, t):
+    return events(t).buffer_time(7200, 3600)
+
+
+@query("""
+WITH d AS (SELECT (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 60000000 AS w FROM events)
+SELECT range AS window_id, (SELECT count(*) FROM d WHERE w = range) AS n FROM range((SELECT max(w) + 1 FROM d))
+""")
+def window_time_with_empty(spark, t):
+    return events(t).window_time_counts(60)
+
+
+@query("SELECT a.event_id AS opening, count(b.event_id) AS n FROM events a LEFT JOIN events b ON b.ts BETWEEN a.ts AND a.ts + INTERVAL 2 HOUR WHERE a.event_type = 'signup' GROUP BY a.event_id")
+def buffer_when(spark, t):
+    counted = Seq(t("events").select("event_id", "ts"), "event_id", "ts").buffer_when(clicks(t, "signup"), 7200)
+    return counted.df.select(F.col("l_event_id").alias("opening"), "n")
+
+
+@query("WITH u AS (SELECT event_id, event_type, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (ORDER BY event_id)::BIGINT AS window_id FROM events) SELECT window_id, count(*) AS n FROM u WHERE event_type = 'click' GROUP BY window_id")
+def buffer_boundary(spark, t):
+    return clicks(t, "click").buffer_boundary(clicks(t, "signup"))
+
+
+BUFFER_TIMEOUT = """
+WITH RECURSIVE i AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+f(user_id, p, start, n, window_id) AS (
+  SELECT user_id, p, us, 1::BIGINT, 0::BIGINT FROM i WHERE p = 1
+  UNION ALL SELECT f.user_id, i.p, CASE WHEN f.n >= 3 OR i.us >= f.start + 21600000000 THEN i.us ELSE f.start END,
+    CASE WHEN f.n >= 3 OR i.us >= f.start + 21600000000 THEN 1 ELSE f.n + 1 END, CASE WHEN f.n >= 3 OR i.us >= f.start + 21600000000 THEN f.window_id + 1 ELSE f.window_id END
+  FROM f JOIN i ON i.user_id = f.user_id AND i.p = f.p + 1)
+SELECT user_id, window_id, count(*) AS n FROM f GROUP BY ALL
+"""
+
+
+@query(BUFFER_TIMEOUT)
+def buffer_timeout(spark, t):
+    return events(t).group_by("user_id").buffer_timeout(3, 6 * 3600)
+
+
+@query("""
+WITH RECURSIVE i AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+f(user_id, p, start, n, window_id, own) AS (
+  SELECT user_id, 0::BIGINT, us, 0::BIGINT, 0::BIGINT, -1::BIGINT FROM i WHERE p = 1
+  UNION ALL SELECT user_id, p, CASE WHEN n2 >= 3 THEN us ELSE s2 END, CASE WHEN n2 >= 3 THEN 0 ELSE n2 END, CASE WHEN n2 >= 3 THEN w2 + 1 ELSE w2 END, w2
+  FROM (SELECT f.user_id, i.p, i.us, f.start + (i.us - f.start) // 21600000000 * 21600000000 AS s2, f.window_id + (i.us - f.start) // 21600000000 AS w2,
+          1 + CASE WHEN (i.us - f.start) // 21600000000 > 0 THEN 0 ELSE f.n END AS n2 FROM f JOIN i ON i.user_id = f.user_id AND i.p = f.p + 1))
+SELECT user_id, own AS window_id, count(*) AS n FROM f WHERE p > 0 GROUP BY ALL
+""")
+def window_timeout(spark, t):
+    return events(t).group_by("user_id").window_timeout(3, 6 * 3600, restart=True).per_window()
+
+
+# Time.
+
+
+@query("""
+WITH i AS (SELECT event_id, epoch_us(ts) AS us, row_number() OVER (ORDER BY event_id) - 1 AS p FROM events)
+SELECT event_id, (p + 1) * 300000000 + max(us - p * 300000000) OVER (ORDER BY event_id) AS out_us FROM i
+""")
+def delay_elements(spark, t):
+    return events(t).delay_elements(300).df.select("event_id", "out_us")
+
+
+@query("SELECT event_id, epoch_us(ts) + 90000000 AS out_us FROM events")
+def delay_sequence(spark, t):
+    return events(t).delay_sequence(90).df.select("event_id", "out_us")
+
+
+@query("SELECT event_id, max(greatest(epoch_us(ts), epoch_us(ts) + CAST(round(value) AS BIGINT) * 60000000)) OVER (ORDER BY event_id) AS out_us FROM events")
+def delay_until(spark, t):
+    seq = events(t)
+    ready = seq.with_df(seq.df.withColumn("ready", seq.micros() + F.round("value").cast("long") * 60_000_000))
+    return ready.delay_until("ready").df.select("event_id", "out_us")
+
+
+@query("SELECT max(event_id) AS event_id FROM events GROUP BY (epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM events)) // 3600000000")
+def sample(spark, t):
+    return events(t).sample(3600).df.select("event_id")
+
+
+@query("SELECT event_id FROM events QUALIFY lead(ts) OVER (ORDER BY event_id) IS NULL OR lead(ts) OVER (ORDER BY event_id) > ts + INTERVAL 10 MINUTE")
+def sample_timeout(spark, t):
+    return events(t).sample_timeout(600).df.select("event_id")
+
+
+@query("""
+WITH RECURSIVE i AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+f(user_id, p, event_id, closed, passed) AS (
+  SELECT user_id, p, event_id, us + 21600000000, true FROM i WHERE p = 1
+  UNION ALL SELECT f.user_id, i.p, i.event_id, CASE WHEN i.us >= f.closed THEN i.us + 21600000000 ELSE f.closed END, i.us >= f.closed FROM f JOIN i ON i.user_id = f.user_id AND i.p = f.p + 1)
+SELECT event_id FROM f WHERE passed
+""")
+def sample_first(spark, t):
+    return events(t).group_by("user_id").sample_first(6 * 3600).df.select("event_id")
+
+
+@query("""
+WITH g AS (SELECT event_id, ts - lag(ts) OVER (ORDER BY event_id) > INTERVAL 15 MINUTE AS late FROM events), c AS (SELECT min(event_id) AS cut FROM g WHERE late)
+SELECT event_id FROM events, c WHERE cut IS NULL OR event_id < cut UNION ALL SELECT -1 FROM c WHERE cut IS NOT NULL
+""")
+def timeout_fallback(spark, t):
+    instead = sources.just(spark, -1, schema="event_id long")
+    return Seq(t("events").select("event_id", "ts"), "event_id", "ts").timeout(900, fallback=instead).df.select("event_id")
+
+
+# Errors as data, sharing, rails.
+
+
+def numbered(t: Tables) -> Seq:
+    """Documents whose number (from the text's length) can't be used when it is a multiple of 211."""
+    return Seq(t("documents").select("doc_id", (F.length("text") % 1000).cast("long").alias("number")), "doc_id")
+
+
+BROKEN = "d AS (SELECT doc_id, CAST(length(text) % 1000 AS BIGINT) AS number FROM documents), e AS (SELECT min(doc_id) AS cut FROM d WHERE number % 211 = 0)"
+
+
+def fails():
+    return F.col("number") % 211 == 0
+
+
+@query(f"WITH {BROKEN} SELECT doc_id, number FROM d, e WHERE cut IS NULL OR doc_id < cut UNION ALL SELECT -1, -1 FROM e WHERE cut IS NOT NULL")
+def on_error_return(spark, t):
+    return numbered(t).on_error_return(fails(), {"doc_id": -1, "number": -1}).df.select("doc_id", "number")
+
+
+@query(f"WITH {BROKEN} SELECT doc_id, number FROM d, e WHERE cut IS NULL OR doc_id < cut UNION ALL SELECT d.doc_id + 1000000, number FROM d, e WHERE cut IS NOT NULL AND d.doc_id < 20")
+def on_error_resume(spark, t):
+    seq = numbered(t)
+    instead = seq.with_df(seq.df.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 1_000_000))
+    return seq.on_error_resume(fails(), instead).df.select("doc_id", "number")
+
+
+@query(f"WITH {BROKEN} SELECT doc_id, number FROM d, e WHERE cut IS NULL OR doc_id < cut")
+def on_error_complete(spark, t):
+    return numbered(t).on_error_complete(fails())
+
+
+@query(f"WITH {BROKEN} SELECT doc_id, number FROM d WHERE number % 211 <> 0")
+def on_error_continue(spark, t):
+    return numbered(t).on_error_continue(fails())[0]
+
+
+@query("SELECT event_id FROM events ORDER BY event_id DESC LIMIT 5")
+def replay_last(spark, t):
+    return events(t).replay(last=5).connect().reader().df.select("event_id")
+
+
+@query("SELECT event_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 1 DAY")
+def replay_ttl(spark, t):
+    return events(t).replay(ttl=86_400).reader().df.select("event_id")
+
+
+@query("SELECT count(*) AS n, (SELECT count(DISTINCT user_id) FROM events) AS users FROM events WHERE value > 10")
+def publish_selector(spark, t):
+    def twice(shared):
+        return shared.filter(F.col("value") > 10).count().df.crossJoin(shared.df.agg(F.countDistinct("user_id").alias("users")))
+
+    return events(t).publish(twice)
+
+
+@query("SELECT round(sum(l_quantity), 2) AS value FROM lineitem")
+def parallel_reduce(spark, t):
+    total = Seq(t("lineitem"), "l_orderkey").parallel(4).map(l_quantity=F.col("l_quantity")).reduce("sum", F.col("l_quantity"))
+    return total.df.select(F.round("value", 2).alias("value"))
+
+
+@query("SELECT n_regionkey, count(*) AS n FROM nation GROUP BY n_regionkey")
+def parallel_group_count(spark, t):
+    rails = Seq(t("nation").select("n_nationkey", "n_regionkey"), "n_nationkey").parallel(3).run_on().filter(F.lit(True))
+    return rails.sequential().group_by("n_regionkey").count()
+
+
+@query("SELECT 'n' || n_nationkey AS a, r_name AS b FROM (FROM nation ORDER BY n_nationkey LIMIT 1), (FROM region ORDER BY r_regionkey LIMIT 1)")
+def mono_zip(spark, t):
+    one = Seq(t("nation"), "n_nationkey").next()
+    other = Seq(t("region"), "r_regionkey").next()
+    both = sources.zip_values(one, other)
+    return both.df.select(F.concat(F.lit("n"), F.col("z0.n_nationkey").cast("string")).alias("a"), F.col("z1.r_name").alias("b"))
+
+
+@query("SELECT epoch_us(date_trunc('hour', ts)) AS window_us, count(*) AS n FROM events GROUP BY ALL")
+def stream_tumbling(spark, t):
+    """Rows of each hour through a stream that is read to its end."""
+    from braidwork.streaming import run_available, tumbling_counts
+
+    return run_available(spark, t.path("events"), lambda s: tumbling_counts(s, "ts", "1 hour", "0 seconds"), "complete")
+
+
+MICROS = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)"
+
+
+@query(ORACLES["sample_first"])
+def stream_sample_first(spark, t):
+    from braidwork.streaming import run_available, sample_first
+
+    found = run_available(spark, t.path("events"), lambda s: sample_first(s.select("event_id", "user_id", F.expr(MICROS).alias("us")), ["user_id"], "us", 6 * 3_600_000_000))
+    return found.select("event_id")
+
+
+@query(BUFFER_TIMEOUT)
+def stream_buffer_timeout(spark, t):
+    from braidwork.streaming import buffer_timeout as buffered
+    from braidwork.streaming import run_available
+
+    found = run_available(spark, t.path("events"), lambda s: buffered(s.select("event_id", "user_id", F.expr(MICROS).alias("us")), ["user_id"], "us", 3, 6 * 3_600_000_000))
+    return found.groupBy("user_id", "window_id").agg(F.count("*").alias("n"))
+
+
+@query("SELECT event_id, user_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY event_id), 3) AS scan FROM events")
+def stream_scan(spark, t):
+    from braidwork.streaming import run_available, scan_sum
+
+    found = run_available(spark, t.path("events"), lambda s: scan_sum(s.select("event_id", "user_id", "value"), ["user_id"], "value", "event_id"))
+    return found.select("event_id", "user_id", F.round("scan", 3).alias("scan"))

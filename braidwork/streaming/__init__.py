@@ -1,0 +1,132 @@
+"""Structured Streaming counterparts of the timed operators: event time, watermarks, state in the engine's stores."""
+
+from __future__ import annotations
+
+import uuid
+from collections.abc import Callable, Iterator
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+from braidwork.plans.storage import shared_root
+
+
+def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
+    """A stream with a watermark. Times without zone are read as UTC, which watermarks need."""
+    if dict(stream.dtypes)[ts] == "timestamp_ntz":
+        stream = stream.withColumn(ts, F.expr(f"timestamp_micros(timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', `{ts}`))"))
+    return stream.withWatermark(ts, late)
+
+
+def tumbling_counts(stream: DataFrame, ts: str, length: str, late: str, slide: str | None = None, keys: list[str] = (), columns: list[Column] = ()) -> DataFrame:
+    """Windows by time, tumbling or sliding: the streaming buffer and window."""
+    window = F.window(ts, length, slide) if slide else F.window(ts, length)
+    grouped = timed(stream, ts, late).groupBy(window.alias("w"), *keys).agg(*(columns or [F.count("*").alias("n")]))
+    return grouped.withColumn("window_us", F.unix_micros("w.start")).drop("w")
+
+
+def sample(stream: DataFrame, ts: str, period: str, late: str, keys: list[str] = ()) -> DataFrame:
+    """The last row of each period."""
+    row = F.struct(*[c for c in stream.columns])
+    return tumbling_counts(stream, ts, period, late, keys=keys, columns=[F.max_by(row, F.col(ts)).alias("row")])
+
+
+def sessions(stream: DataFrame, ts: str, gap: str, late: str, keys: list[str]) -> DataFrame:
+    """Runs of rows with gaps shorter than this: where a quiet period ends (the streaming sample_timeout)."""
+    grouped = timed(stream, ts, late).groupBy(F.session_window(ts, gap).alias("w"), *keys).agg(F.count("*").alias("n"), F.max(ts).alias("last_ts"))
+    return grouped.drop("w")
+
+
+def distinct(stream: DataFrame, ts: str, late: str, keys: list[str]) -> DataFrame:
+    """The first row of each key within the watermark."""
+    return timed(stream, ts, late).dropDuplicatesWithinWatermark(keys)
+
+
+def join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, alive: str, late: str, on: Column) -> DataFrame:
+    """Pairs where the right row comes within a left row's life; old state is dropped by the watermarks."""
+    a, b = timed(left, left_ts, late), timed(right, right_ts, late)
+    return a.join(b, on & (F.col(right_ts) >= F.col(left_ts)) & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"INTERVAL {alive}")))
+
+
+def fold(stream: DataFrame, keys: list[str], schema: str, state: str, initial: tuple, step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], order: str) -> DataFrame:
+    """A stateful fold for each key: step(state, rows in order) -> (state, rows out), batch by batch."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values(order)
+        before = held.get if held.exists else initial
+        after, out = step(tuple(before), rows)
+        held.update(after)
+        yield out
+
+    return stream.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+
+
+def columns_of(stream: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
+
+
+def scan_sum(stream: DataFrame, keys: list[str], value: str, order: str, name: str = "scan") -> DataFrame:
+    """The running sum of each key."""
+
+    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        sums = rows[value].cumsum() + state[0]
+        return (float(sums.iloc[-1]),), rows.assign(**{name: sums})
+
+    return fold(stream, keys, f"{columns_of(stream)}, {name} double", "total double", (0.0,), step, order)
+
+
+def sample_first(stream: DataFrame, keys: list[str], micros: str, period_us: int) -> DataFrame:
+    """A row, then none for so long, and so on; `micros` is a column of microseconds that also orders the rows."""
+
+    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        gate, kept = state[0], []
+        for at in rows[micros]:
+            kept.append(at >= gate)
+            if kept[-1]:
+                gate = int(at) + period_us
+        return (gate,), rows[kept]
+
+    return fold(stream, keys, columns_of(stream), "gate long", (-(2**62),), step, micros)
+
+
+def buffer_timeout(stream: DataFrame, keys: list[str], micros: str, size: int, length_us: int) -> DataFrame:
+    """Each row with its window_id: windows of up to `size` rows and so long from their first row on."""
+
+    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        window, start, n = state
+        ids = []
+        for at in rows[micros]:
+            if n == 0 or n >= size or at >= start + length_us:
+                window, start, n = window + 1, int(at), 0
+            n += 1
+            ids.append(window)
+        return (window, start, n), rows.assign(window_id=ids)
+
+    return fold(stream, keys, f"{columns_of(stream)}, window_id long", "window long, start long, n long", (-1, 0, 0), step, micros)
+
+
+def latest_per_batch(stream: DataFrame, keys: list[str], ts: str, sink: Callable[[DataFrame], None]):
+    """Only the newest row of each key in a micro-batch goes on to the sink: what a slow consumer sees of a fast source."""
+
+    def batch(df: DataFrame, _: int) -> None:
+        row = F.max_by(F.struct(*df.columns), F.col(ts)).alias("row")
+        sink(df.groupBy(*keys).agg(row).select("row.*"))
+
+    return stream.writeStream.foreachBatch(batch)
+
+
+def run_available(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+    """What a stream over all Parquet files of a path gives once it has read them: for replays and tests."""
+    schema = spark.read.parquet(path).schema
+    pattern = f"{path[:-1]}[{path[-1]}]"  # a stream reads no single file, but a pattern that matches one
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "8").parquet(pattern)
+    base = f"{shared_root(spark)}/braidwork/stream-{uuid.uuid4().hex}"
+    made = build(stream)
+    if mode == "complete":
+        name = f"stream_{uuid.uuid4().hex}"
+        made.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        return spark.table(name)
+    made.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(made.schema).parquet(f"{base}/out")
