@@ -19,8 +19,8 @@ LESS, MORE = 75, 100
 BLOCK_SHINGLES, BLOCK_COUNT, FREQUENT = 3_000_000, 2, 200_000
 #: Runs of up to this many groups are compared pair by pair at once; in longer ones each meets so many neighbours first.
 SMALL_RUN, NEIGHBOURS = 4, 2
-#: Rounds in which members of torn runs meet other neighbours, in random orders, before all pairs left are compared.
-ROUNDS, ROUND_NEIGHBOURS = 2, 4
+#: Rounds in which members of torn runs meet neighbours in random orders, in so many runs each, before all pairs left are compared.
+ROUNDS, ROUND_NEIGHBOURS, ROUND_RUNS = 2, 4, 4
 #: Rows of sorted runs that a task holds.
 RUN_ROWS = 400_000
 #: Prefix rows for each task of the join.
@@ -255,33 +255,57 @@ def _runs(columns, emit):
         low = high
 
 
-def sets_of(docs: DataFrame, ids: DataFrame, narrow: bool) -> DataFrame:
-    """Rows (set, n, shingles) of the documents with these ids; narrow: 32 bits of each shingle instead of 64."""
+def sets_of(docs: DataFrame, ids: DataFrame, order=None) -> DataFrame:
+    """Rows (set, n, shingles, prefix) of the documents with these ids: 32 bits of each shingle, or 64 and no prefix without an order."""
+    narrow = order is not None
     kind = "int" if narrow else "long"
 
     def whole(batches):
         for batch in batches:
             for piece in parts(batch, 0):
                 values, ends = shingles(*bytes_of(piece.column(0)))
-                sets = digest(values, ends, 0x1234567)
-                flat = (values >> np.uint64(32)).astype(np.uint32).view(np.int32) if narrow else values.view(np.int64)
-                rows = [pa.array(sets.view(np.int64)), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))]
-                yield pa.RecordBatch.from_arrays(rows, names=["set", "n", "shingles"])
+                sets, n = digest(values, ends, 0x1234567), np.diff(ends)
+                cut = lambda v: (v >> np.uint64(32)).astype(np.uint32).view(np.int32) if narrow else v.view(np.int64)
+                length = prefix_length(n) * narrow
+                cuts = np.concatenate([[0], np.cumsum(length)])
+                at = np.repeat(ends[:-1], length) + np.arange(cuts[-1]) - np.repeat(cuts[:-1], length)
+                first = prefixed(values, ends, *order.value)[at] if narrow else values[:0]
+                lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(cut(v))) for e, v in ((ends, values), (cuts, first))]
+                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(n), *lists], names=["set", "n", "shingles", "prefix"])
 
     chosen = only(docs.select("doc_id", text_or_empty().alias("text")), ids, "doc_id", "doc_id")
-    return chosen.select("text").mapInArrow(lean(whole), f"set long, n long, shingles array<{kind}>")
+    return chosen.select("text").mapInArrow(lean(whole), f"set long, n long, shingles array<{kind}>, prefix array<{kind}>")
 
 
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, over, room): shingles that the intersection has beyond what a link needs, and how far 32 bits may be wrong."""
+def meeting(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs with the column of both their sets, as x and y, and their sizes. Only sets that a pair names are moved."""
     ends = store(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "jaccard-ends")
-    mine = only(sets, ends, "set", "set")
-    left = mine.select(F.col("set").alias("a"), F.col("n").alias("n1"), F.col("shingles").alias("x"))
-    right = mine.select(F.col("set").alias("b"), F.col("n").alias("n2"), F.col("shingles").alias("y"))
-    need = F.expr(f"((n1 + n2) * {LESS} + {LESS + MORE - 1}) div {LESS + MORE}")
-    over = F.size(F.array_intersect("x", "y")) - need
-    room = F.lit(3) + F.expr("n1 * n2 div 536870912")
-    return pairs.join(left, "a").join(right, "b").select("a", "b", over.alias("over"), room.alias("room"))
+    mine = only(sets.select("set", "n", column), ends, "set", "set")
+    left = mine.select(F.col("set").alias("a"), F.col("n").alias("n1"), F.col(column).alias("x"))
+    right = mine.select(F.col("set").alias("b"), F.col("n").alias("n2"), F.col(column).alias("y"))
+    return pairs.join(left, "a").join(right, "b")
+
+
+NEED = f"((n1 + n2) * {LESS} + {LESS + MORE - 1}) div {LESS + MORE}"
+#: How far 32 bits may be wrong: many times the chance collisions to expect.
+ROOM = "3 + n1 * n2 div 536870912"
+
+
+def promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Stored pairs that share enough of their prefixes.
+
+    Two sets that link have their first common shingles in both prefixes: all but those that the shingles
+    without partner, n - need at most, can push beyond a prefix's end.
+    """
+    least = F.least(*[F.expr(f"{n} - ({n} * {LESS} + {MORE - 1}) div {MORE} + 1 - {n} + {NEED}") for n in ("n1", "n2")])
+    shared = F.size(F.array_intersect("x", "y"))
+    return store(meeting(pairs, sets, "prefix").where(shared >= least - F.expr(ROOM)).select("a", "b"), "jaccard-promising")
+
+
+def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, over, room): shingles that the intersection has beyond what a link needs, and how far it may be wrong."""
+    over = F.size(F.array_intersect("x", "y")) - F.expr(NEED)
+    return meeting(pairs, sets, "shingles").select("a", "b", over.alias("over"), F.expr(ROOM).alias("room"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, groups: DataFrame) -> DataFrame:
@@ -290,14 +314,14 @@ def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, groups: DataFra
     32 bits of each shingle decide a pair unless the size of the intersection is within `room` of what a link
     needs, which leaves room for many times the chance collisions to expect; 64 bits decide those pairs.
     """
-    first = store(compared(pairs, sets), "jaccard-compared")
+    first = store(compared(promising(pairs, sets), sets), "jaccard-compared")
     sure = first.where("over >= room").select("a", "b")
     near = first.where("abs(over) < room").select("a", "b")
     ends = near.select(F.col("a").alias("set")).union(near.select("b")).distinct()
     ids = store(groups.join(ends, "set", "left_semi").select("doc_id").distinct(), "jaccard-near")
     if ids.limit(1).count() == 0:
         return sure
-    exact = compared(near, store(sets_of(docs, ids, False), "jaccard-wide")).where("over >= 0").select("a", "b")
+    exact = compared(near, store(sets_of(docs, ids), "jaccard-wide")).where("over >= 0").select("a", "b")
     return store(sure.unionByName(exact), "jaccard-links")
 
 
@@ -373,7 +397,7 @@ def linked(docs: DataFrame) -> DataFrame:
     several = groups.where("set != lead").select("group").distinct()
     partner = pairs.select("a", "b").join(several.withColumnRenamed("group", "a"), "a", "left_semi").unionByName(pairs.select("a", "b").join(several.withColumnRenamed("group", "b"), "b", "left_semi")).distinct()
     ids = store(groups.join(wanted.distinct(), "set", "left_semi").select("doc_id").distinct(), "jaccard-wanted")
-    sets = store(sets_of(docs, ids, True), "jaccard-sets")
+    sets = store(sets_of(docs, ids, shared), "jaccard-sets")
 
     links = verified(first, sets, docs, groups)
     labels = components(links)
@@ -387,6 +411,8 @@ def linked(docs: DataFrame) -> DataFrame:
 
     for turn in range(ROUNDS):
         labelled, rows = crossing()
+        few = F.row_number().over(Window.partitionBy("set").orderBy(F.xxhash64("h", F.lit(turn))))
+        rows = rows.withColumn("_run", few).where(f"_run <= {ROUND_RUNS}").select("h", "label", "set", "place")
         near = rows.repartition("h").sortWithinPartitions("h", F.xxhash64("set", F.lit(turn))).mapInArrow(lean(near_pairs), "a long, b long")
         near = store(near.distinct(), "jaccard-near")
         if near.limit(1).count() == 0:
