@@ -23,6 +23,8 @@ BLOCK_ROWS = 1_000_000
 BUCKET_ROWS = 600_000
 #: Contexts of one token up to which they are compared by the task that gets the token; strings of more common tokens are spread by their own hash.
 TOGETHER = 128
+#: Contexts whose strings are held at a time.
+CONTEXTS = 8_000
 #: Suffixes sampled for each bucket's splitter.
 SAMPLED = 100
 
@@ -189,30 +191,42 @@ def sort_strings(length: int):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
-        rows = pa.Table.from_batches(held).combine_chunks()
+        rows = pa.Table.from_batches(held)
         token, doc, packed = (np.asarray(rows.column(c)) for c in ("token", "doc", "packed"))
         known = np.asarray(rows.column("bucket")) < 0
-        context = rows.column("context").combine_chunks() if rows.num_rows else None
+        context = rows.column("context").combine_chunks()
         alone = np.asarray(context.is_null())
-        whole = context.filter(pa.array(~alone))
-        data, starts = bytes_of(whole)
-        place = packed[~alone]
-        owner, start, found = strings_of(data, starts, Rolling(data), np.arange(len(place)), place & ((1 << 30) - 1), length)
+        yield from spans(doc[known], packed[known] >> 30)
         single = alone & ~known
-        hashes = np.concatenate([token[single].view(np.uint64), found])
-        docs = np.concatenate([doc[single], doc[~alone][owner]])
-        begin = np.concatenate([packed[single] >> 30, (place >> 30)[owner] + start])
+        yield from earliest_stays(token[single].view(np.uint64), doc[single], packed[single] >> 30)
+        # Contexts of one token at a time (many tokens together): only these have strings in common.
+        order = np.flatnonzero(~alone)
+        order = order[np.argsort(token[order], kind="stable")]
+        sorted_token = token[order]
+        low = 0
+        while low < len(order):
+            high = min(low + CONTEXTS, len(order))
+            high = int(np.searchsorted(sorted_token, sorted_token[high - 1], side="right"))
+            some = order[low:high]
+            data, starts = bytes_of(context.take(pa.array(some)))
+            place = packed[some]
+            owner, start, found = strings_of(data, starts, Rolling(data), np.arange(len(place)), place & ((1 << 30) - 1), length)
+            yield from earliest_stays(found, doc[some][owner], (place >> 30)[owner] + start)
+            low = high
+
+    def earliest_stays(hashes, docs, begin):
         _, _, docs, begin, again = combined(hashes, np.zeros(len(hashes), dtype=np.uint64), docs, begin)
-        docs, begin = np.concatenate([docs[again], doc[known]]), np.concatenate([begin[again], packed[known] >> 30])
+        yield from spans(docs[again], begin[again])
+
+    def spans(docs, begin):
         order = np.lexsort((begin, docs))
         docs, begin = docs[order], begin[order]
         new = np.ones(len(docs), dtype=bool)
         new[1:] = (docs[1:] != docs[:-1]) | (begin[1:] > begin[:-1] + 1)
         at = np.flatnonzero(new)
         last = np.append(at[1:], len(docs)) - 1
-        for i in range(0, len(at), 1 << 18):
-            j = slice(i, i + (1 << 18))
-            yield pa.RecordBatch.from_arrays([pa.array(docs[at[j]]), pa.array(begin[at[j]]), pa.array(begin[last[j]] + length)], names=["doc", "low", "high"])
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(begin[at]), pa.array(begin[last] + length)], names=["doc", "low", "high"])
 
     return repeats
 
@@ -271,7 +285,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     splitters = np.unique(np.quantile(np.sort(tokens).astype(np.float64), np.arange(1, buckets) / buckets).astype(np.uint64)) if len(tokens) else np.empty(0, dtype=np.uint64)
 
     rows = pairs.mapInArrow(lean(lambda batches: in_blocks(of_texts(batches), splitters)), ROWS)
-    found = store(rows.repartition(buckets, "bucket").mapInArrow(lean(sort_bucket(length)), FOUND), "repeats-found")
+    found = store(rows.repartitionById(buckets, F.pmod("bucket", F.lit(buckets)).cast("int")).mapInArrow(lean(sort_bucket(length)), FOUND), "repeats-found")
 
     place = F.struct(F.col("low"), (F.col("high") == -2).alias("many"))
     unsure = found.where("high < 0").groupBy("doc").agg(F.collect_list(place).alias("places"))
@@ -302,7 +316,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
                     rows = bucket_rows(found, np.zeros(len(found), dtype=np.uint64), ids[owner], start << 30, even)
                     yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("bucket", "token", "doc", "packed")), pa.nulls(rows.num_rows, pa.binary())], names=["bucket", "token", "doc", "packed", "context"])
 
-    again = strings.mapInArrow(lean(of_strings), STRINGS).repartition(buckets, "bucket").mapInArrow(lean(sort_strings(length)), FOUND)
+    again = strings.mapInArrow(lean(of_strings), STRINGS).repartitionById(buckets, F.pmod("bucket", F.lit(buckets)).cast("int")).mapInArrow(lean(sort_strings(length)), FOUND)
     spans = found.where("high >= 0").unionByName(again).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
