@@ -138,10 +138,10 @@ class Select:
             fallback = self.spark.createDataFrame([default], self.df.schema.simpleString().removeprefix("struct<").removesuffix(">"))
             missing = got.agg(F.count("*").alias("_n")).where("_n = 0")
             return self.with_df(got.unionByName(fallback.crossJoin(missing).drop("_n"), allowMissingColumns=True))
-        checked = counted.crossJoin(got.agg(F.count("*").alias("_n")))
-        ok = checked.select(F.when(F.col("_n") == 0, F.raise_error(message).cast("boolean")).otherwise(F.lit(True)).alias("_ok"))
-        joined = ok.join(got.withColumn("_one", F.lit(True)), F.col("_ok") == F.col("_one"), "left")
-        return self.with_df(joined.drop("_ok", "_one"))
+        # One row that holds the count, next to the row that was got (if any); reading it checks the count.
+        checked = counted.join(got.withColumn("_one", F.lit(True)), F.lit(True), "left")
+        failed = F.when(F.col("_one").isNull(), F.raise_error(message).cast("boolean")).otherwise(F.lit(True))
+        return self.with_df(checked.where(failed).drop("_rows", "_one"))
 
     def single(self: Seq, default: dict | None = None) -> Seq:
         """The only row: none is an error (or gives the default), more than one is an error."""
