@@ -384,7 +384,7 @@ def linked(docs: DataFrame) -> DataFrame:
     members = joined.where("kind = 2").select("doc_id", F.col("a").alias("set"), F.col("b").alias("group"), (-1 - F.col("c")).alias("n"))
     pairs = joined.where("kind = 0").select("a", "b").distinct()
     runs = joined.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("group"), F.col("c").alias("place")).distinct()
-    groups = members.where("n > 0").groupBy("set", "group").agg(F.min("doc_id").alias("doc_id"))
+    groups = members.where("n > 0").groupBy("set", "group", "n").agg(F.min("doc_id").alias("doc_id"))
     groups = groups.withColumn("lead", F.min("set").over(Window.partitionBy("group")))
     groups = store(groups, "jaccard-groups")
     lead = groups.where("set = lead").select("group", "set")
@@ -402,17 +402,21 @@ def linked(docs: DataFrame) -> DataFrame:
     links = verified(first, sets, docs, groups)
     labels = components(links)
 
+    # The members of a group meet like those of a run: the group itself stands for the shingle that they share.
+    within = groups.join(several, "group", "left_semi").select(F.col("group").alias("h"), "group", (F.col("n") * (1 << 32)).alias("place"), "set")
+
     def crossing():
-        """Rows (h, label, set, place) of the runs whose members still have several labels."""
+        """Rows (h, label, set, place) of the runs and groups whose members still have several labels."""
         labelled = groups.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "group", F.coalesce("label", "set").alias("label"))
         labelled = store(labelled, "jaccard-labelled")
-        torn = runs.join(labelled, "group").groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h")
-        return labelled, runs.join(torn, "h").join(labelled, "group").select("h", "label", "set", "place")
+        met = runs.join(labelled, "group").select("h", "label", "set", "place").unionByName(within.join(labelled, ["set", "group"]).select("h", "label", "set", "place"))
+        torn = met.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h")
+        return labelled, met.join(torn, "h")
 
     for turn in range(ROUNDS):
         labelled, rows = crossing()
         few = F.row_number().over(Window.partitionBy("set").orderBy(F.xxhash64("h", F.lit(turn))))
-        rows = rows.withColumn("_run", few).where(f"_run <= {ROUND_RUNS}").select("h", "label", "set", "place")
+        rows = rows.withColumn("_run", few).where(f"_run <= {ROUND_RUNS}").drop("_run")
         near = rows.repartition("h").sortWithinPartitions("h", F.xxhash64("set", F.lit(turn))).mapInArrow(lean(near_pairs), "a long, b long")
         near = store(near.distinct(), "jaccard-near")
         if near.limit(1).count() == 0:
@@ -425,8 +429,7 @@ def linked(docs: DataFrame) -> DataFrame:
     one = labelled.select(F.col("group").alias("a"), F.col("set").alias("x"), F.col("label").alias("p"))
     two = labelled.select(F.col("group").alias("b"), F.col("set").alias("y"), F.col("label").alias("q"))
     expanded = partner.join(one, "a").join(two, "b").where("p != q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    mates = one.join(two.withColumnRenamed("b", "a"), "a").where("x < y AND p != q").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    second = store(left_over.unionByName(expanded).unionByName(mates).distinct(), "jaccard-second")
+    second = store(left_over.unionByName(expanded).distinct(), "jaccard-second")
     if second.limit(1).count():
         more = verified(second, sets, docs, groups)
         if more.limit(1).count():
