@@ -96,6 +96,10 @@ class Combine:
 
     zip_with = zip
 
+    def zip_when(self: Seq, name: str, **columns: Column) -> Seq:
+        """Each row with values made from it, as a struct."""
+        return self.with_df(self.df.withColumn(name, F.struct(*[c.alias(n) for n, c in columns.items()])))
+
     def zip_with_iterable(self: Seq, values: list, name: str = "other") -> Seq:
         items = self.spark.createDataFrame([(i, v) for i, v in enumerate(values)], ["_pos", name])
         side = self.ordered().position("_pos").frame()
@@ -179,9 +183,3 @@ class Combine:
         odd = a.join(b, "_pos", "full").where(~F.col("a").eqNullSafe(F.col("b")))
         return self.with_df(odd.agg((F.count("*") == 0).alias("equal")), ["equal"])
 
-
-def condition(*parts: Column) -> Column:
-    out = F.lit(True)
-    for p in parts:
-        out &= p
-    return out

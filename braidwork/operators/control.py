@@ -277,3 +277,7 @@ def when(*seqs: Any, delay_error: bool = False) -> None:
             errors.append(error)
     if errors:
         raise ExceptionGroup("several sequences failed", errors)
+
+
+def when_delay_error(*seqs: Any) -> None:
+    when(*seqs, delay_error=True)

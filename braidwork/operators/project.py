@@ -130,7 +130,7 @@ class Project:
         explode = F.posexplode_outer if outer else F.posexplode
         return self.with_df(self.df.select("*", explode(array).alias("pos", name)), [*self.order, "pos"])
 
-    flat_map_iterable = concat_map = concat_map_iterable = flat_map_sequential = flat_map
+    flat_map_iterable = concat_map = concat_map_iterable = flat_map_sequential = flat_map_many = flat_map
 
     def flat_map_delay_error(self: Seq, array: Column, error: Column, name: str = "value") -> Seq:
         """flat_map that goes on after failing rows: rows where `error` is not null give one row with the error and no value."""

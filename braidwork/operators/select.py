@@ -36,6 +36,8 @@ class Select:
     def ignore_elements(self: Seq) -> Seq:
         return self.with_df(self.df.where(F.lit(False)))
 
+    ignore_element = ignore_elements
+
     # Cuts at one place.
 
     def _cut(self: Seq, where: Column, keep) -> Seq:
@@ -147,6 +149,11 @@ class Select:
         """The only row: none is an error (or gives the default), more than one is an error."""
         return self._only(self._or_else(self.df.limit(2), default, F.lit("the sequence is empty")))
 
+    def single_optional(self: Seq, name: str = "value") -> Seq:
+        """Always one row: a struct of the only row, or null."""
+        rows = self.single_or_empty()
+        return self.with_df(rows.df.agg(F.first(F.struct(*self.df.columns)).alias(name)), [name], ts=None, keys=())
+
     def single_or_empty(self: Seq) -> Seq:
         return self._only(self.with_df(self.df.limit(2)))
 

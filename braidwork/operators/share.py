@@ -171,9 +171,21 @@ class Rails:
     def as_(self, convert: Callable):
         return convert(self)
 
+    def checkpoint(self, label: str = "checkpoint") -> Rails:
+        return self._with(self.seq.checkpoint(label))
+
+    def validate(self, consumers: list) -> bool:
+        """Whether there is one consumer for each rail."""
+        return len(consumers) == self.n
+
     def hide(self) -> Rails:
         return self
 
+    on_assembly = hide
+
+    def __str__(self) -> str:
+        return f"Rails({self.n}, {self.seq})"
+
 
 class Share:
     def publish(self: Seq, selector: Callable[[Seq], Seq] | None = None) -> Connectable | Seq:

@@ -21,6 +21,8 @@ class TimeOps:
         frame.running("_lead", self.micros() - F.col("_pos").cast("long") * d, "max")
         return self.with_df(frame.frame().withColumn(name, F.col("_lead") + (F.col("_pos").cast("long") + 1) * d).drop("_pos", "_lead"))
 
+    delay_element = delay_elements
+
     def delay_sequence(self: Seq, duration: float, name: str = "out_us") -> Seq:
         return self.with_df(self.df.withColumn(name, self.micros() + round(duration * 1e6)))
 

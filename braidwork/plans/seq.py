@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork.functions.context import Context
+from braidwork.functions.hooks import decorated
 from braidwork.operators.aggregate import Aggregate
 from braidwork.operators.combine import Combine
 from braidwork.operators.control import Control
@@ -40,7 +41,7 @@ class Seq(Project, Select, Combine, Aggregate, Windows, TimeOps, Errors, Share,
         if kept["ts"] not in df.columns:
             kept["ts"] = None
         kept["keys"] = [k for k in kept["keys"] if k in df.columns]
-        return Seq(df, self.order if order is None else order, **kept)
+        return Seq(decorated(df), self.order if order is None else order, **kept)
 
     def ordered(self) -> Ordered:
         return Ordered(self.df, self.order, self.keys)
@@ -59,6 +60,18 @@ class Seq(Project, Select, Combine, Aggregate, Windows, TimeOps, Errors, Share,
     def columns(self) -> list[str]:
         return self.df.columns
 
+    def flux(self) -> Seq:
+        return self
+
+    on_assembly = flux
+
+    def get_prefetch(self) -> int:
+        """Rows that Spark hands over at a time, from executors to the driver's iterators: a partition."""
+        return -1
+
+    def __str__(self) -> str:
+        return f"Seq(order={self.order}, ts={self.ts}, keys={self.keys}, columns={self.df.columns})"
+
     def as_(self, convert: Callable[[Seq], Any]) -> Any:
         return convert(self)
 

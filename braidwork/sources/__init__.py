@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterable, Sequence
 from contextlib import contextmanager
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 
@@ -147,10 +147,32 @@ def from_callable(spark: SparkSession, make: Callable[[], Any], schema: str | No
 from_supplier = just_or_empty = from_callable
 
 
+def from_direct(seq: Seq) -> Seq:
+    """Trusted to have one row at most."""
+    return seq
+
+
+def from_runnable(spark: SparkSession, run: Callable[[], None]) -> Seq:
+    """Do something on the driver, then nothing follows."""
+    run()
+    return empty(spark, "value string")
+
+
+def delay(spark: SparkSession, seconds: float) -> Seq:
+    """The number 0, after a pause of the driver."""
+    import time
+
+    time.sleep(seconds)
+    return just(spark, 0, schema="value long")
+
+
 def from_future(spark: SparkSession, future: Any, schema: str | None = None, timeout: float | None = None) -> Seq:
     return from_callable(spark, lambda: future.result(timeout), schema)
 
 
+from_completion_stage = from_future
+
+
 @contextmanager
 def using(acquire: Callable[[], Any], build: Callable[[Any], Seq], release: Callable[[Any], None], on_error: Callable[[Any, BaseException], None] | None = None):
     """A sequence over a resource that is given back after the block, however it ends."""
@@ -177,6 +199,9 @@ def zip_values(*seqs: Seq) -> Seq:
     return seqs[0].with_df(out, ["z0"])
 
 
+zip_delay_error = zip_values
+
+
 class Sink:
     """Rows pushed by the driver, kept until read: many (all, or the last n), one, or empty."""
 
@@ -235,6 +260,3 @@ def sink_one(spark: SparkSession, schema: str) -> Sink:
 def sink_many(spark: SparkSession, schema: str, limit: int | None = None) -> Sink:
     return Sink(spark, schema, limit)
 
-
-def column(value: Any) -> Column:
-    return value if isinstance(value, Column) else F.lit(value)

@@ -271,3 +271,33 @@ def test_block_gives_up(spark):
     seq = Seq(spark.range(1).mapInPandas(slow, "id long"), "id")
     with pytest.raises(TimedOut):
         seq.block_first(timeout=2)
+
+
+def test_test_kit_hooks_and_schedulers(spark, ten):
+    from braidwork.functions import hooks, schedulers
+    from braidwork.plans.verify import verify
+
+    verify(ten, "value").expect_next(1, 2).expect_next_count(3).expect_next_matches(lambda v: v == 6).then_consume_while(lambda v: v < 10).expect_next(10).verify_complete()
+    verify(ten.error_if(F.col("value") == 3, "three")).verify_error("three")
+    with pytest.raises(AssertionError):
+        verify(ten, "value").expect_next(2).verify_complete()
+    hooks.on_each_operator("mark", lambda df: df.hint("mark"))
+    assert values(ten.filter(F.col("value") > 8)) == [9, 10]
+    hooks.reset_on_each_operator()
+    assert schedulers.immediate().schedule(lambda: 5).result() == 5
+    pool = schedulers.single()
+    assert pool.schedule(lambda: 6, 0.01).result(5) == 6
+    ticks = []
+    stop = pool.schedule_periodically(lambda: ticks.append(1), 0.0, 0.01)
+    import time
+
+    time.sleep(0.2)
+    stop()
+    pool.dispose()
+    assert len(ticks) > 2
+
+
+def test_optional_and_zip_when(ten):
+    assert ten.filter(F.lit(False)).single_optional().block().value is None
+    assert ten.filter(F.col("value") == 3).single_optional().block().value.value == 3
+    assert [r.pair.twice for r in ten.take(2).zip_when("pair", twice=F.col("value") * 2).collect_rows()] == [2, 4]
