@@ -301,3 +301,30 @@ def test_optional_and_zip_when(ten):
     assert ten.filter(F.lit(False)).single_optional().block().value is None
     assert ten.filter(F.col("value") == 3).single_optional().block().value.value == 3
     assert [r.pair.twice for r in ten.take(2).zip_when("pair", twice=F.col("value") * 2).collect_rows()] == [2, 4]
+
+
+@pytest.mark.parametrize("format", ["parquet", "json", "csv", "orc"])
+def test_files(spark, ten, tmp_path, format):
+    path = str(tmp_path / format)
+    ten.write(path, format, header="true")
+    options = {"header": "true", "inferSchema": "true"} if format == "csv" else {}
+    back = sources.from_(path, "seq", spark=spark, format=format, **options)
+    assert values(back) == list(range(1, 11))
+    ten.df.createOrReplaceTempView("ten_rows")
+    assert values(sources.from_("ten_rows", "seq", spark=spark).take(2)) == [1, 2]
+
+
+def test_streams_equal_batches(spark, tmp_path):
+    from braidwork import streaming
+
+    seq = timed(spark, 0, 1, 2, 10, 11, 30, 31, 32, 33)
+    df = seq.df.withColumn("user", F.col("seq") % 2).withColumn("us", seq.micros())
+    path = str(tmp_path / "t.parquet")
+    df.repartition(3).write.parquet(path)
+    keyed = Seq(df, "seq", "ts", ["user"])
+    got = streaming.run_available(spark, path, lambda s: streaming.sample_first(s, ["user"], "us", 5_000_000))
+    assert sorted(r.seq for r in got.collect()) == sorted(r.seq for r in keyed.sample_first(5).collect_rows())
+    counts = streaming.run_available(spark, path, lambda s: streaming.tumbling_counts(s, "ts", "10 seconds", "0 seconds"), "complete")
+    assert sorted(r.n for r in counts.collect()) == [2, 3, 4]
+    first = streaming.run_available(spark, path, lambda s: streaming.distinct(s, "ts", "1 hour", ["user"]))
+    assert sorted(r.user for r in first.collect()) == [0, 1]
