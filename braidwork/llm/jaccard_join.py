@@ -369,7 +369,7 @@ def linked(docs: DataFrame) -> DataFrame:
                     if n[i] and g not in seen:
                         seen.add(g)
                         fresh[i] = True
-                if len(seen) > 1_000_000:
+                if len(seen) > 300_000:
                     seen.clear()
                 yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(group.view(np.int64)), pa.array(-1 - n), piece.column(0)], names=["h", "pack", "place", "doc_id"])
                 mine = fresh[text]
