@@ -20,19 +20,22 @@ class Combine:
         """Pairs of rows that are alive together: a row lives from its time for so many seconds, both ends included.
 
         Columns get the prefixes l_ and r_. Times are cut into buckets as long as the longer life, so that rows
-        meet by equality of bucket (and of `on`) before the exact test; a life spans two buckets at most.
+        meet by equality of bucket (and of `on`) before the exact test; a life spans three buckets at most.
         """
         left_us, right_us = round(alive * 1e6), round(other_alive * 1e6)
         width = max(left_us, right_us, 1)
         left = named(self.df.withColumn("us", self.micros()), "l_")
         right = named(other.df.withColumn("us", other.micros()), "r_")
-        reach = left_us + right_us
-        left = left.withColumn("_b", F.explode(F.sequence(F.expr(f"(l_us - {right_us}) div {width} - 1"), F.expr(f"(l_us + {left_us}) div {width} + 1"))))
-        right = right.withColumn("_c", F.expr(f"r_us div {width}"))
+
+        def bucket(us: str) -> Column:  # rounds down, before 1970 too
+            return F.expr(f"({us} - pmod({us}, {width})) div {width}")
+
+        left = left.withColumn("_b", F.explode(F.sequence(bucket(f"(l_us - {right_us})"), bucket(f"(l_us + {left_us})"))))
+        right = right.withColumn("_c", bucket("r_us"))
         match = (F.col("_b") == F.col("_c")) & F.col("r_us").between(F.col("l_us") - right_us, F.col("l_us") + left_us)
         for c in on or []:
             match &= F.col(f"l_{c}") == F.col(f"r_{c}")
-        joined = left.join(right, match).drop("_b", "_c") if reach >= 0 else left
+        joined = left.join(right, match).drop("_b", "_c")
         if how == "left":
             order = [f"l_{c}" for c in self.order]
             lonely = named(self.df.withColumn("us", self.micros()), "l_").join(joined.select(*order).distinct(), order, "left_anti")
