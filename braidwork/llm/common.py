@@ -93,6 +93,17 @@ def prefix_sums(df: DataFrame, key: str, weight: str, order: list[str], rows: in
     )
 
 
+#: Bytes of an Arrow batch between the JVM and Python workers.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Smaller Arrow batches than Spark's default of 64 MB, unless the session has a bound of its own: texts can be long, and a batch is held several times."""
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(setting, "67108864b") in ("67108864", "67108864b", "64m"):
+        spark.conf.set(setting, str(BATCH_BYTES))
+
+
 #: Ids up to which a semi join broadcasts them (some 30 MB); beyond, both sides are shuffled.
 BROADCAST_IDS = 500_000
 

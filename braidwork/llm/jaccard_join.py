@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import BROADCAST_IDS, lean, only, store, text_or_empty
+from braidwork.llm.common import BROADCAST_IDS, bounded_batches, lean, only, store, text_or_empty
 from braidwork.llm.components import components
 from braidwork.llm.textbytes import LOWER, Rolling, bytes_of, mix64, parts, words
 
@@ -345,6 +345,7 @@ def linked(docs: DataFrame) -> DataFrame:
     4. Components come from stored edge tables.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     often, counts, total = frequent_shingles(docs)
     shared = spark.sparkContext.broadcast((often, counts))
     id_type = docs.schema["doc_id"].dataType.simpleString()

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import lean, text_or_empty
+from braidwork.llm.common import bounded_batches, lean, text_or_empty
 from braidwork.llm.textbytes import LOWER, bytes_of, mix64, parts
 
 #: Texts of a language that training reads (expected number; chosen by a hash of doc_id).
@@ -80,6 +80,7 @@ def fit(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> LanguageFilters:
     Reads about `train_texts` texts of each language; counts of n-grams are summed on the executors, and each
     language's filter gets its own frequent n-grams (see OWN, GRAMS). No row to learn from gives no language.
     """
+    bounded_batches(docs.sparkSession)
     learn = docs.where("pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 5) != 0 AND lang IS NOT NULL")
     sizes = {r.lang: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     if not sizes:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import lean, prefix_sums, source_key, store, text_or_empty
+from braidwork.llm.common import bounded_batches, lean, prefix_sums, source_key, store, text_or_empty
 
 BLOCK_WORDS, SHARDS = 256, 40
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -93,6 +93,7 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     driver holds one number per source and shard; words, blocks and slots stay distributed.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     facts = measured(docs, seed)
     found = sorted((r.source_key, r.total) for r in facts.groupBy("source_key").agg(F.sum("size").alias("total")).collect())
     found.sort(key=lambda x: (x[0][0], x[0][1:].encode("utf-8", "surrogatepass")))
@@ -178,7 +179,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
 
         word = re.compile("[^\x20\x09-\x0d]+")
         for batch in batches:
-            for part in (batch.slice(low, 500) for low in range(0, batch.num_rows, 500)):
+            for part in (batch.slice(low, 200) for low in range(0, batch.num_rows, 200)):
                 texts, sizes, spans = part.column(1).to_pylist(), part.column(4).to_pylist(), part.column(5).to_pylist()
                 owner, out = [], []
                 for i, (text, size) in enumerate(zip(texts, sizes, strict=True)):

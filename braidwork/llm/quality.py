@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import lean, store, text_or_empty
+from braidwork.llm.common import bounded_batches, lean, store, text_or_empty
 from braidwork.llm.textbytes import Rolling, bytes_of, parts, words
 
 #: Labelled rows the fit reads (expected number; chosen by a hash of doc_id).
@@ -84,6 +84,7 @@ def statistics(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def described(docs: DataFrame) -> DataFrame:
     """Stored rows (doc_id, stats): the statistics of every whole text, made in one pass."""
+    bounded_batches(docs.sparkSession)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def measure(batches):

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import lean, store, text_or_empty
+from braidwork.llm.common import bounded_batches, lean, store, text_or_empty
 from braidwork.llm.textbytes import Rolling, bytes_of, parts
 
 LENGTH = 100
@@ -263,6 +263,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     4. Spans of a document are merged and cut from its bytes.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = keyed(docs)
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = max(spark.sparkContext.defaultParallelism * 2, -(-total // (BUCKET_ROWS * 30)))
