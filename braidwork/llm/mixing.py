@@ -135,8 +135,9 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     parts = facts.where("size > 0").select("doc_id", "source_key", "size", "before", F.explode(F.sequence(first, last)).alias("block"))
     at = F.greatest("before", F.col("block") * block_words)
     until = F.least(F.col("before") + F.col("size"), F.col("block") * block_words + F.col("take"))
+    # Slots grow with the corpus, though Spark takes them for as small as the counts they are opened from: never broadcast them.
     pieces = (
-        drawn.join(parts, ["source_key", "block"])
+        drawn.hint("merge").join(parts, ["source_key", "block"])
         .withColumn("word_start", at - F.col("before"))
         .withColumn("n_words", until - at)
         .where("n_words > 0")
