@@ -17,17 +17,16 @@ def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """
     pairs = edges.select("a", "b").where("a != b")
     both = store(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "component-edges")
-    labels = store(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), "component-labels")
+    labels, before = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("label")), None
     for _ in range(rounds):
         seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
         hooked = labels.join(seen.withColumnRenamed("a", "node"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        hooked = store(hooked, "component-hooked")
         parent = hooked.select(F.col("node").alias("label"), F.col("label").alias("above"))
         jumped = hooked.join(parent, "label", "left").select("node", "old", F.least("label", F.coalesce("above", "label")).alias("label"))
         after = store(jumped, "component-labels")
-        discard(hooked)
-        discard(labels)
-        labels = after.select("node", "label")
+        if before is not None:
+            discard(before)
+        labels, before = after.select("node", "label"), after
         if after.where("old != label").limit(1).count() == 0:
             break
     else:

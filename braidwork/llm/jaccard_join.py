@@ -19,8 +19,9 @@ LESS, MORE = 75, 100
 BLOCK_SHINGLES, BLOCK_COUNT, FREQUENT = 3_000_000, 2, 200_000
 #: Runs of up to this many groups are compared pair by pair at once; in longer ones each meets so many neighbours first.
 SMALL_RUN, NEIGHBOURS = 4, 2
-#: Rounds in which members of torn runs meet neighbours in random orders, in so many runs each, before all pairs left are compared.
-ROUNDS, ROUND_NEIGHBOURS, ROUND_RUNS = 2, 4, 4
+#: Rounds at most in which members of torn runs meet neighbours in random orders, in so many runs each, before all pairs left
+#: are compared. Rounds end early when fewer of their pairs than this part link.
+ROUNDS, ROUND_NEIGHBOURS, ROUND_RUNS, ROUND_YIELD = 5, 4, 4, 0.01
 #: Rows of sorted runs that a task holds.
 RUN_ROWS = 400_000
 #: Prefix rows for each task of the join.
@@ -278,9 +279,10 @@ def sets_of(docs: DataFrame, ids: DataFrame, order=None) -> DataFrame:
 
 
 def meeting(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """Pairs with the column of both their sets, as x and y, and their sizes. Only sets that a pair names are moved."""
-    ends = store(pairs.select(F.col("a").alias("set")).union(pairs.select("b")).distinct(), "jaccard-ends")
-    mine = only(sets.select("set", "n", column), ends, "set", "set")
+    """Pairs (a stored table) with the column of both their sets, as x and y, and their sizes. Only sets that a pair names are moved."""
+    few = pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS // 2
+    ends = pairs.select(F.col("a").alias("_end")).union(pairs.select("b")).distinct()
+    mine = sets.select("set", "n", column).join(F.broadcast(ends) if few else ends, F.col("set") == F.col("_end"), "left_semi")
     left = mine.select(F.col("set").alias("a"), F.col("n").alias("n1"), F.col(column).alias("x"))
     right = mine.select(F.col("set").alias("b"), F.col("n").alias("n2"), F.col(column).alias("y"))
     return pairs.join(left, "a").join(right, "b")
@@ -308,21 +310,41 @@ def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return meeting(pairs, sets, "shingles").select("a", "b", over.alias("over"), F.expr(ROOM).alias("room"))
 
 
-def verified(pairs: DataFrame, sets: DataFrame, docs: DataFrame, groups: DataFrame) -> DataFrame:
-    """Stored pairs (a, b) of sets that link.
+class Links:
+    """Verified links of sets, and the pairs that 32 bits of each shingle leave open."""
 
-    32 bits of each shingle decide a pair unless the size of the intersection is within `room` of what a link
-    needs, which leaves room for many times the chance collisions to expect; 64 bits decide those pairs.
-    """
-    first = store(compared(promising(pairs, sets), sets), "jaccard-compared")
-    sure = first.where("over >= room").select("a", "b")
-    near = first.where("abs(over) < room").select("a", "b")
-    ends = near.select(F.col("a").alias("set")).union(near.select("b")).distinct()
-    ids = store(groups.join(ends, "set", "left_semi").select("doc_id").distinct(), "jaccard-near")
-    if ids.limit(1).count() == 0:
+    def __init__(self, docs: DataFrame, groups: DataFrame, sets: DataFrame):
+        self.docs, self.groups, self.sets = docs, groups, sets
+        self.tables: list[DataFrame] = []
+        self.open: list[DataFrame] = []
+
+    def add(self, pairs: DataFrame, prefixes_first: bool) -> DataFrame:
+        """Compare stored pairs; 32 bits decide unless the intersection is within `room` of what a link needs."""
+        found = store(compared(promising(pairs, self.sets) if prefixes_first else pairs, self.sets), "jaccard-compared")
+        sure = found.where("over >= room").select("a", "b")
+        self.tables.append(sure)
+        self.open.append(found.where("abs(over) < room").select("a", "b"))
         return sure
-    exact = compared(near, store(sets_of(docs, ids), "jaccard-wide")).where("over >= 0").select("a", "b")
-    return store(sure.unionByName(exact), "jaccard-links")
+
+    def settle(self, labels: DataFrame) -> None:
+        """Decide by 64 bits the open pairs whose sets have different labels."""
+        near = self.open.pop()
+        while self.open:
+            near = near.unionByName(self.open.pop())
+        one, two = labels.select(F.col("node").alias("a"), F.col("label").alias("p")), labels.select(F.col("node").alias("b"), F.col("label").alias("q"))
+        near = near.join(one, "a", "left").join(two, "b", "left").where("coalesce(p, a) != coalesce(q, b)").select("a", "b").distinct()
+        near = store(near, "jaccard-near")
+        ends = near.select(F.col("a").alias("set")).union(near.select("b")).distinct()
+        ids = store(self.groups.join(ends, "set", "left_semi").select("doc_id").distinct(), "jaccard-near-ids")
+        if ids.limit(1).count():
+            wide = store(sets_of(self.docs, ids), "jaccard-wide")
+            self.tables.append(store(compared(near, wide).where("over >= 0").select("a", "b"), "jaccard-links"))
+
+    def labels(self) -> DataFrame:
+        edges = self.tables[0]
+        for t in self.tables[1:]:
+            edges = edges.unionByName(t)
+        return components(edges)
 
 
 def linked(docs: DataFrame) -> DataFrame:
@@ -400,8 +422,9 @@ def linked(docs: DataFrame) -> DataFrame:
     ids = store(groups.join(wanted.distinct(), "set", "left_semi").select("doc_id").distinct(), "jaccard-wanted")
     sets = store(sets_of(docs, ids, shared), "jaccard-sets")
 
-    links = verified(first, sets, docs, groups)
-    labels = components(links)
+    links = Links(docs, groups, sets)
+    links.add(first, True)
+    labels = links.labels()
 
     # The members of a group meet like those of a run: the group itself stands for the shingle that they share.
     within = groups.join(several, "group", "left_semi").select(F.col("group").alias("h"), "group", (F.col("n") * (1 << 32)).alias("place"), "set")
@@ -418,13 +441,19 @@ def linked(docs: DataFrame) -> DataFrame:
         labelled, rows = crossing()
         few = F.row_number().over(Window.partitionBy("set").orderBy(F.xxhash64("h", F.lit(turn))))
         rows = rows.withColumn("_run", few).where(f"_run <= {ROUND_RUNS}").drop("_run")
-        near = rows.repartition("h").sortWithinPartitions("h", F.xxhash64("set", F.lit(turn))).mapInArrow(lean(near_pairs), "a long, b long")
-        near = store(near.distinct(), "jaccard-near")
-        if near.limit(1).count() == 0:
+        near = rows.repartition("h").sortWithinPartitions("h", F.xxhash64("set", "h", F.lit(turn))).mapInArrow(lean(near_pairs), "a long, b long")
+        near = store(near.distinct(), "jaccard-round")
+        met = near.count()
+        if met == 0:
+            break
+        found = links.add(near, False).count()
+        if found:
+            labels = links.labels()
+        if found < ROUND_YIELD * met:
             break
-        links = store(links.unionByName(verified(near, sets, docs, groups)), "jaccard-links")
-        labels = components(links)
 
+    links.settle(labels)
+    labels = links.labels()
     labelled, rows = crossing()
     left_over = rows.repartition("h").sortWithinPartitions("h", "place", "set").mapInArrow(lean(crossing_pairs), "a long, b long")
     one = labelled.select(F.col("group").alias("a"), F.col("set").alias("x"), F.col("label").alias("p"))
@@ -432,9 +461,9 @@ def linked(docs: DataFrame) -> DataFrame:
     expanded = partner.join(one, "a").join(two, "b").where("p != q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
     second = store(left_over.unionByName(expanded).distinct(), "jaccard-second")
     if second.limit(1).count():
-        more = verified(second, sets, docs, groups)
-        if more.limit(1).count():
-            labels = components(links.unionByName(more))
+        links.add(second, False)
+        links.settle(links.labels())
+        labels = links.labels()
 
     owner = groups.join(labels.withColumnRenamed("node", "set"), "set").select("set", "label", "doc_id")
     smallest = owner.groupBy("label").agg(F.min("doc_id").alias("component_id"))
