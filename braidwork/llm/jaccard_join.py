@@ -21,7 +21,7 @@ BLOCK_SHINGLES, BLOCK_COUNT, FREQUENT = 3_000_000, 2, 200_000
 SMALL_RUN, NEIGHBOURS = 4, 2
 #: Rounds at most in which members of torn runs meet neighbours in random orders, in so many runs each, before all pairs left
 #: are compared. Rounds end early when fewer of their pairs than this part link.
-ROUNDS, ROUND_NEIGHBOURS, ROUND_RUNS, ROUND_YIELD = 5, 4, 4, 0.01
+ROUNDS, ROUND_NEIGHBOURS, ROUND_RUNS, ROUND_YIELD = 3, 4, 4, 0.02
 #: Rows of sorted runs that a task holds.
 RUN_ROWS = 400_000
 #: Prefix rows for each task of the join.
@@ -95,7 +95,15 @@ def frequent_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
 
     counted = store(docs.select(text_or_empty().alias("text")).mapInArrow(lean(count), "h long, n long, total long"), "jaccard-frequent")
     total = counted.agg(F.sum("total")).first()[0] or 0
-    top = counted.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    sums = store(counted.where("n > 0").groupBy("h").agg(F.sum("n").alias("n")), "jaccard-sums")
+    # The least count that leaves no more than FREQUENT shingles, so that no more are sent to the driver.
+    often, least = 0, None
+    for n, shingles_with_n in sorted(map(tuple, sums.groupBy("n").count().collect()), reverse=True):
+        often += shingles_with_n
+        if often > FREQUENT:
+            break
+        least = n
+    top = sums.where(F.col("n") >= (least if least is not None else 1 << 60)).toPandas()
     order = np.argsort(top["h"].to_numpy().astype(np.int64).view(np.uint64))
     return top["h"].to_numpy().astype(np.int64).view(np.uint64)[order], top["n"].to_numpy().astype(np.int64)[order], total
 
