@@ -16,7 +16,7 @@ SHINGLE = 5
 #: Two sets link when MORE * intersection >= LESS * union (similarity 3 / 4).
 LESS, MORE = 75, 100
 #: A shingle counts as frequent from this many documents of one block of a task on; so many are told apart at most.
-BLOCK_SHINGLES, BLOCK_COUNT, FREQUENT = 3_000_000, 2, 200_000
+BLOCK_SHINGLES, BLOCK_COUNT, FREQUENT = 2_000_000, 2, 200_000
 #: Runs of up to this many groups are compared pair by pair at once; in longer ones each meets so many neighbours first.
 SMALL_RUN, NEIGHBOURS = 4, 2
 #: Rounds at most in which members of torn runs meet neighbours in random orders, in so many runs each, before all pairs left
