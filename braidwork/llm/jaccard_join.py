@@ -293,7 +293,7 @@ def meeting(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
     mine = sets.select("set", "n", column).join(F.broadcast(ends) if few else ends, F.col("set") == F.col("_end"), "left_semi")
     left = mine.select(F.col("set").alias("a"), F.col("n").alias("n1"), F.col(column).alias("x"))
     right = mine.select(F.col("set").alias("b"), F.col("n").alias("n2"), F.col(column).alias("y"))
-    return pairs.join(left, "a").join(right, "b")
+    return left.join(F.broadcast(pairs) if few else pairs, "a").join(right, "b")
 
 
 NEED = f"((n1 + n2) * {LESS} + {LESS + MORE - 1}) div {LESS + MORE}"
