@@ -24,10 +24,14 @@ SIZE = 4  # bytes of an n-gram
 
 
 def grams(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """4-byte n-grams of each text, lower-cased, digits and ASCII signs as spaces: (n-gram, text), none across texts."""
+    """4-byte n-grams of each text, lower-cased, digits and ASCII signs as spaces: (n-gram, text), none across texts.
+
+    A space stands ahead of each text and two behind it, so that one letter makes an n-gram.
+    """
     plain = LOWER.copy()
     plain[[c for c in range(128) if not 97 <= plain[c] <= 122]] = 32
-    folded = plain[data].astype(np.uint32)
+    folded = np.insert(plain[data], np.concatenate([starts[:-1], starts[1:], starts[1:]]), 32).astype(np.uint32)
+    starts = starts + 3 * np.arange(len(starts))
     if len(folded) < SIZE:
         return np.empty(0, np.uint32), np.empty(0, np.int64)
     keys = folded[:-3] | folded[1:-2] << np.uint32(8) | folded[2:-1] << np.uint32(16) | folded[3:] << np.uint32(24)
@@ -116,6 +120,20 @@ def fit(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> LanguageFilters:
     return LanguageFilters(languages, {i: rows.loc[rows["lang"] == l, "gram"].to_numpy().astype(np.uint32) for i, l in enumerate(languages)})
 
 
+def with_letter(texts: pa.Array) -> np.ndarray:
+    """Which texts have a letter of any script."""
+    data, starts = bytes_of(texts)
+    if len(starts) == 1:
+        return np.empty(0, dtype=bool)
+    begins, empty = starts[:-1].clip(max=len(data)), np.diff(starts) == 0
+    folded = LOWER[data]
+    has = (np.add.reduceat(np.append((folded >= 97) & (folded <= 122), False), begins) > 0) & ~empty
+    high = np.add.reduceat(np.append(data >= 128, False), begins) > 0
+    for i in np.flatnonzero(high & ~has & ~empty):
+        has[i] = any(c.isalpha() for c in texts[int(i)].as_py())
+    return has
+
+
 def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
     """One row per document: doc_id, lang_pred, score.
 
@@ -127,19 +145,11 @@ def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def scored(batches):
-        import re
-
-        model, letter = shared.value, re.compile(r"[^\W\d_]").search
+        model = shared.value
         for batch in batches:
             for piece in parts(batch, 1):
                 data, starts = bytes_of(piece.column(1))
-                high = np.add.reduceat(np.append(data >= 128, False), starts[:-1].clip(max=len(data))) if len(starts) > 1 else np.empty(0)
-                folded = LOWER[data]
-                ascii_letters = np.add.reduceat(np.append((folded >= 97) & (folded <= 122), False), starts[:-1].clip(max=len(data))) if len(starts) > 1 else np.empty(0)
-                empty = np.diff(starts) == 0
-                has = (ascii_letters > 0) & ~empty
-                for i in np.flatnonzero((high > 0) & ~has & ~empty):
-                    has[i] = any(c.isalpha() for c in piece.column(1)[int(i)].as_py() or "")
+                has = with_letter(piece.column(1))
                 if model.languages:
                     counts = model.counts(data, starts)
                     best = counts.argmax(axis=1)
@@ -165,9 +175,10 @@ def identify(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float | None = 0.0) -> DataFrame:
     """The documents whose language is known: not `und`, and some n-gram known to its language (score above `least`).
 
+    With None for `least` every document stays that `predict` gives a language, whatever its score.
     The test is a function of the text alone, so it is made row by row and the documents are not shuffled.
     """
     model = fit(docs)
@@ -177,13 +188,10 @@ def keep_identified(docs: DataFrame, least: float = 0.0) -> DataFrame:
     def kept(batches):
         for batch in batches:
             for piece in parts(batch, len(columns)):
-                data, starts = bytes_of(piece.column(len(columns)))
                 texts = piece.column(len(columns))
-                good = np.zeros(piece.num_rows, dtype=bool)
-                if shared.value.languages:
-                    good = shared.value.counts(data, starts).max(axis=1, initial=0) > least
-                for i in np.flatnonzero(good):
-                    good[i] = any(c.isalpha() for c in texts[int(i)].as_py()[:64]) or any(c.isalpha() for c in texts[int(i)].as_py())
+                good = with_letter(texts) if shared.value.languages else np.zeros(piece.num_rows, dtype=bool)
+                if least is not None and shared.value.languages:
+                    good &= shared.value.counts(*bytes_of(texts)).max(axis=1, initial=0) > least
                 yield pa.RecordBatch.from_arrays([piece.column(i).filter(pa.array(good)) for i in range(len(columns))], names=columns)
 
     return docs.select(*columns, text_or_empty().alias("_text")).mapInArrow(lean(kept), docs.schema)

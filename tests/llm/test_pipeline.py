@@ -6,6 +6,8 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import pyarrow as pa
+from braidwork.llm import language_id
 from braidwork.llm.queries import ORACLES, QUERIES
 
 
@@ -41,6 +43,23 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
 
 
+def test_short_texts_stay(spark):
+    """The language stage drops what op5 calls `und`, and nothing else."""
+    words = ["kolo mera tundi sabak", "mera sabak kolo", "tundi tundi mera"]
+    rows = [(i, words[i % 3] * 3, "en", "a", 0) for i in range(60)]
+    rows += [(100, "Re.", "en", "a", 0), (101, "A.", "en", "b", 0), (102, "q", None, "a", 0), (103, "xyzw vux", None, "a", 0), (104, "\u65e5", None, "a", 0), (105, " ", None, "a", 0), (106, "7.", "en", "a", 0), (107, None, "en", "a", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in corpus_pipeline.keep_languages(spark, docs, "").collect()}
+    assert kept == {r[0] for r in rows} - {105, 106, 107}
+    assert kept == {r.doc_id for r in language_id.identify(docs).collect() if r.lang_pred != "und"}
+
+
+def test_one_letter_has_an_ngram():
+    data, starts = language_id.bytes_of(pa.array(["a", "", "Re.", "!"]))
+    keys, text = language_id.grams(data, starts)
+    assert text.tolist() == [0, 2, 2, 2] and keys[0] == int.from_bytes(b" a  ", "little")
+
+
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
