@@ -14,8 +14,8 @@ from braidwork.llm.textbytes import LOWER, bytes_of, mix64, parts
 TRAIN_TEXTS = 4000
 #: N-grams of a language that its filter holds, the most frequent first.
 GRAMS = 50_000
-#: Languages a model can tell apart, the most frequent first: one bit of a word each.
-LANGUAGES = 64
+#: Languages that share a word of each filter position, one bit each; a model has as many words as its languages need.
+WORD_BITS = 64
 #: Positions of the filters (a power of two) and hash functions.
 LOG_POSITIONS, HASHES = 21, 3
 #: An n-gram is a language's own if its frequency there is at least this part of its highest frequency anywhere.
@@ -51,48 +51,54 @@ def positions(keys: np.ndarray) -> list[np.ndarray]:
 
 
 class LanguageFilters:
-    """Bit-sliced Bloom filters: bit l of every position belongs to language l, so one lookup answers for all."""
+    """Bit-sliced Bloom filters: a bit of every position belongs to each language, so one lookup answers for WORD_BITS of them."""
 
     def __init__(self, languages: list[str], members: dict[int, np.ndarray]):
         self.languages = languages
-        kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(languages) <= bits)
-        self.slices = np.zeros(1 << LOG_POSITIONS, dtype=kind)
+        bits = min(len(languages), WORD_BITS)
+        kind = next(t for t, width in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if bits <= width)
+        self.slices = [np.zeros(1 << LOG_POSITIONS, dtype=kind) for _ in range(0, len(languages), WORD_BITS)]
         for l, keys in members.items():
             for at in positions(keys):
-                self.slices[at] |= kind(1 << l)
-        filled = np.array([np.count_nonzero(self.slices & kind(1 << l)) for l in range(len(languages))]) / len(self.slices)
+                self.slices[l // WORD_BITS][at] |= kind(1 << l % WORD_BITS)
+        filled = np.array([np.count_nonzero(self.slices[l // WORD_BITS] & kind(1 << l % WORD_BITS)) for l in range(len(languages))]) / (1 << LOG_POSITIONS)
         self.false_rate = filled**HASHES
 
     def counts(self, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """For each text and language: n-grams the language has, without those expected by chance."""
         keys, text = grams(data, starts)
-        found = None
-        for at in positions(keys):
-            found = self.slices[at] if found is None else found & self.slices[at]
-        n = len(starts) - 1
+        places, n = positions(keys), len(starts) - 1
         total = np.bincount(text, minlength=n)
         out = np.zeros((n, len(self.languages)))
-        for l, rate in enumerate(self.false_rate):
-            hits = np.bincount(text[(found >> found.dtype.type(l)) & found.dtype.type(1) != 0], minlength=n)
-            out[:, l] = np.maximum(0, (hits - total * rate) / (1 - rate))
+        for first, words in zip(range(0, len(self.languages), WORD_BITS), self.slices, strict=True):
+            found = words[places[0]]
+            for at in places[1:]:
+                found &= words[at]
+            known = np.flatnonzero(found)
+            found, of = found[known], text[known]
+            for l in range(first, min(first + WORD_BITS, len(self.languages))):
+                rate = self.false_rate[l]
+                hits = np.bincount(of[(found >> found.dtype.type(l - first)) & found.dtype.type(1) != 0], minlength=n)
+                out[:, l] = np.maximum(0, (hits - total * rate) / (1 - rate))
         return out
 
 
 def fit(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> LanguageFilters:
     """Filters from the text and lang of rows that are not held out and whose lang is not null.
 
-    Reads about `train_texts` texts of each language; counts of n-grams are summed on the executors, and each
+    Every lang of those rows is learned, however many there are; a model takes 16 MB for 64 of them (less for
+    up to 32). Reads about `train_texts` texts of each language; counts of n-grams are summed on the executors, and each
     language's filter gets its own frequent n-grams (see OWN, GRAMS). No row to learn from gives no language.
     """
     bounded_batches(docs.sparkSession)
     learn = docs.where("pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 5) != 0 AND lang IS NOT NULL")
-    sizes = {r.lang: r["count"] for r in learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+    sizes = {r.lang: r["count"] for r in learn.groupBy("lang").count().collect()}
     if not sizes:
         return LanguageFilters([], {})
     languages = sorted(sizes)
     part = F.create_map(*[x for l in languages for x in (F.lit(l), F.lit(min(1.0, train_texts / sizes[l])))])
     uniform = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    sample = learn.where(F.col("lang").isin(languages)).where(uniform < part[F.col("lang")])
+    sample = learn.where(uniform < part[F.col("lang")])
 
     def count(batches):
         sums: dict[str, dict] = {}

@@ -292,6 +292,17 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_more_languages_than_bits_of_a_word(spark):
+    """Each of 70 languages is learned, the rare ones too."""
+    rng = random.Random(4)
+    kinds = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for i in range(70)}
+    rows = [(100 * i + j, " ".join(rng.choice(w) for _ in range(30)), l) for i, (l, w) in enumerate(kinds.items()) for j in range(12 if i < 64 else 10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(df).collect()}
+    assert got == {d: l for d, _, l in rows}
+    assert language_id.LanguageFilters([], {}).counts(np.empty(0, np.uint8), np.zeros(2, np.int64)).shape == (1, 0)
+
+
 def test_false_positives_are_corrected():
     rng = np.random.default_rng(0)
     members = {l: rng.integers(0, 2**32, 400_000, dtype=np.uint64).astype(np.uint32) for l in range(3)}
