@@ -16,8 +16,10 @@ from braidwork.llm.common import bounded_batches, lean, source_key, store, text_
 CAPACITY, END_ID = 4096, 2
 #: Windows of one dealing table; the same table serves all full periods of a phase.
 PERIOD = 64
-#: More distinct sources than this share this many queues, by hash.
+#: Queues that are planned. With more sources, those of least weight are merged into two of these (see rare_places).
 MAX_QUEUES = 256
+#: Keys of those two; keys of sources begin with 1 or 2.
+RARE, RARE_UNWEIGHED = "3", "4"
 #: Rows of the table of running sums (about 60 bytes each) up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
 #: Chunks of text between white space whose ids a worker remembers (some 220 bytes each), unless `remember` says otherwise.
@@ -233,6 +235,26 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, queue=
     return store(rows.mapInArrow(lean(encode, keep=True), schema), "packing-ids"), dtype
 
 
+def rare_places(ids: DataFrame, bases: DataFrame, rare: DataFrame) -> DataFrame:
+    """chunk, queue, start, pool, place: where each document of a rare source begins in its pool's stream.
+
+    Weighted fair queueing: documents go by the end of their place in their source's stream over the source's
+    weight (over its total where it weighs 0). So at any point of the pool's stream each source that is not
+    used up has given its proportion, to within a document.
+    """
+    order = ["finish", "queue", "chunk", "start"]
+    rate = F.when(F.col("weight") > 0, F.col("weight")).otherwise(F.col("total").cast("double"))
+    ends = ids.select("chunk", "queue", "start", "n").join(bases, ["chunk", "queue"]).join(rare, "queue")
+    ends = ends.select("pool", ((F.col("base") + F.col("start") + F.col("n")) / rate).alias("finish"), "queue", "chunk", "start", "n")
+    ends = store(ends.repartitionByRange("pool", *order).withColumn("cell", F.spark_partition_id()), "packing-rare")
+    cells = ends.groupBy("pool", "cell").agg(F.sum("n").alias("sum"))
+    ahead = Window.partitionBy("pool").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.select("pool", "cell", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("cell_base"))  # one row for each task
+    inside = Window.partitionBy("pool", "cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = ends.withColumn("inside", F.coalesce(F.sum("n").over(inside), F.lit(0))).join(F.broadcast(cells), ["pool", "cell"])
+    return placed.select("chunk", "queue", "start", "pool", (F.col("cell_base") + F.col("inside")).alias("place"))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, mixture: dict | None = None, with_ids: bool = False, remember: int = CACHE_CHUNKS) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset (and ids).
 
@@ -246,21 +268,36 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     columns are ignored. Lost tasks run again from the written ids.
 
     Only the totals of queues (MAX_QUEUES at most) reach the driver, where the dealing is planned; any place
-    of a queue's stream then maps to its window by arithmetic.
+    of a queue's stream then maps to its window by arithmetic. With more sources than that, those of greatest
+    weight have queues of their own. The others meet in one queue with their summed weights, merged there
+    document by document in proportion to them; sources that weigh 0 meet in another one, which weighs 0.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    sources = docs.select(source_key().alias("queue")).distinct().limit(MAX_QUEUES + 1).count()
-    queue = source_key() if sources <= MAX_QUEUES else F.concat(F.lit("h"), F.lpad(F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string"), 4, "0"))
-    ids, dtype = tokenized(docs, tokenizer_path, end_id, queue, remember)
+    ids, dtype = tokenized(docs, tokenizer_path, end_id, remember=remember)
     sums = ids.groupBy("chunk", "queue").agg(F.sum("n").alias("sum"))
     ahead = Window.partitionBy("queue").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
     bases = store(sums.select("chunk", "queue", "sum", F.coalesce(F.sum("sum").over(ahead), F.lit(0)).alias("base")), "packing-bases")
-    totals = {r.queue: r.total for r in bases.groupBy("queue").agg(F.sum("sum").alias("total")).collect()}
-    queues = sorted(totals)
-    amounts = np.array([totals[q] for q in queues], dtype=np.int64)
-    named = None if mixture is None or sources > MAX_QUEUES else {"2" if k is None else f"1{k}": v for k, v in mixture.items()}
-    weights = amounts.astype(float) if named is None else np.array([named.get(q, 0.0) for q in queues])
+    named = None if mixture is None else {"2" if k is None else f"1{k}": float(v) for k, v in mixture.items()}
+    totals = bases.groupBy("queue").agg(F.sum("sum").alias("total"))
+    found, rare = totals.limit(MAX_QUEUES + 1).collect(), None
+    if len(found) > MAX_QUEUES:
+        weighed = totals.withColumn("weight", F.col("total").cast("double"))
+        if named is not None:
+            given = spark.createDataFrame([(q, w) for q, w in named.items()], "queue string, weight double")
+            weighed = totals.join(given, "queue", "left").select("queue", "total", F.coalesce("weight", F.lit(0.0)).alias("weight"))
+        weighed = store(weighed, "packing-weights")
+        found = weighed.orderBy(F.desc("weight"), F.desc("total"), "queue").limit(MAX_QUEUES - 2).collect()
+        own = F.broadcast(spark.createDataFrame([(r.queue,) for r in found], "queue string"))
+        rare = weighed.join(own, "queue", "left_anti").withColumn("pool", F.when(F.col("weight") > 0, RARE).otherwise(RARE_UNWEIGHED))
+        found += rare.groupBy(F.col("pool").alias("queue")).agg(F.sum("total").alias("total"), F.sum("weight").alias("weight")).collect()
+    found = sorted(found, key=lambda r: r.queue)
+    queues = [r.queue for r in found]
+    amounts = np.array([r.total for r in found], dtype=np.int64)
+    if rare is not None:
+        weights = np.array([r.weight for r in found])
+    else:
+        weights = amounts.astype(float) if named is None else np.array([named.get(q, 0.0) for q in queues])
     plan = spark.sparkContext.broadcast((plan_windows(amounts, weights, capacity), queues))
     bases = bases.drop("sum")
     bases = F.broadcast(bases) if bases.count() <= BROADCAST_ROWS else bases
@@ -288,4 +325,10 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
                 columns, names_ = [*columns, pa.array(out[7], pa.list_(pa.int32()))], [*names_, "ids"]
             yield pa.RecordBatch.from_arrays(columns, names=names_)
 
-    return ids.join(bases, ["chunk", "queue"]).select("doc_id", "queue", "start", "n", "base", "ids").mapInArrow(lean(pieces, keep=True), schema)
+    columns = ["doc_id", "queue", "start", "n", "base", "ids"]
+    rows = ids.join(bases, ["chunk", "queue"])
+    if rare is not None:
+        merged = ids.join(rare_places(ids, bases, rare), ["chunk", "queue", "start"])
+        merged = merged.select("doc_id", F.col("pool").alias("queue"), F.col("place").alias("start"), "n", F.lit(0).cast("long").alias("base"), "ids")
+        rows = rows.join(own, "queue", "left_semi").select(*columns).unionByName(merged)
+    return rows.select(*columns).mapInArrow(lean(pieces, keep=True), schema)

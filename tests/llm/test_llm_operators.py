@@ -123,6 +123,28 @@ def test_packing(docs, odd, empty, tokenizer):
     assert all(zlib.crc32(np.array(p.ids, dtype="<u4").tobytes()) == p.ids_crc32 for p in with_ids)
 
 
+@pytest.mark.parametrize("mixture", [None, {"s00": 3, "s01": 1}, {f"s{i:02}": 1 if i < 20 else 2 for i in range(25)}])
+def test_more_sources_than_queues(spark, tokenizer, tmp_path, monkeypatch, mixture):
+    """The mixture holds, and each source keeps its proportion, those that share a queue too."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 6)
+    rng = random.Random(8)
+    rows = [(100 * s + i, " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) for _ in range(rng.randrange(90, 110))), f"s{s:02}") for s in range(30) for i in range(50 if s < 2 else 20)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(2).write.parquet(str(tmp_path / "d"))
+    pieces = packing.pack(spark.read.parquet(str(tmp_path / "d")), tokenizer_file("word_bpe_49k.json"), mixture=mixture).collect()
+    by = check_pieces(pieces, [(d, t) for d, t, _ in rows], tokenizer)
+    source, longest = {d: s for d, _, s in rows}, max(p.doc_tokens for p in pieces)
+    totals = Counter()
+    for p in pieces:
+        totals[source[p.doc_id]] += p.length
+    weights = dict(totals) if mixture is None else mixture
+    fills, given = max(1, int(min(totals[s] / w for s, w in weights.items()) * sum(weights.values()) * 0.9 / 4096)), Counter()
+    for w in range(fills):
+        for p in by[w]:
+            given[source[p.doc_id]] += p.length
+        for s in totals:
+            assert abs(given[s] - (w + 1) * 4096 * weights.get(s, 0) / sum(weights.values())) <= 2 * longest
+
+
 def test_encoder_is_exact(tokenizer):
     rng = random.Random(1)
     letters = [chr(i) for i in range(0x20, 0x250)] + ["<|endoftext|>", "'s", " 'll", "\t", "\n", "\x0b", "\x1c", "\x85", "\xa0", "日本", "😂", "İ", "ſ", "!!", "...", "don't", "''s"]
