@@ -300,6 +300,11 @@ for _name, _build, _sql in [
 ]:
     cut(_name, orders, "o_orderkey", _build, _sql)
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_custkey, o_orderkey) - 1 AS index FROM orders")
+def sort_all(spark, t):
+    return orders(t).sort("o_custkey").index().df.select("o_orderkey", "index")
+
+
 for _name, _build, _sql in [
     ("take_while", lambda s: s.take_while(F.col("event_id") % 97 != 96), "event_id < (SELECT min(event_id) FROM events WHERE event_id % 97 = 96)"),
     ("take_until", lambda s: s.take_until(F.col("value") > 90), "event_id <= (SELECT coalesce(min(event_id), 1e18) FROM events WHERE value > 90)"),
