@@ -431,6 +431,12 @@ def merge_comparing(spark, t):
     return odd.merge_comparing(even, by=["o_orderkey"]).index().df.select("o_orderkey", "index")
 
 
+@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders")
+def merge_comparing_all(spark, t):
+    odd, even = (orders(t).filter(F.col("o_orderkey") % 2 == r) for r in (1, 0))
+    return odd.merge_comparing(even, by=["o_orderkey"]).index().df.select("o_orderkey", "index")
+
+
 @query("SELECT range AS round, n_nationkey FROM nation, range(3)")
 def repeat(spark, t):
     return Seq(t("nation").select("n_nationkey"), "n_nationkey").repeat(2)

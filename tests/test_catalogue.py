@@ -56,3 +56,8 @@ def test_sort_is_whole(spark):
     """Every order has its place; `sort` alone shows the first 50."""
     rows = catalogue.QUERIES["sort_all"](spark, DATA).collect()
     assert sorted(r["index"] for r in rows) == list(range(spark.read.parquet(f"{DATA}/orders.parquet").count()))
+
+
+def test_merge_is_whole(spark):
+    rows = catalogue.QUERIES["merge_comparing_all"](spark, DATA).collect()
+    assert {r.o_orderkey for r in rows} == {r.o_orderkey for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").collect()}
