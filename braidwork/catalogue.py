@@ -136,6 +136,12 @@ def handle(spark, t):
     return events(t).handle(F.round(F.col("value") * 2, 4), emit=F.col("event_type") != "error", complete=done, name="doubled").df.select("event_id", "doubled")
 
 
+@query("SELECT event_id, round(value * 2, 4) AS doubled FROM events WHERE event_id <= (SELECT coalesce(min(event_id), 1e18) FROM events WHERE value > 200 AND event_type = 'signup') AND event_type <> 'error'")
+def handle_by_value(spark, t):
+    done = (F.col("value") > 200) & (F.col("event_type") == "signup")
+    return events(t).handle(F.round(F.col("value") * 2, 4), emit=F.col("event_type") != "error", complete=done, name="doubled").df.select("event_id", "doubled")
+
+
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders")
 def index(spark, t):
     return orders(t).index().df.select("o_orderkey", "index")
@@ -307,6 +313,7 @@ def sort_all(spark, t):
 
 for _name, _build, _sql in [
     ("take_while", lambda s: s.take_while(F.col("event_id") % 97 != 96), "event_id < (SELECT min(event_id) FROM events WHERE event_id % 97 = 96)"),
+    ("take_while_by_value", lambda s: s.take_while(F.col("value") <= 300), "event_id < (SELECT coalesce(min(event_id), 1e18) FROM events WHERE value > 300)"),
     ("take_until", lambda s: s.take_until(F.col("value") > 90), "event_id <= (SELECT coalesce(min(event_id), 1e18) FROM events WHERE value > 90)"),
     ("skip_while", lambda s: s.skip_while(F.col("value") < 90), "event_id >= (SELECT min(event_id) FROM events WHERE value >= 90)"),
     ("skip_until", lambda s: s.skip_until(F.col("event_type") == "error"), "event_id >= (SELECT min(event_id) FROM events WHERE event_type = 'error')"),
@@ -701,6 +708,12 @@ def on_error_resume(spark, t):
     return seq.on_error_resume(fails(), instead).df.select("doc_id", "number")
 
 
+@query(f"WITH {BROKEN} SELECT doc_id, number FROM d, e WHERE cut IS NULL OR doc_id < cut UNION ALL SELECT d.doc_id + 1000000000, number FROM d, e WHERE cut IS NOT NULL")
+def on_error_resume_all(spark, t):
+    seq = numbered(t)
+    return seq.on_error_resume(fails(), seq.with_df(seq.df.withColumn("doc_id", F.col("doc_id") + 1_000_000_000))).df.select("doc_id", "number")
+
+
 @query(f"WITH {BROKEN} SELECT doc_id, number FROM d, e WHERE cut IS NULL OR doc_id < cut")
 def on_error_complete(spark, t):
     return numbered(t).on_error_complete(fails())

@@ -61,3 +61,14 @@ def test_sort_is_whole(spark):
 def test_merge_is_whole(spark):
     rows = catalogue.QUERIES["merge_comparing_all"](spark, DATA).collect()
     assert {r.o_orderkey for r in rows} == {r.o_orderkey for r in spark.read.parquet(f"{DATA}/orders.parquet").select("o_orderkey").collect()}
+
+
+def test_fallback_is_whole(spark):
+    """After the first failure the whole fallback follows (on tables that have a failure)."""
+    larger = DATA.replace("sf0.001", "sf0.01")
+    documents = spark.read.parquet(f"{larger}/documents.parquet")
+    cut = documents.where("length(text) % 1000 % 211 = 0").agg({"doc_id": "min"}).first()[0]
+    assert cut is not None
+    got = sorted(r.doc_id for r in catalogue.QUERIES["on_error_resume_all"](spark, larger).collect())
+    ids = [r.doc_id for r in documents.select("doc_id").collect()]
+    assert got == sorted([d for d in ids if d < cut] + [d + 1_000_000_000 for d in ids])
