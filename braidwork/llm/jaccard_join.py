@@ -6,9 +6,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from braidwork.llm.common import BROADCAST_IDS, bounded_batches, lean, only, store, text_or_empty
+from braidwork.llm.common import BROADCAST_IDS, bounded_batches, lean, store, text_or_empty
 from braidwork.llm.components import components
 from braidwork.llm.textbytes import LOWER, Rolling, bytes_of, mix64, parts, words
 
@@ -17,15 +16,18 @@ SHINGLE = 5
 LESS, MORE = 75, 100
 #: A shingle counts as frequent from this many documents of one block of a task on; so many are told apart at most.
 BLOCK_SHINGLES, BLOCK_COUNT, FREQUENT = 2_000_000, 2, 200_000
-#: Runs of up to this many groups are compared pair by pair at once; in longer ones each meets so many neighbours first.
-SMALL_RUN, NEIGHBOURS = 4, 2
-#: Rounds at most in which members of torn runs meet neighbours in random orders, in so many runs each, before all pairs left
-#: are compared. Rounds end early when fewer of their pairs than this part link.
-ROUNDS, ROUND_NEIGHBOURS, ROUND_RUNS, ROUND_YIELD = 3, 4, 4, 0.02
+#: Runs of up to this many groups give pairs of groups; longer ones stay runs.
+SMALL_RUN = 4
+#: Steps from group to group within which a cluster is gathered.
+CLUSTER_STEPS = 2
+#: Shingles and sets of a tile, at most (a longer set stands alone).
+TILE_TOKENS, TILE_SETS = 400_000, 4096
 #: Rows of sorted runs that a task holds.
 RUN_ROWS = 400_000
-#: Prefix rows for each task of the join.
-TASK_ROWS = 500_000
+#: Prefix rows for each task of the join, shingles for each task that compares, and in a slice of what is sent there.
+TASK_ROWS, TASK_TOKENS, SLICE_TOKENS = 500_000, 4_000_000, 500_000
+#: Salts of the hashes of sets and prefixes.
+SET_SALT, GROUP_SALT = 0x1234567, 0x7654321
 
 
 def shingles(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,15 +134,17 @@ PREFIX = "h long, pack long, place long"
 
 
 def run_pairs(batches):
-    """Pairs of groups and long runs from rows (h, pack, place, doc_id) sorted by h and place.
+    """Pairs of groups and long runs from rows (h, pack, place, doc_id, tid) sorted by h and place.
 
-    place: size << 32 | position for prefix rows of groups (pack), -1 for members (h: set, pack: group), which
-    pass through. Yields kind 0: a pair (a, b) of groups; kind 1: a row of a long run (h, group, place); kind 2:
-    a member (set, group, doc_id).
+    place: size << 32 | position for prefix rows of groups (pack), -1 - n for members (h: set, pack: group), which
+    pass through. Yields kind 0: a pair (a, b) of groups of a short run; kind 1: a row (h, group) of a long run;
+    kind 2: a member (set, group, -1 - n) with its doc_id and tid.
     """
+    doc_type = [pa.int64()]
 
-    def out(kind, a, b, c, doc=None):
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int64)), pa.array(a), pa.array(b), pa.array(c), doc if doc is not None else pa.nulls(len(a), doc_type[0])], names=["kind", "a", "b", "c", "doc_id"])
+    def out(kind, a, b, c, doc=None, tid=None):
+        ids = [doc if doc is not None else pa.nulls(len(a), doc_type[0]), tid if tid is not None else pa.nulls(len(a), pa.int64())]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, dtype=np.int64)), pa.array(a), pa.array(b), pa.array(c), *ids], names=["kind", "a", "b", "c", "doc_id", "tid"])
 
     def emit(h, group, place, long_h):
         if not len(h):
@@ -153,13 +157,13 @@ def run_pairs(batches):
         begin = np.flatnonzero(first)
         length = np.diff(np.append(begin, len(h)))
         index = np.arange(len(h)) - np.repeat(begin, length)
+        big = np.repeat(length > SMALL_RUN, length)
+        if long_h is not None:
+            big |= h == long_h
         size, at = place >> 32, place & 0xFFFFFFFF
-        left, right = [], []
-        for back in range(1, max(SMALL_RUN - 1, NEIGHBOURS) + 1):
-            mine = np.flatnonzero((index >= back) & ((index < SMALL_RUN) | (back <= NEIGHBOURS)))
-            left.append(mine - back)
-            right.append(mine)
-        left, right = np.concatenate(left), np.concatenate(right)
+        back = np.concatenate([np.full(int(((index >= d) & ~big).sum()), d) for d in range(1, max(SMALL_RUN, 2))])
+        right = np.concatenate([np.flatnonzero((index >= d) & ~big) for d in range(1, max(SMALL_RUN, 2))])
+        left = right - back
         good = may_link(size[left], at[left], size[right], at[right]) & (group[left] != group[right])
         a, b = np.minimum(group[left[good]], group[right[good]]), np.maximum(group[left[good]], group[right[good]])
         order = np.lexsort((b, a))
@@ -168,20 +172,16 @@ def run_pairs(batches):
         once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         if once.any():
             yield out(0, a[once], b[once], np.zeros(int(once.sum()), dtype=np.int64))
-        big = np.repeat(length > SMALL_RUN, length)
-        if long_h is not None:
-            big |= h == long_h
         if big.any():
             yield out(1, h[big], group[big], place[big])
 
-    held, rows, long_h, doc_type = [], 0, None, [pa.int64()]
-
+    held, rows, long_h = [], 0, None
     for batch in batches:
         doc_type[0] = batch.column(3).type
         h, group, place = (np.asarray(batch.column(i)) for i in range(3))
         member = place < 0
         if member.any():
-            yield out(2, h[member], group[member], place[member], batch.column(3).filter(pa.array(member)))
+            yield out(2, h[member], group[member], place[member], *(batch.column(i).filter(pa.array(member)) for i in (3, 4)))
         keep = ~member
         held.append((h[keep], group[keep], place[keep]))
         rows += int(keep.sum())
@@ -190,191 +190,245 @@ def run_pairs(batches):
             cut = int(np.searchsorted(h, h[-1]))
             if cut:
                 yield from emit(h[:cut], group[:cut], place[:cut], long_h)
-                long_h = None
+                long_h = None if h[-1] != long_h else long_h
                 held, rows = [(h[cut:], group[cut:], place[cut:])], len(h) - cut
-            else:  # one run fills the block: go on from its last rows
+            else:  # one run fills the block: all its rows are those of a long run
                 yield from emit(h, group, place, h[-1])
-                long_h = h[-1]
-                held, rows = [(h[-NEIGHBOURS:], group[-NEIGHBOURS:], place[-NEIGHBOURS:])], NEIGHBOURS
+                long_h, held, rows = h[-1], [], 0
     if held:
         yield from emit(*(np.concatenate(c) for c in zip(*held, strict=True)), long_h)
 
 
-def near_pairs(batches):
-    """Pairs (a, b) of sets from rows (h, label, set, place) sorted by h: neighbours that may link and have different labels."""
-    rest = [np.empty(0, dtype=np.int64)] * 4
-    for batch in batches:
-        h, label, sets, place = (np.concatenate([r, np.asarray(batch.column(i))]) for i, r in enumerate(rest))
-        size, at, old = place >> 32, place & 0xFFFFFFFF, len(rest[0])
-        a, b = [], []
-        for back in range(1, ROUND_NEIGHBOURS + 1):
-            right = np.arange(max(old, back), len(h))
-            left = right - back
-            good = (h[left] == h[right]) & (label[left] != label[right]) & may_link(size[left], at[left], size[right], at[right])
-            a.append(sets[left[good]])
-            b.append(sets[right[good]])
-        a, b = np.concatenate(a), np.concatenate(b)
-        pairs = np.unique(np.column_stack([np.minimum(a, b), np.maximum(a, b)]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-        rest = [c[-ROUND_NEIGHBOURS:] for c in (h, label, sets, place)]
-
-
-def crossing_pairs(batches):
-    """Pairs (a, b) of sets from rows (h, label, set, place) sorted by h: all that may link and have different labels."""
-
-    def emit(label, sets, place):
-        size, at = place >> 32, place & 0xFFFFFFFF
-        for i in range(1, len(sets)):
-            good = (label[:i] != label[i]) & may_link(size[:i], at[:i], size[i], at[i])
-            if good.any():
-                other = sets[:i][good]
-                yield np.minimum(other, sets[i]), np.maximum(other, sets[i])
-
-    def out(pairs):
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*pairs, strict=True)], names=["a", "b"])
-
-    rest, pairs, n = None, [], 0
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        now = [np.asarray(batch.column(i)) for i in range(4)]
-        rest = now if rest is None else [np.concatenate(c) for c in zip(rest, now, strict=True)]
-        cut = int(np.searchsorted(rest[0], rest[0][-1]))
-        whole, rest = [c[:cut] for c in rest], [c[cut:] for c in rest]
-        for a, b in _runs(whole, emit):
-            pairs.append((a, b))
-            n += len(a)
-            if n > 100_000:
-                yield out(pairs)
-                pairs, n = [], 0
-    if rest is not None:
-        pairs += list(_runs(rest, emit))
-    if pairs:
-        yield out(pairs)
-
-
-def _runs(columns, emit):
-    h = columns[0]
-    if not len(h):
-        return
-    ends = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
-    low = 0
-    for high in ends.tolist():
-        yield from emit(*(c[low:high] for c in columns[1:]))
-        low = high
-
-
-def sets_of(docs: DataFrame, ids: DataFrame, order=None) -> DataFrame:
-    """Rows (set, n, shingles, prefix) of the documents with these ids: 32 bits of each shingle, or 64 and no prefix without an order."""
-    narrow = order is not None
-    kind = "int" if narrow else "long"
-
-    def whole(batches):
-        for batch in batches:
-            for piece in parts(batch, 0):
-                values, ends = shingles(*bytes_of(piece.column(0)))
-                sets, n = digest(values, ends, 0x1234567), np.diff(ends)
-                cut = lambda v: (v >> np.uint64(32)).astype(np.uint32).view(np.int32) if narrow else v.view(np.int64)
-                length = prefix_length(n) * narrow
-                cuts = np.concatenate([[0], np.cumsum(length)])
-                at = np.repeat(ends[:-1], length) + np.arange(cuts[-1]) - np.repeat(cuts[:-1], length)
-                first = prefixed(values, ends, *order.value)[at] if narrow else values[:0]
-                lists = [pa.ListArray.from_arrays(pa.array(e.astype(np.int32)), pa.array(cut(v))) for e, v in ((ends, values), (cuts, first))]
-                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(n), *lists], names=["set", "n", "shingles", "prefix"])
+def needed(n1, n2):
+    """The intersection that sets of these sizes need to link."""
+    return -(-(n1 + n2) * LESS // (LESS + MORE))
 
-    chosen = only(docs.select("doc_id", text_or_empty().alias("text")), ids, "doc_id", "doc_id")
-    return chosen.select("text").mapInArrow(lean(whole), f"set long, n long, shingles array<{kind}>, prefix array<{kind}>")
 
+def bit_rows(row: np.ndarray, token: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bits of each row, one column for each token that two rows have at least; the rows and columns of these)."""
+    _, column, count = np.unique(token, return_inverse=True, return_counts=True)
+    shared = count[column] >= 2
+    place = np.cumsum(count >= 2) - 1
+    row, column = row[shared], place[column[shared]]
+    bits = np.zeros((rows, max(1, -(-int((count >= 2).sum()) // 64))), dtype=np.uint64)
+    np.bitwise_or.at(bits, (row, column >> 6), np.uint64(1) << (column & 63).astype(np.uint64))
+    return bits, row, column
 
-def meeting(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
-    """Pairs (a stored table) with the column of both their sets, as x and y, and their sizes. Only sets that a pair names are moved."""
-    few = pairs.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS // 2
-    ends = pairs.select(F.col("a").alias("_end")).union(pairs.select("b")).distinct()
-    mine = sets.select("set", "n", column).join(F.broadcast(ends) if few else ends, F.col("set") == F.col("_end"), "left_semi")
-    left = mine.select(F.col("set").alias("a"), F.col("n").alias("n1"), F.col(column).alias("x"))
-    right = mine.select(F.col("set").alias("b"), F.col("n").alias("n2"), F.col(column).alias("y"))
-    return left.join(F.broadcast(pairs) if few else pairs, "a").join(right, "b")
 
+def merge(part: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Component numbers after the links i - j."""
+    while (differ := part[i] != part[j]).any():
+        low, high = np.minimum(part[i], part[j])[differ], np.maximum(part[i], part[j])[differ]
+        to = np.arange(int(part.max()) + 1)
+        np.minimum.at(to, high, low)
+        while (to[to] != to).any():
+            to = to[to]
+        part = to[part]
+    return part
 
-NEED = f"((n1 + n2) * {LESS} + {LESS + MORE - 1}) div {LESS + MORE}"
-#: How far 32 bits may be wrong: many times the chance collisions to expect.
-ROOM = "3 + n1 * n2 div 536870912"
 
+class Tile:
+    """Sets that are compared with each other in one task, and the components that they have so far.
 
-def promising(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Stored pairs that share enough of their prefixes.
-
-    Two sets that link have their first common shingles in both prefixes: all but those that the shingles
-    without partner, n - need at most, can push beyond a prefix's end.
+    Each member has a label (of the component that it is known to be in), a tile, a mark of what it has been
+    compared with already, and its shingles, rare ones first. Pairs of one label or mark are not compared, nor,
+    where the members come from two tiles, pairs from the same one.
     """
-    least = F.least(*[F.expr(f"{n} - ({n} * {LESS} + {MORE - 1}) div {MORE} + 1 - {n} + {NEED}") for n in ("n1", "n2")])
-    shared = F.size(F.array_intersect("x", "y"))
-    return store(meeting(pairs, sets, "prefix").where(shared >= least - F.expr(ROOM)).select("a", "b"), "jaccard-promising")
-
-
-def compared(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, over, room): shingles that the intersection has beyond what a link needs, and how far it may be wrong."""
-    over = F.size(F.array_intersect("x", "y")) - F.expr(NEED)
-    return meeting(pairs, sets, "shingles").select("a", "b", over.alias("over"), F.expr(ROOM).alias("room"))
-
-
-class Links:
-    """Verified links of sets, and the pairs that 32 bits of each shingle leave open."""
-
-    def __init__(self, docs: DataFrame, groups: DataFrame, sets: DataFrame):
-        self.docs, self.groups, self.sets = docs, groups, sets
-        self.tables: list[DataFrame] = []
-        self.open: list[DataFrame] = []
-
-    def add(self, pairs: DataFrame, prefixes_first: bool) -> DataFrame:
-        """Compare stored pairs; 32 bits decide unless the intersection is within `room` of what a link needs."""
-        found = store(compared(promising(pairs, self.sets) if prefixes_first else pairs, self.sets), "jaccard-compared")
-        sure = found.where("over >= room").select("a", "b")
-        self.tables.append(sure)
-        self.open.append(found.where("abs(over) < room").select("a", "b"))
-        return sure
-
-    def settle(self, labels: DataFrame) -> None:
-        """Decide by 64 bits the open pairs whose sets have different labels."""
-        near = self.open.pop()
-        while self.open:
-            near = near.unionByName(self.open.pop())
-        one, two = labels.select(F.col("node").alias("a"), F.col("label").alias("p")), labels.select(F.col("node").alias("b"), F.col("label").alias("q"))
-        near = near.join(one, "a", "left").join(two, "b", "left").where("coalesce(p, a) != coalesce(q, b)").select("a", "b").distinct()
-        near = store(near, "jaccard-near")
-        ends = near.select(F.col("a").alias("set")).union(near.select("b")).distinct()
-        ids = store(self.groups.join(ends, "set", "left_semi").select("doc_id").distinct(), "jaccard-near-ids")
-        if ids.limit(1).count():
-            wide = store(sets_of(self.docs, ids), "jaccard-wide")
-            self.tables.append(store(compared(near, wide).where("over >= 0").select("a", "b"), "jaccard-links"))
-
-    def labels(self) -> DataFrame:
-        edges = self.tables[0]
-        for t in self.tables[1:]:
-            edges = edges.unionByName(t)
-        return components(edges)
-
-
-def linked(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
 
-    Words are runs of other characters than `[\\x20\\x09-\\x0D]`, A-Z lower-cased; a document's set has its distinct
-    shingles of five words, or its whole sequence of fewer; 64-bit hashes stand for shingles. Sets link from
-    similarity 0.75 on, and component_id is the smallest doc_id reachable by links. Documents without words
-    (null text too) have an empty set and link with nothing. Equal texts share a set. Rows that repeat a doc_id
-    take part each with their own text; null ids are never the smallest unless a component has no other, and then
-    its id is null. An empty table gives no row; other columns are ignored.
-
-    1. Shingles frequent in blocks of documents are counted; they come last in the common order, so that
-       passages many documents share are seldom in a prefix.
-    2. Documents of equal size and prefix form a group. A task sends a group's prefix on once, to where the
-       prefix's shingles meet; groups in a run of one shingle pass the size and position filters.
-    3. Members are expanded and verified. In long runs and large groups each first meets one representative;
-       that mostly joins them, and no pair inside a component needs checking. All pairs that are left between
-       different components are then verified, so no link that matters is lost.
-    4. Components come from stored edge tables.
+    def __init__(self, label: np.ndarray, tile: np.ndarray, mark: np.ndarray, shingles: np.ndarray, ends: np.ndarray):
+        self.names, self.part = np.unique(label, return_inverse=True)
+        self.label_of, self.across = self.part.copy(), len(np.unique(tile)) > 1
+        self.tile, self.mark, self.n = tile, mark, np.diff(ends)
+        self.prefix = prefix_length(self.n)
+        row = np.repeat(np.arange(len(self.n)), self.n)
+        self.bits, _, _ = bit_rows(row, shingles, len(self.n))
+        ahead = np.arange(len(shingles)) - np.repeat(ends[:-1], self.n) < self.prefix[row]
+        self.first, self.row, self.column = bit_rows(row[ahead], shingles[ahead], len(self.n))
+
+    def open(self, i, j):
+        """Which of these pairs are to be compared, by labels, marks, tiles and sizes."""
+        n1, n2 = self.n[i], self.n[j]
+        good = (self.part[i] != self.part[j]) & (self.mark[i] != self.mark[j]) & (LESS * np.maximum(n1, n2) <= MORE * np.minimum(n1, n2))
+        return good & (self.tile[i] != self.tile[j]) if self.across else good
+
+    def least(self, i, j):
+        """So many first shingles are shared by two sets that link: all common ones but those that their other shingles can push beyond a prefix."""
+        need = needed(self.n[i], self.n[j])
+        return np.minimum(self.prefix[i] - self.n[i], self.prefix[j] - self.n[j]) + need
+
+    def verify(self, i, j) -> None:
+        """Compare these pairs in full."""
+        step = max(1, 2_000_000 // self.bits.shape[1])
+        for low in range(0, len(i), step):
+            a, b = i[low : low + step], j[low : low + step]
+            still = self.part[a] != self.part[b]
+            a, b = a[still], b[still]
+            linked = np.bitwise_count(self.bits[a] & self.bits[b]).sum(axis=1, dtype=np.int64) >= needed(self.n[a], self.n[b])
+            if linked.any():
+                self.part = merge(self.part, a[linked], b[linked])
+
+    def compare(self) -> tuple[np.ndarray, np.ndarray]:
+        """Compare all pairs that can link; labels that turned out to be of one component, each with the least of them."""
+        members = len(self.n)
+        count = np.bincount(self.column) if len(self.column) else np.zeros(0, dtype=np.int64)
+        listed = int((count * (count - 1) // 2).sum())
+        if listed * 100 < members * (members - 1) // 2 * self.first.shape[1]:
+            self.compare_listed(count)
+        else:
+            self.compare_rows()
+        best = np.full(int(self.part.max()) + 1, np.iinfo(np.int64).max)
+        np.minimum.at(best, self.part, self.names[self.label_of])
+        a, b = self.names[self.label_of], best[self.part]
+        return a[a != b], b[a != b]
+
+    def compare_rows(self) -> None:
+        """Each member with all behind it: for members that have much in common."""
+        every = np.arange(len(self.n))
+        for i in range(len(self.n) - 1):
+            j = every[i + 1 :][self.open(i, every[i + 1 :])]
+            step = max(1, 4_000_000 // self.first.shape[1])
+            for low in range(0, len(j), step):
+                k = j[low : low + step]
+                k = k[np.bitwise_count(self.first[k] & self.first[i]).sum(axis=1, dtype=np.int64) >= self.least(i, k)]
+                if len(k):
+                    self.verify(np.full(len(k), i), k)
+
+    def compare_listed(self, count: np.ndarray) -> None:
+        """Pairs from the lists of the shingles' members: for members that have little in common."""
+        order = np.argsort(self.column, kind="stable")
+        row, column = self.row[order], self.column[order]
+        index = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+        pairs = []
+        for back in range(1, int(count.max(initial=1))):
+            right = np.flatnonzero(index >= back)
+            pairs.append(row[right - back] * len(self.n) + row[right])
+        if pairs:
+            pair, shared = np.unique(np.concatenate(pairs), return_counts=True)
+            i, j = pair // len(self.n), pair % len(self.n)
+            good = self.open(i, j) & (shared >= self.least(i, j))
+            self.verify(i[good], j[good])
+
+
+def compared(batches):
+    """(a, b): labels found to be of one component, from rows (key, tile, set, label, mark, shingles) sorted by key, tile and set."""
+
+    def links(block):
+        set_, tile = np.asarray(block.column(2)), np.asarray(block.column(1))
+        new = np.ones(len(set_), dtype=bool)
+        new[1:] = (set_[1:] != set_[:-1]) | (tile[1:] != tile[:-1])
+        if not new.all():
+            block = block.filter(pa.array(new))
+        if block.num_rows < 2:
+            return None
+        tile, label, mark = (np.asarray(block.column(i)) for i in (1, 3, 4))
+        lists = block.column(5)
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        shingles = lists.values.to_numpy()[ends[0] : ends[-1]]
+        return Tile(label, tile, mark, shingles, ends - ends[0]).compare()
+
+    def out(found):
+        a, b = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    rest, found, held = [], [], 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        key = np.asarray(batch.column(0))
+        ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+        if rest and np.asarray(rest[0].column(0))[0] != key[0]:
+            ends = np.insert(ends, 0, 0)
+        low = 0
+        for high in ends.tolist():
+            if high > low:
+                rest.append(batch.slice(low, high - low))
+            if high < len(key):
+                if (edges := links(pa.concat_batches(rest))) is not None:
+                    found.append(edges)
+                    held += len(edges[0])
+                rest = []
+            low = high
+        if held > 100_000:
+            yield out(found)
+            found, held = [], 0
+    if rest and (edges := links(pa.concat_batches(rest))) is not None:
+        found.append(edges)
+    if found:
+        yield out(found)
+
+
+def compare(docs: DataFrame, chosen: DataFrame, order) -> DataFrame:
+    """Stored (a, b): labels found to be of one component. `chosen`, a stored table: doc_id and tid of a document of each set, set, label, mark, tile, keys, tokens.
+
+    The shingles of each chosen set are made where its text is read, and go to the tasks of its keys.
     """
     spark = docs.sparkSession
+
+    def shingled(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for piece in parts(batch, 0):
+                values, ends = shingles(*bytes_of(piece.column(0)))
+                named, n = np.asarray(piece.column(1)), np.diff(ends)
+                mine = digest(values, ends, SET_SALT).view(np.int64) == named  # a doc_id may have several texts
+                for i, s in enumerate(named.tolist()):
+                    if mine[i]:
+                        mine[i] = s not in seen
+                        seen.add(s)
+                if len(seen) > 300_000:
+                    seen.clear()
+                ordered = prefixed(values, ends, *order.value)
+                chosen_rows = np.flatnonzero(mine)
+                keys = piece.column(5).take(pa.array(chosen_rows))
+                times = np.diff(keys.offsets.to_numpy())
+                row = np.repeat(chosen_rows, times)
+                low = 0
+                while low < len(row):  # slices of bounded size, a long set alone
+                    high = low + max(1, int(np.searchsorted(np.cumsum(n[row[low:]]), SLICE_TOKENS, side="right")))
+                    part = row[low:high]
+                    cuts = np.concatenate([[0], np.cumsum(n[part])])
+                    at = np.arange(cuts[-1]) - np.repeat(cuts[:-1] - ends[:-1][part], n[part])
+                    lists = pa.ListArray.from_arrays(pa.array(cuts.astype(np.int32)), pa.array(ordered[at].view(np.int64)))
+                    take = pa.array(part)
+                    yield pa.RecordBatch.from_arrays([keys.flatten().slice(low, high - low), *(piece.column(c).take(take) for c in (4, 1, 2, 3)), lists], names=["key", "tile", "set", "label", "mark", "shingles"])
+                    low = high
+
+    wanted = chosen.select(F.col("doc_id").alias("_id"), F.col("tid").alias("_tid"), "set", "label", "mark", "tile", "keys")
+    few = chosen.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS // 4
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    mine = texts.join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_tid")))
+    rows = mine.select("text", "set", "label", "mark", "tile", "keys").mapInArrow(lean(shingled), "key long, tile long, set long, label long, mark long, shingles array<long>")
+    moved = chosen.agg(F.sum(F.col("n") * F.size("keys"))).first()[0] or 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-moved // TASK_TOKENS))
+    rows = rows.repartition(tasks, "key").sortWithinPartitions("key", "tile", "set")
+    return store(rows.mapInArrow(lean(compared), "a long, b long"), "jaccard-links")
+
+
+def tiles_for(tokens, sets):
+    """So many tiles of bounded size hold these."""
+    return F.greatest(F.ceil(tokens / F.lit(TILE_TOKENS)), F.ceil(sets / F.lit(TILE_SETS)), F.lit(1)).cast("long")
+
+
+def relabelled(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """state with the labels that edges between labels lead to."""
+    labels = components(edges).select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    return store(state.join(labels, "label", "left").withColumn("label", F.coalesce("_to", "label")).drop("_to").select(*state.columns), "jaccard-state")
+
+
+def unfinished(state: DataFrame, units: DataFrame) -> DataFrame | None:
+    """Stored (h, group): the groups of units (and groups by themselves) with members of several labels that have several marks, or None."""
+    ranges = [f(c).alias(f"{n}_{c}") for c in ("label", "mark") for f, n in ((F.min, "low"), (F.max, "high"))]
+    wider = [f(f"{n}_{c}").alias(f"{n}_{c}") for c in ("label", "mark") for f, n in ((F.min, "low"), (F.max, "high"))]
+    torn = "low_label != high_label AND low_mark != high_mark"
+    groups = state.groupBy("group").agg(*ranges)
+    across = units.join(groups, "group").groupBy("h").agg(*wider).where(torn).select("h")
+    found = store(units.join(across, "h").unionByName(groups.where(torn).select(F.col("group").alias("h"), "group")), "jaccard-open")
+    return found if found.limit(1).count() else None
+
+
+def linked_rows(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, tid (a hash of its text), n_shingles, component_id. See `linked`."""
+    spark = docs.sparkSession
     bounded_batches(spark)
     often, counts, total = frequent_shingles(docs)
     shared = spark.sparkContext.broadcast((often, counts))
@@ -387,14 +441,14 @@ def linked(docs: DataFrame) -> DataFrame:
             for piece in parts(batch, 1):
                 values, ends = shingles(*bytes_of(piece.column(1)))
                 n = np.diff(ends)
-                sets = digest(values, ends, 0x1234567)
+                sets = digest(values, ends, SET_SALT)
                 ordered = prefixed(values, ends, often, counts)
                 length = prefix_length(n)
                 cuts = np.concatenate([[0], np.cumsum(length)])
                 text = np.repeat(np.arange(len(n)), length)
                 position = np.arange(cuts[-1]) - np.repeat(cuts[:-1], length)
                 tokens = ordered[ends[:-1][text] + position]
-                group = digest(tokens, cuts, 0x7654321) ^ mix64(n.astype(np.uint64))
+                group = digest(tokens, cuts, GROUP_SALT) ^ mix64(n.astype(np.uint64))
                 fresh = np.zeros(len(n), dtype=bool)
                 for i, g in enumerate(group.tolist()):
                     if n[i] and g not in seen:
@@ -402,88 +456,122 @@ def linked(docs: DataFrame) -> DataFrame:
                         fresh[i] = True
                 if len(seen) > 300_000:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(group.view(np.int64)), pa.array(-1 - n), piece.column(0)], names=["h", "pack", "place", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(sets.view(np.int64)), pa.array(group.view(np.int64)), pa.array(-1 - n), piece.column(0), piece.column(2)], names=["h", "pack", "place", "doc_id", "tid"])
                 mine = fresh[text]
                 rows = [tokens[mine].view(np.int64), group[text[mine]].view(np.int64), n[text[mine]] << 32 | position[mine]]
-                yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.nulls(len(rows[0]), piece.column(0).type)], names=["h", "pack", "place", "doc_id"])
+                yield pa.RecordBatch.from_arrays([*(pa.array(r) for r in rows), pa.nulls(len(rows[0]), piece.column(0).type), pa.nulls(len(rows[0]), pa.int64())], names=["h", "pack", "place", "doc_id", "tid"])
 
     tasks = max(spark.sparkContext.defaultParallelism, -(-total // (4 * TASK_ROWS)))
-    rows = docs.select("doc_id", text_or_empty().alias("text")).mapInArrow(lean(prefixes), f"{PREFIX}, doc_id {id_type}")
+    texts = docs.select("doc_id", text_or_empty().alias("text"))
+    rows = texts.select("doc_id", "text", F.xxhash64("text").alias("tid")).mapInArrow(lean(prefixes), f"{PREFIX}, doc_id {id_type}, tid long")
     rows = rows.repartition(tasks, "h").sortWithinPartitions("h", "place", "pack")
-    joined = store(rows.mapInArrow(lean(run_pairs), f"kind long, a long, b long, c long, doc_id {id_type}"), "jaccard-runs")
+    joined = store(rows.mapInArrow(lean(run_pairs), f"kind long, a long, b long, c long, doc_id {id_type}, tid long"), "jaccard-runs")
 
-    members = joined.where("kind = 2").select("doc_id", F.col("a").alias("set"), F.col("b").alias("group"), (-1 - F.col("c")).alias("n"))
+    members = joined.where("kind = 2").select("doc_id", "tid", F.col("a").alias("set"), F.col("b").alias("group"), (-1 - F.col("c")).alias("n"))
     pairs = joined.where("kind = 0").select("a", "b").distinct()
-    runs = joined.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("group"), F.col("c").alias("place")).distinct()
-    groups = members.where("n > 0").groupBy("set", "group", "n").agg(F.min("doc_id").alias("doc_id"))
-    groups = groups.withColumn("lead", F.min("set").over(Window.partitionBy("group")))
-    groups = store(groups, "jaccard-groups")
-    lead = groups.where("set = lead").select("group", "set")
-    first = pairs.join(lead.select(F.col("group").alias("a"), F.col("set").alias("x")), "a").join(lead.select(F.col("group").alias("b"), F.col("set").alias("y")), "b")
-    first = first.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    inner = groups.where("set != lead").select(F.col("lead").alias("a"), F.col("set").alias("b"))
-    first = store(first.unionByName(inner), "jaccard-first")
-
-    wanted = first.select(F.col("a").alias("set")).union(first.select("b")).union(groups.join(runs.select("group").distinct(), "group", "left_semi").select("set"))
-    several = groups.where("set != lead").select("group").distinct()
-    partner = pairs.select("a", "b").join(several.withColumnRenamed("group", "a"), "a", "left_semi").unionByName(pairs.select("a", "b").join(several.withColumnRenamed("group", "b"), "b", "left_semi")).distinct()
-    ids = store(groups.join(wanted.distinct(), "set", "left_semi").select("doc_id").distinct(), "jaccard-wanted")
-    sets = store(sets_of(docs, ids, shared), "jaccard-sets")
-
-    links = Links(docs, groups, sets)
-    links.add(first, True)
-    labels = links.labels()
-
-    # The members of a group meet like those of a run: the group itself stands for the shingle that they share.
-    within = groups.join(several, "group", "left_semi").select(F.col("group").alias("h"), "group", (F.col("n") * (1 << 32)).alias("place"), "set")
-
-    def crossing():
-        """Rows (h, label, set, place) of the runs and groups whose members still have several labels."""
-        labelled = groups.join(labels.withColumnRenamed("node", "set"), "set", "left").select("set", "group", F.coalesce("label", "set").alias("label"))
-        labelled = store(labelled, "jaccard-labelled")
-        met = runs.join(labelled, "group").select("h", "label", "set", "place").unionByName(within.join(labelled, ["set", "group"]).select("h", "label", "set", "place"))
-        torn = met.groupBy("h").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low != high").select("h")
-        return labelled, met.join(torn, "h")
-
-    for turn in range(ROUNDS):
-        labelled, rows = crossing()
-        few = F.row_number().over(Window.partitionBy("set").orderBy(F.xxhash64("h", F.lit(turn))))
-        rows = rows.withColumn("_run", few).where(f"_run <= {ROUND_RUNS}").drop("_run")
-        near = rows.repartition("h").sortWithinPartitions("h", F.xxhash64("set", "h", F.lit(turn))).mapInArrow(lean(near_pairs), "a long, b long")
-        near = store(near.distinct(), "jaccard-round")
-        met = near.count()
-        if met == 0:
-            break
-        found = links.add(near, False).count()
-        if found:
-            labels = links.labels()
-        if found < ROUND_YIELD * met:
-            break
-
-    links.settle(labels)
-    labels = links.labels()
-    labelled, rows = crossing()
-    left_over = rows.repartition("h").sortWithinPartitions("h", "place", "set").mapInArrow(lean(crossing_pairs), "a long, b long")
-    one = labelled.select(F.col("group").alias("a"), F.col("set").alias("x"), F.col("label").alias("p"))
-    two = labelled.select(F.col("group").alias("b"), F.col("set").alias("y"), F.col("label").alias("q"))
-    expanded = partner.join(one, "a").join(two, "b").where("p != q").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
-    second = store(left_over.unionByName(expanded).distinct(), "jaccard-second")
-    if second.limit(1).count():
-        links.add(second, False)
-        links.settle(links.labels())
-        labels = links.labels()
-
-    owner = groups.join(labels.withColumnRenamed("node", "set"), "set").select("set", "label", "doc_id")
-    smallest = owner.groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    of_set = groups.join(labels.withColumnRenamed("node", "set"), "set", "left").join(smallest, "label", "left")
-    of_set = of_set.select("set", F.coalesce("component_id", "doc_id").alias("component_id"))
-    full = members.where("n > 0").join(of_set, "set").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    empty = members.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    runs = joined.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("group")).distinct()
+    # A unit is a run or a pair of groups: whoever links, meets in a unit or a group.
+    units = store(runs.unionByName(pairs.select(F.xxhash64("a", "b").alias("h"), F.explode(F.array("a", "b")).alias("group"))), "jaccard-units")
+    some = members.where("n > 0").groupBy("set", "group", "n").agg(F.min("doc_id").alias("smallest"), F.min(F.struct("doc_id", "tid")).alias("one"))
+    groups = store(some.select("set", "group", "n", "smallest", F.col("one.doc_id").alias("doc_id"), F.col("one.tid").alias("tid")), "jaccard-groups")
+
+    # Groups that meet come together in clusters: the least group within a few steps. Only the places of work depend on it.
+    near = units.groupBy("group").agg(F.min("group").alias("cluster"))
+    for _ in range(CLUSTER_STEPS):
+        low = units.join(near, "group").groupBy("h").agg(F.min("cluster").alias("cluster"))
+        near = units.join(low, "h").groupBy("group").agg(F.min("cluster").alias("cluster"))
+    alone = groups.groupBy("group").agg(F.count("*").alias("sets")).where("sets > 1").select("group", F.col("group").alias("cluster"))
+    clusters = store(near.unionByName(alone).groupBy("group").agg(F.min("cluster").alias("cluster")), "jaccard-clusters")
+    placed = groups.join(clusters, "group")
+    load = placed.groupBy("cluster").agg(F.sum("n").alias("tokens"), F.count("*").alias("sets")).select("cluster", tiles_for(F.col("tokens"), F.col("sets")).alias("tiles"))
+    of_tile = lambda turn: F.when(F.col("tiles") == 1, F.col("cluster")).otherwise(F.xxhash64("cluster", F.pmod(F.xxhash64("set", F.lit(turn)), F.col("tiles"))))
+    state = placed.join(load, "cluster").select("set", "group", "n", "doc_id", "tid", "cluster", "tiles", F.col("set").alias("label"), of_tile(0).alias("mark"))
+    state = store(state, "jaccard-state")
+
+    # All pairs of a tile are compared. Tiles are disjoint, so what each one finds are components already.
+    chosen = state.select("doc_id", "tid", "set", "n", "label", F.col("set").alias("mark"), F.col("mark").alias("tile"), F.array("mark").alias("keys"))
+    found = compare(docs, store(chosen, "jaccard-chosen"), shared)
+    state = state.drop("label").join(found.select(F.col("a").alias("set"), F.col("b").alias("_to")), "set", "left").withColumn("label", F.coalesce("_to", "set")).drop("_to")
+    state = store(state, "jaccard-state")
+
+    open_ = unfinished(state, units)
+    if open_ is not None and state.where("tiles > 1").limit(1).count():
+        # Clusters of several tiles are dealt anew, so that large components come together before the rest is compared.
+        again = state.where("tiles > 1").join(open_.select("group").distinct(), "group", "left_semi")
+        chosen = again.select("doc_id", "tid", "set", "n", "label", "mark", of_tile(1).alias("tile"), F.array(of_tile(1)).alias("keys"))
+        found = compare(docs, store(chosen, "jaccard-chosen"), shared)
+        if found.limit(1).count():
+            state = relabelled(state, found)
+            open_ = unfinished(state, units)
+    if open_ is not None:
+        found = compare(docs, tile_pairs(state, open_), shared)
+        if found.limit(1).count():
+            state = relabelled(state, found)
+
+    labels = state.select("set", "label")
+    owner = groups.join(labels, "set", "left").select("set", "smallest", F.coalesce("label", "set").alias("label"))
+    least = owner.groupBy("label").agg(F.min("smallest").alias("component_id"))
+    of_set = owner.join(least, "label").select("set", "component_id")
+    full = members.where("n > 0").join(of_set, "set").select("doc_id", "tid", F.col("n").alias("n_shingles"), "component_id")
+    empty = members.where("n = 0").select("doc_id", "tid", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return full.unionByName(empty)
 
 
+def tile_pairs(state: DataFrame, open_: DataFrame) -> DataFrame:
+    """Stored rows for `compare`: the sets of open units in new tiles, and for each the pairs of tiles in which it is compared.
+
+    A label with many sets has tiles of its own, which needn't meet each other; labels with few share tiles.
+    Tiles meet if a unit has groups in both and their sizes allow a link.
+    """
+    left = state.join(open_.select("group").distinct(), "group", "left_semi")
+    load = left.groupBy("cluster", "label").agg(F.sum("n").alias("_tokens"), F.count("*").alias("_sets"))
+    load = load.withColumn("_own", (F.col("_tokens") * 2 > TILE_TOKENS) | (F.col("_sets") * 2 > TILE_SETS))
+    pool = load.where("NOT _own").groupBy("cluster").agg(F.sum("_tokens").alias("_tokens"), F.sum("_sets").alias("_sets")).select("cluster", tiles_for(F.col("_tokens"), F.col("_sets")).alias("_pool"))
+    load = load.join(pool, "cluster", "left").select("cluster", "label", "_own", F.when(F.col("_own"), tiles_for(F.col("_tokens"), F.col("_sets"))).otherwise(F.col("_pool")).alias("_tiles"))
+    own, shared = F.xxhash64("cluster", "label", F.pmod(F.xxhash64("set"), "_tiles")), F.xxhash64("cluster", F.pmod(F.xxhash64("label"), "_tiles"))
+    left = left.join(load, ["cluster", "label"]).withColumn("tile", F.when(F.col("_own"), own).otherwise(shared))
+    left = store(left.select("doc_id", "tid", "set", "group", "n", "label", "mark", "tile"), "jaccard-left")
+    of_tile = left.groupBy("tile").agg(F.min("n").alias("low"), F.max("n").alias("high"), F.min("label").alias("first"), F.max("label").alias("last"))
+    lists = open_.join(left.select("group", "tile").distinct(), "group").groupBy("h").agg(F.sort_array(F.collect_set("tile")).alias("tiles")).select("tiles").distinct()
+    met = lists.select("tiles", F.explode("tiles").alias("x")).select("x", F.explode(F.filter("tiles", lambda t: t >= F.col("x"))).alias("y")).distinct()
+    one, two = (of_tile.select(F.col("tile").alias(n), *[F.col(c).alias(f"{n}_{c}") for c in ("low", "high", "first", "last")]) for n in "xy")
+    met = met.join(one, "x").join(two, "y").where("NOT (x_first = x_last AND y_first = y_last AND x_first = y_first)")
+    met = met.where(f"x_low * {LESS} <= y_high * {MORE} AND y_low * {LESS} <= x_high * {MORE}").select("x", "y", F.xxhash64("x", "y").alias("key"))
+    met = store(met, "jaccard-tiles")
+    keys = met.select(F.col("x").alias("tile"), "key").unionByName(met.where("x != y").select(F.col("y").alias("tile"), "key")).groupBy("tile").agg(F.collect_list("key").alias("keys"))
+    return store(left.join(keys, "tile").select("doc_id", "tid", "set", "n", "label", "mark", "tile", "keys"), "jaccard-chosen")
+
+
+def linked(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id.
+
+    Words are runs of other characters than `[\\x20\\x09-\\x0D]`, A-Z lower-cased; a document's set has its distinct
+    shingles of five words, or its whole sequence of fewer; 64-bit hashes stand for shingles. Sets link from
+    similarity 0.75 on, and component_id is the smallest doc_id reachable by links. Documents without words
+    (null text too) have an empty set and link with nothing. Equal texts share a set. Rows that repeat a doc_id
+    take part each with their own text; null ids are never the smallest unless a component has no other, and then
+    its id is null. An empty table gives no row; other columns are ignored.
+
+    1. Shingles frequent in blocks of documents are counted; they come last in the common order, so that
+       passages many documents share are seldom in a prefix.
+    2. Documents of equal size and prefix form a group. A task sends a group's prefix on once, to where the
+       prefix's shingles meet; groups of a short run that pass the size and position filters are pairs.
+    3. Groups that meet form clusters, which are cut into tiles of bounded size. Their members' sets go to the
+       tile's task once; there pairs pass the size and prefix-count filters and are verified. What leaves the
+       task are the components found, never pairs.
+    4. Where a run, pair or group still has several components in several tiles, its sets are dealt anew, then
+       compared by pairs of tiles, all but those known to be of one component. So no link that matters is lost.
+    """
+    return linked_rows(docs).drop("tid")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that link, directly or through others, to one of smaller doc_id."""
-    gone = store(linked(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "jaccard-gone")
+    """The documents without those that link, directly or through others, to one of smaller doc_id.
+
+    Decided row by row: of rows that share a doc_id (null too) each goes or stays with its own text. Rows alike in
+    both share the decision.
+    """
+    gone = linked_rows(docs).where(~F.col("doc_id").eqNullSafe(F.col("component_id")))
+    gone = store(gone.select(F.col("doc_id").alias("_gone"), F.col("tid").alias("_tid")).distinct(), "jaccard-gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64(text_or_empty()) == F.col("_tid")), "left_anti")

@@ -373,6 +373,83 @@ def test_jaccard(docs, empty, odd, monkeypatch, small):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, (_, c) in got.items() if d == c}
 
 
+@pytest.mark.parametrize("sets", [2, 3])
+def test_jaccard_tiles(docs, odd, monkeypatch, sets):
+    """Clusters cut into tiny tiles: dealt anew, then compared by pairs of tiles."""
+    monkeypatch.setattr(jaccard_join, "TILE_SETS", sets)
+    monkeypatch.setattr(jaccard_join, "SLICE_TOKENS", 100)
+    monkeypatch.setattr(jaccard_join, "CLUSTER_STEPS", sets - 2)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(docs).collect()}
+    assert got == brute_components(texts_of(docs))
+    assert {(r.n_shingles, r.component_id) for r in jaccard_join.linked(odd).collect() if r.doc_id is None} == {(46, 1), (0, None)}
+
+
+def test_jaccard_under_the_threshold(spark, monkeypatch):
+    """Two thousand texts that all share much and mostly don't link: what is emitted grows with the texts, not with the pairs."""
+    monkeypatch.setattr(jaccard_join, "TILE_SETS", 600)
+    made = []
+    stored = jaccard_join.store
+    monkeypatch.setattr(jaccard_join, "store", lambda df, tag: made.append((tag, stored(df, tag))) or made[-1][1])
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(60)]
+    texts = {}
+    for i in range(2000):
+        words = list(base)
+        for at in (7, 22, 37, 52)[: 1 + (i % 50 > 0)]:
+            words[at] = f"x{i}"
+        if i % 50 == 1:
+            words[3] = f"y{i}"
+        texts[i] = " ".join(words[:58] if i % 3 else words)
+    df = spark.createDataFrame([(i, t) for i, t in texts.items()], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.linked(df).collect()}
+    assert got == brute_components(texts)
+    assert len({c for _, c in got.values()}) > 1500
+    for tag, table in made:
+        if tag not in ("jaccard-runs", "jaccard-frequent", "jaccard-units", "jaccard-sums", "jaccard-open"):  # these hold a row for each shingle of a prefix at most
+            assert table.count() <= 2 * len(texts), tag
+
+
+def brute_links(sets, label, mark, tile):
+    part = {x: x for x in label}
+
+    def root(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if mark[i] != mark[j] and (len(set(tile)) == 1 or tile[i] != tile[j]) and 100 * len(a & b) >= 75 * len(a | b):
+                x, y = root(label[i]), root(label[j])
+                part[max(x, y)] = min(x, y)
+    return {x: root(x) for x in label}
+
+
+@pytest.mark.parametrize("case", range(12))
+def test_tile_is_exact(case):
+    rng = random.Random(case)
+    size, alike, pools = rng.choice([3, 12, 60]), rng.choice([0.7, 0.9, 0.97]), rng.choice([1, 5])
+    sets = []
+    for _ in range(rng.choice([2, 9, 50])):
+        base = [1000 * rng.randrange(pools) + k for k in range(size)]
+        sets.append({b if rng.random() < alike else rng.randrange(10**6, 10**9) for b in base[: rng.randrange(max(1, size * 2 // 3), size + 1)]})
+    label = [rng.randrange(len(sets)) for _ in sets] if case % 2 else list(range(len(sets)))
+    mark = [rng.randrange(len(sets)) for _ in sets] if case % 3 else list(range(len(sets)))
+    tile = [rng.randrange(2) for _ in sets] if case % 4 == 3 else [0] * len(sets)
+    order = {x: rng.random() for x in set().union(*sets)}
+    ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    values = np.array([x for s in sets for x in sorted(s, key=order.get)], dtype=np.int64)
+    for way in ("compare", "rows", "listed"):
+        t = jaccard_join.Tile(np.array(label), np.array(tile), np.array(mark), values, ends)
+        if way != "compare":
+            t.compare_rows() if way == "rows" else t.compare_listed(np.bincount(t.column) if len(t.column) else np.zeros(0, dtype=np.int64))
+            t.compare_rows = t.compare_listed = lambda *_: None
+        a, b = t.compare()
+        got = {x: x for x in label} | dict(zip(a.tolist(), b.tolist(), strict=True))
+        assert got == brute_links(sets, label, mark, tile)
+
+
 def test_prefix_bound_holds():
     """Sets that just link share a shingle of their prefixes, at places that pass the filters, in any order."""
     rng = random.Random(2)
