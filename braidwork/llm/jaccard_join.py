@@ -17,7 +17,7 @@ LESS, MORE = 75, 100
 #: A shingle counts as frequent from this many documents of one block of a task on; so many are told apart at most.
 BLOCK_SHINGLES, BLOCK_COUNT, FREQUENT = 2_000_000, 2, 200_000
 #: Runs of up to this many groups give pairs of groups; longer ones stay runs.
-SMALL_RUN = 4
+SMALL_RUN = 12
 #: Steps from group to group within which a cluster is gathered.
 CLUSTER_STEPS = 2
 #: Shingles and sets of a tile, at most (a longer set stands alone).
@@ -127,7 +127,11 @@ def prefixed(values: np.ndarray, ends: np.ndarray, often: np.ndarray, counts: np
 def may_link(n1, at1, n2, at2):
     """Whether sets of these sizes, whose first common shingle is at these places of their orders, can link."""
     need = -(-(n1 + n2) * LESS // (LESS + MORE))
-    return (LESS * np.maximum(n1, n2) <= MORE * np.minimum(n1, n2)) & (at1 <= n1 - need) & (at2 <= n2 - need)
+    return similar_size(n1, n2) & (at1 <= n1 - need) & (at2 <= n2 - need)
+
+
+def similar_size(n1, n2):
+    return LESS * np.maximum(n1, n2) <= MORE * np.minimum(n1, n2)
 
 
 PREFIX = "h long, pack long, place long"
@@ -137,7 +141,7 @@ def run_pairs(batches):
     """Pairs of groups and long runs from rows (h, pack, place, doc_id, tid) sorted by h and place.
 
     place: size << 32 | position for prefix rows of groups (pack), -1 - n for members (h: set, pack: group), which
-    pass through. Yields kind 0: a pair (a, b) of groups of a short run; kind 1: a row (h, group) of a long run;
+    pass through. Yields kind 0: a pair (a, b) of groups and in how many short runs it is; kind 1: a row (h, group) of a long run;
     kind 2: a member (set, group, -1 - n) with its doc_id and tid.
     """
     doc_type = [pa.int64()]
@@ -160,18 +164,18 @@ def run_pairs(batches):
         big = np.repeat(length > SMALL_RUN, length)
         if long_h is not None:
             big |= h == long_h
-        size, at = place >> 32, place & 0xFFFFFFFF
+        size = place >> 32
         back = np.concatenate([np.full(int(((index >= d) & ~big).sum()), d) for d in range(1, max(SMALL_RUN, 2))])
         right = np.concatenate([np.flatnonzero((index >= d) & ~big) for d in range(1, max(SMALL_RUN, 2))])
         left = right - back
-        good = may_link(size[left], at[left], size[right], at[right]) & (group[left] != group[right])
+        good = similar_size(size[left], size[right]) & (group[left] != group[right])
         a, b = np.minimum(group[left[good]], group[right[good]]), np.maximum(group[left[good]], group[right[good]])
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         once = np.ones(len(a), dtype=bool)
         once[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
         if once.any():
-            yield out(0, a[once], b[once], np.zeros(int(once.sum()), dtype=np.int64))
+            yield out(0, a[once], b[once], np.diff(np.append(np.flatnonzero(once), len(a))))
         if big.any():
             yield out(1, h[big], group[big], place[big])
 
@@ -248,7 +252,7 @@ class Tile:
     def open(self, i, j):
         """Which of these pairs are to be compared, by labels, marks, tiles and sizes."""
         n1, n2 = self.n[i], self.n[j]
-        good = (self.part[i] != self.part[j]) & (self.mark[i] != self.mark[j]) & (LESS * np.maximum(n1, n2) <= MORE * np.minimum(n1, n2))
+        good = (self.part[i] != self.part[j]) & (self.mark[i] != self.mark[j]) & similar_size(n1, n2)
         return good & (self.tile[i] != self.tile[j]) if self.across else good
 
     def least(self, i, j):
@@ -468,12 +472,12 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     joined = store(rows.mapInArrow(lean(run_pairs), f"kind long, a long, b long, c long, doc_id {id_type}, tid long"), "jaccard-runs")
 
     members = joined.where("kind = 2").select("doc_id", "tid", F.col("a").alias("set"), F.col("b").alias("group"), (-1 - F.col("c")).alias("n"))
-    pairs = joined.where("kind = 0").select("a", "b").distinct()
     runs = joined.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("group")).distinct()
-    # A unit is a run or a pair of groups: whoever links, meets in a unit or a group.
-    units = store(runs.unionByName(pairs.select(F.xxhash64("a", "b").alias("h"), F.explode(F.array("a", "b")).alias("group"))), "jaccard-units")
     some = members.where("n > 0").groupBy("set", "group", "n").agg(F.min("doc_id").alias("smallest"), F.min(F.struct("doc_id", "tid")).alias("one"))
     groups = store(some.select("set", "group", "n", "smallest", F.col("one.doc_id").alias("doc_id"), F.col("one.tid").alias("tid")), "jaccard-groups")
+    pairs = sharing_pairs(joined.where("kind = 0"), runs, groups)
+    # A unit is a run or a pair of groups: whoever links, meets in a unit or a group.
+    units = store(runs.unionByName(pairs.select(F.xxhash64("a", "b").alias("h"), F.explode(F.array("a", "b")).alias("group"))), "jaccard-units")
 
     # Groups that meet come together in clusters: the least group within a few steps. Only the places of work depend on it.
     near = units.groupBy("group").agg(F.min("group").alias("cluster"))
@@ -517,6 +521,16 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     return full.unionByName(empty)
 
 
+def sharing_pairs(met: DataFrame, runs: DataFrame, groups: DataFrame) -> DataFrame:
+    """(a, b): pairs of groups whose prefixes may share enough shingles for a link: those of their short runs and, at best, all that either has in long runs."""
+    long_runs = runs.groupBy("group").agg(F.count("*").alias("long"))
+    about = groups.select("group", "n").distinct().join(long_runs, "group", "left").select("group", "n", F.coalesce("long", F.lit(0)).alias("long"))
+    one, two = (about.select(F.col("group").alias(g), F.col("n").alias(f"n_{g}"), F.col("long").alias(f"long_{g}")) for g in "ab")
+    pairs = met.groupBy("a", "b").agg(F.sum("c").alias("shared")).join(one, "a").join(two, "b")
+    need = f"((n_a + n_b) * {LESS} + {LESS + MORE - 1}) div {LESS + MORE}"
+    return pairs.where(f"shared + least(long_a, long_b) >= {need} + 1 - (greatest(n_a, n_b) * {LESS} + {MORE - 1}) div {MORE}").select("a", "b")
+
+
 def tile_pairs(state: DataFrame, open_: DataFrame) -> DataFrame:
     """Stored rows for `compare`: the sets of open units in new tiles, and for each the pairs of tiles in which it is compared.
 
@@ -555,7 +569,8 @@ def linked(docs: DataFrame) -> DataFrame:
     1. Shingles frequent in blocks of documents are counted; they come last in the common order, so that
        passages many documents share are seldom in a prefix.
     2. Documents of equal size and prefix form a group. A task sends a group's prefix on once, to where the
-       prefix's shingles meet; groups of a short run that pass the size and position filters are pairs.
+       prefix's shingles meet; groups of short runs are pairs, if sizes and the number
+       of shingles that their prefixes may share allow a link.
     3. Groups that meet form clusters, which are cut into tiles of bounded size. Their members' sets go to the
        tile's task once; there pairs pass the size and prefix-count filters and are verified. What leaves the
        task are the components found, never pairs.
