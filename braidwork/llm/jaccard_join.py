@@ -18,6 +18,8 @@ LESS, MORE = 75, 100
 BLOCK_SHINGLES, BLOCK_COUNT, FREQUENT = 2_000_000, 2, 200_000
 #: Runs of up to this many groups give pairs of groups; longer ones stay runs.
 SMALL_RUN = 12
+#: Longer runs than this are not thinned.
+THINNED_RUN = 1000
 #: Steps from group to group within which a cluster is gathered.
 CLUSTER_STEPS = 2
 #: Shingles and sets of a tile, at most (a longer set stands alone).
@@ -203,6 +205,63 @@ def run_pairs(batches):
         yield from emit(*(np.concatenate(c) for c in zip(*held, strict=True)), long_h)
 
 
+def thinned(batches):
+    """Units (h, group) from rows (h, group, place, long) of long runs, sorted by h; long: the group's number of long runs.
+
+    A pair that short runs don't have shares shingles of long runs only, no more than either group has, and passes the
+    position filter in the run of the first one. Groups without such a partner leave the run; a run with fewer
+    such pairs than groups becomes these pairs.
+    """
+
+    def emit(h, group, place, long):
+        size, at = place >> 32, place & 0xFFFFFFFF
+        low = 0
+        for high in np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h)).tolist():
+            one = slice(low, high)
+            if high - low > THINNED_RUN:
+                yield h[one], group[one]
+            else:
+                i, j = np.triu_indices(high - low, 1)
+                i, j = i + low, j + low
+                good = may_link(size[i], at[i], size[j], at[j])
+                i, j = i[good], j[good]
+                good = np.minimum(long[i], long[j]) >= needed(size[i], size[j]) + np.minimum(prefix_length(size[i]) - size[i], prefix_length(size[j]) - size[j])
+                i, j = i[good], j[good]
+                if len(i) >= high - low:
+                    kept = np.unique(np.concatenate([i, j]))
+                    yield h[kept], group[kept]
+                elif len(i):
+                    pair = mix64(mix64(np.minimum(group[i], group[j]).view(np.uint64)) + np.maximum(group[i], group[j]).view(np.uint64)).view(np.int64)
+                    yield np.concatenate([pair, pair]), np.concatenate([group[i], group[j]])
+            low = high
+
+    def out(found):
+        h, group = (np.concatenate(c) for c in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(h), pa.array(group)], names=["h", "group"])
+
+    rest, passed = [np.empty(0, dtype=np.int64)] * 4, None
+    for batch in batches:
+        h, group, place, long = now = [np.concatenate([r, np.asarray(batch.column(i))]) for i, r in enumerate(rest)]
+        if not len(h):
+            continue
+        cut = int(np.searchsorted(h, h[-1]))
+        ended = [c[:cut] for c in now]
+        if passed is not None and cut:
+            going = ended[0] == passed
+            if going.any():
+                yield out([(ended[0][going], ended[1][going])])
+                ended = [c[~going] for c in ended]
+            passed = None
+        if len(ended[0]) and (found := list(emit(*ended))):
+            yield out(found)
+        rest = [c[cut:] for c in now]
+        if len(rest[0]) > THINNED_RUN or passed is not None:  # it is passed on as it comes
+            yield out([(rest[0], rest[1])])
+            passed, rest = h[-1], [c[:0] for c in rest]
+    if len(rest[0]) and (found := list(emit(*rest))):
+        yield out(found)
+
+
 def needed(n1, n2):
     """The intersection that sets of these sizes need to link."""
     return -(-(n1 + n2) * LESS // (LESS + MORE))
@@ -472,12 +531,15 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     joined = store(rows.mapInArrow(lean(run_pairs), f"kind long, a long, b long, c long, doc_id {id_type}, tid long"), "jaccard-runs")
 
     members = joined.where("kind = 2").select("doc_id", "tid", F.col("a").alias("set"), F.col("b").alias("group"), (-1 - F.col("c")).alias("n"))
-    runs = joined.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("group")).distinct()
+    runs = joined.where("kind = 1").select(F.col("a").alias("h"), F.col("b").alias("group"), F.col("c").alias("place")).distinct()
     some = members.where("n > 0").groupBy("set", "group", "n").agg(F.min("doc_id").alias("smallest"), F.min(F.struct("doc_id", "tid")).alias("one"))
     groups = store(some.select("set", "group", "n", "smallest", F.col("one.doc_id").alias("doc_id"), F.col("one.tid").alias("tid")), "jaccard-groups")
-    pairs = sharing_pairs(joined.where("kind = 0"), runs, groups)
+    long_runs = store(runs.groupBy("group").agg(F.count("*").alias("long")), "jaccard-long")
+    pairs = sharing_pairs(joined.where("kind = 0"), long_runs, groups)
+    thin = runs.join(long_runs, "group").select("h", "group", "place", "long").repartition(tasks, "h").sortWithinPartitions("h", "place")
+    thin = thin.mapInArrow(lean(thinned), "h long, group long").distinct()
     # A unit is a run or a pair of groups: whoever links, meets in a unit or a group.
-    units = store(runs.unionByName(pairs.select(F.xxhash64("a", "b").alias("h"), F.explode(F.array("a", "b")).alias("group"))), "jaccard-units")
+    units = store(thin.unionByName(pairs.select(F.xxhash64("a", "b").alias("h"), F.explode(F.array("a", "b")).alias("group"))), "jaccard-units")
 
     # Groups that meet come together in clusters: the least group within a few steps. Only the places of work depend on it.
     near = units.groupBy("group").agg(F.min("group").alias("cluster"))
@@ -521,9 +583,8 @@ def linked_rows(docs: DataFrame) -> DataFrame:
     return full.unionByName(empty)
 
 
-def sharing_pairs(met: DataFrame, runs: DataFrame, groups: DataFrame) -> DataFrame:
+def sharing_pairs(met: DataFrame, long_runs: DataFrame, groups: DataFrame) -> DataFrame:
     """(a, b): pairs of groups whose prefixes may share enough shingles for a link: those of their short runs and, at best, all that either has in long runs."""
-    long_runs = runs.groupBy("group").agg(F.count("*").alias("long"))
     about = groups.select("group", "n").distinct().join(long_runs, "group", "left").select("group", "n", F.coalesce("long", F.lit(0)).alias("long"))
     one, two = (about.select(F.col("group").alias(g), F.col("n").alias(f"n_{g}"), F.col("long").alias(f"long_{g}")) for g in "ab")
     pairs = met.groupBy("a", "b").agg(F.sum("c").alias("shared")).join(one, "a").join(two, "b")
