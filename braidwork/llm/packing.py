@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from braidwork.llm.common import bounded_batches, lean, source_key, store, text_or_empty, worker_state
+from braidwork.llm.textbytes import LOWER, bytes_of, mix64, parts, words
 
 CAPACITY, END_ID = 4096, 2
 #: Windows of one dealing table; the same table serves all full periods of a phase.
@@ -22,7 +23,9 @@ MAX_QUEUES = 256
 RARE, RARE_UNWEIGHED = "3", "4"
 #: Rows of the table of running sums (about 60 bytes each) up to which it is broadcast; beyond, it is joined by shuffle.
 BROADCAST_ROWS = 200_000
-#: Chunks of text between white space whose ids a worker remembers (some 220 bytes each), unless `remember` says otherwise.
+#: The lowest so many bytes of a word of eight.
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+#: Chunks of text between white space whose ids a worker remembers (some 60 bytes each), unless `remember` says otherwise.
 CACHE_CHUNKS = 1_300_000
 
 
@@ -120,22 +123,87 @@ def cut(queue: tuple[list[int], list[tuple]], begin: int, n: int):
         done += length
 
 
-class Remembered(dict):
-    """Ids of chunks that a worker keeps, and of the new chunks of the batch at hand."""
+class ChunkTable:
+    """Entries of ids, found by chunks of up to 16 bytes: a hash table with open addressing, in arrays.
 
-    new: dict
+    A chunk's key is its first eight bytes (zeros behind a shorter one) and its last eight if it has more; as no
+    chunk here holds a zero byte, keys are equal exactly where chunks are.
+    """
 
-    def __missing__(self, chunk: str) -> bytes:
-        return self.new[chunk]
+    def __init__(self, dtype: str):
+        self.ids, self.offset, self.count = np.zeros(1 << 12, dtype=dtype), np.zeros(1 << 10, dtype=np.int64), np.zeros(1 << 10, dtype=np.int64)
+        self.entries = self.filled = 0
+        self.one, self.two, self.entry = np.zeros(1 << 10, dtype=np.uint64), np.zeros(1 << 10, dtype=np.uint64), np.full(1 << 10, -1, dtype=np.int32)
+        self.keys = 0
+
+    def add(self, new: list[bytes]) -> np.ndarray:
+        """Entries for these ids, behind those that count as kept."""
+        size = np.array([len(x) for x in new], dtype=np.int64) // self.ids.itemsize
+        end = self.filled + int(size.sum())
+        while end > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while self.entries + len(new) > len(self.count):
+            self.offset, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.offset, self.count))
+        at = np.arange(self.entries, self.entries + len(new))
+        self.count[at], self.offset[at] = size, self.filled + np.cumsum(size) - size
+        self.ids[self.filled : end] = np.frombuffer(b"".join(new), dtype=self.ids.dtype)
+        return at
+
+    def keep(self, at: np.ndarray) -> None:
+        """Entries just added stay; others are overwritten by the next."""
+        if len(at):
+            self.entries, self.filled = int(at[-1]) + 1, int(self.offset[at[-1]] + self.count[at[-1]])
+
+    def slots(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        return (mix64(one + two * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) & (len(self.entry) - 1)
+
+    def find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Each key's entry, or -1."""
+        slot = self.slots(one, two)
+        found = self.entry[slot]
+        left = np.flatnonzero((found >= 0) & ((self.one[slot] != one) | (self.two[slot] != two)))
+        slot = slot[left]
+        while len(left):
+            slot = (slot + 1) & (len(self.entry) - 1)
+            now = self.entry[slot]
+            found[left] = now
+            other = (now >= 0) & ((self.one[slot] != one[left]) | (self.two[slot] != two[left]))
+            left, slot = left[other], slot[other]
+        return found
+
+    def insert(self, one: np.ndarray, two: np.ndarray, entry: np.ndarray) -> None:
+        """Distinct keys that aren't there yet."""
+        if (self.keys + len(one)) * 3 > len(self.entry) * 2:
+            old = self.entry >= 0
+            held = self.one[old], self.two[old], self.entry[old]
+            size = len(self.entry)
+            while (self.keys + len(one)) * 3 > size * 2:
+                size *= 2
+            self.one, self.two, self.entry = np.zeros(size, dtype=np.uint64), np.zeros(size, dtype=np.uint64), np.full(size, -1, dtype=np.int32)
+            self._place(*held)
+        self._place(one, two, entry)
+        self.keys += len(one)
+
+    def _place(self, one, two, entry):
+        slot = self.slots(one, two)
+        while len(slot):
+            free = np.flatnonzero(self.entry[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            mine = free[first]
+            self.one[slot[mine]], self.two[slot[mine]], self.entry[slot[mine]] = one[mine], two[mine], entry[mine]
+            rest = np.ones(len(slot), dtype=bool)
+            rest[mine] = False
+            one, two, entry, slot = one[rest], two[rest], entry[rest], (slot[rest] + 1) & (len(self.entry) - 1)
 
 
 class ChunkEncoder:
-    """Ids of whole texts, from the remembered ids of their chunks between white space.
+    """Ids of whole texts, from the remembered ids of their chunks between ASCII white space.
 
     The tokenizer lower-cases, drops white space and never joins what it parts, so a chunk's ids don't depend on
-    its neighbours. New chunks are encoded many at a time, parted by a sign with an id of its own that no such
-    text can give. Texts with characters beyond U+024F, with U+0130 or with the separators 28 to 31 (which not
-    every library takes for white space), or with the opening of a special token, are encoded whole.
+    its neighbours. Chunks are looked up all at once, by their bytes with A-Z lower-cased; those longer than 16
+    bytes by a dictionary. New chunks are encoded many at a time, parted by a sign with an id of its own that no
+    such text can give. Texts with characters beyond U+024F, with U+0130, with the separators 28 to 31 (which not
+    every library takes for white space) or a zero byte, or with the opening of a special token, are encoded whole.
     """
 
     #: ASCII marks without the apostrophe, which can open a contraction.
@@ -148,8 +216,12 @@ class ChunkEncoder:
 
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.dtype, self.known, self.remember = Tokenizer.from_str(content), dtype, Remembered(), remember
-        self.odd = re.compile("[^\x00-\x1b\x20-\u012f\u0131-\u024f]").search
+        self.tokenizer, self.dtype, self.remember = Tokenizer.from_str(content), dtype, remember
+        self.table, self.long = ChunkTable(dtype), {}
+        self.odd = re.compile("[^\x01-\x1b\x20-\u012f\u0131-\u024f]").search
+        #: Bytes that a text encoded whole has at least one of.
+        self.suspect = np.zeros(256, dtype=bool)
+        self.suspect[[0, 28, 29, 30, 31, ord("<"), 0xC4, *range(0xC9, 256)]] = True
         ids = {s: self.tokenizer.encode(s, add_special_tokens=False).ids for s in self.SIGNS}
         self.sign = next(((s, x[0]) for s, x in ids.items() if len(x) == 1), None)
 
@@ -157,14 +229,17 @@ class ChunkEncoder:
         found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
         return [np.array(x.ids, dtype=self.dtype).tobytes() for x in found]
 
-    def new_ids(self, chunks: list[str]) -> dict[str, bytes]:
-        """Ids of chunks not yet known. Marks after a last letter are a run of their own, so word and marks are encoded apart."""
-        split = {c: (w, c[len(w) :]) if (w := c.rstrip(self.MARKS)) and w[-1].isalpha() else (c, "") for c in chunks}
-        wanted = list({x for pair in split.values() for x in pair if x and x not in self.known})
+    def new_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks. Marks after a last letter are a run of their own, so word and marks are encoded apart."""
+
+        def parted(piece: str) -> tuple[str, ...]:
+            word = piece.rstrip(self.MARKS)
+            return (word, piece[len(word) :]) if word and word[-1].isalpha() else (piece,)
+
+        split = [[x for piece in c.lower().split() for x in parted(piece) if x] for c in chunks]
+        wanted = list({x for pieces in split for x in pieces})
         ids = dict(zip(wanted, self.packed_chunks(wanted), strict=True)) if wanted else {}
-        ids[""] = b""
-        get = lambda x: ids[x] if x in ids else self.known[x]
-        return {c: get(w) + get(marks) for c, (w, marks) in split.items()}
+        return [b"".join([ids[x] for x in pieces]) for pieces in split]
 
     def packed_chunks(self, chunks: list[str]) -> list[bytes]:
         if self.sign is None:
@@ -180,16 +255,60 @@ class ChunkEncoder:
                 at = end + 1
         return out
 
+    def entries(self, low: np.ndarray, begin: np.ndarray, end: np.ndarray, more: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Entries of the table: one for each chunk of these bytes, and one for each of `more` ids; read them before the next call."""
+        raw = np.concatenate([np.zeros(8, dtype=np.uint8), low, np.zeros(8, dtype=np.uint8)])
+        eight = np.ndarray(len(raw) - 7, dtype="<u8", buffer=raw.data, strides=(1,))
+        size = end - begin
+        one = eight[begin + 8] & MASKS[np.minimum(size, 8)]
+        two = np.where(size > 8, eight[end], np.uint64(0))
+        found = self.table.find(one, two).astype(np.int64)
+        wide = np.flatnonzero(size > 16)
+        held = [low[b:e].tobytes() for b, e in zip(begin[wide].tolist(), end[wide].tolist(), strict=True)]
+        found[wide] = [self.long.get(c, -1) for c in held]
+        missing = np.flatnonzero((found < 0) & (size <= 16))
+        missing = missing[np.lexsort((two[missing], one[missing]))]
+        first = np.ones(len(missing), dtype=bool)
+        first[1:] = (one[missing[1:]] != one[missing[:-1]]) | (two[missing[1:]] != two[missing[:-1]])
+        fresh, longer = missing[first], list(dict.fromkeys(c for c, f in zip(held, found[wide].tolist(), strict=True) if f < 0))
+        chunks = [low[b:e].tobytes() for b, e in zip(begin[fresh].tolist(), end[fresh].tolist(), strict=True)] + longer
+        at = self.table.add(self.new_ids([c.decode() for c in chunks]) + more)
+        new = at[: len(chunks)]
+        found[missing] = new[np.cumsum(first) - 1]
+        longs = dict(zip(longer, new[len(fresh) :].tolist(), strict=True))
+        found[wide] = [longs.get(c, f) for c, f in zip(held, found[wide].tolist(), strict=True)]
+        if self.table.keys + len(self.long) + len(new) <= self.remember:
+            self.table.keep(new)
+            self.table.insert(one[fresh], two[fresh], new[: len(fresh)].astype(np.int32))
+            self.long.update(longs)
+        return found, at[len(chunks) :]
+
+    def encode_column(self, column: pa.Array, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts one after the other, where each text's begin, and the end), with the end id behind each text if there is one."""
+        data, starts = bytes_of(column)
+        suspects = np.unique(np.searchsorted(starts, np.flatnonzero(self.suspect[data]), side="right") - 1)
+        odd = [(i, t) for i in suspects.tolist() if "<|" in (t := column[i].as_py()) or self.odd(t)]
+        begin, end, first = words(data, starts)
+        text = np.repeat(np.arange(len(column)), np.diff(first))
+        if odd:
+            whole = np.ones(len(column), dtype=bool)
+            whole[[i for i, _ in odd]] = False
+            begin, end, text = begin[whole[text]], end[whole[text]], text[whole[text]]
+        more = self.packed([t for _, t in odd]) if odd else []
+        found, added = self.entries(LOWER[data], begin, end, more if end_id is None else [*more, np.array([end_id], dtype=self.dtype).tobytes()])
+        ends = np.arange(len(column) if end_id is not None else 0)
+        text = np.concatenate([text, np.array([i for i, _ in odd], dtype=np.int64), ends])
+        found = np.concatenate([found, added[: len(odd)], np.repeat(added[len(odd) :], len(column))])
+        order = np.argsort(text, kind="stable")
+        found = found[order]
+        count, offset = self.table.count[found], self.table.offset[found]
+        cuts = np.concatenate([[0], np.cumsum(count)])
+        ids = self.table.ids[np.arange(cuts[-1]) + np.repeat(offset - cuts[:-1], count)]
+        return ids, cuts[np.searchsorted(text[order], np.arange(len(column) + 1))]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunks = [None if "<|" in t or self.odd(t) else t.lower().split() for t in texts]
-        new = list(set().union(*(c for c in chunks if c is not None)).difference(self.known))
-        ids = self.new_ids(new)
-        if len(self.known) + len(ids) <= self.remember:
-            self.known.update(ids)
-        self.known.new = ids
-        get = self.known.__getitem__
-        odd = iter(self.packed([t for t, c in zip(texts, chunks, strict=True) if c is None]))
-        return [next(odd) if c is None else b"".join(map(get, c)) for c in chunks]
+        ids, cuts = self.encode_column(pa.array(texts, pa.string()))
+        return [ids[a:b].tobytes() for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
 
 
 def encoder(content: str, dtype: str, key: str, remember: int) -> ChunkEncoder:
@@ -210,8 +329,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, queue=
     from tokenizers import Tokenizer
 
     dtype = "<u2" if max(Tokenizer.from_str(content).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
-    shared, key, end = spark.sparkContext.broadcast(content), f"{tokenizer_path}:{dtype}:{remember}", np.array([end_id], dtype=dtype).tobytes()
-    width = len(end)
+    shared, key = spark.sparkContext.broadcast(content), f"{tokenizer_path}:{dtype}:{remember}"
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, queue string, chunk long, start long, n long, ids binary"
 
     def encode(batches):
@@ -219,15 +337,15 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID, queue=
 
         chunk, ahead, enc = TaskContext.get().partitionId(), {}, encoder(shared.value, dtype, key, remember)
         for batch in batches:
-            for low in range(0, batch.num_rows, 250):
-                part = batch.slice(low, 250)
-                ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
-                queues, starts, sizes = part.column(2).to_pylist(), [], [len(x) // width for x in ids]
+            for part in parts(batch, 1):
+                ids, cuts = enc.encode_column(part.column(1), end_id)
+                queues, starts, sizes = part.column(2).to_pylist(), [], np.diff(cuts).tolist()
                 for q, n in zip(queues, sizes, strict=True):
                     starts.append(ahead.get(q, 0))
                     ahead[q] = starts[-1] + n
+                held = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((cuts * ids.itemsize).astype(np.int32)), pa.py_buffer(ids)])
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(2), pa.array([chunk] * len(ids), pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(ids, pa.binary())],
+                    [part.column(0), part.column(2), pa.array([chunk] * len(sizes), pa.int64()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), held],
                     names=["doc_id", "queue", "chunk", "start", "n", "ids"],
                 )
 
