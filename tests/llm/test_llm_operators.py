@@ -585,3 +585,27 @@ def test_exact(docs, odd, empty):
     assert exact_dedup.exact_groups(empty).count() == 0
     kept = exact_dedup.drop_copies(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(map(min, groups.values()))
+
+
+def test_exact_goes_through_its_directory(docs):
+    """Buckets split until they hold one key; entries whose prefix the directory sends elsewhere are not found."""
+    entries = exact_dedup.exact_entries(docs).select("doc_id", "text_sha256")
+    keyed = docs.select("doc_id", exact_dedup.normalised().alias("norm")).withColumn("key64", F.xxhash64("norm")).withColumn("digest", F.unhex(F.sha2("norm", 256)))
+    guide = exact_dedup.directory(keyed, 1)
+    assert guide.where("depth > 8").count() > 0 and guide.groupBy("bucket").count().where("count > 1").count() == 0
+    index = exact_dedup.build_index(keyed, guide)
+    assert exact_dedup.look_up(keyed, guide, index).count() == entries.count()
+    one = guide.orderBy("prefix").first().prefix
+    wrong = guide.withColumn("bucket", F.expr(f"IF(prefix = {one}, bucket + 1, bucket)"))
+    found = {r.doc_id for r in exact_dedup.look_up(keyed, wrong, index).collect()}
+    lost = {r.doc_id for r in exact_dedup.look_up(keyed, guide, index).where(F.shiftrightunsigned("key64", 48) == one).collect()}
+    assert lost and found == set(texts_of(docs)) - lost
+
+
+@pytest.mark.parametrize("drop", [exact_dedup.drop_copies, jaccard_join.keep_one])
+def test_rows_decide_one_by_one(spark, drop):
+    """Null and repeated ids: a row goes for its own text, never for that of another row with its id."""
+    say = lambda k: " ".join(f"{k}w{i}" for i in range(30))
+    rows = [(None, say("a")), (None, say("b")), (None, say("c")), (1, say("c")), (2, say("d")), (2, say("c")), (2, say("e")), (3, None), (None, say("f")), (None, say("f"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(str, drop(df).collect())) == sorted(str(r) for r in df.collect() if (r.doc_id, r.text) not in {(None, say("c")), (2, say("c"))})
