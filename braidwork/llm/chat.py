@@ -6,7 +6,7 @@ import hashlib
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: The template, fixed values: what opens and closes a turn of each role; other roles are named in their mark.
@@ -36,8 +36,8 @@ class Conversation:
     """The state that a conversation's events are folded into: messages in order, each a role and pieces of text.
 
     open: a new message of this role, with its first text. delta: more text at the end of the last message, or
-    of message number `target`. edit: the text of message `target` is replaced and what came after it is
-    dropped, since it answered something else. regenerate: message `target` (or else the last one of the
+    of message number `target`. edit: the text of message `target`, or else of the last one, is replaced and what
+    came after it is dropped, since it answered something else. regenerate: message `target` (or else the last one of the
     assistant) loses its text, and what came after it is dropped; deltas or an open follow. An event of no
     known kind, or whose target isn't there, changes nothing; a delta with no message opens one of its role.
     """
@@ -51,7 +51,8 @@ class Conversation:
             self.messages.append([role, [text]])
         elif kind == "delta" and (known or target is None):
             self.messages[target if known else -1][1].append(text)
-        elif kind == "edit" and known:
+        elif kind == "edit" and (known or target is None and self.messages):
+            target = target if known else len(self.messages) - 1
             del self.messages[target + 1 :]
             self.messages[target][1] = [text]
         elif kind == "regenerate":
@@ -158,6 +159,28 @@ def digests(formatted: DataFrame) -> DataFrame:
     return formatted.mapInPandas(read, f"conv_id {id_type}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
+#: The columns that say the sequence of what `conversation_events` makes.
+SEQUENCE = ["turn", "row_role", "row_head", "row_hash", "step"]
+
+
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Each row of the table as the event that opens its message."""
-    return conversations.select("conv_id", F.col("turn").alias("turn"), F.lit("open").alias("kind"), F.lit(None).cast("long").alias("target"), "role", "text")
+    """Each row of the table as the events of a stream that ends in its message.
+
+    An assistant's message is opened empty, gets a draft in a delta, is regenerated, and then comes in two
+    deltas. Any other is opened with a draft, edited to its first half, and completed by a delta. SEQUENCE orders
+    the events; rows of one turn go by role and text.
+    """
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit("user"))
+    half = F.floor(F.length("text") / 2).cast("int")
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"))
+    first, second = F.substring("text", F.lit(1), half), F.substring("text", half + 1, F.length("text"))
+
+    def event(step: int, kind: str, said) -> Column:
+        return F.struct(F.lit(step).alias("step"), F.lit(kind).alias("kind"), said.alias("said"))
+
+    none, draft = F.lit(""), F.reverse(first)
+    talk = F.array(event(0, "open", none), event(1, "delta", draft), event(2, "regenerate", none), event(3, "delta", first), event(4, "delta", second))
+    other = F.array(event(0, "open", draft), event(1, "edit", first), event(2, "delta", second))
+    of_row = F.when(F.col("role") == "assistant", talk).otherwise(other)
+    made = rows.select("conv_id", "turn", "role", F.substring("text", 1, 32).alias("row_head"), F.xxhash64("text").alias("row_hash"), F.explode(of_row).alias("e"))
+    return made.select("conv_id", "turn", F.col("role").alias("row_role"), "row_head", "row_hash", "e.step", "e.kind", F.lit(None).cast("long").alias("target"), "role", F.col("e.said").alias("text"))

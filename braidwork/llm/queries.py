@@ -32,7 +32,7 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     own = spark.sql("SELECT * FROM VALUES (-1L, 0L, 'user'), (-1L, 1L, 'assistant') AS t(conv_id, turn, role)").withColumn("text", F.lit(said))
     events = chat.conversation_events(rows.unionByName(own))
-    return chat.digests(chat.format_events(events, ["turn"]))
+    return chat.digests(chat.format_events(events, chat.SEQUENCE))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

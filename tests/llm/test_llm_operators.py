@@ -282,14 +282,26 @@ def test_chat_template_is_reversible(text):
 def test_chat_query(spark):
     rows = [(c, t, r, x, "extra") for c in (1, 2, None) for t, r, x in [(2, "user", "c"), (0, "system", None), (1, "assistant", "b" * 5000), (3, None, "d"), (1, "assistant", "tie")]]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, formatted string")
-    got = {r.conv_id: r for r in chat.digests(chat.format_events(chat.conversation_events(df), ["turn"])).collect()}
+    got = {r.conv_id: r for r in chat.digests(chat.format_events(chat.conversation_events(df), chat.SEQUENCE)).collect()}
     assert set(got) == {1, 2, None}
     turns = [("system", ""), ("assistant", "b" * 5000), ("assistant", "tie"), ("user", "c"), ("user", "d")]
     for r in got.values():
         assert r.n_turns == 5 and r.loss_chars == 5003
         assert r.turns_sha256 == hashlib.sha256("".join(f"{a}\n{b}\n" for a, b in turns).encode()).hexdigest()
         assert r.loss_sha256 == hashlib.sha256(("b" * 5000 + "tie").encode()).hexdigest()
-    assert chat.digests(chat.format_events(chat.conversation_events(df.where("turn < 0")), ["turn"])).count() == 0
+    assert chat.digests(chat.format_events(chat.conversation_events(df.where("turn < 0")), chat.SEQUENCE)).count() == 0
+
+
+def test_chat_query_depends_on_the_fold(spark, monkeypatch):
+    """Without edits, regenerations or the order of events the query's messages are wrong."""
+    df = spark.createDataFrame([(1, t, r, f"{r} says {t} things") for t, r in enumerate(["system", "user", "assistant", "user", "assistant"])], "conv_id long, turn long, role string, text string")
+    events = chat.conversation_events(df)
+    assert {r.kind for r in events.select("kind").collect()} == {"open", "delta", "edit", "regenerate"}
+    right = chat.digests(chat.format_events(events, chat.SEQUENCE)).first()
+    assert right.turns_sha256 == hashlib.sha256("".join(f"{r.role}\n{r.text}\n" for r in df.orderBy("turn").collect()).encode()).hexdigest()
+    for kind in ("edit", "regenerate", "delta"):
+        assert chat.digests(chat.format_events(events.where(F.col("kind") != kind), chat.SEQUENCE)).first().turns_sha256 != right.turns_sha256
+    assert chat.digests(chat.format_events(events, ["turn"])).first().turns_sha256 != right.turns_sha256
 
 
 # 5, language.
