@@ -124,6 +124,26 @@ def worker_state() -> dict:
     return sys._braidwork_state
 
 
+class Shared:
+    """A broadcast object that travels by value: workers needn't have its class on their import path."""
+
+    def __init__(self, spark: SparkSession, value):
+        from pyspark import cloudpickle
+
+        self.held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self):
+        import pickle
+
+        if "made" not in self.__dict__:
+            self.made = pickle.loads(self.held.value)
+        return self.made
+
+    def __getstate__(self):
+        return {"held": self.held}
+
+
 def lean(function, keep: bool = False):
     """A function over Arrow batches that leaves its worker small: remembered state of other operators goes first (unless `keep`), freed memory at the end."""
 

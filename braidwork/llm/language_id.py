@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import bounded_batches, lean, text_or_empty
+from braidwork.llm.common import Shared, bounded_batches, lean, text_or_empty
 from braidwork.llm.textbytes import LOWER, bytes_of, mix64, parts
 
 #: Texts of a language that training reads (expected number; chosen by a hash of doc_id).
@@ -147,7 +147,7 @@ def predict(docs: DataFrame, model: LanguageFilters) -> DataFrame:
     without a letter, or if the model has no language. score is the best count's part of the two best counts;
     0 for `und` and for texts none of whose n-grams any language has.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def scored(batches):
@@ -188,7 +188,7 @@ def keep_identified(docs: DataFrame, least: float | None = 0.0) -> DataFrame:
     The test is a function of the text alone, so it is made row by row and the documents are not shuffled.
     """
     model = fit(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = Shared(docs.sparkSession, model)
     columns = docs.columns
 
     def kept(batches):

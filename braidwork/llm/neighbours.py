@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import store
+from braidwork.llm.common import Shared, store
 
 TREES, DEPTH = 4, 8
 #: Distinct vectors that the trees are fitted on (expected number; chosen by hash). Every vector is indexed.
@@ -117,7 +117,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
     sample = entries.where(F.pmod(F.xxhash64(F.lit(seed), "entry"), F.lit(1 << 20)) < part).select("vec").toArrow()
     column = sample.column(0).combine_chunks()
     fitted = Forest(unit_rows(column)[1] if len(column) else np.zeros((0, sizes["n"])), trees, seed)
-    shared = spark.sparkContext.broadcast(fitted)
+    shared = Shared(spark, fitted)
     leaves = trees * 2**fitted.depth
     most = max(trees, round(visits * leaves))
     salts = -(-count // (LEAF_BLOCK * 2**fitted.depth))

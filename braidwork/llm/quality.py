@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import bounded_batches, lean, store, text_or_empty
+from braidwork.llm.common import Shared, bounded_batches, lean, store, text_or_empty
 from braidwork.llm.textbytes import Rolling, bytes_of, parts, words
 
 #: Labelled rows the fit reads (expected number; chosen by a hash of doc_id).
@@ -186,7 +186,7 @@ def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qu
         return None
     mean = first[1] / first[0]
     model = QualityModel(mean, np.sqrt(np.maximum(first[2] / first[0] - mean**2, 0)))
-    shared = spark.sparkContext.broadcast(model)
+    shared = Shared(spark, model)
 
     def normal(batches):
         total = None
@@ -201,7 +201,7 @@ def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qu
     equations = summed(train.coalesce(8).mapInArrow(lean(normal), schema))
     a, b = equations[:, :-1], equations[:, -1]
     model.weights = np.linalg.solve(a + RIDGE * a[-1, -1] / FEATURES * np.eye(len(a)), b)
-    fitted = spark.sparkContext.broadcast(model)
+    fitted = Shared(spark, model)
 
     def histogram(batches):
         total = np.zeros((2, BINS))
@@ -224,7 +224,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
     quality are ignored, and an empty table gives no row.
     """
     stats = described(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, train_rows))
+    shared = Shared(docs.sparkSession, fit(stats, labels, train_rows))
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def scored(batches):
