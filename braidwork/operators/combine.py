@@ -141,7 +141,26 @@ class Combine:
         """This sequence, then the others: source_ord leads the order."""
         return self.with_df(self._stacked([self, *others]), ["source_ord", *self.order])
 
-    concat = concat_delay_error = merge_sequential = merge_sequential_delay_error = concat_with
+    concat = merge_sequential = concat_with
+
+    def _delayed(self: Seq, sources: list[Seq], error: Column | None, build) -> Seq:
+        """build(healthy parts of the sources), then their errors: a source ends at its first row where `error` is not null.
+
+        Errors are data: `failed` leads the order, so all rows of all sources come ahead of the errors.
+        """
+        if error is None:
+            return build(sources)
+        ended = [s.take_until(error.isNotNull()) for s in sources]
+        good = build([s.with_df(s.df.where(error.isNull())) for s in ended])
+        bad = self._stacked([s.with_df(s.df.where(error.isNotNull())) for s in ended])
+        both = good.df.withColumn("failed", F.lit(0)).unionByName(bad.withColumn("failed", F.lit(1)), allowMissingColumns=True)
+        return good.with_df(both, ["failed", *good.order])
+
+    def concat_delay_error(self: Seq, *others: Seq, error: Column | None = None) -> Seq:
+        """concat_with in which a source that fails ends, the others go on, and the errors come last."""
+        return self._delayed([self, *others], error, lambda parts: parts[0].concat_with(*parts[1:]))
+
+    merge_sequential_delay_error = concat_delay_error
 
     def concat_with_values(self: Seq, *rows: dict) -> Seq:
         schema = self.df.schema.simpleString().removeprefix("struct<").removesuffix(">")
@@ -155,7 +174,11 @@ class Combine:
         stacked = self._stacked([self, *others])
         return self.with_df(stacked, [*([self.ts] if self.ts else []), "source_ord", *self.order])
 
-    merge = merge_delay_error = merge_with
+    merge = merge_with
+
+    def merge_delay_error(self: Seq, *others: Seq, error: Column | None = None) -> Seq:
+        """merge_with in which a source that fails ends, the others go on, and the errors come last."""
+        return self._delayed([self, *others], error, lambda parts: parts[0].merge_with(*parts[1:]))
 
     def merge_comparing(self: Seq, *others: Seq, by: list[str]) -> Seq:
         """Merge of sequences that are sorted by `by`: the smallest head first, ties to the first source.
@@ -169,7 +192,13 @@ class Combine:
             frames = df if frames is None else frames.unionByName(df, allowMissingColumns=True)
         return self.with_df(frames, ["_held", "source_ord", *self.order])
 
-    merge_comparing_with = merge_comparing_delay_error = merge_ordered = merge_ordered_with = merge_priority = merge_priority_delay_error = merge_comparing
+    merge_comparing_with = merge_ordered = merge_ordered_with = merge_priority = merge_comparing
+
+    def merge_comparing_delay_error(self: Seq, *others: Seq, by: list[str], error: Column | None = None) -> Seq:
+        """merge_comparing in which a source that fails ends, the others go on, and the errors come last."""
+        return self._delayed([self, *others], error, lambda parts: parts[0].merge_comparing(*parts[1:], by=by))
+
+    merge_priority_delay_error = merge_comparing_delay_error
 
     def switch_on_next(self: Seq, inner: Seq, on: str | None = None) -> Seq:
         return self.switch_map(inner, on=on)

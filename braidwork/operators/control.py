@@ -23,6 +23,12 @@ class TimedOut(RuntimeError):
     pass
 
 
+def cancelled(error: BaseException) -> bool:
+    """Whether a job failed because its tag was interrupted."""
+    said = str(error).lower()
+    return "cancelled" in said and ("job tag" in said or "job group" in said or "operation" in said)
+
+
 class Control:
     # Running a plan, with the hooks of the chain around it.
 
@@ -45,12 +51,19 @@ class Control:
         try:
             result = attempt()
         except Exception as error:
+            if cancelled(error):
+                for hook in calls("cancel"):
+                    hook()
+                raise
             for hook in calls("error"):
                 hook(error)
             for hook in calls("terminate"):
                 hook()
+            shown = error
             for translate in calls("map_error"):
-                raise translate(error) from error
+                shown = translate(shown)
+            if shown is not error:
+                raise shown from error
             raise
         else:
             for hook in calls("complete"):
@@ -179,11 +192,27 @@ class Control:
         return self.hooked("finally", hook)
 
     def do_on_each(self: Seq, hook: Callable[[str, Any], None]) -> Seq:
-        """hook(kind, value) for the end of a run: ("complete", None) or ("error", error)."""
-        return self.do_on_complete(lambda: hook("complete", None)).do_on_error(lambda e: hook("error", e))
+        """hook(kind, value): ("next", row as a dictionary) on the executors, ("complete", None) or ("error", error) on the driver."""
+        return self.do_on_row(lambda row: hook("next", row)).do_on_complete(lambda: hook("complete", None)).do_on_error(lambda e: hook("error", e))
+
+    def do_on_row(self: Seq, hook: Callable[[dict], None]) -> Seq:
+        """hook(row as a dictionary) for each row that passes, on the executor that has it; rows go on as they are.
+
+        A task that runs again calls it again; what it raises fails the action.
+        """
+
+        def run(batches):
+            for batch in batches:
+                for row in batch.to_pylist():
+                    hook(row)
+                yield batch
+
+        return self.with_df(self.df.mapInArrow(run, self.df.schema))
 
-    def do_on_next(self: Seq, name: str, **metrics: Any) -> tuple[Seq, Observation]:
-        """Metrics of the rows that pass, filled by the next action."""
+    def do_on_next(self: Seq, name: str | Callable[[dict], None], **metrics: Any) -> Any:
+        """With a function: it is called with each row (see do_on_row). With a name: metrics of the rows that pass, filled by the next action, as (sequence, observation)."""
+        if callable(name):
+            return self.do_on_row(name)
         seen = Observation(name)
         return self.with_df(self.df.observe(seen, *[c.alias(n) for n, c in (metrics or {"rows": F.count(F.lit(1))}).items()])), seen
 
@@ -206,6 +235,7 @@ class Control:
     do_on_discard = do_on_request
 
     def do_on_cancel(self: Seq, hook: Callable[[], None]) -> Seq:
+        """Called instead of the hooks for errors when a tag of the run is interrupted (cancel_on, a timeout)."""
         return self.hooked("cancel", hook)
 
     def cancel_on(self: Seq, tag: str) -> Seq:

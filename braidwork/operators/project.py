@@ -67,10 +67,12 @@ class Project:
         return self.with_df(df.drop("_before", "_start"))
 
     def materialize(self: Seq, value: str) -> Seq:
-        """Rows (signal_pos, type, value, error): every value as a signal, then the completion."""
-        rows = self.with_df(self.df.select(*self.order, *self.keys, value)).index("signal_pos").df
-        nexts = rows.select("signal_pos", F.lit("NEXT").alias("type"), F.col(value).alias("value"), F.lit(None).cast("string").alias("error"))
-        ends = self.df.agg(F.count("*").alias("signal_pos")).select("signal_pos", F.lit("COMPLETE").alias("type"), F.lit(None).cast(self.df.schema[value].dataType).alias("value"), F.lit(None).cast("string").alias("error"))
+        """Rows (signal_pos, type, value, error): every value as a signal, then the completion; for keyed sequences of each key."""
+        none, keys = F.lit(None).cast("string").alias("error"), self.keys
+        rows = self.with_df(self.df.select(*dict.fromkeys([*self.order, *keys, value]))).index("signal_pos").df
+        nexts = rows.select(*keys, "signal_pos", F.lit("NEXT").alias("type"), F.col(value).alias("value"), none)
+        counted = self.df.groupBy(*keys).agg(F.count("*").alias("signal_pos"))
+        ends = counted.select(*keys, "signal_pos", F.lit("COMPLETE").alias("type"), F.lit(None).cast(self.df.schema[value].dataType).alias("value"), none)
         return self.with_df(nexts.unionByName(ends), ["signal_pos"])
 
     def dematerialize(self: Seq) -> Seq:
@@ -98,14 +100,14 @@ class Project:
 
         `function` gets an iterator of dictionaries and yields dictionaries; rows stream by, so only its own state is held.
         """
-        order, keys = self.order, self.keys
+        keys = self.keys
 
-        def run(frames):
-            import pandas as pd
+        def run(batches):
+            import pyarrow as pa
 
             def rows():
-                for frame in frames:
-                    yield from frame.to_dict("records")
+                for batch in batches:
+                    yield from batch.to_pylist()  # nulls stay nulls and integers exact
 
             if keys:
                 from itertools import groupby
@@ -117,13 +119,50 @@ class Project:
             for r in made:
                 out.append(r)
                 if len(out) == 10_000:
-                    yield pd.DataFrame(out)
+                    yield pa.RecordBatch.from_pylist(out, schema=target)
                     out = []
             if out:
-                yield pd.DataFrame(out)
+                yield pa.RecordBatch.from_pylist(out, schema=target)
 
-        parted = self.df.repartition(*keys) if keys else self.df.coalesce(1)
-        return self.with_df(parted.sortWithinPartitions(*keys, *order).mapInPandas(run, schema))
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import _parse_datatype_string
+
+        target = to_arrow_schema(_parse_datatype_string(schema), timezone=self.spark.conf.get("spark.sql.session.timeZone"))
+        return self.with_df(self.sorted_parts().mapInArrow(run, schema))
+
+    def sorted_parts(self: Seq) -> DataFrame:
+        """Rows in order, all of a key in one task one after the other; without keys all in one task."""
+        parted = self.df.repartition(*self.keys) if self.keys else self.df.coalesce(1)
+        return parted.sortWithinPartitions(*self.keys, *self.order)
+
+    def gated(self: Seq, gate: Callable, inputs: list[Column], name: str) -> Seq:
+        """A greedy fold over numbers: for each key a new gate(), which gets the values of `inputs` row by row in order.
+
+        What it returns becomes the column `name`, a long; rows for which it returns None go. Only the inputs are
+        Python objects; rows pass as Arrow batches, and state of one key is all that is held.
+        """
+        keys, columns = self.keys, self.df.columns
+        fed = [f"_in{i}" for i in range(len(inputs))]
+        seq = self.with_df(self.df.withColumns(dict(zip(fed, inputs, strict=True))))
+
+        def run(batches):
+            import pyarrow as pa
+
+            known, current = None, None
+            for batch in batches:
+                values = [batch.column(c).to_pylist() for c in fed]
+                owners = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
+                out = []
+                for owner, *given in zip(owners, *values, strict=True):
+                    if current is None or owner != known:
+                        known, current = owner, gate()
+                    out.append(current(*given))
+                made = pa.array(out, pa.int64())
+                batch = pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), made], names=[*columns, name])
+                yield batch.filter(made.is_valid())
+
+        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.schema)
+        return self.with_df(seq.sorted_parts().mapInArrow(run, f"{schema}, `{name}` long"))
 
     def flat_map(self: Seq, array: Column, name: str = "value", outer: bool = False) -> Seq:
         """Each row's array as rows; `pos` extends the order, so a source's values stay together and in order."""
@@ -144,18 +183,18 @@ class Project:
         return self.with_df(self.df.join(inner, on), [*self.order, *order])
 
     def switch_map(self: Seq, inner: Seq, outer_ts: str | None = None, on: str | None = None) -> Seq:
-        """The inner rows that come while a row is the latest one: from its time until the next row's."""
+        """The inner rows that come while a row is the latest one: from its time until the next row's; with `on` for each key.
+
+        Outer and inner rows are one sequence in time order, in which each inner row carries the last outer row.
+        """
         own = outer_ts or self.ts
-        frame = self.ordered().neighbour("_until", F.col(own), 1).frame()
-        close = F.col("_until").isNull() | (inner.df[inner.ts] < F.col("_until"))
-        match = (inner.df[inner.ts] >= frame[own]) & close
-        if on is not None:
-            match &= frame[on] == inner.df[on]
-            inner_df = inner.df
-            joined = frame.join(inner_df, match).drop(inner_df[on])
-        else:
-            joined = frame.join(inner.df, match)
-        return self.with_df(joined.drop("_until"), inner.order, ts=inner.ts)
+        keys = [] if on is None else [on]
+        outer = self.df.select(*keys, F.col(own).alias("_at"), F.lit(0).alias("_side"), F.struct(*self.order).alias("_mine"), F.struct(*self.df.columns).alias("_outer"))
+        rows = inner.df.select(*keys, F.col(inner.ts).alias("_at"), F.lit(1).alias("_side"), F.struct(*inner.order).alias("_theirs"), F.struct(*[c for c in inner.df.columns if c != on]).alias("_inner"))
+        both = self.with_df(outer.unionByName(rows, allowMissingColumns=True), ["_at", "_side", "_mine", "_theirs"], ts=None, keys=keys)
+        frame = both.ordered().running("_latest", F.col("_outer"), "last").frame()
+        found = frame.where(F.col("_inner").isNotNull() & F.col("_latest").isNotNull()).select("_latest.*", "_inner.*")
+        return self.with_df(found, inner.order, ts=inner.ts)
 
     def switch_on_first(self: Seq, choose: Callable[[dict | None, Seq], Seq]) -> Seq:
         """The plan is chosen by the first row."""

@@ -40,12 +40,18 @@ class Select:
 
     # Cuts at one place.
 
+    def joined_by_key(self: Seq, left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        """left with the columns of right, one row for each key at most; null keys are keys too."""
+        same = {k: f"_key{i}" for i, k in enumerate(self.keys)}
+        match = [left[k].eqNullSafe(F.col(n)) for k, n in same.items()]
+        return left.join(right.withColumnsRenamed(same), match, how).drop(*same.values())
+
     def _cut(self: Seq, where: Column, keep) -> Seq:
         """keep(place, found): which rows stay, given the place of the first row where the predicate holds (null: none)."""
         places = self.df.where(where)
         if self.keys:
             found = places.groupBy(*self.keys).agg(F.min(self.place()).alias("_cut"))
-            joined = self.df.join(found, self.keys, "left")
+            joined = self.joined_by_key(self.df, found, "left")
         else:
             joined = self.df.crossJoin(F.broadcast(places.agg(F.min(self.place()).alias("_cut"))))  # one row
         return self.with_df(joined.where(keep(self.place(), F.col("_cut"))).drop("_cut"))

@@ -20,8 +20,10 @@ class Connectable:
         self.seq, self.level, self.readers, self.connected, self.needed = seq, level, 0, False, None
 
     def connect(self) -> Connectable:
+        """Compute the sequence and keep it, now."""
         if not self.connected:
             self.seq.df.persist(self.level)
+            self.seq.df.write.format("noop").mode("overwrite").save()
             self.connected = True
         return self
 
@@ -151,11 +153,49 @@ class Rails:
 
     def subscribe(self, each_rail: Callable) -> None:
         """Run each_rail(rows) on every rail."""
-        self.seq.df.foreachPartition(each_rail)
+        self.seq.run(lambda _: self.seq.df.foreachPartition(each_rail))
 
     def then(self) -> None:
         self.seq.then()
 
+    from_ = of
+
+    def get_prefetch(self) -> int:
+        return self.seq.get_prefetch()
+
+    def to_string(self) -> str:
+        return str(self)
+
+    # Hooks: of rows on every rail, of the run on the driver.
+
+    def do_on_next(self, hook: Callable[[dict], None]) -> Rails:
+        return self._with(self.seq.do_on_row(hook))
+
+    def do_on_each(self, hook: Callable) -> Rails:
+        return self._with(self.seq.do_on_each(hook))
+
+    def do_on_error(self, hook: Callable[[BaseException], None]) -> Rails:
+        return self.hooked("error", hook)
+
+    def do_on_complete(self, hook: Callable[[], None]) -> Rails:
+        return self.hooked("complete", hook)
+
+    def do_on_subscribe(self, hook: Callable[[], None]) -> Rails:
+        return self.hooked("subscribe", hook)
+
+    def do_on_terminate(self, hook: Callable[[], None]) -> Rails:
+        return self.hooked("terminate", hook)
+
+    def do_after_terminate(self, hook: Callable[[], None]) -> Rails:
+        return self.hooked("after_terminate", hook)
+
+    def do_on_cancel(self, hook: Callable[[], None]) -> Rails:
+        return self.hooked("cancel", hook)
+
+    def do_on_request(self, hook: Callable) -> Rails:
+        """There is no demand to watch in a plan that pulls."""
+        return self
+
     def hooked(self, kind: str, function) -> Rails:
         return self._with(self.seq.hooked(kind, function))
 
@@ -189,11 +229,11 @@ class Rails:
 
 class Share:
     def publish(self: Seq, selector: Callable[[Seq], Seq] | None = None) -> Connectable | Seq:
-        """A connectable; or, with a selector, its result over a plan that is computed once."""
+        """A connectable; or, with a selector, its result over a plan that is computed once and freed after the result's first action."""
         if selector is None:
             return Connectable(self)
         self.df.persist(StorageLevel.MEMORY_AND_DISK)
-        return selector(self)
+        return selector(self).do_finally(lambda: self.df.unpersist())
 
     def share(self: Seq) -> Connectable:
         return Connectable(self).ref_count()

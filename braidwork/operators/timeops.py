@@ -30,9 +30,9 @@ class TimeOps:
         """When each row comes out if it waits for its own trigger (a column of microseconds) and for the rows before it."""
         return self.with_df(self.ordered().running(name, F.greatest(self.micros(), F.col(ready_us)), "max").frame())
 
-    def delay_subscription(self: Seq, duration: float) -> Seq:
-        """The sequence, started later: rows before that are not seen (a hot source)."""
-        return self.skip_for(duration)
+    def delay_subscription(self: Seq, duration: float, hot: bool = False) -> Seq:
+        """The sequence, read so many seconds later. A cold source loses nothing; a hot one loses the rows of that time."""
+        return self.skip_for(duration) if hot else self.delay_subscription_wall(duration)
 
     def sample(self: Seq, period: float, origin: int | None = None) -> Seq:
         """The last row of each period, ticks counted from `origin` (by default the first row's time)."""
@@ -53,38 +53,44 @@ class TimeOps:
 
     def sample_first(self: Seq, period: float) -> Seq:
         """A row, then none for so many seconds, and so on. Which rows pass depends on those that passed, hence a fold for each key."""
-        gate = round(period * 1e6)
-        rows = self.df.withColumn("_us", self.micros())
+        return self._sampled_first(round(period * 1e6))
 
-        def fold(group):
+    def _sampled_first(self: Seq, length: int) -> Seq:
+        def gate():
             closed = None
-            for row in group:
-                if closed is None or row["_us"] >= closed:
-                    closed = row["_us"] + gate
-                    yield row
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-        return self.with_df(self.with_df(rows).fold(fold, schema).df.drop("_us"))
+            def step(at):
+                nonlocal closed
+                if at is None or (closed is not None and at < closed):
+                    return None
+                closed = at + length
+                return at
+
+            return step
+
+        out = self.gated(gate, [self.micros()], "_passed")
+        return self.with_df(out.df.drop("_passed"))
 
     def timeout(self: Seq, duration: float, fallback: Seq | None = None, first: float | None = None, start_us: int | None = None) -> Seq:
         """Rows up to the first gap longer than so many seconds; then the fallback, or an error when read.
 
-        `first` is the limit for the first row, counted from start_us.
+        `first` is the limit for the first row, counted from start_us. In a keyed sequence each key has gaps of its
+        own, and a fallback has the key columns: a key that times out goes on with its rows there.
         """
         frame = self.ordered().neighbour("_before", self.micros(), -1).frame()
         late = self.micros() - F.col("_before") > round(duration * 1e6)
         if first is not None and start_us is not None:
             late = F.when(F.col("_before").isNull(), self.micros() - F.lit(start_us) > round(first * 1e6)).otherwise(late)
         gaps = self.with_df(frame.withColumn("_late", F.coalesce(late, F.lit(False))))
-        cut = gaps.df.where("_late").agg(F.min(gaps.place()).alias("_cut"))
-        joined = gaps.df.crossJoin(F.broadcast(cut))  # one row
+        cut = gaps.df.where("_late").groupBy(*self.keys).agg(F.min(gaps.place()).alias("_cut"))
+        joined = self.joined_by_key(gaps.df, cut, "left") if self.keys else gaps.df.crossJoin(F.broadcast(cut))  # one row
         if fallback is None:
             place = gaps.place()
             good = F.when(place >= F.col("_cut"), F.raise_error(F.lit(f"no row within {duration} s")).cast("boolean")).otherwise(F.lit(True))
             return self.with_df(joined.where(good).drop("_late", "_cut", "_before"))
         kept = joined.where(F.col("_cut").isNull() | (gaps.place() < F.col("_cut"))).drop("_late", "_cut", "_before")
-        timed_out = F.broadcast(cut.where(F.col("_cut").isNotNull()))
-        instead = fallback.df.crossJoin(timed_out).drop("_cut")
+        timed_out = cut.where(F.col("_cut").isNotNull())
+        instead = (self.joined_by_key(fallback.df, timed_out, "inner") if self.keys else fallback.df.crossJoin(F.broadcast(timed_out))).drop("_cut")
         both = kept.withColumn("source_ord", F.lit(0)).unionByName(instead.withColumn("source_ord", F.lit(1)), allowMissingColumns=True)
         return self.with_df(both, ["source_ord", *self.order])
 
@@ -92,4 +98,69 @@ class TimeOps:
         """Demand has no meaning in a plan that pulls; in streams the source's own limits do this."""
         return self
 
-    on_backpressure_buffer = on_backpressure_drop = on_backpressure_error = on_backpressure_latest = lambda self, *args, **options: self
+    # Overflow: what a consumer does that takes `drain` seconds for each row. Without a drain rate a plan that pulls has none.
+
+    def on_backpressure_drop(self: Seq, drain: float | None = None) -> Seq:
+        """Rows that come while the consumer is busy go."""
+        return self if drain is None else self._sampled_first(round(drain * 1e6))
+
+    def on_backpressure_latest(self: Seq, drain: float | None = None, name: str = "out_us") -> Seq:
+        """Of the rows that come while the consumer is busy the last one waits; `name` is when each is taken."""
+        if drain is None:
+            return self
+        length = round(drain * 1e6)
+        frame = self.ordered().neighbour("_next", self.micros(), 1).frame()
+
+        def gate():
+            free = None
+
+            def step(at, following):
+                nonlocal free
+                if at is None or (free is not None and at < free and following is not None and following <= free):
+                    return None
+                taken = at if free is None else max(at, free)
+                free = taken + length
+                return taken
+
+            return step
+
+        seq = self.with_df(frame)
+        return self.with_df(seq.gated(gate, [self.micros(), F.col("_next")], name).df.drop("_next"))
+
+    def on_backpressure_buffer(self: Seq, drain: float | None = None, size: int | None = None, overflow: str = "error", name: str = "out_us") -> Seq:
+        """Rows wait their turn, `size` at most (None: any number); `name` is when each is taken.
+
+        A row that comes when so many wait fails the action (overflow "error") or goes ("drop").
+        """
+        if drain is None:
+            return self
+        length = round(drain * 1e6)
+
+        def gate():
+            from collections import deque
+
+            waiting, free = deque(), None
+
+            def step(at):
+                nonlocal free
+                if at is None:
+                    return None
+                while waiting and waiting[0] <= at:
+                    waiting.popleft()
+                taken = at if free is None else max(at, free)
+                if taken > at:
+                    if size is not None and len(waiting) >= size:
+                        if overflow == "error":
+                            raise OverflowError(f"more than {size} rows wait")
+                        return None
+                    waiting.append(taken)
+                free = taken + length
+                return taken
+
+            return step
+
+        return self.gated(gate, [self.micros()], name)
+
+    def on_backpressure_error(self: Seq, drain: float | None = None) -> Seq:
+        """A row that comes while the consumer is busy fails the action."""
+        return self if drain is None else self.on_backpressure_buffer(drain, 0)

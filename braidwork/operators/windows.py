@@ -141,12 +141,14 @@ class Windows:
         one is full or its time is up, so windows without rows are counted by the ids.
         """
         limit = round(length * 1e6)
-        rows = self.df.withColumn("_us", self.micros())
 
-        def fold(group):
+        def gate():
             window, start, n = -1, None, 0
-            for row in group:
-                at = row["_us"]
+
+            def step(at):
+                nonlocal window, start, n
+                if at is None:  # a row without a time joins the window that is open
+                    at = start if start is not None else 0
                 if start is None or (n == 0 and not restart):
                     window, start, n = window + 1, at, 0
                 elif restart:
@@ -156,16 +158,18 @@ class Windows:
                 elif at >= start + limit:
                     window, start, n = window + 1, at, 0
                 n += 1
-                yield {**row, "window_id": window}
+                mine = window
                 if n >= size:
                     if restart:
                         window, start, n = window + 1, at, 0
                     else:
                         n = 0
+                return mine
+
+            return step
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", window_id long"
-        folded = self.with_df(rows).fold(fold, schema)
-        return self.with_df(folded.df.drop("_us"), ["window_id", *self.order])
+        folded = self.gated(gate, [self.micros()], "window_id")
+        return self.with_df(folded.df, ["window_id", *self.order])
 
     def buffer_timeout(self: Seq, size: int, length: float, columns: list[Column] = ()) -> Seq:
         return self.window_timeout(size, length).per_window(*columns)

@@ -72,6 +72,9 @@ class Seq(Project, Select, Combine, Aggregate, Windows, TimeOps, Errors, Share,
     def __str__(self) -> str:
         return f"Seq(order={self.order}, ts={self.ts}, keys={self.keys}, columns={self.df.columns})"
 
+    def to_string(self) -> str:
+        return str(self)
+
     def as_(self, convert: Callable[[Seq], Any]) -> Any:
         return convert(self)
 

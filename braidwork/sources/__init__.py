@@ -77,15 +77,23 @@ def interval(spark: SparkSession, start: str, end: str, period: str, delay: str
     return Seq(times, "ts", "ts").index("value")
 
 
-def generate(spark: SparkSession, state: str, step: str, emit: str = "state", until: str = "false", most: int = 100_000) -> Seq:
+#: Steps after which a generator without a limit of its own fails.
+GENERATED = 10_000
+
+
+def generate(spark: SparkSession, state: str, step: str, emit: str = "state", until: str = "false", most: int | None = None) -> Seq:
     """A pull generator in SQL: from `state`, emit an expression of n and state, go on with `step` until a test holds.
 
-    The recursion runs in one plan; its length is bounded by `most`.
+    With `most` it ends after so many steps at the latest. Without, it ends by its test alone; GENERATED steps
+    without that are an error when read. The recursion is one query, a job of Spark for each few steps: for
+    very long sequences `create` with a Python generator is cheaper.
     """
+    steps = GENERATED if most is None else most
+    value = emit if most is not None else f"CASE WHEN n < {steps} THEN {emit} ELSE raise_error('the generator has not ended after {steps} steps') END"
     sql = f"""
-    WITH RECURSIVE g(n, state) AS (
-      SELECT CAST(0 AS BIGINT), {state} UNION ALL SELECT n + 1, {step} FROM g WHERE NOT ({until}) AND n < {most})
-    SELECT n AS seq, {emit} AS value FROM g WHERE NOT ({until})
+    WITH RECURSIVE g(n, state) MAX RECURSION LEVEL {steps + 1} AS (
+      SELECT CAST(0 AS BIGINT), {state} UNION ALL SELECT n + 1, {step} FROM g WHERE NOT ({until}) AND n < {steps})
+    SELECT n AS seq, {value} AS value FROM g WHERE NOT ({until})
     """
     return Seq(spark.sql(sql), "seq")
 
