@@ -796,3 +796,282 @@ def stream_scan(spark, t):
 
     found = run_available(spark, t.path("events"), lambda s: scan_sum(s.select("event_id", "user_id", "value"), ["user_id"], "value", "event_id"))
     return found.select("event_id", "user_id", F.round("scan", 3).alias("scan"))
+
+
+# Keyed and unkeyed forms, delayed errors, overflow.
+
+
+@query("""
+WITH o AS (SELECT event_id AS outer_id, ts, lead(ts) OVER (ORDER BY ts, event_id) AS until FROM events WHERE event_type = 'view')
+SELECT outer_id, event_id FROM o JOIN events e ON e.event_type = 'click' AND e.ts >= o.ts AND (o.until IS NULL OR e.ts < o.until)
+""")
+def switch_map_all(spark, t):
+    outer = Seq(t("events").where("event_type = 'view'").select(F.col("event_id").alias("outer_id"), F.col("ts").alias("outer_ts")), "outer_id", "outer_ts")
+    return outer.switch_map(Seq(t("events").where("event_type = 'click'").select("event_id", "ts"), "event_id", "ts")).df.select("outer_id", "event_id")
+
+
+@query(ORACLES["switch_map"])
+def switch_on_next(spark, t):
+    outer = Seq(t("events").where("event_type = 'view'").select(F.col("event_id").alias("outer_id"), "user_id", F.col("ts").alias("outer_ts")), "outer_id", "outer_ts", ["user_id"])
+    return outer.switch_on_next(Seq(t("events").where("event_type = 'click'").select("event_id", "user_id", "ts"), "event_id", "ts"), on="user_id").df.select("outer_id", "event_id")
+
+
+@query("""
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS signal_pos, 'NEXT' AS type, event_type AS value, NULL::VARCHAR AS error FROM events
+UNION ALL SELECT user_id, count(*), 'COMPLETE', NULL, NULL FROM events GROUP BY user_id
+""")
+def materialize_by_key(spark, t):
+    return events(t, keys=("user_id",)).materialize("event_type").df.select("user_id", "signal_pos", "type", "value", "error")
+
+
+@query("""
+WITH g AS (SELECT user_id, event_id, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) > INTERVAL 1 DAY AS late FROM events),
+c AS (SELECT user_id, min(event_id) AS cut FROM g WHERE late GROUP BY user_id)
+SELECT user_id, event_id FROM events LEFT JOIN c USING (user_id) WHERE cut IS NULL OR event_id < cut UNION ALL SELECT user_id, -user_id FROM c
+""")
+def timeout_by_key(spark, t):
+    users = t("events").select("user_id").distinct()
+    instead = Seq(users.select("user_id", (-F.col("user_id")).alias("event_id")), "event_id", keys=["user_id"])
+    return Seq(t("events").select("event_id", "user_id", "ts"), "event_id", "ts", ["user_id"]).timeout(86_400, fallback=instead).df.select("user_id", "event_id")
+
+
+@query("WITH RECURSIVE g(n, s) AS (SELECT 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, s * 5 % 7919 FROM g WHERE n < 150) SELECT n AS seq, s AS value FROM g")
+def source_generate_long(spark, t):
+    return sources.generate(spark, "CAST(1 AS BIGINT)", "state * 5 % 7919", until="n > 150")
+
+
+HALVES = """
+d AS (SELECT doc_id, doc_id % 2 AS half, CASE WHEN length(text) % 97 = 5 THEN 'bad' END AS error FROM documents),
+c AS (SELECT half, min(doc_id) AS cut FROM d WHERE error IS NOT NULL GROUP BY half),
+k AS (SELECT doc_id, half AS source_ord, error FROM d LEFT JOIN c USING (half) WHERE cut IS NULL OR doc_id <= cut)
+"""
+
+
+def halves(t: Tables) -> list[Seq]:
+    docs = t("documents").select("doc_id", F.when(F.length("text") % 97 == 5, "bad").alias("error"))
+    return [Seq(docs.where(F.col("doc_id") % 2 == i), "doc_id") for i in (0, 1)]
+
+
+def delayed(seq: Seq) -> DataFrame:
+    """Places of the merged rows: errors are last."""
+    return seq.index().df.select("doc_id", F.col("source_ord").cast("long").alias("source_ord"), "error", "index")
+
+
+@query(f"WITH {HALVES} SELECT doc_id, source_ord, error, row_number() OVER (ORDER BY error IS NOT NULL, source_ord, doc_id) - 1 AS index FROM k")
+def concat_delay_error(spark, t):
+    one, two = halves(t)
+    return delayed(one.concat_delay_error(two, error=F.col("error")))
+
+
+@query(f"WITH {HALVES} SELECT doc_id, source_ord, error, row_number() OVER (ORDER BY error IS NOT NULL, source_ord, doc_id) - 1 AS index FROM k")
+def merge_delay_error(spark, t):
+    one, two = halves(t)
+    return delayed(one.merge_delay_error(two, error=F.col("error")))
+
+
+@query(f"WITH {HALVES} SELECT doc_id, source_ord, error, row_number() OVER (ORDER BY error IS NOT NULL, CASE WHEN error IS NULL THEN doc_id END, source_ord, doc_id) - 1 AS index FROM k")
+def merge_comparing_delay_error(spark, t):
+    one, two = halves(t)
+    return delayed(one.merge_comparing_delay_error(two, by=["doc_id"], error=F.col("error")))
+
+
+@query("SELECT doc_id, CASE WHEN length(text) % 97 = 5 THEN 'bad' END AS error, CASE WHEN length(text) % 97 = 5 THEN NULL ELSE i END AS value FROM documents, range(0, 2) r(i) WHERE length(text) % 97 IS DISTINCT FROM 5 OR i = 0")
+def flat_map_delay_error(spark, t):
+    seq = Seq(t("documents").select("doc_id", "text"), "doc_id")
+    fails = F.when(F.length("text") % 97 == 5, "bad")
+    return seq.flat_map_delay_error(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")), fails).df.select("doc_id", "error", "value")
+
+
+@query(ORACLES["sample_first"])
+def on_backpressure_drop(spark, t):
+    return events(t).group_by("user_id").on_backpressure_drop(6 * 3600).df.select("event_id")
+
+
+@query("""
+WITH i AS (SELECT user_id, event_id, epoch_us(ts) AS us, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) * 21600000000 AS d FROM events)
+SELECT event_id, max(us - d) OVER (PARTITION BY user_id ORDER BY event_id) + d AS out_us FROM i
+""")
+def on_backpressure_buffer(spark, t):
+    return events(t).group_by("user_id").on_backpressure_buffer(6 * 3600).df.select("event_id", "out_us")
+
+
+@query("""
+WITH RECURSIVE i AS (SELECT user_id, event_id, epoch_us(ts) AS us, lead(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY event_id) AS following, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+f(user_id, p, event_id, free, taken) AS (
+  SELECT user_id, p, event_id, us + 21600000000, us FROM i WHERE p = 1
+  UNION ALL SELECT f.user_id, i.p, i.event_id,
+    CASE WHEN i.us < f.free AND i.following <= f.free THEN f.free ELSE greatest(i.us, f.free) + 21600000000 END,
+    CASE WHEN i.us < f.free AND i.following <= f.free THEN NULL ELSE greatest(i.us, f.free) END
+  FROM f JOIN i ON i.user_id = f.user_id AND i.p = f.p + 1)
+SELECT event_id, taken AS out_us FROM f WHERE taken IS NOT NULL
+""")
+def on_backpressure_latest(spark, t):
+    return events(t).group_by("user_id").on_backpressure_latest(6 * 3600).df.select("event_id", "out_us")
+
+
+# What surrounds a plan: hooks, names, boundaries and shared plans leave its rows alone.
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def peeked(spark, t):
+    seq = events(t).do_first(lambda: None).do_on_subscribe(lambda: None).do_on_next(lambda row: None).do_on_each(lambda kind, value: None)
+    seq = seq.do_on_error(lambda e: None).do_on_complete(lambda: None).do_on_terminate(lambda: None).do_after_terminate(lambda: None).do_finally(lambda: None)
+    seq = seq.do_on_cancel(lambda: None).log().name("peeked").tag("kind", "test").checkpoint("here").on_error_stop().on_error_map(lambda e: e)
+    seen, _ = seq.metrics()
+    return seen.group_by("event_type").count()
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def bounded(spark, t):
+    seq = events(t).publish_on(4).subscribe_on("default").cancel_on("bounded").on_terminate_detach().hide().limit_rate(100).flux()
+    seq = seq.context_write(user="a").context_capture({"b": 1}).delay_subscription(0.01).repeat_when_empty(lambda: events(t))
+    seq = seq.transform(lambda s: s).transform_deferred(lambda s: s)().transform_deferred_contextual(lambda s, context: s)()
+    return seq.as_(lambda s: s.group_by("event_type").count())
+
+
+@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def shared_readers(spark, t):
+    shared = events(t).share()
+    counted = shared.reader().group_by("event_type").count()
+    rows = [tuple(r) for r in counted.df.select("event_type", "n").collect()]
+    shared.release()
+    return spark.createDataFrame(rows, "event_type string, n long")
+
+
+@query("SELECT event_id FROM events ORDER BY event_id LIMIT 1")
+def share_next(spark, t):
+    return events(t).share_next().reader().df.select("event_id")
+
+
+@query("SELECT count(*) AS n FROM events")
+def cached(spark, t):
+    cache = events(t).cache_invalidate_when(lambda: False)
+    n = cache.get().count().df.first()[0]
+    cache.invalidate()
+    return spark.createDataFrame([(n,)], "n long")
+
+
+@query("SELECT n_regionkey AS key, count(*) AS n FROM nation GROUP BY n_regionkey")
+def rails_with_hooks(spark, t):
+    rails = Seq(t("nation").select("n_nationkey", "n_regionkey"), "n_nationkey").parallel(3).name("rails").tag("a", "b").log().checkpoint("rails").hide()
+    rails = rails.do_on_next(lambda row: None).do_on_each(lambda kind, value: None).do_on_error(lambda e: None).do_on_complete(lambda: None)
+    rails = rails.do_on_subscribe(lambda: None).do_on_terminate(lambda: None).do_after_terminate(lambda: None).do_on_cancel(lambda: None).do_on_request(lambda n: None)
+    return rails.transform(lambda r: r).as_(lambda r: r).map(key=F.col("n_regionkey")).sequential().group_by("key").count()
+
+
+@query("SELECT n_nationkey, i AS value FROM nation, range(0, 2) r(i)")
+def rails_flat_map(spark, t):
+    rails = Seq(t("nation").select("n_nationkey"), "n_nationkey").parallel(3).flat_map(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")))
+    return rails.sequential().df.select("n_nationkey", "value")
+
+
+@query("SELECT sum(n_nationkey) AS total, count(*) AS n FROM nation")
+def rails_collect(spark, t):
+    of_rail = Seq(t("nation").select("n_nationkey"), "n_nationkey").parallel(3).collect(F.sum("n_nationkey").alias("total"), F.count("*").alias("n"))
+    return of_rail.df.agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+
+
+@query("SELECT sum(n_nationkey) AS total FROM nation")
+def rails_groups(spark, t):
+    groups = Seq(t("nation").select("n_nationkey"), "n_nationkey").parallel(3).groups().reduce("sum", F.col("n_nationkey"), "total")
+    return groups.df.agg(F.sum("total").alias("total"))
+
+
+@query("SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_name) - 1 AS index FROM nation")
+def rails_sorted(spark, t):
+    return Seq(t("nation").select("n_nationkey", "n_name"), "n_nationkey").parallel(3).sorted("n_name").index().df.select("n_nationkey", "n_name", "index")
+
+
+@query("SELECT n_nationkey, n_nationkey * 2 AS twice, length(n_name) AS size FROM nation")
+def zip_when(spark, t):
+    seq = Seq(t("nation"), "n_nationkey").zip_when("made", twice=F.col("n_nationkey") * 2, size=F.length("n_name").cast("long"))
+    return seq.df.select("n_nationkey", "made.twice", "made.size")
+
+
+@query("SELECT count(*) AS n, max(value) AS most FROM events")
+def collect_aggregates(spark, t):
+    return events(t).collect(F.count("*").alias("n"), F.max("value").alias("most"))
+
+
+# Windows with their rows.
+
+
+@query("SELECT event_id, (row_number() OVER (ORDER BY event_id) - 1) // 7 AS window_id FROM events")
+def window_rows(spark, t):
+    return events(t).window(7).df.select("event_id", F.col("window_id").cast("long").alias("window_id"))
+
+
+@query("SELECT event_id, coalesce(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS window_id FROM events")
+def window_until(spark, t):
+    return events(t).window_until(F.col("event_type") == "purchase").df.select("event_id", F.col("window_id").cast("long").alias("window_id"))
+
+
+@query(f"WITH {ISLANDS} SELECT event_id, window_id::BIGINT AS window_id FROM r")
+def window_until_changed(spark, t):
+    return events(t).group_by("user_id").window_until_changed(F.col("event_type")).df.select("event_id", F.col("window_id").cast("long").alias("window_id"))
+
+
+@query("""
+SELECT o.event_id AS opening, e.event_id FROM events o JOIN events e ON e.user_id = o.user_id AND e.ts >= o.ts AND e.ts <= o.ts + INTERVAL 1 HOUR WHERE o.event_type = 'signup'
+""")
+def window_when(spark, t):
+    openings = events(t, "event_type = 'signup'")
+    return events(t).window_when(openings, 3600, on=["user_id"]).df.select(F.col("l_event_id").alias("opening"), F.col("r_event_id").alias("event_id"))
+
+
+# More sources.
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 3::BIGINT), (1, 1), (2, 2)) v(seq, value)")
+def source_values(spark, t):
+    made = sources.defer(lambda: sources.from_iterable(spark, iter([3, 1, 2]), "value long"))
+    return made().df.select(F.col("seq").cast("long").alias("seq"), "value")
+
+
+@query("SELECT * FROM (VALUES (0::BIGINT, 'a'), (1, 'b')) v(seq, value)")
+def source_sink(spark, t):
+    sink = sources.sink_many(spark, "value string")
+    sink.emit_next("a")
+    sink.emit_next("b")
+    sink.try_emit_complete()
+    return sink.as_seq()
+
+
+@query("SELECT 7 AS value")
+def source_callable(spark, t):
+    return sources.from_callable(spark, lambda: 7, "value int").df.select("value")
+
+
+@query("SELECT n_nationkey FROM nation")
+def source_using(spark, t):
+    with sources.using(lambda: t("nation"), lambda df: Seq(df, "n_nationkey"), lambda df: None) as seq:
+        return seq.df.select("n_nationkey")
+
+
+# More streams.
+
+
+@query("SELECT epoch_us(s) AS window_us, count(*) AS n FROM events, range(TIMESTAMP '2023-12-31 22:00:00', TIMESTAMP '2024-02-02', INTERVAL 30 MINUTE) r(s) WHERE ts >= s AND ts < s + INTERVAL 1 HOUR GROUP BY s")
+def stream_sliding(spark, t):
+    from braidwork.streaming import run_available, tumbling_counts
+
+    return run_available(spark, t.path("events"), lambda s: tumbling_counts(s, "ts", "1 hour", "0 seconds", "30 minutes"), "complete")
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_distinct(spark, t):
+    from braidwork.streaming import distinct, run_available
+
+    return run_available(spark, t.path("events"), lambda s: distinct(s.select("user_id", "ts"), "ts", "1000 days", ["user_id"])).select("user_id")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g)
+SELECT user_id, count(*) AS n, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, run
+""")
+def stream_sessions(spark, t):
+    from braidwork.streaming import run_available, sessions
+
+    found = run_available(spark, t.path("events"), lambda s: sessions(s, "ts", "12 hours", "0 seconds", ["user_id"]), "complete")
+    return found.select("user_id", "n", F.unix_micros("last_ts").alias("last_us"))

@@ -45,6 +45,7 @@ class Control:
             spark.sparkContext.setJobDescription(names[-1])
         for tag in tags:
             spark.addTag(tag)
+            spark.sparkContext.addJobTag(tag)
         attempt = lambda: action(self.sorted_df())
         for spec in retries:
             attempt = (lambda inner, spec: lambda: spec.run(inner))(attempt, spec)
@@ -78,6 +79,7 @@ class Control:
                 hook()
             for tag in tags:
                 spark.removeTag(tag)
+                spark.sparkContext.removeJobTag(tag)
 
     def subscribe(self: Seq, on_next: Callable[[Row], None] | None = None, on_error: Callable | None = None, on_complete: Callable | None = None) -> None:
         """Rows in order to a consumer on the driver, streamed partition by partition."""
@@ -120,17 +122,17 @@ class Control:
         tag, spark = f"braidwork-{id(self)}-{time.monotonic_ns()}", self.spark
 
         def tagged() -> Any:
-            spark.addTag(tag)
+            spark.sparkContext.addJobTag(tag)
             try:
                 return action()
             finally:
-                spark.removeTag(tag)
+                spark.sparkContext.removeJobTag(tag)
 
         future = POOL.submit(tagged)
         try:
             return future.result(timeout)
         except TimeoutError as error:
-            spark.interruptTag(tag)
+            spark.sparkContext.cancelJobsWithTag(tag)
             raise TimedOut(f"no result within {timeout} s") from error
 
     def block_first(self: Seq, timeout: float | None = None) -> Row | None:
@@ -239,7 +241,7 @@ class Control:
         return self.hooked("cancel", hook)
 
     def cancel_on(self: Seq, tag: str) -> Seq:
-        """Runs under a tag; spark.interruptTag(tag) from any thread cancels it."""
+        """Runs under a tag; spark.sparkContext.cancelJobsWithTag(tag) from any thread cancels it."""
         return self.hooked("tag", tag)
 
     def on_terminate_detach(self: Seq) -> Seq:

@@ -127,7 +127,7 @@ class Project:
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import _parse_datatype_string
 
-        target = to_arrow_schema(_parse_datatype_string(schema), timezone=self.spark.conf.get("spark.sql.session.timeZone"))
+        target = to_arrow_schema(_parse_datatype_string(schema))
         return self.with_df(self.sorted_parts().mapInArrow(run, schema))
 
     def sorted_parts(self: Seq) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterable, Sequence
 from contextlib import contextmanager
 from typing import Any
@@ -213,8 +214,9 @@ zip_delay_error = zip_values
 class Sink:
     """Rows pushed by the driver, kept until read: many (all, or the last n), one, or empty."""
 
-    def __init__(self, spark: SparkSession, schema: str, limit: int | None = None, single: bool = False):
+    def __init__(self, spark: SparkSession, schema: str, limit: int | None = None, single: bool = False, unicast: bool = False, max_age: float | None = None, clock: Callable[[], float] = time.monotonic):
         self.spark, self.schema, self.limit, self.single = spark, schema, limit, single
+        self.unicast, self.read, self.max_age, self.clock, self.times = unicast, False, max_age, clock, {}
         self.rows: list[tuple] = []
         self.count, self.done, self.failure = 0, False, None
 
@@ -224,6 +226,7 @@ class Sink:
         if self.single and self.count:
             return "FAIL_OVERFLOW"
         self.rows.append((self.count, *row))
+        self.times[self.count] = self.clock()
         self.count += 1
         if self.limit is not None:
             del self.rows[: -self.limit or len(self.rows)]
@@ -253,14 +256,54 @@ class Sink:
         self.done, self.failure = True, message
         return "OK"
 
-    def as_seq(self) -> Seq:
-        df = self.spark.createDataFrame(self.rows, f"seq long, {self.schema}")
+    def reader(self) -> Reader:
+        """A subscription of a multicast sink: it sees what is emitted from now on."""
+        return Reader(self, self.count)
+
+    def as_seq(self, since: int = 0) -> Seq:
+        if self.unicast and self.read:
+            raise RuntimeError("a unicast sink has one consumer")
+        self.read = True
+        kept = [r for r in self.rows if r[0] >= since and (self.max_age is None or self.clock() - self.times[r[0]] <= self.max_age)]
+        df = self.spark.createDataFrame(kept, f"seq long, {self.schema}")
         if self.failure is not None:
             failed = error(self.spark, self.failure, f"seq long, {self.schema}")
             df = df.unionByName(failed.df)
         return Seq(df, "seq")
 
 
+class Reader:
+    """A subscription of a sink."""
+
+    def __init__(self, sink: Sink, since: int):
+        self.sink, self.since = sink, since
+
+    def as_seq(self) -> Seq:
+        return self.sink.as_seq(self.since)
+
+
+def sink_empty(spark: SparkSession, schema: str) -> Sink:
+    """A sink that only ends: no row can be emitted."""
+    sink = Sink(spark, schema, single=True)
+    sink.count = 1
+    return sink
+
+
+def sink_unicast(spark: SparkSession, schema: str) -> Sink:
+    """Rows are kept for one consumer; a second one is an error."""
+    return Sink(spark, schema, unicast=True)
+
+
+def sink_multicast(spark: SparkSession, schema: str) -> Sink:
+    """Each reader() sees the rows emitted after it came."""
+    return Sink(spark, schema)
+
+
+def sink_replay(spark: SparkSession, schema: str, limit: int | None = None, max_age: float | None = None, clock: Callable[[], float] = time.monotonic) -> Sink:
+    """Consumers see all rows, the last `limit`, or those no older than so many seconds."""
+    return Sink(spark, schema, limit, max_age=max_age, clock=clock)
+
+
 def sink_one(spark: SparkSession, schema: str) -> Sink:
     return Sink(spark, schema, single=True)
 

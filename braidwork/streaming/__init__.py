@@ -50,35 +50,68 @@ def join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, alive:
     return a.join(b, on & (F.col(right_ts) >= F.col(left_ts)) & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"INTERVAL {alive}")))
 
 
-def fold(stream: DataFrame, keys: list[str], schema: str, state: str, initial: tuple, step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], order: str) -> DataFrame:
-    """A stateful fold for each key: step(state, rows in order) -> (state, rows out), batch by batch."""
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(order)
-        before = held.get if held.exists else initial
-        after, out = step(tuple(before), rows)
-        held.update(after)
-        yield out
-
-    return stream.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+def fold(stream: DataFrame, keys: list[str], schema: str, state: str, initial: tuple, step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], order: str, ts: str | None = None, late: str = "0 seconds", expire_ms: int | None = None) -> DataFrame:
+    """A stateful fold for each key: step(state, rows in order) -> (state, rows out).
+
+    Without `ts` rows are sorted within a micro-batch: enough where batches don't overlap in time. With it rows
+    wait in the state until the watermark (`late` behind the newest row) has passed them, so rows that come in a
+    later batch are folded in their place; the newest rows of a stream wait for later ones. A key without rows
+    for `expire_ms` of event time is forgotten.
+    """
+    if ts is None:
+
+        def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+            rows = pd.concat(list(frames)).sort_values(order)
+            before = held.get if held.exists else initial
+            after, out = step(tuple(before), rows)
+            held.update(after)
+            yield out
+
+        return stream.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
+
+    def run_held(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        import base64
+        import pickle
+
+        *before, waiting, last = held.get if held.exists else (*initial, "", 0)
+        parts = [pickle.loads(base64.b64decode(waiting))] if waiting else []
+        parts += [f for f in frames if len(f)]
+        if not parts:
+            held.remove()  # timed out with nothing left: the key has expired
+            return
+        rows, watermark = pd.concat(parts).sort_values(order), held.getCurrentWatermarkMs()
+        ready, last = rows["_ms"] < watermark, max(last, int(rows["_ms"].max()))
+        now, rest = rows[ready], rows[~ready]
+        if len(now):
+            before, out = step(tuple(before), now.drop(columns="_ms"))
+            yield out
+        held.update((*before, base64.b64encode(pickle.dumps(rest)).decode() if len(rest) else "", last))
+        if len(rest):
+            held.setTimeoutTimestamp(max(int(rest["_ms"].min()), watermark) + 1)
+        elif expire_ms is not None:
+            held.setTimeoutTimestamp(max(last + expire_ms, watermark) + 1)
+
+    rows = timed(stream, ts, late)
+    rows = rows.withColumn("_ms", F.unix_millis(ts))
+    return rows.groupBy(*keys).applyInPandasWithState(run_held, schema, f"{state}, held string, last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def columns_of(stream: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stream.schema)
 
 
-def scan_sum(stream: DataFrame, keys: list[str], value: str, order: str, name: str = "scan") -> DataFrame:
-    """The running sum of each key."""
+def scan_sum(stream: DataFrame, keys: list[str], value: str, order: str, name: str = "scan", **held) -> DataFrame:
+    """The running sum of each key. held: ts, late and expire_ms of `fold`."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         sums = rows[value].cumsum() + state[0]
         return (float(sums.iloc[-1]),), rows.assign(**{name: sums})
 
-    return fold(stream, keys, f"{columns_of(stream)}, {name} double", "total double", (0.0,), step, order)
+    return fold(stream, keys, f"{columns_of(stream)}, {name} double", "total double", (0.0,), step, order, **held)
 
 
-def sample_first(stream: DataFrame, keys: list[str], micros: str, period_us: int) -> DataFrame:
-    """A row, then none for so long, and so on; `micros` is a column of microseconds that also orders the rows."""
+def sample_first(stream: DataFrame, keys: list[str], micros: str, period_us: int, **held) -> DataFrame:
+    """A row, then none for so long, and so on; `micros` is a column of microseconds that also orders the rows. held: ts, late and expire_ms of `fold`."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         gate, kept = state[0], []
@@ -88,11 +121,11 @@ def sample_first(stream: DataFrame, keys: list[str], micros: str, period_us: int
                 gate = int(at) + period_us
         return (gate,), rows[kept]
 
-    return fold(stream, keys, columns_of(stream), "gate long", (-(2**62),), step, micros)
+    return fold(stream, keys, columns_of(stream), "gate long", (-(2**62),), step, micros, **held)
 
 
-def buffer_timeout(stream: DataFrame, keys: list[str], micros: str, size: int, length_us: int) -> DataFrame:
-    """Each row with its window_id: windows of up to `size` rows and so long from their first row on."""
+def buffer_timeout(stream: DataFrame, keys: list[str], micros: str, size: int, length_us: int, **held) -> DataFrame:
+    """Each row with its window_id: windows of up to `size` rows and so long from their first row on. held: ts, late and expire_ms of `fold`."""
 
     def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
         window, start, n = state
@@ -104,7 +137,21 @@ def buffer_timeout(stream: DataFrame, keys: list[str], micros: str, size: int, l
             ids.append(window)
         return (window, start, n), rows.assign(window_id=ids)
 
-    return fold(stream, keys, f"{columns_of(stream)}, window_id long", "window long, start long, n long", (-1, 0, 0), step, micros)
+    return fold(stream, keys, f"{columns_of(stream)}, window_id long", "window long, start long, n long", (-1, 0, 0), step, micros, **held)
+
+
+def inactivity(stream: DataFrame, keys: list[str], ts: str, late: str, quiet: str) -> DataFrame:
+    """(keys, last_ts): keys that had no row for so long after last_ts, once the watermark shows it: the streaming timeout. A key that comes back starts anew."""
+    return sessions(stream, ts, quiet, late, keys).select(*keys, "last_ts")
+
+
+def count_windows(stream: DataFrame, keys: list[str], order: str, size: int, **held) -> DataFrame:
+    """Each row with its window_id: windows of `size` rows of a key. held: ts, late and expire_ms of `fold`."""
+
+    def step(state: tuple, rows: pd.DataFrame) -> tuple[tuple, pd.DataFrame]:
+        return (state[0] + len(rows),), rows.assign(window_id=[(state[0] + i) // size for i in range(len(rows))])
+
+    return fold(stream, keys, f"{columns_of(stream)}, window_id long", "seen long", (0,), step, order, **held)
 
 
 def latest_per_batch(stream: DataFrame, keys: list[str], ts: str, sink: Callable[[DataFrame], None]):
@@ -117,11 +164,11 @@ def latest_per_batch(stream: DataFrame, keys: list[str], ts: str, sink: Callable
     return stream.writeStream.foreachBatch(batch)
 
 
-def run_available(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], mode: str = "append") -> DataFrame:
+def run_available(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], mode: str = "append", files: int = 8) -> DataFrame:
     """What a stream over all Parquet files of a path gives once it has read them: for replays and tests."""
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"  # a stream reads no single file, but a pattern that matches one
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", "8").parquet(pattern)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(pattern)
     base = f"{shared_root(spark)}/braidwork/stream-{uuid.uuid4().hex}"
     made = build(stream)
     if mode == "complete":
