@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.llm.common import bounded_batches, lean, store, text_or_empty
-from braidwork.llm.textbytes import Rolling, bytes_of, parts
+from braidwork.llm.textbytes import Rolling, bytes_of, mix64, parts
 
 LENGTH = 100
 #: Bytes of a suffix's leading token. A string of LENGTH bytes holds LENGTH - GRAM + 1 such tokens.
@@ -27,6 +27,8 @@ TOGETHER = 128
 CONTEXTS = 8_000
 #: Suffixes sampled for each bucket's splitter.
 SAMPLED = 100
+#: A token with so many of the sampled suffixes would fill a good part of a bucket: its suffixes are dealt by context.
+HEAVY = 25
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -103,10 +105,12 @@ def combined(token, context, doc, packed):
     return token, context, doc, packed, again
 
 
-def bucket_rows(token, context, doc, packed, splitters: np.ndarray) -> pa.RecordBatch:
+def bucket_rows(token, context, doc, packed, splitters: np.ndarray, heavy: np.ndarray) -> pa.RecordBatch:
     """Rows for the sort. Of equal suffixes in this block only the earliest goes to its bucket; the others are repeats already."""
     token, context, doc, packed, again = combined(token, context, doc, packed)
     bucket = np.searchsorted(splitters, token, side="right").astype(np.int64)
+    if len(heavy):
+        bucket = np.where(np.isin(token, heavy), (mix64(context) % np.uint64(len(splitters) + 1)).astype(np.int64), bucket)
     bucket = np.where(again, -1 - np.abs(doc % (len(splitters) + 1)), bucket)
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(token.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(packed)], names=["bucket", "token", "context", "doc", "packed"])
 
@@ -115,26 +119,27 @@ ROWS = "bucket long, token long, context long, doc long, packed long"
 FOUND = "doc long, low long, high long"
 
 
-def in_blocks(found, splitters: np.ndarray):
+def in_blocks(found, splitters: np.ndarray, heavy: np.ndarray):
     """Combine suffixes, block by block, into rows for the buckets."""
     held, n = [], 0
     for x in found:
         held.append(x)
         n += len(x[0])
         if n >= BLOCK_ROWS:
-            yield bucket_rows(*(np.concatenate(c) for c in zip(*held, strict=True)), splitters)
+            yield bucket_rows(*(np.concatenate(c) for c in zip(*held, strict=True)), splitters, heavy)
             held, n = [], 0
     if n:
-        yield bucket_rows(*(np.concatenate(c) for c in zip(*held, strict=True)), splitters)
+        yield bucket_rows(*(np.concatenate(c) for c in zip(*held, strict=True)), splitters, heavy)
 
 
-def sort_bucket(length: int):
+def sort_bucket(length: int, heavy: np.ndarray):
     """The function that sorts a task's buckets and tells repeats: rows (doc, low, high).
 
     high below 0 marks a suffix to look into, low its packed place: -1 if few contexts share its token, else -2.
 
     Splitters are whole leading tokens, so suffixes with equal tokens lie in one bucket, and none have to be
-    compared across boundaries.
+    compared across boundaries. Heavy tokens are the exception: only suffixes of equal context meet here, and
+    all that are left go on to be compared string by string.
     """
 
     def repeats(batches):
@@ -164,6 +169,9 @@ def sort_bucket(length: int):
                 look[order[1:][same]] = True
                 look[order[:-1][same]] = True
         many = np.bincount(group)[group] > TOGETHER if len(token) else look
+        if len(heavy) and len(token):
+            apart = np.isin(token, heavy)
+            look, many = look | apart, many | apart
         found.append((doc[look], packed[look], np.where(many[look], -2, -1)))
         docs, low, high = (np.concatenate(c) for c in zip(*found, strict=True))
         for i in range(0, len(docs), 1 << 18):
@@ -285,8 +293,10 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
     tokens = np.asarray(some.mapInArrow(lean(sampled), "token long").toArrow().column(0)).view(np.uint64)
     splitters = np.unique(np.quantile(np.sort(tokens).astype(np.float64), np.arange(1, buckets) / buckets).astype(np.uint64)) if len(tokens) else np.empty(0, dtype=np.uint64)
 
-    rows = pairs.mapInArrow(lean(lambda batches: in_blocks(of_texts(batches), splitters)), ROWS)
-    found = store(rows.repartitionById(buckets, F.pmod("bucket", F.lit(buckets)).cast("int")).mapInArrow(lean(sort_bucket(length)), FOUND), "repeats-found")
+    often, times = np.unique(tokens, return_counts=True)
+    heavy = often[times > HEAVY]
+    rows = pairs.mapInArrow(lean(lambda batches: in_blocks(of_texts(batches), splitters, heavy)), ROWS)
+    found = store(rows.repartitionById(buckets, F.pmod("bucket", F.lit(buckets)).cast("int")).mapInArrow(lean(sort_bucket(length, heavy)), FOUND), "repeats-found")
 
     place = F.struct(F.col("low"), (F.col("high") == -2).alias("many"))
     unsure = found.where("high < 0").groupBy("doc").agg(F.collect_list(place).alias("places"))
@@ -310,11 +320,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
                 end = low + (few >> 23 & 127) + length
                 raw = data.tobytes()
                 contexts = pa.array([raw[a:b] for a, b in zip(low.tolist(), end.tolist(), strict=True)], pa.binary())
-                bucket = np.searchsorted(even, token, side="right").astype(np.int64)
+                bucket = np.searchsorted(even, mix64(token), side="right").astype(np.int64)  # least tokens are small numbers: spread them
                 yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(token.view(np.int64)), pa.array(ids[few_text]), pa.array(few), contexts], names=["bucket", "token", "doc", "packed", "context"])
                 owner, start, found = strings_of(data, starts, rolling, text[many], packed[many], length)
                 if len(found):
-                    rows = bucket_rows(found, np.zeros(len(found), dtype=np.uint64), ids[owner], start << 30, even)
+                    rows = bucket_rows(found, np.zeros(len(found), dtype=np.uint64), ids[owner], start << 30, even, heavy[:0])
                     yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("bucket", "token", "doc", "packed")), pa.nulls(rows.num_rows, pa.binary())], names=["bucket", "token", "doc", "packed", "context"])
 
     again = strings.mapInArrow(lean(of_strings), STRINGS).repartitionById(buckets, F.pmod("bucket", F.lit(buckets)).cast("int")).mapInArrow(lean(sort_strings(length)), FOUND)

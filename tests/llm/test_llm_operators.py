@@ -501,6 +501,13 @@ def brute_repeats(texts):
     return out
 
 
+def test_repeats_of_heavy_tokens(docs, monkeypatch):
+    """Tokens that are dealt by context, as a phrase that many documents share would be."""
+    monkeypatch.setattr(repeats, "HEAVY", 0)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(docs).collect()}
+    assert got == brute_repeats(texts_of(docs))
+
+
 @pytest.mark.parametrize("together", [128, 1])
 def test_repeats(docs, empty, odd, monkeypatch, together):
     monkeypatch.setattr(repeats, "TOGETHER", together)
