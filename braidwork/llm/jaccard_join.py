@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import BROADCAST_IDS, bounded_batches, lean, store, text_or_empty
+from braidwork.llm.common import BROADCAST_IDS, SPACE, bounded_batches, lean, store, text_or_empty
 from braidwork.llm.components import components
 from braidwork.llm.textbytes import LOWER, Rolling, bytes_of, mix64, parts, words
 
@@ -651,3 +651,19 @@ def keep_one(docs: DataFrame) -> DataFrame:
     gone = store(gone.select(F.col("doc_id").alias("_gone"), F.col("tid").alias("_tid")).distinct(), "jaccard-gone")
     few = gone.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(gone) if few else gone, F.col("doc_id").eqNullSafe(F.col("_gone")) & (F.xxhash64(text_or_empty()) == F.col("_tid")), "left_anti")
+
+
+ORACLE_LINKED = f"""
+WITH RECURSIVE t AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[{SPACE}]+'), lambda x: x <> '') AS w FROM documents),
+g AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))
+                                    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingles FROM t),
+n AS (SELECT doc_id, len(shingles) AS n FROM g),
+s AS (SELECT doc_id, unnest(shingles) AS shingle FROM g),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * common >= 75 * (a.n + b.n - common)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+reach(x, y) AS (SELECT doc_id, doc_id FROM n UNION SELECT r.x, e.y FROM reach r JOIN e ON e.x = r.y)
+SELECT x AS doc_id, any_value(n.n)::BIGINT AS n_shingles, min(y) AS component_id FROM reach JOIN n ON n.doc_id = x GROUP BY x
+"""

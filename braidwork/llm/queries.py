@@ -84,4 +84,4 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
-ORACLES = {"op4_chat": ORACLE_CHAT, "op10_exact_dedup": exact_dedup.ORACLE_EXACT}
+ORACLES = {"op4_chat": ORACLE_CHAT, "op6_jaccard": jaccard_join.ORACLE_LINKED, "op10_exact_dedup": exact_dedup.ORACLE_EXACT}

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 import random
 from collections import Counter
 
 import corpus_pipeline
+import duckdb
 import pyarrow as pa
+import pytest
 from braidwork.llm import language_id
 from braidwork.llm.queries import ORACLES, QUERIES
 
@@ -63,3 +66,16 @@ def test_one_letter_has_an_ngram():
 def test_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
     assert numbers == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test data")
+@pytest.mark.parametrize("name", list(ORACLES))
+def test_sql(spark, name):
+    """Each query that has SQL against DuckDB."""
+    data = "/root/testdata/sf0.001"
+    duck = duckdb.connect()
+    for table in ("documents", "conversations"):
+        duck.execute(f"CREATE VIEW {table} AS SELECT * FROM read_parquet('{data}/{table}.parquet')")
+    got = QUERIES[name](spark, data)
+    found = duck.execute(f"SELECT {', '.join(got.columns)} FROM ({ORACLES[name]})").fetchall()
+    assert sorted(map(tuple, got.collect())) == sorted(found)
