@@ -229,11 +229,12 @@ class Rails:
 
 class Share:
     def publish(self: Seq, selector: Callable[[Seq], Seq] | None = None) -> Connectable | Seq:
-        """A connectable; or, with a selector, its result over a plan that is computed once and freed after the result's first action."""
+        """A connectable; or, with a selector, its result over a plan that is computed once and freed after the result's first action (a selector that gives a DataFrame keeps it until the session ends)."""
         if selector is None:
             return Connectable(self)
         self.df.persist(StorageLevel.MEMORY_AND_DISK)
-        return selector(self).do_finally(lambda: self.df.unpersist())
+        result = selector(self)
+        return result.do_finally(lambda: self.df.unpersist()) if isinstance(result, Share) else result
 
     def share(self: Seq) -> Connectable:
         return Connectable(self).ref_count()
