@@ -2,16 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from braidwork.plans.storage import store as store  # shared with the core
+
 #: ASCII white space of every word and normalisation rule here: space and the control characters 9 to 13.
 SPACE = r"\x20\x09-\x0D"
 
@@ -20,30 +18,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        existing = spark.sparkContext.getCheckpointDir()
-        if existing:
-            return existing
-        root = tempfile.mkdtemp(prefix="braidwork-shared-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.sparkContext.setCheckpointDir(root)
-        root = spark.sparkContext.getCheckpointDir()
-    return root
-
-
-def store(df: DataFrame, tag: str) -> DataFrame:
-    """Cut lineage: write df as Parquet below the shared folder, remove it when the driver's JVM exits, read it back."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/braidwork/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def discard(df: DataFrame) -> None:
     """Delete a stored table that no later plan reads."""
     spark = df.sparkSession
