@@ -18,7 +18,9 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 9) -> DataFrame:
     null, and copies of a text are dealt like any other row.
 
     A null source is a source of its own. A null text has size 16 and the checksum of no bytes. Repeated rows
-    are dealt one by one; null ids hash like a value. An empty table gives no row. Other columns are ignored.
+    are dealt one by one. Rows are hashed and ordered by id, checksum and size, so rows that share an id (null too)
+    spread over the cells by their texts, and a task that runs again places them as before. An empty table gives no
+    row. Other columns are ignored.
 
     Ranks come from hash cells and positions from cells of the fractional rank, each with a small table of
     running counts, so that neither a hot source nor the whole table is ever sorted in one task.
@@ -31,7 +33,7 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 9) -> DataFrame:
         F.crc32(text_or_empty().cast("binary")).alias("text_crc32"),
         F.lit(1).cast("long").alias("_one"),
     )
-    ranked = prefix_sums(facts, "source_key", "_one", ["doc_id"], rows, seed)
+    ranked = prefix_sums(facts, "source_key", "_one", ["doc_id", "text_crc32", "size"], rows, seed)
     fraction = ranked.withColumn("_f", (F.col("before") + 0.5) / F.col("total"))
     cells = cells_for(rows)
     celled = fraction.withColumn("_cell", F.least(F.floor(F.col("_f") * cells), F.lit(cells - 1)))
