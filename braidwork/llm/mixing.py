@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -69,10 +69,15 @@ def draw_counts(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(shards, len(slots))
 
 
+def text_id() -> Column:
+    """Parts rows that share an id (null too), so that they spread by their texts."""
+    return F.xxhash64(text_or_empty())
+
+
 def measured(docs: DataFrame, seed: int) -> DataFrame:
-    """Stored rows (doc_id, source_key, size, before, total): size in words, place in the source's stream of words."""
-    facts = docs.select("doc_id", source_key().alias("source_key"), F.regexp_count(text_or_empty(), F.lit(WORDS)).cast("long").alias("size"))
-    return store(prefix_sums(facts, "source_key", "size", ["doc_id", "size"], docs.count(), seed), "mixing-sizes")
+    """Stored rows (doc_id, source_key, size, tid, before, total): size in words, hash of the text, place in the source's stream of words."""
+    facts = docs.select("doc_id", source_key().alias("source_key"), F.regexp_count(text_or_empty(), F.lit(WORDS)).cast("long").alias("size"), text_id().alias("tid"))
+    return store(prefix_sums(facts, "source_key", "size", ["doc_id", "size", "tid"], docs.count(), seed), "mixing-sizes")
 
 
 def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 3):
@@ -85,8 +90,8 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     part of one more pass, whose last slot takes only the words that are still due. Slots and blocks join by
     index. No word is taken more often than ceil(most) times.
 
-    documents: doc_id, source_key, size, before, total. pieces: shard, slot, source_key, block, pass, doc_id,
-    size, before, word_start, n_words. targets: source_key to (words, target).
+    documents: doc_id, source_key, size, tid, before, total. pieces: shard, slot, source_key, block, pass, doc_id,
+    size, tid, before, word_start, n_words. targets: source_key to (words, target).
 
     A null text has no words; documents without words get no piece. A null source is a source of its own.
     Repeated rows are documents of their own. An empty table gives no rows. Other columns are ignored. The
@@ -132,7 +137,7 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     held = spark.createDataFrame(rows, "shard int, source int, low long, high long").repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism * 2)))
     drawn = held.mapInPandas(open_slots, "shard int, slot long, source_key string, block long, pass long, take long")
     first, last = F.expr(f"before div {block_words}"), F.expr(f"(before + size - 1) div {block_words}")
-    parts = facts.where("size > 0").select("doc_id", "source_key", "size", "before", F.explode(F.sequence(first, last)).alias("block"))
+    parts = facts.where("size > 0").select("doc_id", "source_key", "size", "tid", "before", F.explode(F.sequence(first, last)).alias("block"))
     at = F.greatest("before", F.col("block") * block_words)
     until = F.least(F.col("before") + F.col("size"), F.col("block") * block_words + F.col("take"))
     # Slots grow with the corpus, though Spark takes them for as small as the counts they are opened from: never broadcast them.
@@ -162,14 +167,16 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """The mixture as documents: doc_id, text, lang, source, n_chars, one row for each document and pass it is taken in.
 
     A row's text is the words taken in that pass, from the whole text with its white space where all are
-    taken; else runs of taken words keep theirs, and runs are parted by a line break.
+    taken; else runs of taken words keep theirs, and runs are parted by a line break. Rows that share an id (null
+    too) are told apart by their texts; rows alike in id, source and text share out the places of their kind.
+    An empty table gives no row.
     """
     _, pieces, _ = mix(docs, **options)
-    row = ["source_key", "doc_id", "size"]
+    row = ["source_key", "doc_id", "size", "tid"]
     spans = pieces.groupBy(*row, "before").agg(F.sort_array(F.collect_list(F.struct("pass", "word_start", "n_words"))).alias("spans"))
     spans = spans.withColumn("_nth", F.row_number().over(Window.partitionBy(*row).orderBy("before")))
     spans = spans.select(*[F.col(c).alias(f"_{c}") for c in [*row]], F.col("_nth").alias("_turn"), "spans")
-    texts = docs.select("doc_id", "text", "lang", "source", source_key().alias("source_key"), F.regexp_count(text_or_empty(), F.lit(WORDS)).cast("long").alias("size"))
+    texts = docs.select("doc_id", "text", "lang", "source", source_key().alias("source_key"), F.regexp_count(text_or_empty(), F.lit(WORDS)).cast("long").alias("size"), text_id().alias("tid"))
     texts = texts.withColumn("_nth", F.row_number().over(Window.partitionBy(*row).orderBy("text", "lang")))
     same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in row] + [F.col("_nth") == F.col("_turn")]
     joined = texts.join(spans, same).select("doc_id", "text", "lang", "source", "size", "spans")
