@@ -246,6 +246,23 @@ def test_mixed_documents(docs):
     assert {d: n for d, n in counts.items() if n} == dict(got)
 
 
+def test_mixing_of_odd_tables(spark, odd, empty):
+    """Null and repeated ids: every row is a document of its own, told apart by its text."""
+    got = mixing.mixture_counts(odd, block_words=7).collect()
+    sizes = sorted((str(r.doc_id), len(WORD.findall(r.text or ""))) for r in odd.collect())
+    assert sorted((str(r.doc_id), r.size) for r in got) == sizes
+    assert all(r.taken <= 2 * r.size for r in got) and abs(sum(r.taken for r in got) - 1.5 * sum(n for _, n in sizes)) <= 1
+    rows = [(None, f"w{i} " * (1 + i % 3), "en" if i % 2 else None, "s") for i in range(60)] + [(None, "same text", "en", "s")] * 20
+    many = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    texts = Counter((r.text, r.lang) for r in many.collect())
+    out = mixing.mixed_documents(many).collect()
+    assert {r.doc_id for r in out} == {None}
+    whole = Counter((r.text, r.lang) for r in out if (r.text, r.lang) in texts)
+    assert all(n <= 2 * texts[k] for k, n in whole.items()) and sum(texts.values()) <= sum(whole.values())
+    assert abs(sum(len(WORD.findall(r.text)) for r in out) - 1.5 * sum(len(WORD.findall(t)) * n for (t, _), n in texts.items())) <= 1
+    assert mixing.mixed_documents(empty).count() == 0
+
+
 def test_permutation_and_counts():
     for size in (1, 2, 3, 17, 1000):
         assert sorted(mixing.permute(np.arange(size), size, 5).tolist()) == list(range(size))
@@ -326,6 +343,39 @@ def test_language(spark, empty):
     assert {r.lang_pred for r in language_id.identify(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_language_against_sets(spark):
+    """The filters against plain sets of n-grams (few n-grams in wide filters: next to no false positive)."""
+    rng = random.Random(8)
+    kinds = {k: ["".join(rng.choice(k) for _ in range(6)) for _ in range(30)] for k in ("abcdefgh", "efghijkl", "ijklmnop")}
+    rows = [(i, " ".join(rng.choice(kinds[k]) for _ in range(rng.randrange(1, 12))), k) for i in range(240) for k in [rng.choice(list(kinds))]]
+    rows += [rows[0], rows[0], (None, rows[1][1], None), (None, rows[1][1], None)]  # repeated rows, null ids
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+
+    def grams_of(text):
+        padded = f" {text}  ".encode()
+        return [padded[i : i + 4] for i in range(len(padded) - 3) if padded[i : i + 4].strip()]
+
+    counts = {k: Counter() for k in kinds}
+    for d, text, lang in rows:
+        if lang is not None and zlib.crc32(str(d).encode()) % 5:
+            counts[lang].update(grams_of(text))
+    counts = {k: {g: n for g, n in c.items() if n > 1} for k, c in counts.items()}
+    part = {k: {g: n / sum(c.values()) for g, n in c.items()} for k, c in counts.items()}
+    own = {k: {g for g, p in c.items() if p >= language_id.OWN * max(part[o].get(g, 0) for o in kinds)} for k, c in part.items()}
+    hits = lambda text: [sum(g in own[k] for g in grams_of(text)) for k in sorted(kinds)]
+    got = language_id.identify(df).collect()
+    assert len(got) == len(rows)
+    said = {(r.doc_id, round(r.score, 3), r.lang_pred) for r in got}
+    for d, text, _ in rows:
+        found = hits(text)
+        first, second = sorted(found)[::-1][:2]
+        score = first / (first + second) if first else 0.0
+        answers = {(p, s) for i, s, p in said if i == d}
+        assert len(answers) == 1 and abs(next(iter(answers))[1] - score) < 0.02
+        if first - second > 1:
+            assert next(iter(answers))[0] == sorted(kinds)[found.index(first)]
+
+
 def test_more_languages_than_bits_of_a_word(spark):
     """Each of 70 languages is learned, the rare ones too."""
     rng = random.Random(4)
@@ -552,6 +602,32 @@ def test_quality(spark, docs, empty):
     assert {r.score for r in quality.score(df, marks.where("quality = 9")).collect()} == {0.5}
 
 
+def test_quality_against_one_solve(spark, docs, odd):
+    """Partition-summed equations give the ridge weights of the whole matrix solved at once; odd rows get their scores."""
+    rows = [(i, r.text, i % 3 % 2) for i, r in enumerate(docs.collect())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, mark int").repartition(5)
+    marks = df.selectExpr("doc_id", "mark AS quality")
+    model = quality.fit(quality.described(df), marks)
+    learn = [(t or "", m) for d, t, m in rows if zlib.crc32(str(d).encode()) % 5]
+    stats = np.vstack([quality.statistics(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])) for t, _ in learn])
+    assert np.allclose(model.mean, stats.mean(axis=0), atol=1e-4)
+    x, y = model.features(stats), np.array([m for _, m in learn], float)
+    weights = np.linalg.solve(x.T @ x + quality.RIDGE * len(x) / quality.FEATURES * np.eye(x.shape[1]), x.T @ y)
+    assert np.allclose(x @ model.weights, x @ weights, atol=1e-3)
+    bins = model.bins(stats)
+    pooled = [[y[bins == b].sum(), (bins == b).sum(), [b]] for b in sorted(set(bins))]
+    while (fall := next((i for i in range(len(pooled) - 1) if pooled[i][0] * pooled[i + 1][1] >= pooled[i + 1][0] * pooled[i][1]), None)) is not None:
+        a, b = pooled[fall], pooled.pop(fall + 1)
+        pooled[fall] = [a[0] + b[0], a[1] + b[1], a[2] + b[2]]
+    levels = np.maximum.accumulate([(p + 0.5) / (n + 1) for p, n, _ in pooled])
+    expected = {b: v for v, (_, _, at) in zip(levels, pooled, strict=True) for b in at}
+    assert np.allclose([model.levels[b] for b in bins], [expected[b] for b in bins])
+    scores = quality.score(odd, marks).collect()
+    assert len(scores) == 8 and all(len({r.score for r in scores if r.doc_id == d}) == 1 for d in (2, 3))
+    long = spark.createDataFrame([(1, "word " * 400_000), (2, "word " * 400_000)], "doc_id long, text string")
+    assert len({r.score for r in quality.score(long, marks).collect()}) == 1
+
+
 def test_isotonic_levels_rise():
     count, positive = np.array([4.0, 0, 2, 5, 0, 3]), np.array([1.0, 0, 2, 2, 0, 3])
     levels = quality.isotonic(count, positive)
@@ -586,6 +662,25 @@ def test_sharding(docs, odd, empty):
     assert sharding.interleave(odd).count() == 8 and sharding.interleave(empty).count() == 0
 
 
+def test_sharding_against_sort_and_cut(spark, docs):
+    """All rows hashed, ranked within their source, sorted by fractional rank and cut, on one heap."""
+    key = ["doc_id", "text_crc32", "size"]
+    for df in (docs, docs.withColumn("doc_id", F.lit(None).cast("long"))):
+        facts = df.select("doc_id", "source", F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"), (F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 16).alias("size"))
+        rows = [(r.source is None, (r.source or "").encode(), r.h, r.doc_id or 0, r.text_crc32, r["size"]) for r in facts.withColumn("h", F.xxhash64(F.lit(9), *key)).collect()]
+        cell = lambda r: (r[2] % 2**64 >> 20) % 256
+        ranked, sources = [], {}
+        for r in rows:
+            sources.setdefault(r[:2], []).append(r)
+        for source, of in sources.items():
+            for i, r in enumerate(sorted(of, key=lambda r: (cell(r), r[2:]))):
+                ranked.append(((i + 0.5) / len(of), source, i, r[3:]))
+        ranked.sort()
+        expected = sorted((i * 7 // len(ranked), *r[3]) for i, r in enumerate(ranked))
+        got = sharding.interleave(df, shards=7).collect()
+        assert sorted((r.shard, r.doc_id or 0, r.text_crc32, r["size"]) for r in got) == expected
+
+
 # 10, exact.
 
 

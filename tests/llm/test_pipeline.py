@@ -46,6 +46,19 @@ def test_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
 
 
+def test_odd_tables(spark, tmp_path):
+    """An empty table gives nothing; rows with null and repeated ids go through for their own texts, extra columns don't disturb."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard string, kept int"
+    say = lambda k: " ".join(f"{k}{w}" for w in ("kolo mera tundi sabak vren dilo " * 8).split())
+    rows = [(None, say(k), "en", "s", 0, "x", 1) for k in "abc"] + [(7, say(k), "en", None, 0, "x", 1) for k in "de"]
+    rows += [(None, say("a"), "en", "s", 0, "x", 1), (8, say("d"), "en", "s", 0, "x", 1), (9, "  ", None, None, 0, "x", 1), (10, None, None, None, None, None, None)]
+    for name, of in (("none", []), ("odd", rows), ("blank", rows[-2:])):
+        folder = str(tmp_path / name)
+        spark.createDataFrame(of, schema).write.parquet(f"{folder}/documents.parquet")
+        found = {r.doc_id for r in corpus_pipeline.run(spark, folder).collect()}
+        assert found == ({None, 7} if name == "odd" else set())
+
+
 def test_short_texts_stay(spark):
     """The language stage drops what op5 calls `und`, and nothing else."""
     words = ["kolo mera tundi sabak", "mera sabak kolo", "tundi tundi mera"]
