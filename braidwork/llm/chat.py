@@ -160,7 +160,7 @@ def digests(formatted: DataFrame) -> DataFrame:
 
 
 #: The columns that say the sequence of what `conversation_events` makes.
-SEQUENCE = ["turn", "row_role", "row_head", "row_hash", "step"]
+SEQUENCE = ["turn", "row_role", "row_head", "row_hash", "row", "step"]
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
@@ -168,7 +168,8 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
 
     An assistant's message is opened empty, gets a draft in a delta, is regenerated, and then comes in two
     deltas. Any other is opened with a draft, edited to its first half, and completed by a delta. SEQUENCE orders
-    the events; rows of one turn go by role and text.
+    the events; rows of one turn go by role and text. Rows alike in all of that are as many messages, one behind
+    the other: a number of the row keeps the events of each together, and it doesn't matter which comes first.
     """
     text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit("user"))
     half = F.floor(F.length("text") / 2).cast("int")
@@ -182,5 +183,5 @@ def conversation_events(conversations: DataFrame) -> DataFrame:
     talk = F.array(event(0, "open", none), event(1, "delta", draft), event(2, "regenerate", none), event(3, "delta", first), event(4, "delta", second))
     other = F.array(event(0, "open", draft), event(1, "edit", first), event(2, "delta", second))
     of_row = F.when(F.col("role") == "assistant", talk).otherwise(other)
-    made = rows.select("conv_id", "turn", "role", F.substring("text", 1, 32).alias("row_head"), F.xxhash64("text").alias("row_hash"), F.explode(of_row).alias("e"))
-    return made.select("conv_id", "turn", F.col("role").alias("row_role"), "row_head", "row_hash", "e.step", "e.kind", F.lit(None).cast("long").alias("target"), "role", F.col("e.said").alias("text"))
+    made = rows.select("conv_id", "turn", "role", F.substring("text", 1, 32).alias("row_head"), F.xxhash64("text").alias("row_hash"), F.monotonically_increasing_id().alias("row"), F.explode(of_row).alias("e"))
+    return made.select("conv_id", "turn", F.col("role").alias("row_role"), "row_head", "row_hash", "row", "e.step", "e.kind", F.lit(None).cast("long").alias("target"), "role", F.col("e.said").alias("text"))

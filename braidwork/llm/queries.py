@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from braidwork.llm import chat, exact_dedup, jaccard_join, language_id, mixing, neighbours, packing, quality, repeats, sharding
+from braidwork.llm import byte_bpe, chat, exact_dedup, jaccard_join, language_id, mixing, neighbours, packing, quality, repeats, sharding, spelling, whitening
 from braidwork.llm.common import table
 
 
@@ -59,6 +59,26 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents")).drop("bucket", "chain")
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    codec = byte_bpe.Codec(tokenizer_file("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    encoded = codec.encode(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    rows = codec.decode(encoded.withColumn("ids_sha256", F.sha2(listed, 256)))
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    runs = spelling.letter_runs(table(spark, sf_dir, "documents"))
+    return spelling.variants(spelling.counted(spelling.with_slips(runs)))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return whitening.components(vectors, whitening.fit(vectors))
+
+
 QUERIES = {
     "op1_packing": op1_packing,
     "op2_neighbours": op2_neighbours,
@@ -70,6 +90,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_sharding": op9_sharding,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_byte_bpe": op11_byte_bpe,
+    "op12_spelling": op12_spelling,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLE_CHAT = """
