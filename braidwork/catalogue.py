@@ -672,6 +672,35 @@ def sample_first(spark, t):
     return events(t).group_by("user_id").sample_first(6 * 3600).df.select("event_id")
 
 
+FOLLOWING = """
+WITH RECURSIVE i AS (SELECT event_id, epoch_us(ts) AS us, row_number() OVER (ORDER BY event_id) AS p FROM events),
+s AS (SELECT a.p, least(a.p + {size}, coalesce(b.p, 1000000000000)) AS following FROM i a ASOF LEFT JOIN i b ON a.us + 21600000000 <= b.us),
+o(p) AS (SELECT 1::BIGINT UNION ALL SELECT s.following FROM o JOIN s ON s.p = o.p WHERE s.following <= (SELECT max(p) FROM i))
+"""
+
+
+@query(FOLLOWING.format(size=1_000_000_000_000) + "SELECT event_id FROM o JOIN i USING (p)")
+def sample_first_all(spark, t):
+    """Without keys: openings of the whole sequence."""
+    return events(t).sample_first(6 * 3600).df.select("event_id")
+
+
+@query(FOLLOWING.format(size=50) + """, w AS (SELECT p AS low, lead(p, 1, 1000000000000) OVER (ORDER BY p) AS high, row_number() OVER (ORDER BY p) - 1 AS window_id FROM o)
+SELECT window_id, count(*) AS n FROM w JOIN i ON p >= low AND p < high GROUP BY window_id
+""")
+def buffer_timeout_all(spark, t):
+    return events(t).buffer_timeout(50, 6 * 3600)
+
+
+@query("SELECT event_id, user_id % 10 > 0 AS hot, round(sum(value) OVER (PARTITION BY user_id % 10 > 0 ORDER BY event_id), 3) AS scan, max(value) OVER (PARTITION BY user_id % 10 > 0 ORDER BY event_id) AS most FROM events")
+def scan_hot_key(spark, t):
+    """A running sum and maximum where one key has nine tenths of the rows."""
+    seq = events(t)
+    hot = seq.with_df(seq.df.withColumn("hot", F.col("user_id") % 10 > 0)).group_by("hot")
+    both = hot.scan(F.col("value")).scan(F.col("value"), "max", "most")
+    return both.df.select("event_id", "hot", F.round("scan", 3).alias("scan"), "most")
+
+
 @query("""
 WITH g AS (SELECT event_id, ts - lag(ts) OVER (ORDER BY event_id) > INTERVAL 15 MINUTE AS late FROM events), c AS (SELECT min(event_id) AS cut FROM g WHERE late)
 SELECT event_id FROM events, c WHERE cut IS NULL OR event_id < cut UNION ALL SELECT -1 FROM c WHERE cut IS NOT NULL

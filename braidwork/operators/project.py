@@ -8,6 +8,8 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.plans.ordered import fits_one_task
+
 if TYPE_CHECKING:
     from braidwork.plans.seq import Seq
 
@@ -131,39 +133,13 @@ class Project:
         return self.with_df(self.sorted_parts().mapInArrow(run, schema))
 
     def sorted_parts(self: Seq) -> DataFrame:
-        """Rows in order, all of a key in one task one after the other; without keys all in one task."""
-        parted = self.df.repartition(*self.keys) if self.keys else self.df.coalesce(1)
+        """Rows in order, all of a key in one task one after the other. Opaque code can't be cut into chunks: a sequence
+        without keys must be small enough for one task. `fold_chunks` folds any size, with a function that combines."""
+        if not self.keys and not fits_one_task(self.df):
+            raise ValueError("a fold in opaque code over so large a sequence needs keys; see fold_chunks and scan_chunks")
+        parted = self.df.repartition(*self.keys) if self.keys else self.df.repartition(1)
         return parted.sortWithinPartitions(*self.keys, *self.order)
 
-    def gated(self: Seq, gate: Callable, inputs: list[Column], name: str) -> Seq:
-        """A greedy fold over numbers: for each key a new gate(), which gets the values of `inputs` row by row in order.
-
-        What it returns becomes the column `name`, a long; rows for which it returns None go. Only the inputs are
-        Python objects; rows pass as Arrow batches, and state of one key is all that is held.
-        """
-        keys, columns = self.keys, self.df.columns
-        fed = [f"_in{i}" for i in range(len(inputs))]
-        seq = self.with_df(self.df.withColumns(dict(zip(fed, inputs, strict=True))))
-
-        def run(batches):
-            import pyarrow as pa
-
-            known, current = None, None
-            for batch in batches:
-                values = [batch.column(c).to_pylist() for c in fed]
-                owners = list(zip(*(batch.column(k).to_pylist() for k in keys), strict=True)) if keys else [()] * batch.num_rows
-                out = []
-                for owner, *given in zip(owners, *values, strict=True):
-                    if current is None or owner != known:
-                        known, current = owner, gate()
-                    out.append(current(*given))
-                made = pa.array(out, pa.int64())
-                batch = pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), made], names=[*columns, name])
-                yield batch.filter(made.is_valid())
-
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.schema)
-        return self.with_df(seq.sorted_parts().mapInArrow(run, f"{schema}, `{name}` long"))
-
     def flat_map(self: Seq, array: Column, name: str = "value", outer: bool = False) -> Seq:
         """Each row's array as rows; `pos` extends the order, so a source's values stay together and in order."""
         explode = F.posexplode_outer if outer else F.posexplode

@@ -6,10 +6,45 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import functions as F
 
+from braidwork.plans.gates import carried, opened
+
 if TYPE_CHECKING:
     from braidwork.plans.seq import Seq
 
 
+class Latest:
+    """A consumer that takes so long for each row; of those that come meanwhile the last one waits. `state`: when it is free."""
+
+    def __init__(self, length: int):
+        self.length, self.state, self.moved = length, None, 0
+
+    def step(self, at: int | None, following: int | None) -> int | None:
+        if at is None or (self.state is not None and at < self.state and following is not None and following <= self.state):
+            return None
+        taken = at if self.state is None else max(at, self.state)
+        self.state = taken + self.length
+        return taken
+
+
+class Queue:
+    """A consumer that takes so long for each row, with so many places to wait; a row that finds none goes. `state`: when it is free."""
+
+    def __init__(self, length: int, size: int):
+        self.length, self.size, self.state, self.moved = length, size, None, 0
+
+    def step(self, at: int | None) -> int | None:
+        if at is None:
+            return None
+        if self.state is None or self.state <= at:
+            taken = at
+        elif -((at - self.state) // self.length) - 1 >= self.size:  # those that wait are taken one after the other, up to now
+            return None
+        else:
+            taken = self.state
+        self.state = taken + self.length
+        return taken
+
+
 class TimeOps:
     def delay_elements(self: Seq, duration: float, name: str = "out_us") -> Seq:
         """When each row comes out if every one waits so long after the later of its arrival and the row before's exit.
@@ -52,24 +87,10 @@ class TimeOps:
         return self.with_df(frame.where(F.col("_next").isNull() | (F.col("_next") > self.micros() + round(quiet * 1e6))).drop("_next"))
 
     def sample_first(self: Seq, period: float) -> Seq:
-        """A row, then none for so many seconds, and so on. Which rows pass depends on those that passed, hence a fold for each key."""
-        return self._sampled_first(round(period * 1e6))
-
-    def _sampled_first(self: Seq, length: int) -> Seq:
-        def gate():
-            closed = None
-
-            def step(at):
-                nonlocal closed
-                if at is None or (closed is not None and at < closed):
-                    return None
-                closed = at + length
-                return at
-
-            return step
-
-        out = self.gated(gate, [self.micros()], "_passed")
-        return self.with_df(out.df.drop("_passed"))
+        """A row, then none for so many seconds, and so on; rows without a time go."""
+        timed = self.with_df(self.df.where(self.micros().isNotNull()))
+        rows = opened(timed, timed.micros(), round(period * 1e6), opens="_passed")
+        return self.with_df(rows.where("_passed").drop("_passed", "_window"))
 
     def timeout(self: Seq, duration: float, fallback: Seq | None = None, first: float | None = None, start_us: int | None = None) -> Seq:
         """Rows up to the first gap longer than so many seconds; then the fallback, or an error when read.
@@ -102,30 +123,16 @@ class TimeOps:
 
     def on_backpressure_drop(self: Seq, drain: float | None = None) -> Seq:
         """Rows that come while the consumer is busy go."""
-        return self if drain is None else self._sampled_first(round(drain * 1e6))
+        return self if drain is None else self.sample_first(drain)
 
     def on_backpressure_latest(self: Seq, drain: float | None = None, name: str = "out_us") -> Seq:
         """Of the rows that come while the consumer is busy the last one waits; `name` is when each is taken."""
         if drain is None:
             return self
+        seq = self.with_df(self.ordered().neighbour("_next", self.micros(), 1).frame())
         length = round(drain * 1e6)
-        frame = self.ordered().neighbour("_next", self.micros(), 1).frame()
-
-        def gate():
-            free = None
-
-            def step(at, following):
-                nonlocal free
-                if at is None or (free is not None and at < free and following is not None and following <= free):
-                    return None
-                taken = at if free is None else max(at, free)
-                free = taken + length
-                return taken
-
-            return step
-
-        seq = self.with_df(frame)
-        return self.with_df(seq.gated(gate, [self.micros(), F.col("_next")], name).df.drop("_next"))
+        taken = carried(seq, lambda: Latest(length), [self.micros(), F.col("_next")], name)
+        return self.with_df(taken.drop("_next"))
 
     def on_backpressure_buffer(self: Seq, drain: float | None = None, size: int | None = None, overflow: str = "error", name: str = "out_us") -> Seq:
         """Rows wait their turn, `size` at most (None: any number); `name` is when each is taken.
@@ -135,31 +142,20 @@ class TimeOps:
         if drain is None:
             return self
         length = round(drain * 1e6)
-
-        def gate():
-            from collections import deque
-
-            waiting, free = deque(), None
-
-            def step(at):
-                nonlocal free
-                if at is None:
-                    return None
-                while waiting and waiting[0] <= at:
-                    waiting.popleft()
-                taken = at if free is None else max(at, free)
-                if taken > at:
-                    if size is not None and len(waiting) >= size:
-                        if overflow == "error":
-                            raise OverflowError(f"more than {size} rows wait")
-                        return None
-                    waiting.append(taken)
-                free = taken + length
-                return taken
-
-            return step
-
-        return self.gated(gate, [self.micros()], name)
+        if overflow == "drop" and size == 0:
+            return self.with_df(self.sample_first(drain).df.withColumn(name, self.micros()))
+        if overflow == "drop" and size is not None:
+            return self.with_df(carried(self, lambda: Queue(length, size), [self.micros()], name))
+        timed = self.with_df(self.df.where(self.micros().isNotNull()))
+        frame = timed.ordered().position("_pos")
+        at, pos = self.micros(), F.col("_pos").cast("long")
+        frame.running("_lead", at - pos * length, "max")  # as in delay_elements: every row so long after the one before, or at once
+        taken, waiting = F.col("_lead") + pos * length, F.ceil((F.col(name) - at) / length)
+        df = frame.frame().withColumn(name, taken)
+        if size is not None:
+            over = (F.col(name) > at) & (waiting > size)
+            df = df.withColumn(name, F.when(over, F.raise_error(F.lit(f"more than {size} rows wait")).cast("long")).otherwise(F.col(name)))
+        return self.with_df(df.drop("_pos", "_lead"))
 
     def on_backpressure_error(self: Seq, drain: float | None = None) -> Seq:
         """A row that comes while the consumer is busy fails the action."""

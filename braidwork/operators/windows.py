@@ -7,10 +7,32 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from braidwork.plans.gates import carried, opened
+
 if TYPE_CHECKING:
     from braidwork.plans.seq import Seq
 
 
+class OpenWindows:
+    """Windows of so many rows and so long, one open at any time. `state`: when it began and how many rows it has; `moved`: its number."""
+
+    def __init__(self, size: int, limit: int):
+        self.size, self.limit, self.state, self.moved = size, limit, None, 0
+
+    def step(self, at: int | None) -> int:
+        start, n = self.state or (at or 0, 0)
+        at = start if at is None else at  # a row without a time joins the window that is open
+        gone = max(0, at - start) // self.limit
+        if gone:
+            start, n = start + gone * self.limit, 0
+        mine = self.moved = self.moved + gone
+        n += 1
+        if n >= self.size:
+            self.moved, start, n = mine + 1, at, 0
+        self.state = start, n
+        return mine
+
+
 class Windows:
     # By count.
 
@@ -132,7 +154,7 @@ class Windows:
     def buffer_boundary(self: Seq, boundary: Seq, columns: list[Column] = ()) -> Seq:
         return self.window_boundary(boundary).per_window(*columns)
 
-    # By count or time: the next window depends on where the last one ended, hence an ordered fold for each key.
+    # By count or time: the next window depends on where the last one ended.
 
     def window_timeout(self: Seq, size: int, length: float, restart: bool = False) -> Seq:
         """Windows of up to `size` rows and `length` seconds from their first row on.
@@ -141,35 +163,11 @@ class Windows:
         one is full or its time is up, so windows without rows are counted by the ids.
         """
         limit = round(length * 1e6)
-
-        def gate():
-            window, start, n = -1, None, 0
-
-            def step(at):
-                nonlocal window, start, n
-                if at is None:  # a row without a time joins the window that is open
-                    at = start if start is not None else 0
-                if start is None or (n == 0 and not restart):
-                    window, start, n = window + 1, at, 0
-                elif restart:
-                    gone = (at - start) // limit
-                    if gone:
-                        window, start, n = window + gone, start + gone * limit, 0
-                elif at >= start + limit:
-                    window, start, n = window + 1, at, 0
-                n += 1
-                mine = window
-                if n >= size:
-                    if restart:
-                        window, start, n = window + 1, at, 0
-                    else:
-                        n = 0
-                return mine
-
-            return step
-
-        folded = self.gated(gate, [self.micros()], "window_id")
-        return self.with_df(folded.df, ["window_id", *self.order])
+        if restart:
+            df = carried(self, lambda: OpenWindows(size, limit), [self.micros()], "window_id")
+        else:
+            df = opened(self, self.micros(), limit, size, window="window_id").drop("_opens")
+        return self.with_df(df, ["window_id", *self.order])
 
     def buffer_timeout(self: Seq, size: int, length: float, columns: list[Column] = ()) -> Seq:
         return self.window_timeout(size, length).per_window(*columns)

@@ -1,15 +1,16 @@
 """Positional functions over one total order, without a single task for large inputs.
 
-Small inputs (and keyed ones) use a plain window. Beyond SINGLE_TASK_BYTES rows are range-partitioned by the
-order into chunks and written once; a function is then computed inside each chunk and completed with what the
-chunks ahead carry over, a table of one row per chunk.
+Small inputs use a plain window, and so do keyed ones of which no key is large. Beyond SINGLE_TASK_BYTES (of the input,
+or of its largest key) rows are range-partitioned by keys and order into chunks and written once; a function is then
+computed inside each chunk and completed with what the chunks ahead carry over. That is a table of one row per chunk,
+or with keys of two at most: only the keys at a chunk's ends go on in another.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -17,30 +18,73 @@ from braidwork.plans.storage import plan_bytes, store
 
 #: Estimated bytes up to which one task may hold a whole sequence; spark.braidwork.singleTaskBytes overrides it.
 SINGLE_TASK_BYTES = 256 << 20
+#: Bytes of a chunk, about, where the estimate is any use.
+CHUNK_BYTES = 128 << 20
 
 CHUNK = "_chunk"
 
 
+def single_task_bytes(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.braidwork.singleTaskBytes", str(SINGLE_TASK_BYTES)))
+
+
+def fits_one_task(df: DataFrame) -> bool:
+    return plan_bytes(df) <= single_task_bytes(df.sparkSession)
+
+
+def hottest_share(df: DataFrame, keys: Sequence[str]) -> float:
+    """The part of the rows that the most frequent key has."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_n"))
+    top = counts.agg(F.max("_n").alias("most"), F.sum("_n").alias("whole")).first()
+    return top["most"] / top["whole"] if top["whole"] else 0.0
+
+
 class Ordered:
     def __init__(self, df: DataFrame, order: Sequence[str], keys: Sequence[str] = ()):
         spark = df.sparkSession
-        most = int(spark.conf.get("spark.braidwork.singleTaskBytes", str(SINGLE_TASK_BYTES)))
-        self.order, self.keys, self.chunked = list(order), list(keys), False
-        if not self.keys and plan_bytes(df) > most:
-            ranged = df.repartitionByRange(*self.order).sortWithinPartitions(*self.order)
+        most = single_task_bytes(spark)
+        self.order, self.keys, self.chunked, self._borders = list(order), list(keys), False, None
+        size = plan_bytes(df)
+        if size > most and (not self.keys or hottest_share(df, self.keys) * size > most):
+            places = [*self.keys, *(c for c in self.order if c not in self.keys)]
+            parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+            ranged = df.repartitionByRange(parts if size > 1 << 58 else max(parts, size // CHUNK_BYTES), *places).sortWithinPartitions(*places)
             df = store(ranged.withColumn(CHUNK, F.shiftright(F.monotonically_increasing_id(), 33)), "ordered")
             self.chunked = True
         self.df = df
 
     def _window(self):
-        by = [CHUNK] if self.chunked else self.keys
+        by = [*([CHUNK] if self.chunked else []), *self.keys]
         return (Window.partitionBy(*by) if by else Window).orderBy(*self.order)
 
+    def borders(self) -> DataFrame:
+        """Stored rows (chunk, keys) of the keys that are in several chunks; without keys all chunks. `_span` numbers the keys, `_head` marks a key's first chunk."""
+        if self._borders is None:
+            key = F.struct(*self.keys) if self.keys else F.struct(F.lit(0).alias("_all"))
+            ends = self.df.groupBy(CHUNK).agg(F.min(key).alias("_low"), F.max(key).alias("_high"))
+            both = ends.select(CHUNK, F.explode(F.array_distinct(F.array("_low", "_high"))).alias("_key"))
+            of_key = Window.partitionBy("_key")
+            several = both.withColumn("_n", F.count("*").over(of_key)).withColumn("_head", F.col(CHUNK) == F.min(CHUNK).over(of_key)).where("_n > 1" if self.keys else "true")
+            numbered = several.select(CHUNK, *([f"_key.`{k}`" for k in self.keys]), (F.dense_rank().over(Window.orderBy("_key"))).cast("long").alias("_span"), "_head")  # two rows a chunk
+            self._borders = store(numbered, "borders")
+        return self._borders
+
+    def at_segments(self, df: DataFrame, few: DataFrame, how: str = "left") -> DataFrame:
+        """Join to df's rows what `few` (at most two rows for each chunk) says about their chunk and key."""
+        small = few.withColumnsRenamed({CHUNK: "_at_chunk"} | {k: f"_at{i}" for i, k in enumerate(self.keys)})
+        same = F.col(CHUNK) == F.col("_at_chunk")
+        for i, k in enumerate(self.keys):
+            same = same & F.col(k).eqNullSafe(F.col(f"_at{i}"))
+        joined = df.join(F.broadcast(small), same, how)
+        return joined if how == "left_semi" else joined.drop("_at_chunk", *(f"_at{i}" for i in range(len(self.keys))))
+
     def _carried(self, name: str, total: Column, over, default: Column | None) -> None:
-        """Join to each row what `over` makes of the totals of the chunks ahead (or behind)."""
-        sums = self.df.groupBy(CHUNK).agg(total.alias("_total"))
-        carried = sums.select(CHUNK, over(F.col("_total"), Window.orderBy(CHUNK)).alias(name))
-        joined = self.df.join(F.broadcast(carried), CHUNK)  # one row for each range partition
+        """Join to each row what `over` makes of its key's totals in the chunks ahead (or behind)."""
+        going_on = self.at_segments(self.df, self.borders().drop("_span", "_head"), "left_semi") if self.keys else self.df
+        sums = going_on.groupBy(CHUNK, *self.keys).agg(total.alias("_total"))
+        along = (Window.partitionBy(*self.keys) if self.keys else Window).orderBy(CHUNK)
+        carried = sums.select(CHUNK, *self.keys, over(F.col("_total"), along).alias(name))
+        joined = self.at_segments(self.df, carried)
         self.df = joined if default is None else joined.withColumn(name, F.coalesce(name, default))
 
     def running(self, name: str, column: Column, how: str = "sum", inclusive: bool = True) -> Ordered:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import shutil
 import tempfile
 import uuid
@@ -33,6 +34,15 @@ def store(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete stored tables that no later plan reads."""
+    for df in tables:
+        spark = df.sparkSession
+        for path in {os.path.dirname(f) for f in df.inputFiles()}:
+            hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimiser's estimate of df's size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
