@@ -674,7 +674,7 @@ def sample_first(spark, t):
 
 FOLLOWING = """
 WITH RECURSIVE i AS (SELECT event_id, epoch_us(ts) AS us, row_number() OVER (ORDER BY event_id) AS p FROM events),
-s AS (SELECT a.p, least(a.p + {size}, coalesce(b.p, 1000000000000)) AS following FROM i a ASOF LEFT JOIN i b ON a.us + 21600000000 <= b.us),
+s AS (SELECT p, least(p + {size}, p + count(*) OVER (ORDER BY us RANGE BETWEEN CURRENT ROW AND 21599999999 FOLLOWING)) AS following FROM i),
 o(p) AS (SELECT 1::BIGINT UNION ALL SELECT s.following FROM o JOIN s ON s.p = o.p WHERE s.following <= (SELECT max(p) FROM i))
 """
 
