@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from braidwork.plans.storage import discard as discard
 from braidwork.plans.storage import store as store  # shared with the core
 
 #: ASCII white space of every word and normalisation rule here: space and the control characters 9 to 13.
@@ -18,14 +17,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def discard(df: DataFrame) -> None:
-    """Delete a stored table that no later plan reads."""
-    spark = df.sparkSession
-    for path in {os.path.dirname(f) for f in df.inputFiles()}:
-        hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
-
-
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 
@@ -67,6 +58,18 @@ def prefix_sums(df: DataFrame, key: str, weight: str, order: list[str], rows: in
     )
 
 
+def threshold(fraction: float) -> int:
+    """The largest signed 64-bit hash of so large a part of all, fine enough for any table."""
+    return max(-(1 << 63), min((1 << 63) - 1, int(min(1.0, fraction) * (1 << 64)) - (1 << 63) - 1))
+
+
+def sampled(df: DataFrame, rows: int, expected: int, seed: int, *columns: str) -> DataFrame:
+    """About `expected` of df's `rows` rows (all, if there are no more), chosen by a hash of these columns."""
+    if expected >= rows:
+        return df
+    return df.where(F.xxhash64(F.lit(seed), *columns) <= F.lit(threshold(expected / rows)))
+
+
 #: Bytes of an Arrow batch between the JVM and Python workers.
 BATCH_BYTES = 8 << 20
 

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import Shared, bounded_batches, lean, text_or_empty
+from braidwork.llm.common import Shared, bounded_batches, lean, text_or_empty, threshold
 from braidwork.llm.textbytes import LOWER, bytes_of, mix64, parts
 
 #: Texts of a language that training reads (expected number; chosen by a hash of doc_id).
@@ -96,9 +96,8 @@ def fit(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> LanguageFilters:
     if not sizes:
         return LanguageFilters([], {})
     languages = sorted(sizes)
-    part = F.create_map(*[x for l in languages for x in (F.lit(l), F.lit(min(1.0, train_texts / sizes[l])))])
-    uniform = F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1 << 20)) / (1 << 20)
-    sample = learn.where(uniform < part[F.col("lang")])
+    part = F.create_map(*[x for l in languages for x in (F.lit(l), F.lit(threshold(train_texts / sizes[l])))])
+    sample = learn.where(F.xxhash64(F.lit(5), "doc_id", "text") <= part[F.col("lang")])
 
     def count(batches):
         sums: dict[str, dict] = {}

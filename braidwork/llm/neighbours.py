@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import Shared, store
+from braidwork.llm.common import Shared, store, sampled
 
 TREES, DEPTH = 4, 8
 #: Distinct vectors that the trees are fitted on (expected number; chosen by hash). Every vector is indexed.
@@ -113,8 +113,7 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, trees: int = TREES,
     count = entries.count()
     queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).select("vec_id", "vec").distinct()
     asked = store(queries.join(entries, "vec").select(F.col("vec_id").alias("query_id"), "entry"), "neighbours-queries")
-    part = int(min(1.0, SAMPLE / count) * (1 << 20))
-    sample = entries.where(F.pmod(F.xxhash64(F.lit(seed), "entry"), F.lit(1 << 20)) < part).select("vec").toArrow()
+    sample = sampled(entries, count, SAMPLE, seed, "entry").select("vec").toArrow()
     column = sample.column(0).combine_chunks()
     fitted = Forest(unit_rows(column)[1] if len(column) else np.zeros((0, sizes["n"])), trees, seed)
     shared = Shared(spark, fitted)

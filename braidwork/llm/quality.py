@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import Shared, bounded_batches, lean, store, text_or_empty
+from braidwork.llm.common import Shared, bounded_batches, lean, store, text_or_empty, sampled
 from braidwork.llm.textbytes import Rolling, bytes_of, parts, words
 
 #: Labelled rows the fit reads (expected number; chosen by a hash of doc_id).
@@ -148,12 +148,11 @@ def fit(stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> Qu
     About `train_rows` labelled rows, chosen by hash, are read. Each partition sums its normal equations;
     the sums, one row of the matrix a record, meet on the executors, and only the matrix reaches the driver.
     """
-    learn = labels.where("quality IS NOT NULL AND pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 5) != 0").select("doc_id", "quality")
+    learn = labels.where("quality IS NOT NULL AND pmod(crc32(cast(coalesce(cast(doc_id as string), '') as binary)), 5) != 0").select("doc_id", "quality").distinct()
     rows = learn.count()
     if not rows:
         return None
-    part = min(1.0, train_rows / rows)
-    chosen = learn.where(F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 20)) < int(part * (1 << 20)))
+    chosen = sampled(learn, rows, train_rows, SEED, "doc_id")
     train = store(stats.join(chosen, "doc_id").select("stats", F.col("quality").cast("double").alias("y")), "quality-training")
     spark = stats.sparkSession
 

@@ -321,3 +321,31 @@ def test_jacobi_keeps_small_eigenvalues():
     b = rng.normal(size=(40, 30))
     e, v = whitening.jacobi(b.T @ b)
     assert np.allclose(e, np.linalg.eigvalsh(b.T @ b)[::-1]) and np.allclose(v @ np.diag(e) @ v.T, b.T @ b)
+
+
+# Samples that stay samples at any size.
+
+
+def test_samples_of_very_large_tables(spark):
+    from braidwork.llm.common import sampled, threshold
+
+    for rows in (10**6, 10**12, 10**15):
+        part = (threshold(20_000 / rows) + (1 << 63)) / 2.0**64
+        assert abs(part * rows / 20_000 - 1) < 1e-3
+    assert threshold(1.0) == threshold(7.0) == (1 << 63) - 1 and threshold(0.0) == -(1 << 63)
+    df = spark.range(100_000)
+    assert 1700 < sampled(df, 100_000, 2000, 1, "id").count() < 2300 and sampled(df, 100, 200, 1, "id").count() == 100_000
+
+
+def test_language_under_one_id(spark):
+    """A language whose texts all share an id is learned from a part of them."""
+    from braidwork.llm import language_id
+
+    rng = random.Random(0)
+    say = lambda words: " ".join(rng.choice(words.split()) for _ in range(12))
+    rows = [(1, say("kolo mera tundi sabak vilu"), "xx") for _ in range(3000)] + [(i, say("xyr qwent zlop vhix brau"), "en") for i in range(2, 500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, train_texts=500)
+    got = language_id.predict(df, model) if hasattr(language_id, "predict") else language_id.identify(df)
+    wrong = got.where("doc_id = 1 AND lang_pred != 'xx'").count()
+    assert wrong == 0
