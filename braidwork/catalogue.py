@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from braidwork import sources
+from braidwork.functions.ordering import By
 from braidwork.plans.seq import Seq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -628,6 +629,140 @@ def window_timeout(spark, t):
     return events(t).group_by("user_id").window_timeout(3, 6 * 3600, restart=True).per_window()
 
 
+# Folds in opaque code, whose parts combine.
+
+MODULUS = 1_000_003
+
+
+def composed(a, b):
+    """First x -> a[0] * x + a[1], then b."""
+    return a[0] * b[0] % MODULUS, (b[0] * a[1] + b[1]) % MODULUS
+
+
+def composed_rows(frame):
+    from functools import reduce
+
+    return reduce(composed, zip(frame["c0"].tolist(), frame["c1"].tolist(), strict=True), (1, 0))
+
+
+AFFINE = """list_reduce(list({'p': user_id % 1000003, 'q': event_id % 1000003} ORDER BY event_id),
+    lambda x, y: {'p': x.p * y.p % 1000003, 'q': (y.p * x.q + y.q) % 1000003})"""
+
+
+@query(f"WITH f AS (SELECT {AFFINE} AS m FROM events) SELECT m.p::BIGINT AS p, m.q::BIGINT AS q FROM f")
+def fold_chunks(spark, t):
+    """The composition of a linear map for each event, in order: associative, not commutative."""
+    return events(t).fold_chunks([F.col("user_id") % MODULUS, F.col("event_id") % MODULUS], composed_rows, composed, lambda s: {"p": s[0], "q": s[1]}, "p long, q long")
+
+
+@query(f"WITH f AS (SELECT event_type, {AFFINE} AS m FROM events GROUP BY event_type) SELECT event_type, m.p::BIGINT AS p, m.q::BIGINT AS q FROM f")
+def fold_chunks_by_key(spark, t):
+    seq = events(t).group_by("event_type")
+    return seq.fold_chunks([F.col("user_id") % MODULUS, F.col("event_id") % MODULUS], composed_rows, composed, lambda s: {"p": s[0], "q": s[1]}, "p long, q long")
+
+
+def joined_runs(a, b):
+    """(first, last, length, length of the first run, of the last run, of the longest run) of two neighbouring parts."""
+    if a[1] != b[0]:
+        return a[0], b[1], a[2] + b[2], a[3], b[4], max(a[5], b[5])
+    middle = a[4] + b[3]
+    return a[0], b[1], a[2] + b[2], a[3] + (b[3] if a[3] == a[2] else 0), b[4] + (a[4] if b[4] == b[2] else 0), max(a[5], b[5], middle)
+
+
+@query("""
+WITH g AS (SELECT event_id, event_type, row_number() OVER (ORDER BY event_id) - row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS island FROM events),
+r AS (SELECT event_type, count(*) AS n FROM g GROUP BY event_type, island) SELECT max(n) AS longest, (SELECT count(*) FROM events) AS n FROM r
+""")
+def fold_longest_run(spark, t):
+    """The longest run of one event type in the whole sequence, which no grouping gives without an order."""
+    from functools import reduce
+
+    lift = lambda frame: reduce(joined_runs, [(x, x, 1, 1, 1, 1) for x in frame["c0"].tolist()])
+    return events(t).fold_chunks([F.col("event_type")], lift, joined_runs, lambda s: {"longest": s[5], "n": s[2]}, "longest long, n long")
+
+
+@query("""
+WITH RECURSIVE i AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+f(user_id, p, event_id, x) AS (SELECT user_id, p, event_id, event_id % 1000003 FROM i WHERE p = 1
+  UNION ALL SELECT i.user_id, i.p, i.event_id, (7 * f.x + i.event_id) % 1000003 FROM f JOIN i ON i.user_id = f.user_id AND i.p = f.p + 1)
+SELECT event_id, x FROM f
+""")
+def scan_chunks(spark, t):
+    """x -> 7 x + event_id modulo a prime, along each user's events: a recurrence that no window function has."""
+    import pandas as pd
+
+    def emit(before, frame):
+        x, out = 0 if before is None else before[1], []
+        for q in frame["c1"].tolist():
+            x = (7 * x + q) % MODULUS
+            out.append(x)
+        return pd.DataFrame({"x": out})
+
+    made = events(t).group_by("user_id").scan_chunks([F.lit(7), F.col("event_id") % MODULUS], composed_rows, composed, emit, "x long")
+    return made.df.select("event_id", "x")
+
+
+@query(ORACLES["handle_by_value"])
+def handle_with(spark, t):
+    """The same by a function in opaque code."""
+
+    def doubled(row, sink):
+        if row["event_type"] != "error":
+            sink.next({"doubled": round(row["value"] * 2, 4)})
+        if row["value"] > 200 and row["event_type"] == "signup":
+            sink.complete()
+
+    return events(t).handle_with(doubled, "doubled double").df.select("event_id", "doubled")
+
+
+@query("""
+WITH g AS (SELECT user_id, event_id, epoch_us(ts) AS us, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 12 HOUR THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+s AS (SELECT *, sum(cut) OVER (PARTITION BY user_id ORDER BY event_id) AS run FROM g)
+SELECT user_id, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n FROM s GROUP BY user_id, run
+""")
+def flat_map_table(spark, t):
+    """Sessions by a table function: how many rows it gives depends on what it has seen."""
+
+    class Sessions:
+        def __init__(self):
+            self.n = 0
+
+        def eval(self, row):
+            if self.n and row["us"] - self.at > 12 * 3_600_000_000:
+                yield self.user, self.first, self.last, self.n
+                self.n = 0
+            if self.n == 0:
+                self.user, self.first = row["user_id"], row["event_id"]
+            self.n, self.at, self.last = self.n + 1, row["us"], row["event_id"]
+
+        def terminate(self):
+            if self.n:
+                yield self.user, self.first, self.last, self.n
+
+    seq = events(t)
+    timed = seq.with_df(seq.df.select("event_id", "user_id", "ts", seq.micros().alias("us"))).group_by("user_id")
+    return timed.flat_map_table(Sessions, "user_id long, first_id long, last_id long, n long", order=["user_id", "first_id"])
+
+
+@query("""
+SELECT o_orderkey, row_number() OVER (ORDER BY o_orderpriority DESC, lower(o_orderstatus), round(o_totalprice, -3) DESC, o_orderdate, o_orderkey) - 1 AS index FROM orders
+""")
+def sort_by(spark, t):
+    fields = By("o_orderpriority").desc(), By("o_orderstatus").ignore_case(), By(F.round("o_totalprice", -3)).desc(), By("o_orderdate")
+    return orders(t).sort_by(*fields).index().df.select("o_orderkey", "index")
+
+
+@query("""
+SELECT o_orderpriority, md5(string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY length(CAST(o_orderkey AS VARCHAR)) DESC, o_orderkey % 10, o_orderkey)) AS keys_md5 FROM orders GROUP BY o_orderpriority
+""")
+def collect_sorted_by(spark, t):
+    """Lists sorted by a comparator: longer numbers first, then by the last digit."""
+    digits = lambda x: F.length(x.cast("string"))
+    compare = lambda x, y: F.when(digits(x) != digits(y), digits(y) - digits(x)).otherwise(x % 10 - y % 10)
+    lists = orders(t).group_by("o_orderpriority").collect_sorted_by(F.col("o_orderkey"), compare)
+    return lists.df.select("o_orderpriority", F.md5(F.array_join(F.col("values").cast("array<string>"), ",")).alias("keys_md5"))
+
+
 # Time.
 
 

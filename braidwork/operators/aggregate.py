@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from braidwork.functions.ordering import By, order_key
+from braidwork.plans.monoid import fold_chunks
+
 if TYPE_CHECKING:
     from braidwork.plans.seq import Seq
 
@@ -38,6 +42,13 @@ class Aggregate:
         combine = {"sum": lambda a, b: a + b, "min": F.least, "max": F.greatest, "product": lambda a, b: a * b}[how]
         return self._agg(F.when(agg.isNull(), seed).otherwise(combine(seed, agg)).alias(name))
 
+    def fold_chunks(self: Seq, inputs: list[Column], lift: Callable, combine: Callable, finish: Callable, schema: str, empty: dict | None = None) -> Seq:
+        """A fold in opaque code whose result may depend on the order, of a sequence or key of any size: lift(frame) folds a run
+        of rows, combine(a, b) two neighbouring results (associative, no more), finish(state) makes the row. No list of
+        values is ever held. Without keys an empty sequence gives `empty`, or no row."""
+        made = fold_chunks(self, inputs, lift, combine, finish, schema, empty)
+        return self.with_df(made, self.keys or [made.columns[0]], ts=None)
+
     def reduce_ordered(self: Seq, column: Column, seed: Column, step, name: str = "value") -> Seq:
         """A fold whose result depends on the order: step(accumulator, value). Holds a key's values together; use keys."""
         items = F.sort_array(F.collect_list(F.struct(*self.order, column.alias("_v"))))
@@ -88,6 +99,18 @@ class Aggregate:
         """The first n rows by these columns; each task keeps n rows."""
         return self.with_df(self.df.orderBy(*by).limit(n))
 
+    def sort_by(self: Seq, *fields: By | str | Column, name: str = "_sort") -> Seq:
+        """A stable sort by fields with directions, places of nulls and blindness to case of their own (see `By`): one key column
+        `name` leads the order, so positions, merges and chunks follow it."""
+        return self.with_df(self.df.withColumn(name, order_key(self.df, *fields)), [name, *[c for c in self.order if c != name]])
+
+    def collect_sorted_by(self: Seq, column: Column, compare: Callable[[Column, Column], Column], name: str = "values") -> Seq:
+        """Lists (for each key) sorted by any comparator: compare(x, y) is negative, 0 or positive; ties stay in order. Holds a key's values together."""
+        items = F.sort_array(F.collect_list(F.struct(*self.order, column.alias("_v"))))
+        numbered = F.transform(items, lambda x, i: F.struct(x["_v"].alias("v"), i.alias("i")))
+        ordered = F.array_sort(numbered, lambda x, y: F.coalesce(F.nullif(compare(x["v"], y["v"]).cast("int"), F.lit(0)), x["i"] - y["i"]))
+        return self._agg(F.transform(ordered, lambda x: x["v"]).alias(name))
+
     def sort(self: Seq, *by: str | Column) -> Seq:
         """A stable sort: ties stay in the order they had. The new order is the sort keys, then the old order."""
         df, names = self.df, []

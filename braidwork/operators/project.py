@@ -8,12 +8,34 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.plans.monoid import scan_chunks
 from braidwork.plans.ordered import fits_one_task
+from braidwork.plans.storage import store
 
 if TYPE_CHECKING:
     from braidwork.plans.seq import Seq
 
 
+class Sink:
+    """What a handler of handle_with tells about a row."""
+
+    def __init__(self):
+        self.value, self.end = None, None
+
+    def next(self, value: dict) -> None:
+        if self.end is not None:  # dropped, as any signal after the end
+            return
+        if self.value is not None:
+            raise ValueError("more than one call to next")
+        self.value = value
+
+    def complete(self) -> None:
+        self.end = self.end or "complete"
+
+    def error(self, message: str) -> None:
+        self.end = self.end or f"error: {message}"
+
+
 class Project:
     def map(self: Seq, strict: bool = False, **columns: Column) -> Seq:
         """Rows with only the order, time, keys and these columns. strict: a null result is an error."""
@@ -97,6 +119,71 @@ class Project:
 
     scan_with = scan
 
+    def scan_chunks(self: Seq, inputs: list[Column], lift: Callable, combine: Callable, emit: Callable, schema: str) -> Seq:
+        """A running fold in opaque code, of a sequence or key of any size: emit(before, frame) gives a run's rows their values from
+        the state of all rows ahead (None for none); lift and combine as in fold_chunks."""
+        return self.with_df(scan_chunks(self, inputs, lift, combine, emit, schema))
+
+    def handle_with(self: Seq, function: Callable, schema: str) -> Seq:
+        """Opaque code for each row: function(row, sink) calls sink.next(value) once or not at all, and may end the sequence (of
+        its key) by sink.complete() or sink.error(message); an exception of its own is an error too.
+
+        Nothing is ordered: a first pass over batches stores values and signals, the first signal's place is a minimum,
+        and rows behind it go. What the ending row emitted stays. An error fails the action that reads the result,
+        after a completion ahead of it nothing does. The columns of schema come to the row's own; value is a dictionary of them.
+        """
+        from pyspark.sql.pandas.types import to_arrow_schema
+        from pyspark.sql.types import _parse_datatype_string
+
+        added = _parse_datatype_string(schema).names
+        own = [f"`{f.name}` {f.dataType.simpleString()}" for f in self.df.schema if f.name not in added]
+        full = ", ".join([*own, schema, "_emitted boolean, _end string"])
+        target = to_arrow_schema(_parse_datatype_string(full))
+        kept = [c for c in self.df.columns if c not in added]
+
+        def run(batches):
+            import pyarrow as pa
+
+            for batch in batches:
+                sinks = []
+                for row in batch.to_pylist():
+                    sinks.append(Sink())
+                    try:
+                        function(row, sinks[-1])
+                    except Exception as e:
+                        sinks[-1].error(str(e))
+                made = [pa.array([(s.value or {}).get(n) for s in sinks], type=target.field(n).type) for n in added]
+                ends = [pa.array([s.value is not None for s in sinks]), pa.array([s.end for s in sinks], type=pa.string())]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made, *ends], schema=target)
+
+        stored = self.with_df(store(self.df.mapInArrow(run, full), "handled"))
+        place = stored.place()
+        first = stored.df.where("_end IS NOT NULL").groupBy(*self.keys).agg(F.min(F.struct(place.alias("at"), "_end")).alias("_first"))
+        joined = self.joined_by_key(stored.df, first, "left") if self.keys else stored.df.crossJoin(F.broadcast(first))  # one row
+        at, end = F.col("_first.at"), F.col("_first._end")
+        failed = F.when(end.startswith("error") & (place == at), F.raise_error(F.coalesce(end, F.lit(""))).cast("boolean")).otherwise(F.col("_emitted"))
+        return self.with_df(joined.where(at.isNull() | (place <= at)).where(failed).drop("_first", "_emitted", "_end"))
+
+    def flat_map_table(self: Seq, handler: type, schema: str | None = None, batches: bool = False, **options) -> Seq:
+        """Rows from a table function with state: a class whose eval(row) (or, with `batches`, eval(record batch)) and terminate() yield rows.
+
+        An object of it sees one key's rows, in order, as they stream by; what it holds is its own state. The schema may
+        come from the class's static `analyze(table)`. The result's order are its columns, unless `order` says so.
+        """
+        order = options.pop("order", None)
+        if options:
+            raise TypeError(f"unknown options {sorted(options)}")
+        if batches:
+            made = F.arrow_udtf(handler, returnType=schema)
+        else:
+            made = F.udtf(handler, returnType=schema, useArrow=True)
+        if not self.keys and not fits_one_task(self.df):
+            raise ValueError("a table function over so large a sequence needs keys")
+        table = self.df.asTable()
+        table = table.partitionBy(*self.keys) if self.keys else table.withSinglePartition()
+        out = made(table.orderBy(*self.order))
+        return self.with_df(out, order or out.columns, ts=None)
+
     def fold(self: Seq, function: Callable, schema: str) -> Seq:
         """A running fold in opaque code: for each key (or the whole sequence), rows in order go through `function(rows) -> rows`.
 
