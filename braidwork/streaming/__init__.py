@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from braidwork.plans.storage import shared_root
+from braidwork.streaming.processors import WaitingFold, Windows, stateful
 
 
 def timed(stream: DataFrame, ts: str, late: str) -> DataFrame:
@@ -50,13 +51,38 @@ def join(left: DataFrame, right: DataFrame, left_ts: str, right_ts: str, alive:
     return a.join(b, on & (F.col(right_ts) >= F.col(left_ts)) & (F.col(right_ts) <= F.col(left_ts) + F.expr(f"INTERVAL {alive}")))
 
 
+def window_when(openings: DataFrame, rows: DataFrame, keys: list[str], opening_ts: str, ts: str, length: str, late: str = "0 seconds", closings: DataFrame | None = None, closing_ts: str | None = None) -> DataFrame:
+    """Pairs of openings (columns l_*) and rows (r_*) of their key while they are open: both ends included, so the streaming window_when.
+
+    A window is open from its opening's time for `length`, or up to the first row of `closings` after it, whichever
+    is first. Windows may overlap. A row's pairs are given once the watermark (of the slowest stream) has passed it, so
+    it doesn't matter in which order or batch rows, openings and closings come; rows wait in list state, and a window
+    leaves the state with the watermark. Null keys are a key; rows without a time are dropped.
+    """
+
+    def side(df: DataFrame, at: str, number: int, prefix: str | None) -> DataFrame:
+        df = timed(df.withColumn("_ts", F.col(at)), "_ts", late)
+        own = [F.struct(*[c for c in df.columns if c != "_ts"]).alias(prefix)] if prefix else []
+        return df.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], "_ts", F.lit(number).alias("_side"), *own)
+
+    both = side(openings, opening_ts, 0, "l").unionByName(side(rows, ts, 1, "r"), allowMissingColumns=True)
+    if closings is not None:
+        both = both.unionByName(side(closings, closing_ts, 2, None), allowMissingColumns=True)
+    both = both.withColumns({"_ms": F.unix_millis("_ts"), "_us": F.unix_micros("_ts")})
+    schema = ", ".join(f"{n} {both.schema[n].dataType.simpleString()}" for n in ("l", "r"))
+    spark = openings.sparkSession
+    length_us = spark.range(1).select(F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'2000-01-01', TIMESTAMP_NTZ'2000-01-01' + INTERVAL {length})")).first()[0]
+    made = stateful(both, [f"_k{i}" for i in range(len(keys))], Windows(length_us), schema)
+    return made.select(*[F.col(f"{n}.`{c}`").alias(f"{n}_{c}") for n, side_ in (("l", openings), ("r", rows)) for c in side_.columns])
+
+
 def fold(stream: DataFrame, keys: list[str], schema: str, state: str, initial: tuple, step: Callable[[tuple, pd.DataFrame], tuple[tuple, pd.DataFrame]], order: str, ts: str | None = None, late: str = "0 seconds", expire_ms: int | None = None) -> DataFrame:
     """A stateful fold for each key: step(state, rows in order) -> (state, rows out).
 
     Without `ts` rows are sorted within a micro-batch: enough where batches don't overlap in time. With it rows
-    wait in the state until the watermark (`late` behind the newest row) has passed them, so rows that come in a
-    later batch are folded in their place; the newest rows of a stream wait for later ones. A key without rows
-    for `expire_ms` of event time is forgotten.
+    wait in list state until the watermark (`late` behind the newest row) has passed them, so rows that come in a
+    later batch are folded in their place; the newest rows of a stream wait for later ones, and rows behind the
+    watermark are dropped. A key without rows for `expire_ms` of event time is forgotten.
     """
     if ts is None:
 
@@ -69,31 +95,8 @@ def fold(stream: DataFrame, keys: list[str], schema: str, state: str, initial: t
 
         return stream.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
 
-    def run_held(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        import base64
-        import pickle
-
-        *before, waiting, last = held.get if held.exists else (*initial, "", 0)
-        parts = [pickle.loads(base64.b64decode(waiting))] if waiting else []
-        parts += [f for f in frames if len(f)]
-        if not parts:
-            held.remove()  # timed out with nothing left: the key has expired
-            return
-        rows, watermark = pd.concat(parts).sort_values(order), held.getCurrentWatermarkMs()
-        ready, last = rows["_ms"] < watermark, max(last, int(rows["_ms"].max()))
-        now, rest = rows[ready], rows[~ready]
-        if len(now):
-            before, out = step(tuple(before), now.drop(columns="_ms"))
-            yield out
-        held.update((*before, base64.b64encode(pickle.dumps(rest)).decode() if len(rest) else "", last))
-        if len(rest):
-            held.setTimeoutTimestamp(max(int(rest["_ms"].min()), watermark) + 1)
-        elif expire_ms is not None:
-            held.setTimeoutTimestamp(max(last + expire_ms, watermark) + 1)
-
-    rows = timed(stream, ts, late)
-    rows = rows.withColumn("_ms", F.unix_millis(ts))
-    return rows.groupBy(*keys).applyInPandasWithState(run_held, schema, f"{state}, held string, last_ms long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = timed(stream, ts, late).withColumn("_ms", F.unix_millis(ts))
+    return stateful(rows, keys, WaitingFold(step, initial, state, order, expire_ms), schema)
 
 
 def columns_of(stream: DataFrame) -> str:
@@ -164,16 +167,36 @@ def latest_per_batch(stream: DataFrame, keys: list[str], ts: str, sink: Callable
     return stream.writeStream.foreachBatch(batch)
 
 
+def replayed(df: DataFrame, batch: Column, batches: int) -> str:
+    """A folder that a stream can read with the rows of df, those with batch = 0 as the oldest files, and so on: for replays and tests."""
+    path = f"{shared_root(df.sparkSession)}/braidwork/replay-{uuid.uuid4().hex}"
+    for i in range(batches):
+        df.where(batch == i).coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
 def run_available(spark: SparkSession, path: str, build: Callable[[DataFrame], DataFrame], mode: str = "append", files: int = 8) -> DataFrame:
     """What a stream over all Parquet files of a path gives once it has read them: for replays and tests."""
+    stream = read_available(spark, path, files)
+    return run_stream(spark, build(stream), mode)
+
+
+def read_available(spark: SparkSession, path: str, files: int = 8) -> DataFrame:
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"  # a stream reads no single file, but a pattern that matches one
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(pattern)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", str(files)).parquet(pattern)
+
+
+def run_stream(spark: SparkSession, made: DataFrame, mode: str = "append") -> DataFrame:
+    """What a stream gives once it has read all there is, as a stored table; in mode complete the table after the last batch."""
     base = f"{shared_root(spark)}/braidwork/stream-{uuid.uuid4().hex}"
-    made = build(stream)
     if mode == "complete":
-        name = f"stream_{uuid.uuid4().hex}"
-        made.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-        return spark.table(name)
+
+        def replace(df: DataFrame, _: int) -> None:
+            df.write.mode("overwrite").parquet(f"{base}/out")
+
+        spark.createDataFrame([], made.schema).write.parquet(f"{base}/out")
+        made.writeStream.foreachBatch(replace).outputMode(mode).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(made.schema).parquet(f"{base}/out")
     made.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{base}/state").option("path", f"{base}/out").trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(made.schema).parquet(f"{base}/out")
