@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from braidwork import sources
 from braidwork.functions.ordering import By
+from braidwork.plans.storage import store
 from braidwork.plans.seq import Seq
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,12 +132,6 @@ def of_type(spark, t):
     return Seq(t("documents").select("doc_id", F.substring("source", 4, 9).alias("source_no")), "doc_id").of_type("source_no", "int")
 
 
-@query("SELECT event_id, round(value * 2, 4) AS doubled FROM events WHERE event_id <= (SELECT min(event_id) FROM events WHERE event_id > 500 AND event_type = 'signup') AND event_type <> 'error'")
-def handle(spark, t):
-    done = (F.col("event_id") > 500) & (F.col("event_type") == "signup")
-    return events(t).handle(F.round(F.col("value") * 2, 4), emit=F.col("event_type") != "error", complete=done, name="doubled").df.select("event_id", "doubled")
-
-
 @query("SELECT event_id, round(value * 2, 4) AS doubled FROM events WHERE event_id <= (SELECT coalesce(min(event_id), 1e18) FROM events WHERE value > 200 AND event_type = 'signup') AND event_type <> 'error'")
 def handle_by_value(spark, t):
     done = (F.col("value") > 200) & (F.col("event_type") == "signup")
@@ -303,7 +298,6 @@ for _name, _build, _sql in [
     ("element_at", lambda s: s.element_at(7), "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1 OFFSET 7"),
     ("single", lambda s: s.filter(F.col("o_orderkey") == 5).single(), "SELECT o_orderkey FROM orders WHERE o_orderkey = 5"),
     ("single_or_empty", lambda s: s.filter(F.col("o_orderkey") < 0).single_or_empty(), "SELECT o_orderkey FROM orders WHERE o_orderkey < 0"),
-    ("sort", lambda s: s.sort("o_custkey").take(50), "SELECT o_orderkey FROM orders ORDER BY o_custkey, o_orderkey LIMIT 50"),
 ]:
     cut(_name, orders, "o_orderkey", _build, _sql)
 
@@ -313,7 +307,6 @@ def sort_all(spark, t):
 
 
 for _name, _build, _sql in [
-    ("take_while", lambda s: s.take_while(F.col("event_id") % 97 != 96), "event_id < (SELECT min(event_id) FROM events WHERE event_id % 97 = 96)"),
     ("take_while_by_value", lambda s: s.take_while(F.col("value") <= 300), "event_id < (SELECT coalesce(min(event_id), 1e18) FROM events WHERE value > 300)"),
     ("take_until", lambda s: s.take_until(F.col("value") > 90), "event_id <= (SELECT coalesce(min(event_id), 1e18) FROM events WHERE value > 90)"),
     ("skip_while", lambda s: s.skip_while(F.col("value") < 90), "event_id >= (SELECT min(event_id) FROM events WHERE value >= 90)"),
@@ -433,12 +426,6 @@ def merge(spark, t):
     return clicks(t, "click").merge_with(clicks(t, "view")).index().df.select("event_id", "index")
 
 
-@query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey, o_orderkey % 2) - 1 AS index FROM orders WHERE o_orderkey % 3 > 0")
-def merge_comparing(spark, t):
-    odd, even = (orders(t).filter((F.col("o_orderkey") % 3 > 0) & (F.col("o_orderkey") % 2 == r)) for r in (1, 0))
-    return odd.merge_comparing(even, by=["o_orderkey"]).index().df.select("o_orderkey", "index")
-
-
 @query("SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS index FROM orders")
 def merge_comparing_all(spark, t):
     odd, even = (orders(t).filter(F.col("o_orderkey") % 2 == r) for r in (1, 0))
@@ -865,13 +852,6 @@ def on_error_return(spark, t):
     return numbered(t).on_error_return(fails(), {"doc_id": -1, "number": -1}).df.select("doc_id", "number")
 
 
-@query(f"WITH {BROKEN} SELECT doc_id, number FROM d, e WHERE cut IS NULL OR doc_id < cut UNION ALL SELECT d.doc_id + 1000000, number FROM d, e WHERE cut IS NOT NULL AND d.doc_id < 20")
-def on_error_resume(spark, t):
-    seq = numbered(t)
-    instead = seq.with_df(seq.df.where("doc_id < 20").withColumn("doc_id", F.col("doc_id") + 1_000_000))
-    return seq.on_error_resume(fails(), instead).df.select("doc_id", "number")
-
-
 @query(f"WITH {BROKEN} SELECT doc_id, number FROM d, e WHERE cut IS NULL OR doc_id < cut UNION ALL SELECT d.doc_id + 1000000000, number FROM d, e WHERE cut IS NOT NULL")
 def on_error_resume_all(spark, t):
     seq = numbered(t)
@@ -1076,30 +1056,90 @@ def on_backpressure_latest(spark, t):
 # What surrounds a plan: hooks, names, boundaries and shared plans leave its rows alone.
 
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def called(spark: SparkSession, calls: dict[str, int], *named) -> DataFrame:
+    """(hook, calls), and the same of accumulators, filled by rows on the executors."""
+    rows = [*calls.items(), *((name, seen.value) for name, seen in named)]
+    return spark.createDataFrame(rows, "hook string, calls long")
+
+
+@query("""
+SELECT * FROM (VALUES ('first', 2), ('subscribe', 1), ('complete', 2), ('terminate', 1), ('after_terminate', 1), ('finally', 2), ('error', 0), ('cancel', 0), ('mapped', 0)) v(hook, calls)
+UNION ALL SELECT 'next', count(*) FROM events UNION ALL SELECT 'each', count(*) FROM events WHERE event_type = 'click' UNION ALL SELECT 'metrics', count(*) FROM events WHERE event_type = 'click'
+""")
 def peeked(spark, t):
-    seq = events(t).do_first(lambda: None).do_on_subscribe(lambda: None).do_on_next(lambda row: None).do_on_each(lambda kind, value: None)
-    seq = seq.do_on_error(lambda e: None).do_on_complete(lambda: None).do_on_terminate(lambda: None).do_after_terminate(lambda: None).do_finally(lambda: None)
-    seq = seq.do_on_cancel(lambda: None).log().name("peeked").tag("kind", "test").checkpoint("here").on_error_stop().on_error_map(lambda e: e)
-    seen, _ = seq.metrics()
-    return seen.group_by("event_type").count()
+    """What each hook of a run that completes was called, driver's hooks and those of rows."""
+    calls = dict.fromkeys(("first", "subscribe", "complete", "terminate", "after_terminate", "finally", "error", "cancel", "mapped"), 0)
+    nexts, each = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
 
+    def count(kind):
+        def hook(*_):
+            calls[kind] += 1
 
-@query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+        return hook
+
+    def of_each(kind, row):
+        if kind == "next":
+            each.add(row is not None)
+        else:
+            calls[kind] += 1
+
+    seq = events(t).do_on_next(lambda row: nexts.add(1)).filter(F.col("event_type") == "click").do_on_each(of_each)
+    seq = seq.do_first(count("first")).do_first(count("first")).do_on_subscribe(count("subscribe")).do_on_complete(count("complete")).do_on_terminate(count("terminate"))
+    seq = seq.do_after_terminate(count("after_terminate")).do_finally(count("finally")).do_finally(count("finally")).do_on_error(count("error")).do_on_cancel(count("cancel"))
+    seq, seen = seq.on_error_map(lambda e: count("mapped")(e) or e).name("peeked").tag("kind", "test").metrics()
+    seq.then()
+    calls["metrics"] = seen.get["rows"]
+    return called(spark, calls, ("next", nexts), ("each", each))
+
+
+@query("""
+SELECT * FROM (VALUES ('error', 1), ('terminate', 1), ('finally', 1), ('complete', 0), ('mapped', 1), ('noted', 1)) v(hook, calls)
+UNION ALL SELECT 'failures', count(*) FROM events WHERE value = (SELECT max(value) FROM events)
+""")
+def peeked_failure(spark, t):
+    """The hooks of a run that fails at the rows with the largest value."""
+    calls = dict.fromkeys(("error", "terminate", "finally", "complete", "mapped", "noted"), 0)
+
+    def count(kind):
+        def hook(*_):
+            calls[kind] += 1
+
+        return hook
+
+    seq = events(t)
+    most = seq.df.agg(F.max("value").alias("_most"))
+    marked = seq.with_df(seq.df.crossJoin(F.broadcast(most)))  # one row
+    failing = marked.on_error_stop().map(value=F.when(F.col("value") == F.col("_most"), F.raise_error(F.lit("too large")).cast("double")).otherwise(F.col("value")))
+    failing = failing.checkpoint("in the middle").do_on_error(count("error")).do_on_terminate(count("terminate")).do_finally(count("finally")).do_on_complete(count("complete"))
+    failing = failing.on_error_map(lambda e: count("mapped")(e) or RuntimeError("translated"))
+    try:
+        failing.then()
+    except RuntimeError as error:
+        calls["noted"] += str(error) == "translated" and "in the middle" in "".join(getattr(error.__cause__, "__notes__", []))
+    calls["failures"] = marked.df.where("value = _most").count()
+    return called(spark, calls)
+
+
+@query("SELECT user_id, count(*) AS n, 4 AS partitions, 'click' AS kind FROM events WHERE event_type = 'click' AND value > 10 GROUP BY user_id")
 def bounded(spark, t):
-    seq = events(t).publish_on(4).subscribe_on("default").cancel_on("bounded").on_terminate_detach().hide().limit_rate(100).flux()
-    seq = seq.context_write(user="a").context_capture({"b": 1}).delay_subscription(0.01).repeat_when_empty(lambda: events(t))
-    seq = seq.transform(lambda s: s).transform_deferred(lambda s: s)().transform_deferred_contextual(lambda s, context: s)()
-    return seq.as_(lambda s: s.group_by("event_type").count())
+    """Boundaries, and functions of sequences: each does a part of what the result shows."""
+    first = events(t, "value < 0").repeat_when_empty(lambda: events(t)).context_write(kind="view").context_capture({"kind": "click"})
+    of_kind = first.transform_deferred_contextual(lambda s, context: s.filter(F.col("event_type") == context.get("kind")).map(kind=F.lit(context.get("kind")), user_id=F.col("user_id"), value=F.col("value")))()
+    large = of_kind.transform_deferred(lambda s: s.filter(F.col("value") > 10))()
+    dealt = large.publish_on(4)
+    parts = dealt.with_df(dealt.df.withColumn("part", F.spark_partition_id()))
+    stored = store(parts.df, "bounded")
+    partitions = stored.agg(F.count_distinct("part").cast("int").alias("partitions"))
+    counts = parts.with_df(stored).as_(lambda s: s.group_by("user_id").collect(F.count("*").alias("n"), F.first("kind").alias("kind")))
+    return counts.df.crossJoin(F.broadcast(partitions))  # one row
 
 
 @query("SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
 def shared_readers(spark, t):
     shared = events(t).share()
-    counted = shared.reader().group_by("event_type").count()
-    rows = [tuple(r) for r in counted.df.select("event_type", "n").collect()]
+    counted = store(shared.reader().group_by("event_type").count().df, "shared")
     shared.release()
-    return spark.createDataFrame(rows, "event_type string, n long")
+    return counted
 
 
 @query("SELECT event_id FROM events ORDER BY event_id LIMIT 1")
@@ -1110,17 +1150,37 @@ def share_next(spark, t):
 @query("SELECT count(*) AS n FROM events")
 def cached(spark, t):
     cache = events(t).cache_invalidate_when(lambda: False)
-    n = cache.get().count().df.first()[0]
+    counted = store(cache.get().count().df, "cached")
     cache.invalidate()
-    return spark.createDataFrame([(n,)], "n long")
+    return counted
 
 
-@query("SELECT n_regionkey AS key, count(*) AS n FROM nation GROUP BY n_regionkey")
+@query("""
+SELECT * FROM (VALUES ('subscribe', 1), ('complete', 2), ('terminate', 1), ('after_terminate', 1), ('error', 0), ('cancel', 0)) v(hook, calls)
+UNION ALL SELECT 'next', count(*) FROM lineitem UNION ALL SELECT 'each', count(*) FROM lineitem WHERE l_quantity < 10
+""")
 def rails_with_hooks(spark, t):
-    rails = Seq(t("nation").select("n_nationkey", "n_regionkey"), "n_nationkey").parallel(3).name("rails").tag("a", "b").log().checkpoint("rails").hide()
-    rails = rails.do_on_next(lambda row: None).do_on_each(lambda kind, value: None).do_on_error(lambda e: None).do_on_complete(lambda: None)
-    rails = rails.do_on_subscribe(lambda: None).do_on_terminate(lambda: None).do_after_terminate(lambda: None).do_on_cancel(lambda: None).do_on_request(lambda n: None)
-    return rails.transform(lambda r: r).as_(lambda r: r).map(key=F.col("n_regionkey")).sequential().group_by("key").count()
+    calls = dict.fromkeys(("subscribe", "complete", "terminate", "after_terminate", "error", "cancel"), 0)
+    nexts, each = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def count(kind):
+        def hook(*_):
+            calls[kind] += 1
+
+        return hook
+
+    def of_each(kind, row):
+        if kind == "next":
+            each.add(1)
+        else:
+            calls[kind] += 1
+
+    rails = Seq(t("lineitem").select("l_orderkey", "l_linenumber", "l_quantity"), ["l_orderkey", "l_linenumber"]).parallel(3).name("rails").tag("a", "b").checkpoint("rails")
+    rails = rails.do_on_next(lambda row: nexts.add(1)).filter(F.col("l_quantity") < 10).do_on_each(of_each)
+    rails = rails.do_on_error(count("error")).do_on_complete(count("complete")).do_on_subscribe(count("subscribe")).do_on_terminate(count("terminate"))
+    rails = rails.do_after_terminate(count("after_terminate")).do_on_cancel(count("cancel")).transform(lambda r: r)
+    rails.then()
+    return called(spark, calls, ("next", nexts), ("each", each))
 
 
 @query("SELECT n_nationkey, i AS value FROM nation, range(0, 2) r(i)")
@@ -1239,3 +1299,53 @@ def stream_sessions(spark, t):
 
     found = run_available(spark, t.path("events"), lambda s: sessions(s, "ts", "12 hours", "0 seconds", ["user_id"]), "complete")
     return found.select("user_id", "n", F.unix_micros("last_ts").alias("last_us"))
+
+
+# These names stand for the whole job, as their twins do.
+for _name, _whole in {"sort": "sort_all", "merge_comparing": "merge_comparing_all", "on_error_resume": "on_error_resume_all", "handle": "handle_by_value", "take_while": "take_while_by_value"}.items():
+    QUERIES[_name], ORACLES[_name] = QUERIES[_whole], ORACLES[_whole]
+
+
+# Streams over batches of files that overlap in time.
+
+
+def overlapping(spark, t):
+    """A stream of all events in three batches, each reaching back six days behind the one before; last a row far ahead, which lets the watermark pass the rest."""
+    from braidwork.streaming import read_available, replayed
+
+    rows = events(t)
+    plain = rows.df.select("event_id", "user_id", "event_type", "ts", "value", rows.micros().alias("us"))
+    days = (F.col("us") - F.lit(1_704_067_200_000_000)) / 86_400_000_000
+    numbered_ = plain.withColumn("_batch", F.least(F.lit(2), F.greatest(F.lit(0), F.floor((days + F.col("event_id") % 3 * 3) / 12))))
+    last = spark.sql("SELECT -1L AS event_id, -1L AS user_id, 'last' AS event_type, TIMESTAMP_NTZ'2100-01-01' AS ts, 0D AS value, 4102444800000000L AS us, 3L AS _batch")
+    every = store(numbered_.unionByName(last), "overlapping")
+    return read_available(spark, replayed(every, F.col("_batch"), 4), 1).drop("_batch")
+
+
+HELD = {"ts": "ts", "late": "7 days"}
+
+
+@query(ORACLES["window_when"])
+def stream_window_when(spark, t):
+    from braidwork.streaming import run_stream, window_when
+
+    stream = overlapping(spark, t)
+    openings = stream.where("event_type = 'signup' OR event_type = 'last'")
+    found = run_stream(spark, window_when(openings, overlapping(spark, t), ["user_id"], "ts", "ts", "1 hour", "7 days"))
+    return found.where("l_event_id >= 0").select(F.col("l_event_id").alias("opening"), F.col("r_event_id").alias("event_id"))
+
+
+@query(ORACLES["sample_first"])
+def stream_sample_first_held(spark, t):
+    from braidwork.streaming import run_stream, sample_first
+
+    found = run_stream(spark, sample_first(overlapping(spark, t), ["user_id"], "us", 6 * 3_600_000_000, **HELD))
+    return found.where("event_id >= 0").select("event_id")
+
+
+@query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts), 3) AS scan FROM events")
+def stream_scan_held(spark, t):
+    from braidwork.streaming import run_stream, scan_sum
+
+    found = run_stream(spark, scan_sum(overlapping(spark, t), ["user_id"], "value", "us", **HELD))
+    return found.where("event_id >= 0").select("event_id", F.round("scan", 3).alias("scan"))

@@ -130,16 +130,6 @@ class Repeat:
     def jitter(self, factor: float) -> Repeat:
         return replace(self, jitter_factor=factor)
 
-    def run_all(self, actions: list[Callable[[], Any]], sleep: Callable[[float], None] = time.sleep) -> list[Any]:
-        """Actions one after the other, each again where it fails; retries add up over all of them, or (transient) since the last success."""
-        done, used = [], 0
-        for action in actions:
-            left = self if self.transient or self.attempts is None else replace(self, attempts=self.attempts - used)
-            tried = []
-            done.append(replace(left, before=lambda n, error, tried=tried: (tried.append(n), self.before(n, error))).run(action, sleep))
-            used += len(tried)
-        return done
-
     def run(self, action: Callable[[], Any], sleep: Callable[[float], None] = time.sleep) -> list[Any]:
         results, n = [action()], 0
         while (self.times is None or n < self.times) and self.only_if(n):
