@@ -7,6 +7,9 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from braidwork.plans.ordered import Ordered, fits_one_task
+from braidwork.plans.storage import store
+
 if TYPE_CHECKING:
     from braidwork.plans.seq import Seq
 
@@ -15,12 +18,40 @@ def named(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
+#: Rows of one time bucket (and key) that one task may join.
+DENSE = 200_000
+
+
+def dense_buckets(right: DataFrame, keys: list[str]) -> DataFrame | None:
+    """(_c, keys, _parts) of the buckets with more than DENSE rows, a stored table of at most one row for each DENSE of them; None if there is none."""
+    counts = right.groupBy("_c", *keys).agg(F.count("*").alias("_n")).where(F.col("_n") > DENSE)
+    found = store(counts.select("_c", *keys, F.ceil(F.col("_n") / DENSE).cast("int").alias("_parts")), "dense-buckets")
+    return found if found.limit(1).count() else None
+
+
+def dealt(left: DataFrame, right: DataFrame, parts: DataFrame, on: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Right rows of a dense bucket each in one of its parts (`_part_r`), left rows once for every part (`_part_l`)."""
+    named_ = parts.select(F.col("_c").alias("_d"), *[F.col(f"r_{c}").alias(f"_d_{c}") for c in on], "_parts")
+
+    def with_parts(side: DataFrame, bucket: str, prefix: str) -> DataFrame:
+        same = F.col(bucket) == F.col("_d")
+        for c in on:
+            same &= F.col(f"{prefix}{c}") == F.col(f"_d_{c}")
+        joined = side.join(named_, same, "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        return joined.drop("_d", *[f"_d_{c}" for c in on])
+
+    right = with_parts(right, "_c", "r_").withColumn("_part_r", F.pmod(F.xxhash64(*order), F.col("_parts")).cast("int")).drop("_parts")
+    left = with_parts(left, "_b", "l_").withColumn("_part_l", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return left, right
+
+
 class Combine:
     def join(self: Seq, other: Seq, alive: float, other_alive: float = 0.0, on: list[str] | None = None, how: str = "inner") -> Seq:
         """Pairs of rows that are alive together: a row lives from its time for so many seconds, both ends included.
 
         Columns get the prefixes l_ and r_. Times are cut into buckets as long as the longer life, so that rows
-        meet by equality of bucket (and of `on`) before the exact test; a life spans three buckets at most.
+        meet by equality of bucket (and of `on`) before the exact test; a life spans three buckets at most. Of a large
+        input, buckets with more than DENSE right rows are dealt into parts, which the left rows of the bucket meet one by one.
         """
         left_us, right_us = round(alive * 1e6), round(other_alive * 1e6)
         width = max(left_us, right_us, 1)
@@ -32,10 +63,15 @@ class Combine:
 
         left = left.withColumn("_b", F.explode(F.sequence(bucket(f"(l_us - {right_us})"), bucket(f"(l_us + {left_us})"))))
         right = right.withColumn("_c", bucket("r_us"))
+        parts = None if fits_one_task(other.df) else dense_buckets(right, [f"r_{c}" for c in on or []])
+        if parts is not None:
+            left, right = dealt(left, right, parts, on or [], [f"r_{c}" for c in other.order])
         match = (F.col("_b") == F.col("_c")) & F.col("r_us").between(F.col("l_us") - right_us, F.col("l_us") + left_us)
         for c in on or []:
             match &= F.col(f"l_{c}") == F.col(f"r_{c}")
-        joined = left.join(right, match).drop("_b", "_c")
+        if parts is not None:
+            match &= F.col("_part_l") == F.col("_part_r")
+        joined = left.join(right, match).drop("_b", "_c", "_part_l", "_part_r")
         if how == "left":
             order = [f"l_{c}" for c in self.order]
             lonely = named(self.df.withColumn("us", self.micros()), "l_").join(joined.select(*order).distinct(), order, "left_anti")
@@ -44,16 +80,44 @@ class Combine:
         return self.with_df(joined, [*[f"l_{c}" for c in self.order], *[f"r_{c}" for c in other.order]], ts=f"l_{self.ts}", keys=())
 
     def group_join(self: Seq, other: Seq, alive: float, other_alive: float = 0.0, on: list[str] | None = None, collect: str | None = None) -> Seq:
-        """Each row with the number of rows alive with it, and their values of `collect` in order; rows without partner too."""
+        """Each row with the number of rows alive with it, and their values of `collect` in order; rows without partner too.
+
+        Numbers alone need no pairs: they are differences of running counts, so bursts and long lives cost nothing.
+        """
+        if collect is None:
+            return self._alive_counts(other, round(alive * 1e6), round(other_alive * 1e6), on or [])
         pairs = self.join(other, alive, other_alive, on, "left")
         mine = [f"l_{c}" for c in self.df.columns]
         hit = F.col(f"r_{other.order[0]}").isNotNull()
-        parts = [F.count(F.when(hit, 1)).alias("n")]
-        if collect:
-            sort = F.struct(*[f"r_{c}" for c in other.order], F.col(f"r_{collect}").alias("_v"))
-            parts.append(F.transform(F.sort_array(F.collect_list(F.when(hit, sort))), lambda x: x["_v"]).alias("values"))
+        sort = F.struct(*[f"r_{c}" for c in other.order], F.col(f"r_{collect}").alias("_v"))
+        values = F.transform(F.sort_array(F.collect_list(F.when(hit, sort))), lambda x: x["_v"]).alias("values")
+        parts = [F.count(F.when(hit, 1)).alias("n"), values]
         return self.with_df(pairs.df.groupBy(*mine).agg(*parts), [f"l_{c}" for c in self.order], ts=f"l_{self.ts}", keys=())
 
+    def _alive_counts(self: Seq, other: Seq, left_us: int, right_us: int, on: list[str]) -> Seq:
+        """Each row (columns l_*) with n: the rows of `other` up to the end of its time less those before its beginning."""
+        mine, places = named(self.df, "l_"), [f"l_{c}" for c in self.order]
+        none = F.lit(None).cast(mine.select(F.struct("*").alias("l")).schema["l"].dataType)
+        keys = [F.col(k).alias(f"_on{i}") for i, k in enumerate(on)]
+
+        def probes(us: Column, kind: int, sign: int, row: Column) -> DataFrame:
+            ids = [F.col(c).alias(f"_o{i}") for i, c in enumerate(self.order)]
+            return self.df.select(*keys, us.alias("_us"), F.lit(kind).alias("_kind"), F.lit(sign).alias("_sign"), *ids, row.alias("_row"))
+
+        whole = F.struct(*[F.col(c).alias(f"l_{c}") for c in self.df.columns])
+        low, high = probes(self.micros() - right_us, 0, -1, none), probes(self.micros() + left_us, 2, 1, whole)  # at one time: begins, rows, ends
+        rows = other.df.select(*keys, other.micros().alias("_us"), F.lit(1).alias("_kind")).where("_us IS NOT NULL")
+        union = low.unionByName(high).unionByName(rows, allowMissingColumns=True)
+        ids = [f"_o{i}" for i in range(len(self.order))]
+        order = ["_us", "_kind", *ids]
+        counted = Ordered(union, order, [f"_on{i}" for i in range(len(on))]).running("_seen", F.when(F.col("_kind") == 1, 1), "count").frame().where("_kind != 1")
+        known = F.col("_us").isNotNull()
+        for i in range(len(on)):
+            known = known & F.col(f"_on{i}").isNotNull()
+        n = F.coalesce(F.sum(F.when(known, F.col("_seen") * F.col("_sign"))), F.lit(0)).cast("long").alias("n")
+        grouped = counted.groupBy(*ids).agg(n, F.first("_row", ignorenulls=True).alias("_row"))
+        return self.with_df(grouped.select(*[F.col(f"_row.`{c}`").alias(c) for c in mine.columns], "n"), places, ts=f"l_{self.ts}", keys=())
+
     # Latest values: rows of all sources in one order, each carrying the last row of the others.
 
     def _tagged(self: Seq, sources: list[Seq], by: str) -> Seq:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from typing import TYPE_CHECKING
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from braidwork.plans.gates import carried, opened
@@ -13,6 +13,20 @@ if TYPE_CHECKING:
     from braidwork.plans.seq import Seq
 
 
+#: Numbers that one row is made into at a time.
+SPINE = 10_000
+
+
+def numbers_to(df: DataFrame, most: str, name: str) -> DataFrame:
+    """df's rows once for each of 0 .. `most`: first for blocks of SPINE numbers, which are dealt out, then for the numbers in a block, so no
+    array holds more than SPINE of 10^8 numbers."""
+    blocks = df.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"`{most}` div {SPINE}"))).alias("_block"))
+    spread = blocks.repartition("_block")
+    low = F.col("_block") * SPINE
+    numbers = F.sequence(low, F.least(F.col(most), low + (SPINE - 1)))
+    return spread.select("*", F.explode(numbers).alias(name)).drop("_block", most)
+
+
 class OpenWindows:
     """Windows of so many rows and so long, one open at any time. `state`: when it began and how many rows it has; `moved`: its number."""
 
@@ -131,7 +145,7 @@ class Windows:
     def window_time_counts(self: Seq, length: float, origin: int | None = None) -> Seq:
         """Tumbling windows with their number of rows, empty ones between the first and the last included."""
         counts = self.buffer_time(length, origin=origin).df
-        spine = counts.groupBy(*self.keys).agg(F.max("window_id").alias("_m")).select(*self.keys, F.explode(F.sequence(F.lit(0).cast("long"), F.col("_m"))).alias("window_id"))
+        spine = numbers_to(counts.groupBy(*self.keys).agg(F.max("window_id").alias("_m")), "_m", "window_id")
         df = spine.join(counts, [*self.keys, "window_id"], "left").na.fill(0, ["n"])
         return self.with_df(df, [*self.keys, "window_id"], ts=None)
 

@@ -73,7 +73,18 @@ def defer_contextual(build: Callable[[Context], Seq], context: Context) -> Calla
 
 
 def interval(spark: SparkSession, start: str, end: str, period: str, delay: str = "0 seconds") -> Seq:
-    """0, 1, 2, ... with event times `period` apart, from start plus delay up to end."""
+    """0, 1, 2, ... with event times `period` apart, from start plus delay up to end. Ticks of a fixed length are made where they are
+    needed, any number of them; those of months and years, which differ in length, come from one array."""
+    micros = "timestampdiff(MICROSECOND, TIMESTAMP_NTZ'{}', {})"
+    first = f"TIMESTAMP_NTZ'{start}' + INTERVAL {delay}"
+    zero, span = micros.format("1970-01-01", first), f"timestampdiff(MICROSECOND, {first}, TIMESTAMP_NTZ'{end}')"
+    steps = [micros.format(day, f"TIMESTAMP_NTZ'{day}' + INTERVAL {period}") for day in ("2023-01-31", "2024-02-01", "2025-04-30")]
+    at, length, *step = spark.range(1).select(*[F.expr(x) for x in (zero, span, *steps)]).first()
+    if len(set(step)) == 1 and step[0] > 0:
+        ticks = spark.range(max(0, length // step[0] + 1) if length >= 0 else 0)
+        us = F.lit(at) + F.col("id") * step[0]
+        ts = F.timestamp_add("MICROSECOND", us, F.lit("1970-01-01").cast("timestamp_ntz"))
+        return Seq(ticks.select(ts.alias("ts"), F.col("id").alias("value")), "ts", "ts")
     times = spark.range(1).select(F.explode(F.expr(f"sequence(TIMESTAMP_NTZ'{start}' + INTERVAL {delay}, TIMESTAMP_NTZ'{end}', INTERVAL {period})")).alias("ts"))
     return Seq(times, "ts", "ts").index("value")
 

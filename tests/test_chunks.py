@@ -230,3 +230,49 @@ def test_a_hot_key_is_dealt_evenly(spark, chunks):
     spark.conf.set("spark.braidwork.singleTaskBytes", "1000")
     mild = Ordered(spark.range(5000).withColumn("key", F.col("id") % 1000), ["id"], ["key"])
     assert not mild.chunked  # no key is large, so a key stays whole
+
+
+# Lives that meet, where one time is dense, and long spines.
+
+
+def lives(spark, n, seed):
+    """Half of all rows within one minute."""
+    rng = random.Random(seed)
+    rows = [(i, rng.choice(["a", "a", "b", None]), None if i % 50 == 7 else rng.randrange(60) if i % 2 else rng.randrange(5000), i) for i in range(n)]
+    return rows, seq_of(spark, rows, False)
+
+
+@pytest.mark.parametrize("on", [None, ["key"]])
+def test_lives_that_meet_in_a_burst(spark, chunks, monkeypatch, on):
+    from braidwork.operators import combine
+
+    monkeypatch.setattr(combine, "DENSE", 10)
+    left, right = lives(spark, 120, 1), lives(spark, 150, 2)
+    pairs = {(a[0], b[0]) for a in left[0] for b in right[0] if a[2] is not None and b[2] is not None and a[2] - 7 <= b[2] <= a[2] + 40 and (on is None or (a[1] is not None and a[1] == b[1]))}
+    got = [(r.l_id, r.r_id) for r in left[1].join(right[1], 40, 7, on).df.collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+    counts = {r.l_id: (r.n, r.l_value) for r in left[1].group_join(right[1], 40, 7, on).df.collect()}
+    assert counts == {a[0]: (sum(x == a[0] for x, _ in pairs), a[3]) for a in left[0]}
+    listed = {r.l_id: r["values"] for r in left[1].group_join(right[1], 40, 7, on, collect="value").df.collect()}
+    assert listed == {a[0]: sorted(b for x, b in pairs if x == a[0]) for a in left[0]}
+
+
+def test_group_join_counts_without_pairs(spark):
+    seq = Seq(spark.range(20).select("id", F.expr("timestampadd(SECOND, id, TIMESTAMP_NTZ'2024-01-01')").alias("ts")), "id", "ts")
+    plan = seq.group_join(seq, 40).df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_spines(spark, monkeypatch):
+    from braidwork import sources
+    from braidwork.operators import windows
+
+    ticks = sources.interval(spark, "2000-01-01", "2003-03-04 09:46:39.9", "1 second")
+    assert ticks.df.count() == int((dt.datetime(2003, 3, 4, 9, 46, 39) - dt.datetime(2000, 1, 1)).total_seconds()) + 1
+    assert "sequence" not in ticks.df._jdf.queryExecution().optimizedPlan().toString()
+    assert [(str(r.ts), r.value) for r in sources.interval(spark, "2024-01-31", "2024-05-01", "1 month").df.orderBy("ts").collect()][:2] == [("2024-01-31 00:00:00", 0), ("2024-02-29 00:00:00", 1)]
+    assert sources.interval(spark, "2024-01-02", "2024-01-01", "1 day").df.count() == 0
+    monkeypatch.setattr(windows, "SPINE", 3)
+    seq = seq_of(spark, [(0, "a", 0, 1), (1, "a", 100, 1), (2, "b", 5, 1)], True)
+    got = [(r.key, r.window_id, r.n) for r in seq.window_time_counts(10).df.orderBy("key", "window_id").collect()]
+    assert got == [("a", i, int(i in (0, 10))) for i in range(11)] + [("b", 0, 1)]
