@@ -1349,3 +1349,36 @@ def stream_scan_held(spark, t):
 
     found = run_stream(spark, scan_sum(overlapping(spark, t), ["user_id"], "value", "us", **HELD))
     return found.where("event_id >= 0").select("event_id", F.round("scan", 3).alias("scan"))
+
+
+# Sequences with ends.
+
+FIRST_ERROR = "(SELECT min(event_id) FROM events WHERE event_type = 'error' AND value > 20)"
+
+
+def failing(t: Tables) -> Seq:
+    """Events up to the first error with a value above 20, which is the sequence's end."""
+    return events(t).ending_at_error(F.when((F.col("event_type") == "error") & (F.col("value") > 20), F.concat(F.lit("event "), F.col("event_id").cast("string"))))
+
+
+@query(f"SELECT event_id, 0 AS source_ord FROM events WHERE event_id < coalesce({FIRST_ERROR}, 1e18) UNION ALL SELECT event_id, 1 FROM events WHERE {FIRST_ERROR} IS NULL AND event_type = 'click'")
+def concat_ended(spark, t):
+    """Behind a source that fails nothing comes."""
+    return failing(t).concat_ended(events(t, "event_type = 'click'")).df.select("event_id", "source_ord")
+
+
+@query(f"SELECT event_id, 0 AS source_ord, 'event ' || {FIRST_ERROR} AS error FROM events WHERE event_id < coalesce({FIRST_ERROR}, 1e18) UNION ALL SELECT event_id, 1, 'event ' || {FIRST_ERROR} FROM events WHERE event_type = 'click'")
+def concat_ended_delay_error(spark, t):
+    """The other source comes all the same; the error is the end of all."""
+    both = failing(t).concat_ended_delay_error(events(t, "event_type = 'click'"))
+    return both.df.crossJoin(F.broadcast(both.end_signal().select("error"))).select("event_id", "source_ord", "error")  # one row
+
+
+@query("""
+WITH b AS (SELECT min(ts) AS t FROM events WHERE event_type = 'signup'), a AS (SELECT min(ts) AS t FROM events WHERE event_type = 'purchase')
+SELECT event_id FROM events, a, b WHERE event_type = 'purchase' AND a.t < b.t UNION ALL SELECT event_id FROM events, a, b WHERE event_type = 'signup' AND b.t <= a.t
+""")
+def first_with_signal(spark, t):
+    """A source without rows that never ends can't win, the earlier of the two others does."""
+    never = events(t, "value < 0").never_ending()
+    return never.first_with_signal(events(t, "event_type = 'signup'"), events(t, "event_type = 'purchase'")).df.select("event_id")

@@ -186,12 +186,6 @@ class Combine:
         sure = winner.select(F.when(F.col("_w").isNull(), F.raise_error(F.lit("no source has a value")).cast("int")).otherwise(F.col("_w")).alias("_w"))
         return self.with_df(sure.hint("broadcast").join(frames, F.col("_w") == F.col("_s"), "left").drop("_w", "_s"))
 
-    def or_(self: Seq, *others: Seq) -> Seq:
-        """The sequence that signals first, by event time."""
-        return self.first_with_value(*others)
-
-    first_with_signal = first = or_
-
     # Concatenation and merging.
 
     def _stacked(self: Seq, sources: list[Seq]) -> DataFrame:

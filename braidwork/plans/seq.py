@@ -13,6 +13,7 @@ from braidwork.functions.hooks import decorated
 from braidwork.operators.aggregate import Aggregate
 from braidwork.operators.combine import Combine
 from braidwork.operators.control import Control
+from braidwork.operators.ends import Ends
 from braidwork.operators.errors import Errors
 from braidwork.operators.project import Project
 from braidwork.operators.select import Select
@@ -22,22 +23,22 @@ from braidwork.operators.windows import Windows
 from braidwork.plans.ordered import Ordered
 
 
-class Seq(Project, Select, Combine, Aggregate, Windows, TimeOps, Errors, Share, Control):
+class Seq(Project, Select, Combine, Aggregate, Windows, TimeOps, Errors, Share, Ends, Control):
     """Immutable: every operator returns a new Seq. `order` is unique; `ts` names the event time, `keys` the
     columns by which the sequence is many independent ones (operators that need positions then work per key)."""
 
-    def __init__(self, df: DataFrame, order: Sequence[str] | str, ts: str | None = None, keys: Sequence[str] = (), hooks: tuple = (), context: Context | None = None):
+    def __init__(self, df: DataFrame, order: Sequence[str] | str, ts: str | None = None, keys: Sequence[str] = (), hooks: tuple = (), context: Context | None = None, end: DataFrame | None = None):
         self.df = df
         self.order = [order] if isinstance(order, str) else list(order)
         self.ts, self.keys = ts, list(keys)
-        self.hooks, self.context = hooks, context or Context()
+        self.hooks, self.context, self.end = hooks, context or Context(), end
 
     @property
     def spark(self) -> SparkSession:
         return self.df.sparkSession
 
     def with_df(self, df: DataFrame, order: Sequence[str] | None = None, **changes: Any) -> Seq:
-        kept = {"ts": self.ts, "keys": self.keys, "hooks": self.hooks, "context": self.context} | changes
+        kept = {"ts": self.ts, "keys": self.keys, "hooks": self.hooks, "context": self.context, "end": self.end} | changes
         if kept["ts"] not in df.columns:
             kept["ts"] = None
         kept["keys"] = [k for k in kept["keys"] if k in df.columns]

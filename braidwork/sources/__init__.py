@@ -219,7 +219,12 @@ def zip_values(*seqs: Seq) -> Seq:
     return seqs[0].with_df(out, ["z0"])
 
 
-zip_delay_error = zip_values
+def zip_delay_error(*seqs: Seq) -> Seq:
+    """zip_values of sources with ends: what fails (see Seq.ending) is awaited, all errors are gathered in the result's end, and a source
+    with an error gives no row."""
+    zipped, end = zip_values(*seqs), seqs[0].gathered_end(*seqs[1:])
+    failed = end.where("error IS NOT NULL").select(F.lit(True).alias("_failed"))
+    return zipped.with_df(zipped.df.join(F.broadcast(failed), F.lit(True), "left_anti"), end=end)
 
 
 class Sink:
