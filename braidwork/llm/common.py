@@ -58,6 +58,21 @@ def prefix_sums(df: DataFrame, key: str, weight: str, order: list[str], rows: in
     )
 
 
+def positions(df: DataFrame, order: list[str], name: str, tag: str) -> DataFrame:
+    """A stored table of df's rows with `name`, their place (from 0) by the columns of order, which tell all rows apart.
+
+    Rows are range-partitioned by all of order, so no value of its first columns makes a large task, and numbered where
+    they lie; a table of one row for each partition carries the numbers on. `_chunk` is the partition.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_id", F.monotonically_increasing_id())
+    local = F.col("_id").bitwiseAND((1 << 33) - 1)
+    stored = store(ranged.withColumns({"_chunk": F.shiftright("_id", 33), "_local": local}).drop("_id"), tag)
+    counts = stored.groupBy("_chunk").agg(F.count("*").alias("_n"))
+    ahead = Window.orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = counts.select("_chunk", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
+    return stored.join(F.broadcast(bases), "_chunk").withColumn(name, F.col("_base") + F.col("_local")).drop("_base", "_local")
+
+
 def threshold(fraction: float) -> int:
     """The largest signed 64-bit hash of so large a part of all, fine enough for any table."""
     return max(-(1 << 63), min((1 << 63) - 1, int(min(1.0, fraction) * (1 << 64)) - (1 << 63) - 1))

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from braidwork.llm.common import cells_for, prefix_sums, source_key, text_or_empty
+from braidwork.llm.common import positions, prefix_sums, source_key, text_or_empty
 
 
 def interleave(docs: DataFrame, shards: int = 40, seed: int = 9) -> DataFrame:
@@ -22,8 +21,8 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 9) -> DataFrame:
     spread over the cells by their texts, and a task that runs again places them as before. An empty table gives no
     row. Other columns are ignored.
 
-    Ranks come from hash cells and positions from cells of the fractional rank, each with a small table of
-    running counts, so that neither a hot source nor the whole table is ever sorted in one task.
+    Ranks come from hash cells and positions from ranges of (fraction, source, rank), each with a small table of
+    running counts, so that neither a hot source, nor many sources of one row each, nor the whole table is ever sorted in one task.
     """
     rows = docs.count()
     facts = docs.select(
@@ -35,17 +34,9 @@ def interleave(docs: DataFrame, shards: int = 40, seed: int = 9) -> DataFrame:
     )
     ranked = prefix_sums(facts, "source_key", "_one", ["doc_id", "text_crc32", "size"], rows, seed)
     fraction = ranked.withColumn("_f", (F.col("before") + 0.5) / F.col("total"))
-    cells = cells_for(rows)
-    celled = fraction.withColumn("_cell", F.least(F.floor(F.col("_f") * cells), F.lit(cells - 1)))
-    ahead = Window.partitionBy(F.lit(0)).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    bases = celled.groupBy("_cell").agg(F.count("*").alias("_n"))
-    bases = bases.select("_cell", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_base"))
-    inside = Window.partitionBy("_cell").orderBy("_f", "source_key", "before")
-    placed = celled.withColumn("_local", F.row_number().over(inside) - 1).join(bases, "_cell")
-    position = F.col("_base") + F.col("_local")
+    placed = positions(fraction, ["_f", "source_key", "before"], "_position", "sharding-order")
     return (
-        placed.withColumn("_position", position)
-        .withColumn("shard", F.expr(f"_position * {shards} div {max(rows, 1)}").cast("int"))
+        placed.withColumn("shard", F.expr(f"_position * {shards} div {max(rows, 1)}").cast("int"))
         .withColumn("slot", F.col("_position") - F.expr(f"(shard * {rows}L + {shards - 1}) div {shards}"))
         .select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "source_key")
     )

@@ -349,3 +349,21 @@ def test_language_under_one_id(spark):
     got = language_id.predict(df, model) if hasattr(language_id, "predict") else language_id.identify(df)
     wrong = got.where("doc_id = 1 AND lang_pred != 'xx'").count()
     assert wrong == 0
+
+
+def test_sharding_of_many_sources_of_one_document(spark):
+    """All have the same fractional rank; they are still dealt out, and placed as a sort would."""
+    from braidwork.llm import sharding
+    from braidwork.llm.common import positions
+
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"), F.concat(F.lit("s"), F.col("id") % 5900).alias("source")).repartition(6)
+    got = sharding.interleave(df, shards=7).collect()
+    sources = Counter(f"1s{i % 5900}" for i in range(6000))
+    by_place = sorted(got, key=lambda r: (r.shard, r.slot))
+    ones = [r.source_key for r in by_place if sources[r.source_key] == 1]
+    assert ones == sorted(ones) and max(Counter(r.shard for r in got).values()) - 6000 // 7 <= 1
+    placed = positions(df.withColumn("f", F.lit(0.5)), ["f", "source", "doc_id"], "at", "test-order")
+    rows = placed.collect()
+    assert [r.doc_id for r in sorted(rows, key=lambda r: r["at"])] == [r.doc_id for r in df.orderBy("source", "doc_id").collect()]
+    chunks = Counter(r["_chunk"] for r in rows)
+    assert len(chunks) > 2 and max(chunks.values()) < 4 * 6000 / len(chunks)
