@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from braidwork.functions.context import Context
+from braidwork.functions.listeners import CALLBACKS, Watch
 
 if TYPE_CHECKING:
     from braidwork.plans.seq import Seq
@@ -32,8 +33,9 @@ def cancelled(error: BaseException) -> bool:
 class Control:
     # Running a plan, with the hooks of the chain around it.
 
-    def run(self: Seq, action: Callable[[DataFrame], Any]) -> Any:
-        """Do an action: first-hooks (last declared first), subscribe, the action under its retry rule, then the hooks for its end."""
+    def run(self: Seq, action: Callable[[DataFrame], Any], ordered: bool = True) -> Any:
+        """Do an action on the rows (in order): first-hooks (last declared first), subscribe, the action under its retry rule, then the
+        hooks for its end. Hooks for runs get a `Run` with its rows, times, duration and error."""
         calls = lambda kind: [f for k, f in self.hooks if k == kind]
         for hook in reversed(calls("first")):
             hook()
@@ -46,12 +48,22 @@ class Control:
         for tag in tags:
             spark.addTag(tag)
             spark.sparkContext.addJobTag(tag)
-        attempt = lambda: action(self.sorted_df())
+        rows, watched = self.sorted_df() if ordered else self.df, calls("run")
+        watch = Watch(rows, self.micros() if self.ts in rows.columns else None) if watched else None
+
+        def told(error: BaseException | None = None, cancelled: bool = False) -> None:
+            if watched:
+                run = watch.ended(names[-1] if names else None, error, cancelled)
+                for hook in watched:
+                    hook(run)
+
+        attempt = lambda: action(watch.df if watched else rows)
         for spec in retries:
             attempt = (lambda inner, spec: lambda: spec.run(inner))(attempt, spec)
         try:
             result = attempt()
         except Exception as error:
+            told(error, cancelled(error))
             if cancelled(error):
                 for hook in calls("cancel"):
                     hook()
@@ -67,6 +79,7 @@ class Control:
                 raise shown from error
             raise
         else:
+            told()
             for hook in calls("complete"):
                 hook()
             for hook in calls("terminate"):
@@ -108,7 +121,7 @@ class Control:
         return sink
 
     def write(self: Seq, path: str, format: str = "parquet", mode: str = "errorifexists", **options: Any) -> None:
-        self.run(lambda df: self.df.write.format(format).mode(mode).options(**options).save(path))
+        self.run(lambda df: df.write.format(format).mode(mode).options(**options).save(path), ordered=False)
 
     def collect_rows(self: Seq) -> list[Row]:
         return self.run(lambda df: df.collect())
@@ -157,7 +170,7 @@ class Control:
 
     def then(self: Seq, following: Seq | None = None) -> Seq | None:
         """Run to completion without keeping rows; then go on with another sequence."""
-        self.run(lambda df: self.df.write.format("noop").mode("overwrite").save())
+        self.run(lambda df: df.write.format("noop").mode("overwrite").save(), ordered=False)
         return following
 
     then_many = then_empty = then_return = then
@@ -219,9 +232,10 @@ class Control:
         return self.with_df(self.df.observe(seen, *[c.alias(n) for n, c in (metrics or {"rows": F.count(F.lit(1))}).items()])), seen
 
     def tap(self: Seq, listener: Any) -> Seq:
-        """A listener with any of the methods do_first, do_on_subscribe, do_on_complete, do_on_error, do_finally."""
-        seq = self
-        for kind, method in (("first", "do_first"), ("subscribe", "do_on_subscribe"), ("complete", "do_on_complete"), ("error", "do_on_error"), ("finally", "do_finally")):
+        """A listener with any of the methods do_first, do_on_subscribe, do_on_complete, do_on_error(error), do_on_cancel, do_on_terminate,
+        do_after_terminate, do_finally, do_on_next(row), and do_on_run(run), which gets rows, event times, duration and error of each run."""
+        seq = self.do_on_row(listener.do_on_next) if hasattr(listener, "do_on_next") else self
+        for method, kind in CALLBACKS.items():
             if hasattr(listener, method):
                 seq = seq.hooked(kind, getattr(listener, method))
         return seq
