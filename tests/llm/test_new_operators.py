@@ -362,7 +362,9 @@ def test_sharding_of_many_sources_of_one_document(spark):
     by_place = sorted(got, key=lambda r: (r.shard, r.slot))
     ones = [r.source_key for r in by_place if sources[r.source_key] == 1]
     assert ones == sorted(ones) and max(Counter(r.shard for r in got).values()) - 6000 // 7 <= 1
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     placed = positions(df.withColumn("f", F.lit(0.5)), ["f", "source", "doc_id"], "at", "test-order")
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     rows = placed.collect()
     assert [r.doc_id for r in sorted(rows, key=lambda r: r["at"])] == [r.doc_id for r in df.orderBy("source", "doc_id").collect()]
     chunks = Counter(r["_chunk"] for r in rows)
