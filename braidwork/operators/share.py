@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import weakref
 from collections.abc import Callable
 from typing import TYPE_CHECKING
 
@@ -13,11 +15,17 @@ if TYPE_CHECKING:
     from braidwork.plans.seq import Seq
 
 
+class Lease:
+    """What a reader's sequence and all made from it hold; when they are gone, so is the lease."""
+
+
 class Connectable:
     """A sequence that is computed once and read by many: connect() fills it, the last reader (or disconnect) frees it."""
 
     def __init__(self, seq: Seq, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
         self.seq, self.level, self.readers, self.connected, self.needed = seq, level, 0, False, None
+        self.grace: float | None = None
+        self.lock, self.timer = threading.RLock(), None
 
     def connect(self) -> Connectable:
         """Compute the sequence and keep it, now."""
@@ -37,19 +45,44 @@ class Connectable:
         self.needed = readers
         return self.connect() if readers == 0 else self
 
-    def ref_count(self, readers: int = 1) -> Connectable:
+    def ref_count(self, readers: int = 1, grace: float | None = None) -> Connectable:
+        """Connect when so many readers have come. With a grace time the rows are freed by themselves, so many seconds after
+        the last reader's sequence (and all sequences made from it) is gone, unless another reader comes; without one by release()."""
+        self.grace = grace
         return self.auto_connect(readers)
 
     def reader(self) -> Seq:
-        self.readers += 1
-        if self.needed is not None and self.readers >= self.needed:
-            self.connect()
-        return self.seq
+        with self.lock:
+            self.readers += 1
+            if self.timer is not None:
+                self.timer.cancel()
+                self.timer = None
+            if self.needed is not None and self.readers >= self.needed:
+                self.connect()
+        if self.grace is None:
+            return self.seq
+        lease = Lease()
+        weakref.finalize(lease, self.release)
+        return self.seq.hooked("lease", lease)
 
     def release(self) -> None:
-        self.readers = max(0, self.readers - 1)
-        if self.readers == 0:
-            self.disconnect()
+        """A reader is done."""
+        with self.lock:
+            self.readers = max(0, self.readers - 1)
+            if self.readers:
+                return
+            if not self.grace:
+                self.disconnect()
+            elif self.timer is None:
+                self.timer = threading.Timer(self.grace, self._free)
+                self.timer.daemon = True
+                self.timer.start()
+
+    def _free(self) -> None:
+        with self.lock:
+            self.timer = None
+            if self.readers == 0:
+                self.disconnect()
 
     def hide(self) -> Connectable:
         return self
@@ -68,6 +101,7 @@ class Cached:
             self.invalidate()
         if self.since is None:
             self.seq.df.persist(StorageLevel.MEMORY_AND_DISK)
+            self.seq.df.write.format("noop").mode("overwrite").save()  # filled now, so its age counts from when the rows are there
             self.since = self.clock()
         return self.seq
 

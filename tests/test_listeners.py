@@ -1,4 +1,4 @@
-"""Listeners of batches and streams."""
+"""Listeners of batches and streams; shared rows that free themselves."""
 
 from __future__ import annotations
 
@@ -87,3 +87,28 @@ def test_streams(spark):
     assert heard.said == ["subscribe", "complete", "finally"]
     runs = [r for r in heard.runs if r.rows]
     assert [r.rows for r in runs] == [20, 20, 10] and [r.metrics["seen"]["most"] for r in runs] == [19, 39, 49] and all(r.seconds > 0 for r in runs)
+
+
+def test_shared_rows_free_themselves(spark):
+    import gc
+
+    shared = seconds(spark, 30).publish().ref_count(2, grace=1.0)
+    one = shared.reader()
+    assert not shared.connected
+    two = shared.reader().filter(F.col("id") > 9)
+    assert shared.connected and len(two.collect_rows()) == 20
+    del one
+    gc.collect()
+    time.sleep(1.5)
+    assert shared.connected and shared.seq.df.storageLevel.useMemory  # what was made from the second reader still reads
+    del two
+    gc.collect()
+    again = shared.reader()  # within the grace time
+    time.sleep(1.5)
+    assert shared.connected and len(again.collect_rows()) == 30
+    del again
+    gc.collect()
+    until = time.monotonic() + 10
+    while shared.connected and time.monotonic() < until:
+        time.sleep(0.1)
+    assert not shared.connected and not shared.seq.df.storageLevel.useMemory
