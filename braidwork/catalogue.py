@@ -73,34 +73,47 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources.
 
 
-@query("SELECT range AS value, range * range AS square FROM range(5, 1005)")
+@query("SELECT value, value * value AS square FROM (SELECT unnest(range(5, 5 + (SELECT count(*) FROM orders))) AS value)")
 def source_range(spark, t):
-    return sources.range_(spark, 5, 1000).map(square=F.col("value") * F.col("value"))
+    return sources.range_(spark, 5, t("orders").count()).map(square=F.col("value") * F.col("value"))
 
 
-@query("SELECT * FROM (VALUES (0, 'a'), (1, 'b'), (2, 'c')) v(seq, value)")
+@query("SELECT row_number() OVER (ORDER BY i) - 1 AS seq, value FROM (SELECT 0 AS i, min(o_totalprice) AS value FROM orders UNION ALL SELECT 1, max(o_totalprice) FROM orders UNION ALL SELECT 2, median(o_totalprice) FROM orders)")
 def source_just(spark, t):
-    return sources.just(spark, "a", "b", "c", schema="value string").cast("seq", "int")
+    """Literals that an aggregate of the table gave."""
+    return sources.just(spark, *t("orders").agg(F.min("o_totalprice"), F.max("o_totalprice"), F.median("o_totalprice")).first(), schema="value double")
 
 
-@query("WITH RECURSIVE g(n, s) AS (SELECT 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, s * 3 % 1009 FROM g WHERE n < 60) SELECT n AS seq, s AS value FROM g")
+@query("WITH RECURSIVE g(n, s) AS (SELECT 0::BIGINT, (SELECT sum(o_custkey) % 1009 FROM orders)::BIGINT UNION ALL SELECT n + 1, s * 3 % 1009 FROM g WHERE n < 60) SELECT n AS seq, s AS value FROM g")
 def source_generate(spark, t):
-    return sources.generate(spark, "CAST(1 AS BIGINT)", "state * 3 % 1009", most=60)
+    """A generator that starts from what the table sums up to."""
+    begin = t("orders").agg(F.sum("o_custkey") % 1009).first()[0]
+    return sources.generate(spark, f"CAST({begin} AS BIGINT)", "state * 3 % 1009", most=60)
 
 
-@query("SELECT epoch_us(range) AS at_us, row_number() OVER (ORDER BY range) - 1 AS value FROM range(TIMESTAMP '2024-01-01 00:10:00', TIMESTAMP '2024-01-03 00:00:01', INTERVAL 10 MINUTE)")
+@query("""
+WITH e AS (SELECT date_trunc('hour', min(ts)) AS low, max(ts) AS high FROM events),
+k AS (SELECT unnest(generate_series(low, high, INTERVAL 1 HOUR)) AS ts FROM e), n AS (SELECT date_trunc('hour', ts) AS ts, count(*) AS n FROM events GROUP BY 1)
+SELECT epoch_us(k.ts) AS at_us, row_number() OVER (ORDER BY k.ts) - 1 AS value, coalesce(n, 0) AS n FROM k LEFT JOIN n USING (ts)
+""")
 def source_interval(spark, t):
-    ticks = sources.interval(spark, "2024-01-01", "2024-01-03", "10 minutes", "10 minutes")
-    return ticks.df.select(ticks.micros().alias("at_us"), "value")
+    """A tick for each hour that the events span, with the events of that hour."""
+    low, high = t("events").agg(F.date_trunc("hour", F.min("ts")).cast("string"), F.max("ts").cast("string")).first()
+    ticks = sources.interval(spark, low, high, "1 hour")
+    counts = t("events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("ts")).count()
+    return ticks.with_df(ticks.df.join(counts, "ts", "left")).df.select(ticks.micros().alias("at_us"), "value", F.coalesce("count", F.lit(0)).alias("n"))
 
 
-@query("SELECT range AS seq, range * 7 % 13 AS value FROM range(0, 40)")
+@query("SELECT o_orderkey AS seq, o_orderkey * 7 % 13 AS value FROM orders")
 def source_create(spark, t):
+    """Opaque code on the executors makes the orders' keys, in eight parts (they run from 0 without a gap)."""
+    n = t("orders").count()
+
     def emit(partition):
-        for i in range(20):
-            yield (partition * 20 + i, (partition * 20 + i) * 7 % 13)
+        for i in range(n * partition // 8, n * (partition + 1) // 8):
+            yield i, i * 7 % 13
 
-    return sources.create(spark, emit, "seq long, value long", "seq", partitions=2)
+    return sources.create(spark, emit, "seq long, value long", "seq", partitions=8)
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE false")
@@ -979,9 +992,9 @@ def timeout_by_key(spark, t):
     return Seq(t("events").select("event_id", "user_id", "ts"), "event_id", "ts", ["user_id"]).timeout(86_400, fallback=instead).df.select("user_id", "event_id")
 
 
-@query("WITH RECURSIVE g(n, s) AS (SELECT 0::BIGINT, 1::BIGINT UNION ALL SELECT n + 1, s * 5 % 7919 FROM g WHERE n < 150) SELECT n AS seq, s AS value FROM g")
+@query("WITH RECURSIVE g(n, s) AS (SELECT 0::BIGINT, ((SELECT count(*) FROM orders) % 7919 + 1)::BIGINT UNION ALL SELECT n + 1, s * 5 % 7919 FROM g WHERE n < 150) SELECT n AS seq, s AS value FROM g")
 def source_generate_long(spark, t):
-    return sources.generate(spark, "CAST(1 AS BIGINT)", "state * 5 % 7919", until="n > 150")
+    return sources.generate(spark, f"CAST({t('orders').count() % 7919 + 1} AS BIGINT)", "state * 5 % 7919", until="n > 150")
 
 
 HALVES = """
@@ -1246,24 +1259,25 @@ def window_when(spark, t):
 # More sources.
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 3::BIGINT), (1, 1), (2, 2)) v(seq, value)")
+@query("SELECT row_number() OVER (ORDER BY event_type) - 1 AS seq, count(*) AS value FROM events GROUP BY event_type")
 def source_values(spark, t):
-    made = sources.defer(lambda: sources.from_iterable(spark, iter([3, 1, 2]), "value long"))
+    counts = t("events").groupBy("event_type").count().orderBy("event_type")
+    made = sources.defer(lambda: sources.from_iterable(spark, (r["count"] for r in counts.collect()), "value long"))  # five rows
     return made().df.select(F.col("seq").cast("long").alias("seq"), "value")
 
 
-@query("SELECT * FROM (VALUES (0::BIGINT, 'a'), (1, 'b')) v(seq, value)")
+@query("SELECT row_number() OVER (ORDER BY event_type) - 1 AS seq, event_type AS value FROM (SELECT DISTINCT event_type FROM events)")
 def source_sink(spark, t):
     sink = sources.sink_many(spark, "value string")
-    sink.emit_next("a")
-    sink.emit_next("b")
+    for row in t("events").select("event_type").distinct().orderBy("event_type").collect():  # five rows
+        sink.emit_next(row[0])
     sink.try_emit_complete()
     return sink.as_seq()
 
 
-@query("SELECT 7 AS value")
+@query("SELECT count(*) AS value FROM events")
 def source_callable(spark, t):
-    return sources.from_callable(spark, lambda: 7, "value int").df.select("value")
+    return sources.from_callable(spark, lambda: t("events").count(), "value long").df.select("value")
 
 
 @query("SELECT n_nationkey FROM nation")
@@ -1382,3 +1396,139 @@ def first_with_signal(spark, t):
     """A source without rows that never ends can't win, the earlier of the two others does."""
     never = events(t, "value < 0").never_ending()
     return never.first_with_signal(events(t, "event_type = 'signup'"), events(t, "event_type = 'purchase'")).df.select("event_id")
+
+
+# Names that had no query.
+
+
+@query("SELECT event_id, (coalesce(sum(CASE WHEN value > 50 THEN 0 ELSE 1 END) OVER (ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS window_id, value > 50 AS matched FROM events")
+def window_while_rows(spark, t):
+    return events(t).window_while(F.col("value") > 50).df.select("event_id", "window_id", "matched")
+
+
+@query("SELECT event_id, 'purchase' AS wanted FROM events WHERE event_type = 'purchase'")
+def defer_contextual(spark, t):
+    from braidwork.functions.context import Context
+
+    build = sources.defer_contextual(lambda context: events(t).filter(F.col("event_type") == context.get("wanted")).map(wanted=F.lit(context.get("wanted"))), Context({"wanted": "purchase"}))
+    return build().df.select("event_id", "wanted")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_acctbal < 0 UNION ALL SELECT -count(*) FROM customer")
+def then_many(spark, t):
+    """The first sequence runs to its end and counts its rows; then the other is given."""
+    seen = spark.sparkContext.accumulator(0)
+    customers = Seq(t("customer").select("c_custkey", "c_acctbal"), "c_custkey")
+    following = customers.do_on_next(lambda row: seen.add(1)).then_many(customers.filter(F.col("c_acctbal") < 0).map())
+    return following.df.unionByName(spark.createDataFrame([(-seen.value,)], "c_custkey long"))
+
+
+@query("SELECT count(*) AS value FROM lineitem")
+def from_future(spark, t):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(1) as pool:
+        return sources.from_future(spark, pool.submit(lambda: t("lineitem").count()), "value long").df.select("value")
+
+
+@query("SELECT sum(l_quantity) AS total, count(*) AS n FROM lineitem")
+def to_future(spark, t):
+    seq = Seq(t("lineitem"), ["l_orderkey", "l_linenumber"]).collect(F.sum("l_quantity").alias("total"), F.count("*").alias("n"))
+    return spark.createDataFrame([tuple(r) for r in seq.to_future().result()], "total double, n long")
+
+
+@query("SELECT 3 AS attempts, count(*) AS n FROM events")
+def retry_when(spark, t):
+    """The first two attempts to read fail."""
+    from braidwork.functions.retry import Retry
+
+    tried = []
+
+    def count(df):
+        tried.append(1)
+        if len(tried) < 3:
+            raise OSError("not yet")
+        return df.count()
+
+    n = events(t).retry_when(Retry.fixed_delay(5, 0.01).filter(lambda e: isinstance(e, OSError))).run(count)
+    return spark.createDataFrame([(len(tried), n)], "attempts int, n long")
+
+
+@query("SELECT i::INTEGER AS round, count(*) AS n FROM events, range(0, 3) r(i) GROUP BY i")
+def repeat_when(spark, t):
+    from braidwork.functions.retry import Repeat
+
+    counts = events(t).repeat_when(Repeat.of(2), lambda df: df.count())
+    return spark.createDataFrame(list(enumerate(counts)), "round int, n long")
+
+
+@query("SELECT n_regionkey AS key, count(*) AS n FROM nation GROUP BY n_regionkey")
+def transform_groups(spark, t):
+    """Opaque code over each rail's batches."""
+
+    def doubled(frames):
+        for frame in frames:
+            yield frame.assign(key=frame["n_regionkey"])[["n_nationkey", "key"]]
+
+    rails = Seq(t("nation").select("n_nationkey", "n_regionkey"), "n_nationkey").parallel(3).transform_groups(doubled, "n_nationkey int, key int")
+    return rails.sequential().group_by("key").count()
+
+
+@query("SELECT min(event_id) AS event_id FROM events WHERE event_type = 'purchase'")
+def publish_next(spark, t):
+    shared = events(t, "event_type = 'purchase'").publish_next()
+    first = store(shared.reader().df.select("event_id"), "next")
+    shared.release()
+    return first
+
+
+@query("SELECT * FROM (VALUES ('released', 1), ('failed', 0)) v(what, n) UNION ALL SELECT 'rows', count(*) FROM supplier")
+def using_when(spark, t):
+    said = {"released": 0, "failed": 0}
+    with sources.using_when(lambda: t("supplier"), lambda df: Seq(df, "s_suppkey"), lambda df: said.update(released=said["released"] + 1), lambda df, error: said.update(failed=1)) as seq:
+        said["rows"] = seq.count().df.first()[0]
+    return spark.createDataFrame(list(said.items()), "what string, n long")
+
+
+@query("SELECT 'several sequences failed' AS said, 2 AS failures, count(*) AS n FROM events")
+def when_delay_error(spark, t):
+    """Three sequences side by side: two fail, the third is read to its end."""
+    from braidwork.operators.control import when_delay_error as wait
+
+    seen = spark.sparkContext.accumulator(0)
+    fails = lambda name: events(t).error_if(F.col("event_id") == 5, name)
+    try:
+        wait(fails("one"), events(t).do_on_next(lambda row: seen.add(1)), fails("two"))
+    except ExceptionGroup as group:
+        return spark.createDataFrame([(group.message, len(group.exceptions), seen.value)], "said string, failures int, n long")
+
+
+@query("SELECT event_type, count(*) AS n, 1 AS computed FROM events GROUP BY event_type")
+def cache_invalidate_if(spark, t):
+    """Kept while the test says that it is fresh, computed anew once it is stale."""
+    fresh = [False, True]
+    cache = events(t).cache_invalidate_if(lambda: fresh.pop(0) if fresh else False)
+    one, two = cache.get().count().df.first()[0], cache.get().count().df.first()[0]
+    counted = store(cache.get().group_by("event_type").count().df.withColumn("computed", F.lit(int(one == two and not fresh))), "cached-if")
+    cache.invalidate()
+    return counted
+
+
+@query("SELECT count(*) AS n, sum(o_totalprice) > 0 AS any FROM orders")
+def subscribe_with(spark, t):
+    """Partitions' rows go to a sink on the executors."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def sink(rows):
+        for _ in rows:
+            seen.add(1)
+
+    orders(t).subscribe_with(sink)
+    return spark.createDataFrame([(seen.value, True)], "n long, any boolean")
+
+
+@query("SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS at, p_partkey FROM part WHERE p_size = 7")
+def to_iterable(spark, t):
+    """Rows to the driver in order, a partition at a time."""
+    parts = Seq(t("part").where("p_size = 7").select("p_partkey"), "p_partkey")
+    return spark.createDataFrame([(i, r[0]) for i, r in enumerate(parts.to_iterable())], "at long, p_partkey long")
