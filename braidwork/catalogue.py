@@ -1532,3 +1532,31 @@ def to_iterable(spark, t):
     """Rows to the driver in order, a partition at a time."""
     parts = Seq(t("part").where("p_size = 7").select("p_partkey"), "p_partkey")
     return spark.createDataFrame([(i, r[0]) for i, r in enumerate(parts.to_iterable())], "at long, p_partkey long")
+
+
+@query("""
+WITH RECURSIVE i AS (SELECT user_id, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events),
+f(user_id, p, event_id, free, taken) AS (
+  SELECT user_id, p, event_id, us + 43200000000, us FROM i WHERE p = 1
+  UNION ALL SELECT f.user_id, i.p, i.event_id,
+    CASE WHEN f.free <= i.us THEN i.us + 43200000000 WHEN f.free > i.us + 2 * 43200000000 THEN f.free ELSE f.free + 43200000000 END,
+    CASE WHEN f.free <= i.us THEN i.us WHEN f.free > i.us + 2 * 43200000000 THEN NULL ELSE f.free END
+  FROM f JOIN i ON i.user_id = f.user_id AND i.p = f.p + 1)
+SELECT event_id, taken AS out_us FROM f WHERE taken IS NOT NULL
+""")
+def on_backpressure_buffer_sized(spark, t):
+    """Twelve hours a row and two places to wait; what finds none goes."""
+    return events(t).group_by("user_id").on_backpressure_buffer(12 * 3600, 2, "drop").df.select("event_id", "out_us")
+
+
+@query("""
+WITH e AS (SELECT event_id, ts, CASE event_type WHEN 'click' THEN 0 ELSE 1 END AS source_ord, CASE WHEN value > 150 THEN 'large' END AS error FROM events WHERE event_type IN ('click', 'view')),
+c AS (SELECT source_ord, min(event_id) AS cut FROM e WHERE error IS NOT NULL GROUP BY source_ord)
+SELECT event_id, error, row_number() OVER (ORDER BY error IS NOT NULL, ts, source_ord, event_id) - 1 AS index FROM e LEFT JOIN c USING (source_ord) WHERE cut IS NULL OR event_id <= cut
+""")
+def merge_delay_error_by_time(spark, t):
+    """Rows of two sources by their times; a source ends at its first large value, and what failed comes last."""
+    sides = [events(t, f"event_type = '{kind}'") for kind in ("click", "view")]
+    marked = [s.with_df(s.df.select("event_id", "ts", F.when(F.col("value") > 150, "large").alias("error"))) for s in sides]
+    merged = marked[0].merge_delay_error(marked[1], error=F.col("error"))
+    return merged.index().df.select("event_id", "error", "index")
