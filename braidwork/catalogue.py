@@ -1357,6 +1357,38 @@ def stream_sample_first_held(spark, t):
     return found.where("event_id >= 0").select("event_id")
 
 
+@query(ORACLES["window_when"])
+def stream_join(spark, t):
+    """Pairs of two streams; what can't meet any more leaves the state."""
+    from braidwork.streaming import join, run_stream
+
+    stream = overlapping(spark, t)
+    openings = stream.where("event_type = 'signup' OR event_type = 'last'").select(F.col("event_id").alias("opening"), F.col("user_id").alias("owner"), F.col("ts").alias("opened"))
+    rows = overlapping(spark, t).select("event_id", "user_id", "ts")
+    found = run_stream(spark, join(openings, rows, "opened", "ts", "1 hour", "7 days", F.col("owner") == F.col("user_id")))
+    return found.where("opening >= 0").select("opening", "event_id")
+
+
+@query("SELECT event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 3 AS window_id FROM events")
+def stream_count_windows(spark, t):
+    from braidwork.streaming import count_windows, run_stream
+
+    found = run_stream(spark, count_windows(overlapping(spark, t), ["user_id"], "us", 3, **HELD))
+    return found.where("event_id >= 0").select("event_id", "window_id")
+
+
+@query("""
+WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 12 HOUR THEN 0 ELSE 1 END AS cut FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT user_id, ts, sum(cut) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g)
+SELECT user_id, epoch_us(max(ts)) AS last_us FROM s GROUP BY user_id, run
+""")
+def stream_inactivity(spark, t):
+    from braidwork.streaming import inactivity, run_stream
+
+    found = run_stream(spark, inactivity(overlapping(spark, t), ["user_id"], "ts", "7 days", "12 hours"))
+    return found.where("user_id >= 0").select("user_id", F.unix_micros("last_ts").alias("last_us"))
+
+
 @query("SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts), 3) AS scan FROM events")
 def stream_scan_held(spark, t):
     from braidwork.streaming import run_stream, scan_sum

@@ -7,7 +7,7 @@ import time
 
 import pytest
 from braidwork import sources, streaming
-from braidwork.functions.retry import Retry, RetryExhausted
+from braidwork.functions.retry import Repeat, Retry, RetryExhausted
 from braidwork.operators.control import TimedOut
 from braidwork.plans.seq import Seq
 from braidwork.plans.verify import Probe, VirtualClock, verify
@@ -153,6 +153,30 @@ def test_retries_in_a_row():
         Retry.max(2).run_all([flaky(2), flaky(1)])
 
 
+def test_rules_of_retries_and_repeats():
+    tried, pauses, said = [], [], []
+
+    def act():
+        tried.append(1)
+        if len(tried) < 4:
+            raise OSError(f"failure {len(tried)}")
+        return len(tried)
+
+    rule = Retry.backoff(9, 1.0).jitter(0).with_multiplier(3.0).with_min_backoff(2.0).with_max_backoff(10.0).max_attempts(3).with_retry_context(a=1).with_retry_context(b=2)
+    rule = rule.filter(lambda e: isinstance(e, OSError)).modify_error_filter(lambda f: lambda e: f(e) and "9" not in str(e)).do_before_retry(lambda n, e: said.append((n, str(e))))
+    assert rule.run(act, pauses.append) == 4 and pauses == [2.0, 6.0, 10.0] and said[0] == (0, "failure 1") and rule.context == {"a": 1, "b": 2}
+    assert Retry.backoff(9, 1.0).jitter(0).with_max_backoff(60).delay(5000) == 60
+    tried.clear()
+    with pytest.raises(OSError, match="failure 2"):
+        Retry.from_(lambda n, e: 0.5 if n < 1 else None).run(act, pauses.append)
+    assert Retry.max(1).transient_errors().transient and not Retry.max_in_a_row(2).transient_errors(False).transient
+    runs, told = iter(range(9)), []
+    rule = Repeat.from_(lambda n, result: 0.25 if result < 3 else None).do_before_repeat(lambda n, r: told.append(("before", n, r))).do_after_repeat(lambda n, r: told.append(("after", n, r)))
+    pauses.clear()
+    assert rule.run(lambda: next(runs), pauses.append) == [0, 1, 2, 3] and pauses == [0.25] * 3 and told[:2] == [("before", 0, 0), ("after", 0, 0)]
+    assert Repeat.of(2).run(lambda: 7, lambda s: None) == [7, 7, 7]
+
+
 def test_sinks(spark):
     clock = VirtualClock()
     many = sources.sink_multicast(spark, "value int")
