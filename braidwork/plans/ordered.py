@@ -28,8 +28,20 @@ def single_task_bytes(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.braidwork.singleTaskBytes", str(SINGLE_TASK_BYTES)))
 
 
+#: Estimates from here on are checked by counting: the optimiser multiplies the sizes of what is joined, and knows nothing of local rows.
+DOUBTFUL = 1 << 40
+#: Chunks at most; beyond, they grow.
+CHUNKS = 100_000
+
+
+def input_bytes(df: DataFrame) -> int:
+    """The optimiser's estimate of df's size; if that is doubtful, rows are counted and taken to be as wide as their types usually are."""
+    size = plan_bytes(df)
+    return size if size < DOUBTFUL else df.count() * df._jdf.schema().defaultSize()
+
+
 def fits_one_task(df: DataFrame) -> bool:
-    return plan_bytes(df) <= single_task_bytes(df.sparkSession)
+    return input_bytes(df) <= single_task_bytes(df.sparkSession)
 
 
 def hottest_share(df: DataFrame, keys: Sequence[str]) -> float:
@@ -44,11 +56,11 @@ class Ordered:
         spark = df.sparkSession
         most = single_task_bytes(spark)
         self.order, self.keys, self.chunked, self._borders = list(order), list(keys), False, None
-        size = plan_bytes(df)
+        size = input_bytes(df)
         if size > most and (not self.keys or hottest_share(df, self.keys) * size > most):
             places = [*self.keys, *(c for c in self.order if c not in self.keys)]
             parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-            ranged = df.repartitionByRange(parts if size > 1 << 58 else max(parts, size // CHUNK_BYTES), *places).sortWithinPartitions(*places)
+            ranged = df.repartitionByRange(max(parts, min(CHUNKS, size // CHUNK_BYTES)), *places).sortWithinPartitions(*places)
             df = store(ranged.withColumn(CHUNK, F.shiftright(F.monotonically_increasing_id(), 33)), "ordered")
             self.chunked = True
         self.df = df

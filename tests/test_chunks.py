@@ -276,3 +276,15 @@ def test_spines(spark, monkeypatch):
     seq = seq_of(spark, [(0, "a", 0, 1), (1, "a", 100, 1), (2, "b", 5, 1)], True)
     got = [(r.key, r.window_id, r.n) for r in seq.window_time_counts(10).df.orderBy("key", "window_id").collect()]
     assert got == [("a", i, int(i in (0, 10))) for i in range(11)] + [("b", 0, 1)]
+
+
+def test_sizes_that_the_optimiser_does_not_know(spark):
+    """Local rows are counted, so a few of them are never cut into chunks; nor do crossed single rows make a table seem large."""
+    from braidwork.plans.ordered import SINGLE_TASK_BYTES, input_bytes
+
+    rows = spark.createDataFrame([(i, "k") for i in range(100)], "id long, key string")
+    assert 100 < input_bytes(rows) < 10_000 and not Ordered(rows, ["id"]).chunked and not Ordered(rows, ["id"], ["key"]).chunked
+    crossed = rows
+    for i in range(6):
+        crossed = crossed.crossJoin(F.broadcast(rows.agg(F.max("id").alias(f"m{i}"))))
+    assert input_bytes(crossed) < SINGLE_TASK_BYTES and not Ordered(crossed, ["id"]).chunked
