@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from braidwork.llm.common import bounded_batches, lean, store, text_or_empty
+from braidwork.llm.common import Shared, bounded_batches, lean, positions, store, text_or_empty
 from braidwork.llm.textbytes import Rolling, bytes_of, mix64, parts
 
 LENGTH = 100
@@ -39,12 +39,17 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(values) - width + 1], out[width - have :][: len(values) - width + 1]) if width > have else out
 
 
-def suffixes(data: np.ndarray, starts: np.ndarray, rolling: Rolling, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+#: Seed of the second hash: strings count as equal only if both 64-bit hashes of their bytes are.
+CHECK = 1
+
+
+def suffixes(data: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
     """The suffixes that stand for all strings of `length` bytes: (token, context, text, packed).
 
     Each string is represented by the suffix at its least token (by hash, the leftmost of equals), so equal
     strings are represented by equal suffixes at equal places, wherever they stand. Neighbouring strings mostly
-    share theirs: a suffix has a token, the context of all strings it represents, and packed their first
+    share theirs: a suffix has a token, the context of all strings it represents (by the second hash, so that
+    token and context are 128 bits of its bytes), and packed their first
     start (33 bits), how many follow (7), the token's distance from it (7), and 8 bits each of the hashes of
     what lies LEFT before the token and RIGHT from it on.
     """
@@ -52,6 +57,7 @@ def suffixes(data: np.ndarray, starts: np.ndarray, rolling: Rolling, length: int
     none = np.empty(0, dtype=np.uint64)
     if n < length:
         return none, none, none.astype(np.int64), none.astype(np.int64)
+    rolling, check = Rolling(data), Rolling(data, CHECK)
     at = np.arange(n - GRAM + 1)
     token = rolling.of(at, at + GRAM)
     ranked = (token & np.uint64(0xFFFFFFFF00000000)) | at.astype(np.uint64)
@@ -72,7 +78,7 @@ def suffixes(data: np.ndarray, starts: np.ndarray, rolling: Rolling, length: int
     first, last = place[begins], place[np.append(begins[1:], len(place)) - 1]
     anchor = anchor[begins]
     text = np.searchsorted(starts, first, side="right") - 1
-    context = rolling.of(first, last + length) ^ ((anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    context = check.of(first, last + length) ^ ((anchor - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     own = first.astype(np.uint64) * np.uint64(0x94D049BB133111EB)
     left_ok, right_ok = anchor - LEFT >= starts[text], anchor + RIGHT <= starts[text + 1]
     left = np.where(left_ok, rolling.of(np.where(left_ok, anchor - LEFT, 0), anchor + GRAM), own)
@@ -115,6 +121,27 @@ def bucket_rows(token, context, doc, packed, splitters: np.ndarray, heavy: np.nd
     return pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(token.view(np.int64)), pa.array(context.view(np.int64)), pa.array(doc), pa.array(packed)], names=["bucket", "token", "context", "doc", "packed"])
 
 
+def signed(token: np.ndarray) -> np.ndarray:
+    """Longs that sort as these unsigned tokens do, and back."""
+    return (token ^ np.uint64(1 << 63)).view(np.int64)
+
+
+def split_points(sample: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(splitters, heavy tokens) from sampled suffixes (token, doc), which are sorted and counted on the executors.
+
+    The driver gets one token a bucket, and of those with more than HEAVY sampled suffixes at most SAMPLED / HEAVY a bucket.
+    """
+    placed = positions(sample, ["token", "doc"], "place", "repeats-sample")
+    n = max(1, placed.count())
+    cut = placed.where(f"place > 0 AND (place * {buckets}) div {n} > ((place - 1) * {buckets}) div {n}").select("token").distinct()
+    often = placed.groupBy("token").count().where(F.col("count") > HEAVY).select("token")
+
+    def unsigned(tokens: DataFrame) -> np.ndarray:
+        return np.sort(signed(np.asarray(tokens.toArrow().column(0)).view(np.uint64)).view(np.uint64))
+
+    return unsigned(cut), unsigned(often)
+
+
 ROWS = "bucket long, token long, context long, doc long, packed long"
 FOUND = "doc long, low long, high long"
 
@@ -132,7 +159,7 @@ def in_blocks(found, splitters: np.ndarray, heavy: np.ndarray):
         yield bucket_rows(*(np.concatenate(c) for c in zip(*held, strict=True)), splitters, heavy)
 
 
-def sort_bucket(length: int, heavy: np.ndarray):
+def sort_bucket(length: int, cuts: Shared):
     """The function that sorts a task's buckets and tells repeats: rows (doc, low, high).
 
     high below 0 marks a suffix to look into, low its packed place: -1 if few contexts share its token, else -2.
@@ -146,6 +173,7 @@ def sort_bucket(length: int, heavy: np.ndarray):
         held = [b for b in batches if b.num_rows]
         if not held:
             return
+        heavy = cuts.value[1]
         rows = pa.Table.from_batches(held)
         bucket = np.asarray(rows.column("bucket"))
         token, context, doc, packed = (np.asarray(rows.column(c)) for c in ("token", "context", "doc", "packed"))
@@ -180,16 +208,16 @@ def sort_bucket(length: int, heavy: np.ndarray):
     return repeats
 
 
-STRINGS = "bucket long, token long, doc long, packed long, context binary"
+STRINGS = "bucket long, token long, check long, doc long, packed long, context binary"
 
 
-def strings_of(data, starts, rolling, text, packed, length):
-    """(text, start, hash) of all strings that these suffixes represent."""
+def strings_of(data, starts, rolling, check, text, packed, length):
+    """(text, start, hash, second hash) of all strings that these suffixes represent."""
     more = (packed >> 23 & 127) + 1
     owner = np.repeat(text, more)
     start = np.repeat(packed >> 30, more) + np.arange(more.sum()) - np.repeat(np.cumsum(more) - more, more)
     begin = starts[owner] + start
-    return owner, start, rolling.of(begin, begin + length)
+    return owner, start, rolling.of(begin, begin + length), check.of(begin, begin + length)
 
 
 def sort_strings(length: int):
@@ -200,13 +228,13 @@ def sort_strings(length: int):
         if not held:
             return
         rows = pa.Table.from_batches(held)
-        token, doc, packed = (np.asarray(rows.column(c)) for c in ("token", "doc", "packed"))
+        token, check, doc, packed = (np.asarray(rows.column(c)) for c in ("token", "check", "doc", "packed"))
         known = np.asarray(rows.column("bucket")) < 0
         context = rows.column("context").combine_chunks()
         alone = np.asarray(context.is_null())
         yield from spans(doc[known], packed[known] >> 30)
         single = alone & ~known
-        yield from earliest_stays(token[single].view(np.uint64), doc[single], packed[single] >> 30)
+        yield from earliest_stays(token[single].view(np.uint64), check[single].view(np.uint64), doc[single], packed[single] >> 30)
         # Contexts of one token at a time (many tokens together): only these have strings in common.
         order = np.flatnonzero(~alone)
         order = order[np.argsort(token[order], kind="stable")]
@@ -218,12 +246,12 @@ def sort_strings(length: int):
             some = order[low:high]
             data, starts = bytes_of(context.take(pa.array(some)))
             place = packed[some]
-            owner, start, found = strings_of(data, starts, Rolling(data), np.arange(len(place)), place & ((1 << 30) - 1), length)
-            yield from earliest_stays(found, doc[some][owner], (place >> 30)[owner] + start)
+            owner, start, found, second = strings_of(data, starts, Rolling(data), Rolling(data, CHECK), np.arange(len(place)), place & ((1 << 30) - 1), length)
+            yield from earliest_stays(found, second, doc[some][owner], (place >> 30)[owner] + start)
             low = high
 
-    def earliest_stays(hashes, docs, begin):
-        _, _, docs, begin, again = combined(hashes, np.zeros(len(hashes), dtype=np.uint64), docs, begin)
+    def earliest_stays(hashes, second, docs, begin):
+        _, _, docs, begin, again = combined(hashes, second, docs, begin)
         yield from spans(docs[again], begin[again])
 
     def spans(docs, begin):
@@ -280,34 +308,33 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
         for batch in batches:
             for piece in parts(batch, 1, 2 << 20):
                 data, starts = bytes_of(piece.column(1))
-                token, context, text, packed = suffixes(data, starts, Rolling(data), length)
+                token, context, text, packed = suffixes(data, starts, length)
                 yield token, context, np.asarray(piece.column(0))[text], packed
 
     def sampled(batches):
-        for token, *_ in of_texts(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(token[:: max(1, len(token) // 2000)].view(np.int64))], names=["token"])
+        for token, _, doc, _ in of_texts(batches):
+            some = slice(None, None, max(1, len(token) // 2000))
+            yield pa.RecordBatch.from_arrays([pa.array(signed(token[some])), pa.array(doc[some])], names=["token", "doc"])
 
     pairs = texts.select("doc", "text")
     part = min(1.0, buckets * SAMPLED * 30 / max(total, 1))
     some = pairs.where(F.pmod(F.xxhash64(F.lit(7), "doc"), F.lit(1 << 20)) < int(part * (1 << 20)))
-    tokens = np.asarray(some.mapInArrow(lean(sampled), "token long").toArrow().column(0)).view(np.uint64)
-    splitters = np.unique(np.quantile(np.sort(tokens).astype(np.float64), np.arange(1, buckets) / buckets).astype(np.uint64)) if len(tokens) else np.empty(0, dtype=np.uint64)
-
-    often, times = np.unique(tokens, return_counts=True)
-    heavy = often[times > HEAVY]
-    rows = pairs.mapInArrow(lean(lambda batches: in_blocks(of_texts(batches), splitters, heavy)), ROWS)
-    found = store(rows.repartitionById(buckets, F.pmod("bucket", F.lit(buckets)).cast("int")).mapInArrow(lean(sort_bucket(length, heavy)), FOUND), "repeats-found")
+    cuts = Shared(spark, split_points(some.mapInArrow(lean(sampled), "token long, doc long"), buckets))
+    rows = pairs.mapInArrow(lean(lambda batches: in_blocks(of_texts(batches), *cuts.value)), ROWS)
+    found = store(rows.repartitionById(buckets, F.pmod("bucket", F.lit(buckets)).cast("int")).mapInArrow(lean(sort_bucket(length, cuts)), FOUND), "repeats-found")
 
     place = F.struct(F.col("low"), (F.col("high") == -2).alias("many"))
     unsure = found.where("high < 0").groupBy("doc").agg(F.collect_list(place).alias("places"))
     strings = pairs.join(unsure, "doc").select("doc", "text", "places")
-    even = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
+
+    named = ["bucket", "token", "check", "doc", "packed", "context"]
 
     def of_strings(batches):
+        even = (np.arange(1, buckets, dtype=np.float64) / buckets * 2.0**64).astype(np.uint64)
         for batch in batches:
             for piece in parts(batch, 1, 1 << 20):
                 data, starts = bytes_of(piece.column(1))
-                rolling = Rolling(data)
+                rolling, check = Rolling(data), Rolling(data, CHECK)
                 ids, places = np.asarray(piece.column(0)), piece.column(2)
                 count = np.asarray([len(x) for x in places])
                 flat = places.flatten()
@@ -321,11 +348,11 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, with_text: bool = Fal
                 raw = data.tobytes()
                 contexts = pa.array([raw[a:b] for a, b in zip(low.tolist(), end.tolist(), strict=True)], pa.binary())
                 bucket = np.searchsorted(even, mix64(token), side="right").astype(np.int64)  # least tokens are small numbers: spread them
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(token.view(np.int64)), pa.array(ids[few_text]), pa.array(few), contexts], names=["bucket", "token", "doc", "packed", "context"])
-                owner, start, found = strings_of(data, starts, rolling, text[many], packed[many], length)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), pa.array(token.view(np.int64)), pa.array(np.zeros(len(few), dtype=np.int64)), pa.array(ids[few_text]), pa.array(few), contexts], names=named)
+                owner, start, found, second = strings_of(data, starts, rolling, check, text[many], packed[many], length)
                 if len(found):
-                    rows = bucket_rows(found, np.zeros(len(found), dtype=np.uint64), ids[owner], start << 30, even, heavy[:0])
-                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("bucket", "token", "doc", "packed")), pa.nulls(rows.num_rows, pa.binary())], names=["bucket", "token", "doc", "packed", "context"])
+                    rows = bucket_rows(found, second, ids[owner], start << 30, even, found[:0])
+                    yield pa.RecordBatch.from_arrays([*rows.columns, pa.nulls(rows.num_rows, pa.binary())], names=named)
 
     again = strings.mapInArrow(lean(of_strings), STRINGS).repartitionById(buckets, F.pmod("bucket", F.lit(buckets)).cast("int")).mapInArrow(lean(sort_strings(length)), FOUND)
     spans = found.where("high >= 0").unionByName(again).groupBy("doc").agg(F.collect_list(F.struct("low", "high")).alias("spans"))

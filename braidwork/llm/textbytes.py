@@ -63,11 +63,11 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
 
 
 class Rolling:
-    """Hashes of any byte ranges of one run of bytes, modulo 2 ** 64."""
+    """Hashes of any byte ranges of one run of bytes, modulo 2 ** 64; other seeds give other hashes."""
 
-    def __init__(self, data: np.ndarray):
+    def __init__(self, data: np.ndarray, seed: int = 0):
         self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-        np.cumsum(mix64(data.astype(np.uint64) + np.uint64(1)) * powers(ODD, len(data)), out=self.sums[1:])
+        np.cumsum(mix64(data.astype(np.uint64) + np.uint64(1 + (seed << 8))) * powers(ODD, len(data)), out=self.sums[1:])
         self.back = powers(ODD_INVERSE, len(data) + 1)
 
     def of(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:

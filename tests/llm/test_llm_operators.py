@@ -571,6 +571,35 @@ def test_repeats(docs, empty, odd, monkeypatch, together):
     assert [n for d, n in rows if d == 2] == [whole] and [n for d, n in rows if d == 3] == [whole + 5] * 2
 
 
+@pytest.mark.parametrize("together", [128, 1])
+def test_repeats_when_hashes_collide(docs, monkeypatch, together):
+    """With 16 bits of the first hash left, tokens and strings collide all the time; no byte goes or stays for that."""
+
+    class Weak(repeats.Rolling):
+        def __init__(self, data, seed=0):
+            super().__init__(data, seed)
+            self.seed = seed
+
+        def of(self, low, high):
+            found = super().of(low, high)
+            return found if self.seed else found & np.uint64(0xFFFF << 48)
+
+    monkeypatch.setattr(repeats, "TOGETHER", together)
+    monkeypatch.setattr(repeats, "Rolling", Weak)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.without_repeats(docs).collect()}
+    assert got == brute_repeats(texts_of(docs))
+
+
+def test_split_points(spark):
+    """Even parts of the sorted sample; a token with many sampled suffixes is named, whatever its rows."""
+    tokens = list(range(1000)) + [500] * 300 + [(1 << 64) - 1]
+    rows = [(t - (1 << 63), i % 7) for i, t in enumerate(tokens)]
+    splitters, heavy = repeats.split_points(spark.createDataFrame(rows, "token long, doc long").repartition(5), 10)
+    assert heavy.tolist() == [500]
+    assert splitters.tolist() == sorted({sorted(tokens)[-(-len(tokens) * i // 10)] for i in range(1, 10)})
+    assert [len(x) for x in repeats.split_points(spark.createDataFrame([], "token long, doc long"), 10)] == [0, 0]
+
+
 def test_multikey_quicksort():
     rng = np.random.default_rng(0)
     keys = [rng.integers(0, 50, 20_000), rng.integers(0, 9, 20_000), rng.integers(0, 1000, 20_000)]
