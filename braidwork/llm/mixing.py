@@ -9,27 +9,48 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from braidwork.llm.common import bounded_batches, lean, prefix_sums, source_key, store, text_or_empty
+from braidwork.llm.common import bounded_batches, lean, positions, prefix_sums, source_key, store, text_or_empty
 
 BLOCK_WORDS, SHARDS = 256, 40
 WORDS = r"[^\x20\x09-\x0D]+"
+#: Sources whose counts one task draws, and the most groups of sources whose counts the driver draws.
+CELL_SOURCES, MOST_CELLS = 1000, 1 << 16
+#: Slots of a source and shard that one record opens, and rows of a batch of opened slots.
+RANGE_SLOTS, BATCH_SLOTS = 1 << 22, 1 << 16
 
 
-def fill_targets(sizes: list[int], weights: list[float], budget: float, most: float = 2.0) -> list[float]:
-    """Targets in proportion to weights, each at most `most` times its size; the excess is shared again by weight."""
-    targets, open_, left = [0.0] * len(sizes), set(range(len(sizes))), budget
-    while open_:
-        weight = sum(weights[i] for i in open_)
-        above = [i for i in open_ if left * weights[i] / weight > most * sizes[i]]
-        if not above:
-            for i in open_:
-                targets[i] = left * weights[i] / weight
-            break
-        for i in above:
-            targets[i] = most * sizes[i]
-            open_.discard(i)
-        left = budget - sum(targets[i] for i in range(len(sizes)) if i not in open_)
-    return targets
+def water_level(sources: DataFrame, budget: float, most: float) -> float:
+    """The words for each unit of weight at which the targets, each at most `most` times its source's words, add up to budget.
+
+    Newton's steps on a rising, concave, piecewise straight line: the excess of sources above their bound is shared
+    again by weight among the others, until none is above. Each step is one sum over the table of sources.
+    """
+    level, closed = 0.0, -1
+    while True:
+        above = F.lit(level) * F.col("weight") > most * F.col("words")
+        found = sources.agg(F.count_if(above).alias("n"), F.sum(F.when(above, most * F.col("words"))).alias("held"), F.sum(F.when(~above, F.col("weight"))).alias("weight")).first()
+        if found.n == closed or not found.weight:
+            return level
+        level, closed = (budget - (found.held or 0.0)) / found.weight, found.n
+
+
+def planned(facts: DataFrame, weights: list[float], share: float, most: float, block_words: int) -> DataFrame:
+    """Stored, one row a source: source_key, source (its number by code point, null last), words, target, blocks, passes, rest, slots."""
+    sums = facts.groupBy("source_key").agg(F.sum("size").alias("words"))
+    ranked = positions(sums, ["source_key"], "source", "mixing-sources")
+    turns = F.array(*[F.lit(float(w)) for w in weights])
+    weighed = ranked.withColumn("weight", F.get(turns, (F.col("source") % len(weights)).cast("int")))
+    total = weighed.agg(F.sum("words")).first()[0] or 0
+    level = water_level(weighed, share * total, most)
+    aimed = weighed.withColumn("target", F.least(most * F.col("words"), level * F.col("weight"))).withColumn("due", F.rint("target").cast("long"))
+    counted = aimed.withColumns(
+        {
+            "blocks": F.expr(f"(words + {block_words - 1}) div {block_words}"),
+            "passes": F.expr("CASE WHEN words > 0 THEN due div words ELSE 0 END"),
+        }
+    ).withColumn("rest", F.expr("due - passes * words"))
+    slots = F.expr(f"passes * blocks + (rest + {block_words - 1}) div {block_words}")
+    return store(counted.select("source_key", "source", "words", "target", "blocks", "passes", "rest", slots.alias("slots")), "mixing-plan")
 
 
 def permute(index: np.ndarray, size: int, seed: int) -> np.ndarray:
@@ -52,16 +73,16 @@ def permute(index: np.ndarray, size: int, seed: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def draw_counts(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
+def draw_counts(slots: np.ndarray, shards: int, seed: int | list[int], rooms: np.ndarray | None = None) -> np.ndarray:
     """Slots of each source in each shard: multinomial draws in proportion to what each source still has to give.
 
-    Shards hold equally many slots (one more or less). A draw beyond what a source has left is drawn again
+    Shards hold equally many slots (one more or less), or as many as `rooms` says. A draw beyond what a source has left is drawn again
     among the others, so the counts of a source add up to its slots: multinomial counts given the totals.
     """
     rng, left, rows = np.random.default_rng(seed), slots.astype(np.int64).copy(), []
     total = int(slots.sum())
     for j in range(shards):
-        room, row = (j + 1) * total // shards - j * total // shards, np.zeros_like(left)
+        room, row = (j + 1) * total // shards - j * total // shards if rooms is None else int(rooms[j]), np.zeros_like(left)
         while room > 0:
             drawn = np.minimum(rng.multinomial(room, left / left.sum()), left)
             row, left, room = row + drawn, left - drawn, room - int(drawn.sum())
@@ -69,6 +90,35 @@ def draw_counts(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return np.array(rows, dtype=np.int64).reshape(shards, len(slots))
 
 
+DRAWN = "shard int, source_key string, source long, low long, high long, words long, blocks long, passes long, rest long"
+
+
+def drawn_counts(plan: DataFrame, shards: int, seed: int) -> tuple[DataFrame, int]:
+    """Slots low to high of each source in each shard (DRAWN), and how many there are: multinomial counts, in two steps.
+
+    Sources are dealt to cells of about CELL_SOURCES. The driver draws how many slots of each cell go to each shard
+    (MOST_CELLS times `shards` numbers at most); tasks draw those of a cell's sources, given these. A multinomial
+    draw of groups and then within them is a multinomial draw of all.
+    """
+    spark = plan.sparkSession
+    cells = max(1, min(MOST_CELLS, -(-plan.count() // CELL_SOURCES)))
+    dealt = plan.where("slots > 0").withColumn("cell", F.pmod(F.xxhash64(F.lit(seed), "source"), F.lit(cells)))
+    sums = {r.cell: r.slots for r in dealt.groupBy("cell").agg(F.sum("slots").alias("slots")).collect()}
+    order = sorted(sums)
+    counts = draw_counts(np.array([sums[c] for c in order], dtype=np.int64), shards, seed)
+    rooms = spark.createDataFrame([(c, column.tolist()) for c, column in zip(order, counts.T, strict=True)], "cell long, rooms array<long>")
+
+    def draw(sources: pd.DataFrame, room: pd.DataFrame) -> pd.DataFrame:
+        sources = sources.sort_values("source", ignore_index=True)
+        counts = draw_counts(sources["slots"].to_numpy(), shards, [seed, int(sources["cell"][0])], np.asarray(room["rooms"][0]))
+        ends = np.cumsum(counts, axis=0)
+        shard, at = np.nonzero(counts)
+        out = sources.loc[at, ["source_key", "source", "words", "blocks", "passes", "rest"]].reset_index(drop=True)
+        return out.assign(shard=shard, low=(ends - counts)[shard, at], high=ends[shard, at])[[c.split()[0] for c in DRAWN.split(", ")]]
+
+    return dealt.groupBy("cell").cogroup(rooms.groupBy("cell")).applyInPandas(draw, DRAWN), int(counts.sum())
+
+
 def text_id() -> Column:
     """Parts rows that share an id (null too), so that they spread by their texts."""
     return F.xxhash64(text_or_empty())
@@ -81,7 +131,7 @@ def measured(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float = 1.5, most: float = 2.0, shards: int = SHARDS, block_words: int = BLOCK_WORDS, seed: int = 3):
-    """(documents, pieces, targets) of a mixture of `share` times all words.
+    """(documents, pieces, sources) of a mixture of `share` times all words.
 
     Sources in code point order, null last, take the weights in turn; targets are filled by weight up to
     `most` times a source's words. Each source's documents, in a seeded order, form a stream of words cut into
@@ -91,50 +141,56 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
     index. No word is taken more often than ceil(most) times.
 
     documents: doc_id, source_key, size, tid, before, total. pieces: shard, slot, source_key, block, pass, doc_id,
-    size, tid, before, word_start, n_words. targets: source_key to (words, target).
+    size, tid, before, word_start, n_words. sources: source_key, words, target (see planned).
 
     A null text has no words; documents without words get no piece. A null source is a source of its own.
-    Repeated rows are documents of their own. An empty table gives no rows. Other columns are ignored. The
-    driver holds one number per source and shard; words, blocks and slots stay distributed.
+    Repeated rows are documents of their own. An empty table gives no rows. Other columns are ignored. Sources,
+    words, blocks and slots stay distributed; see drawn_counts for what the driver draws.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
     facts = measured(docs, seed)
-    found = sorted((r.source_key, r.total) for r in facts.groupBy("source_key").agg(F.sum("size").alias("total")).collect())
-    found.sort(key=lambda x: (x[0][0], x[0][1:].encode("utf-8", "surrogatepass")))
-    sizes = [n for _, n in found]
-    targets = fill_targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], share * sum(sizes), most)
-    due = [round(t) for t in targets]
-    passes = [d // n if n else 0 for d, n in zip(due, sizes, strict=True)]
-    blocks = [-(-n // block_words) for n in sizes]
-    rest = [d - e * n for d, e, n in zip(due, passes, sizes, strict=True)]
-    slots = np.array([e * b + -(-r // block_words) for e, b, r in zip(passes, blocks, rest, strict=True)], dtype=np.int64)
-    counts = draw_counts(slots, shards, seed)
-    ends = np.cumsum(counts, axis=0)
-    rows = [(j, i, int(ends[j, i] - counts[j, i]), int(ends[j, i])) for j in range(shards) for i in range(len(found)) if counts[j, i]]
-    keys = [k for k, _ in found]
+    plan = planned(facts, weights, share, most, block_words)
+    counts, total = drawn_counts(plan, shards, seed)
+
+    def blocks_of(row) -> tuple[np.ndarray, ...]:
+        k = np.arange(row.low, row.high, dtype=np.int64)
+        turn, at = np.divmod(k, max(row.blocks, 1))
+        turn, full = np.minimum(turn, row.passes), row.words // block_words
+        at = np.where(turn < row.passes, at, k - row.passes * row.blocks)
+        block, take = np.empty(len(k), dtype=np.int64), np.full(len(k), block_words, dtype=np.int64)
+        for t in np.unique(turn):
+            mine, own = turn == t, seed * 1009 + row.source * 31 + int(t)
+            if t < row.passes:
+                block[mine] = permute(at[mine], row.blocks, own)
+            else:
+                inside = mine & (at < full)
+                block[inside] = permute(at[inside], full, own) if inside.any() else 0
+                block[mine & (at >= full)] = full
+                take[mine] = np.minimum(block_words, row.rest - at[mine] * block_words)
+        return k, block, turn, take
 
     def open_slots(frames):
         for frame in frames:
-            for j, i, low, high in frame.itertuples(index=False):
-                for part in range(low, high, 1 << 16):
-                    k = np.arange(part, min(high, part + (1 << 16)), dtype=np.int64)
-                    turn, at = np.divmod(k, max(blocks[i], 1))
-                    turn, full = np.minimum(turn, passes[i]), sizes[i] // block_words
-                    at = np.where(turn < passes[i], at, k - passes[i] * blocks[i])
-                    block, take = np.empty(len(k), dtype=np.int64), np.full(len(k), block_words, dtype=np.int64)
-                    for t in np.unique(turn):
-                        mine = turn == t
-                        if t < passes[i]:
-                            block[mine] = permute(at[mine], blocks[i], seed * 1009 + i * 31 + int(t))
-                        else:
-                            inside = mine & (at < full)
-                            block[inside] = permute(at[inside], full, seed * 1009 + i * 31 + int(t)) if inside.any() else 0
-                            block[mine & (at >= full)] = full
-                            take[mine] = np.minimum(block_words, rest[i] - at[mine] * block_words)
-                    yield pd.DataFrame({"shard": j, "slot": k, "source_key": keys[i], "block": block, "pass": turn, "take": take})
-
-    held = spark.createDataFrame(rows, "shard int, source int, low long, high long").repartition(max(1, min(len(rows), spark.sparkContext.defaultParallelism * 2)))
+            held, n = [], 0
+            for row in frame.itertuples(index=False):
+                for low in range(row.low, row.high, BATCH_SLOTS):
+                    k, block, turn, take = blocks_of(row._replace(low=low, high=min(row.high, low + BATCH_SLOTS)))
+                    held.append((np.full(len(k), row.shard), k, np.full(len(k), row.source_key, dtype=object), block, turn, take))
+                    n += len(k)
+                    if n >= BATCH_SLOTS:
+                        yield opened(held)
+                        held, n = [], 0
+            if n:
+                yield opened(held)
+
+    def opened(held) -> pd.DataFrame:
+        return pd.DataFrame({c: np.concatenate(x) for c, x in zip(("shard", "slot", "source_key", "block", "pass", "take"), zip(*held, strict=True), strict=True)})
+
+    # A record opens RANGE_SLOTS slots at most, so a hot source is dealt to many tasks.
+    begin = F.explode(F.sequence(F.col("low"), F.col("high") - 1, F.lit(RANGE_SLOTS)))
+    ranges = counts.withColumn("low", begin).withColumn("high", F.least("high", F.col("low") + RANGE_SLOTS))
+    held = ranges.repartition(max(1, min(total, spark.sparkContext.defaultParallelism * 2), total // RANGE_SLOTS))
     drawn = held.mapInPandas(open_slots, "shard int, slot long, source_key string, block long, pass long, take long")
     first, last = F.expr(f"before div {block_words}"), F.expr(f"(before + size - 1) div {block_words}")
     parts = facts.where("size > 0").select("doc_id", "source_key", "size", "tid", "before", F.explode(F.sequence(first, last)).alias("block"))
@@ -148,14 +204,13 @@ def mix(docs: DataFrame, weights: list[float] = (3.0, 1.0, 2.0), share: float =
         .where("n_words > 0")
         .drop("take")
     )
-    return facts, pieces, {k: (n, t) for k, n, t in zip(keys, sizes, targets, strict=True)}
+    return facts, pieces, plan
 
 
 def mixture_counts(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (see mix)."""
-    facts, pieces, targets = mix(docs, **options)
-    spark = docs.sparkSession
-    aims = spark.createDataFrame([(k, n, float(t)) for k, (n, t) in targets.items()], "source_key string, source_size long, target double")
+    facts, pieces, sources = mix(docs, **options)
+    aims = sources.select("source_key", F.col("words").alias("source_size"), "target")
     # A document with words is known by its place; documents without words have no piece.
     row = ["source_key", "before", "size"]
     taken = pieces.groupBy(*row).agg(F.sum("n_words").alias("_taken"))

@@ -236,6 +236,41 @@ def test_mixing(docs, empty, block):
     assert mixing.mixture_counts(empty).count() == 0
 
 
+def test_mixing_of_many_sources(spark, monkeypatch):
+    """Sources in many cells, slots in many ranges: each source near its target, shards of equal size, every slot dealt once."""
+    monkeypatch.setattr(mixing, "CELL_SOURCES", 50)
+    monkeypatch.setattr(mixing, "RANGE_SLOTS", 7)
+    rows = [(i, "w " * (400 if i % 300 == 0 else 1 + i % 5), f"s{i // 2:04d}") for i in range(1200)] + [(-i, "hot words here", "hot") for i in range(1, 600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    facts, pieces, sources = mixing.mix(docs, block_words=5, shards=8)
+    plan = {r.source_key: r for r in sources.collect()}
+    assert [k for k, _ in sorted(plan.items(), key=lambda x: x[1].source)] == sorted(plan)
+    ranges, total = mixing.drawn_counts(sources, 8, 3)
+    by_shard, dealt = Counter(), {}
+    for r in ranges.collect():
+        by_shard[r.shard] += r.high - r.low
+        dealt.setdefault(r.source_key, []).append((r.low, r.high))
+    assert sum(by_shard.values()) == total and max(by_shard.values()) - min(by_shard.values()) <= 1
+    for key, parts in dealt.items():
+        parts.sort()
+        assert parts[0][0] == 0 and parts[-1][1] == plan[key].slots and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
+    got = Counter()
+    for r in pieces.collect():
+        got[r.source_key] += r.n_words
+    assert all(abs(got[k] - p.target) <= 1 and p.target <= 2 * p.words for k, p in plan.items())
+    assert abs(sum(p.target for p in plan.values()) - 1.5 * sum(p.words for p in plan.values())) < 1e-6
+
+
+def test_water_level(spark):
+    """As shares that are filled source by source until none is above its bound."""
+    rng = random.Random(5)
+    for n in (1, 2, 50):
+        rows = [(float(rng.choice([3, 1, 2])), rng.randrange(0, 10 ** rng.randrange(1, 7))) for _ in range(n)]
+        budget = 1.5 * sum(w for _, w in rows)
+        level = mixing.water_level(spark.createDataFrame(rows, "weight double, words long"), budget, 2.0)
+        assert abs(sum(min(level * w, 2.0 * size) for w, size in rows) - budget) <= 1e-6 * max(budget, 1)
+
+
 def test_mixed_documents(docs):
     counts = {r.doc_id: r.taken for r in mixing.mixture_counts(docs).collect()}
     got = Counter()
