@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -180,10 +181,11 @@ def identify(docs: DataFrame, train_texts: int = TRAIN_TEXTS) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, least: float | None = 0.0) -> DataFrame:
+def keep_identified(docs: DataFrame, least: float | None = 0.0, relabel: bool = False) -> DataFrame:
     """The documents whose language is known: not `und`, and some n-gram known to its language (score above `least`).
 
-    With None for `least` every document stays that `predict` gives a language, whatever its score.
+    With None for `least` every document stays that `predict` gives a language, whatever its score. With `relabel` lang
+    becomes what `predict` says, unless no language knows an n-gram of the text: then the given one stays.
     The test is a function of the text alone, so it is made row by row and the documents are not shuffled.
     """
     model = fit(docs)
@@ -191,12 +193,19 @@ def keep_identified(docs: DataFrame, least: float | None = 0.0) -> DataFrame:
     columns = docs.columns
 
     def kept(batches):
+        model = shared.value
+        names = pa.array(model.languages, pa.string())
         for batch in batches:
             for piece in parts(batch, len(columns)):
-                texts = piece.column(len(columns))
-                good = with_letter(texts) if shared.value.languages else np.zeros(piece.num_rows, dtype=bool)
-                if least is not None and shared.value.languages:
-                    good &= shared.value.counts(*bytes_of(texts)).max(axis=1, initial=0) > least
-                yield pa.RecordBatch.from_arrays([piece.column(i).filter(pa.array(good)) for i in range(len(columns))], names=columns)
+                texts, made = piece.column(len(columns)), dict(zip(columns, piece.columns, strict=False))
+                good = with_letter(texts) if model.languages else np.zeros(piece.num_rows, dtype=bool)
+                if model.languages and (relabel or least is not None):
+                    counts = model.counts(*bytes_of(texts))
+                    top = counts.max(axis=1, initial=0)
+                    if least is not None:
+                        good &= top > least
+                    if relabel:
+                        made["lang"] = pa.compute.if_else(pa.array(top > 0), names.take(pa.array(counts.argmax(axis=1))), made["lang"].cast(pa.string()))
+                yield pa.RecordBatch.from_arrays([made[c].filter(pa.array(good)) for c in columns], names=columns)
 
     return docs.select(*columns, text_or_empty().alias("_text")).mapInArrow(lean(kept), docs.schema)

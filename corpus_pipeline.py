@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from braidwork.llm import exact_dedup, jaccard_join, language_id, mixing, packing
 from braidwork.llm.common import discard, store, table
@@ -12,8 +13,8 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without documents that op5 calls `und`: null, empty or without a letter."""
-    return language_id.keep_identified(docs.select(*COLUMNS), least=None)
+    """Without documents that op5 calls `und`: null, empty or without a letter. The others get the language that op5 finds, by which windows are filled."""
+    return language_id.keep_identified(docs.select(*COLUMNS), least=None, relabel=True)
 
 
 def drop_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +33,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of windows filled to the mixture's own proportions."""
-    return packing.pack(docs, tokenizer_file("word_bpe_49k.json"), remember=400_000)  # workers that other stages used have less room
+    """Pieces of windows filled to the mixture's own proportions of each source and language found."""
+    queues = docs.withColumn("source", F.to_json(F.struct("source", "lang")))
+    return packing.pack(queues, tokenizer_file("word_bpe_49k.json"), remember=400_000)  # workers that other stages used have less room
 
 
 STAGES = [

@@ -70,6 +70,27 @@ def test_short_texts_stay(spark):
     assert kept == {r.doc_id for r in language_id.identify(docs).collect() if r.lang_pred != "und"}
 
 
+def test_language_found_is_used(spark, tmp_path):
+    """Documents get the language that is found in their text, and windows are filled from each language in its part."""
+    rng = random.Random(8)
+    words = {"aa": ["kolo", "mera", "tundi", "sabak"], "bb": ["wihe", "xoqu", "zyfre", "pluge"]}
+    rows = [(i, " ".join(rng.choice(words[l]) for _ in range(900)), l, "s", 0) for i, l in enumerate(["aa"] * 20 + ["bb"] * 20)]
+    rows += [(40, "kolo mera tundi", None, "s", 0), (41, "wihe xoqu zyfre", "aa", "s", 0), (42, "\u65e5", None, "s", 0), (43, "\u65e5", "aa", "s", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(1)
+    found = corpus_pipeline.keep_languages(spark, docs, "")
+    langs = {r.doc_id: r.lang for r in found.collect()}
+    assert langs == {r[0]: r[2] for r in rows} | {40: "aa", 41: "bb"}
+    mislabelled = found.where("doc_id < 40")
+    pieces = corpus_pipeline.pack_windows(spark, mislabelled, "").collect()
+    windows = {}
+    for p in pieces:
+        windows.setdefault(p.sequence_id, Counter())[langs[p.doc_id]] += p.length
+    totals = sum(windows.values(), Counter())
+    share = totals["aa"] / totals.total()
+    full = [w for w in windows.values() if w.total() == 4096]
+    assert len(full) > 5 and all(abs(w["aa"] / 4096 - share) < 0.05 for w in full[:-1])
+
+
 def test_one_letter_has_an_ngram():
     data, starts = language_id.bytes_of(pa.array(["a", "", "Re.", "!"]))
     keys, text = language_id.grams(data, starts)
