@@ -288,3 +288,46 @@ def test_sizes_that_the_optimiser_does_not_know(spark):
     for i in range(6):
         crossed = crossed.crossJoin(F.broadcast(rows.agg(F.max("id").alias(f"m{i}"))))
     assert input_bytes(crossed) < SINGLE_TASK_BYTES and not Ordered(crossed, ["id"]).chunked
+
+
+def test_small_files_of_many_rows(spark, tmp_path):
+    """What one task sorts goes by the rows, not by the files, which are many times smaller."""
+    path = str(tmp_path / "rows")
+    spark.range(3_000_000).select("id", (F.col("id") % 7).alias("key"), F.lit(1).cast("long").alias("value")).write.parquet(path)
+    rows = spark.read.parquet(path)
+    assert Ordered(rows, ["id"]).chunked and not Ordered(rows, ["id"], ["key"]).chunked
+    hot = rows.withColumn("key", F.when(F.col("id") % 100 == 0, F.col("key")).otherwise(9))
+    assert Ordered(hot, ["id"], ["key"]).chunked
+    assert not Ordered(rows.where("id < 1000000"), ["id"]).chunked
+    wrong = Seq(rows, "id").index().df.where("index != id")
+    assert wrong.count() == 0
+
+
+def test_more_chunks_than_partitions(spark, monkeypatch):
+    """Large inputs have more chunks than a shuffle usually has partitions, and as many tasks."""
+    from braidwork.plans import ordered
+
+    rows = rows_of(400, False, 3)
+    plain = seq_of(spark, rows, False)
+
+    def found(seq):
+        other = seq.with_df(seq.df.where("id != 77"))
+        zipped = sorted((r.position, r.z0.id, r.z1.id) for r in seq.zip(other).df.collect())
+        equal = [seq.sequence_equal(s, ["id", "value"]).df.first()[0] for s in (seq, other)]
+        held = sorted((r.id, r.source_ord, r["_held"].value) for r in seq.merge_comparing(other, by=["value"]).df.collect())
+        gated = sorted((r.id, r.window_id) for r in seq.window_timeout(7, 30).df.collect())
+        late = sorted((r.id, r.window_id) for r in seq.window_timeout(7, 30, restart=True).df.collect())
+        return zipped, equal, held, gated, late, sorted(r.id for r in seq.sample_timeout(8).df.collect())
+
+    expected = found(plain)
+    assert expected[1] == [True, False]
+    spark.conf.set("spark.braidwork.singleTaskBytes", "0")
+    spark.conf.set("spark.sql.shuffle.partitions", "3")
+    monkeypatch.setattr(ordered, "CHUNK_BYTES", 1000)
+    try:
+        positioned = Ordered(plain.df, ["id"]).position("_pos")
+        assert positioned.parts > 10 and positioned.df.rdd.getNumPartitions() == positioned.parts
+        assert found(plain) == expected
+    finally:
+        spark.conf.unset("spark.braidwork.singleTaskBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
