@@ -96,7 +96,7 @@ def fold(stream: DataFrame, keys: list[str], schema: str, state: str, initial: t
         return stream.groupBy(*keys).applyInPandasWithState(run, schema, state, "append", GroupStateTimeout.NoTimeout)
 
     rows = timed(stream, ts, late).withColumn("_ms", F.unix_millis(ts))
-    return stateful(rows, keys, WaitingFold(step, initial, state, order, expire_ms), schema)
+    return stateful(rows, keys, WaitingFold(step, initial, order, expire_ms), schema)
 
 
 def columns_of(stream: DataFrame) -> str:

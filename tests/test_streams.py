@@ -87,3 +87,27 @@ def test_folds_over_overlapping_batches(spark, name):
         assert {r.id: r.window_id for r in got.collect()} == {r.id: r.window_id for r in seq.window_timeout(4, 9).df.collect()}
     else:
         assert {r.id: r.scan for r in got.collect()} == {r.id: r.scan for r in seq.scan(F.col("id")).df.collect()}
+
+
+def test_keys_share_a_bucket(spark, tmp_path):
+    """State is kept for buckets of keys, so calls don't grow with the keys; null, text and -0.0 are keys as in a grouping."""
+    from braidwork.streaming import read_available, replayed, run_stream, scan_sum, window_when
+
+    t0 = dt.datetime(2024, 1, 1)
+    kinds = [None, "null", "-", "a", "1:a", ""]
+    rows = [(i, kinds[i % 6], -0.0 if i % 12 < 6 else 0.0, t0 + dt.timedelta(minutes=i * 7 % 120), i * 7 % 120, i % 3) for i in range(120)]
+    rows.append((-1, "last", 1.0, dt.datetime(2030, 1, 1), 0, 3))
+    df = spark.createDataFrame(rows, "id long, k string, z double, ts timestamp_ntz, at long, batch long")
+    path = replayed(df, F.col("batch"), 4)
+    spark.conf.set("spark.braidwork.streamBuckets", "1")
+    try:
+        made = scan_sum(read_available(spark, path, 1), ["k", "z"], "at", "at", ts="ts", late="1 day")
+        assert "_bucket" in made._jdf.queryExecution().analyzed().toString()
+        found = {r.id: r.scan for r in run_stream(spark, made).where("id >= 0").collect()}
+        pairs = window_when(read_available(spark, path, 1).where("id % 10 = 0 OR id < 0"), read_available(spark, path, 1), ["k", "z"], "ts", "ts", "30 minutes", "1 day")
+        met = sorted((r.l_id, r.r_id) for r in run_stream(spark, pairs).where("l_id >= 0").collect())
+    finally:
+        spark.conf.unset("spark.braidwork.streamBuckets")
+    real = rows[:-1]
+    assert found == {r[0]: sum(x[4] for x in real if x[1] == r[1] and x[4] <= r[4]) for r in real}
+    assert met == sorted((a[0], b[0]) for a in real if a[0] % 10 == 0 for b in real if a[1] == b[1] and a[4] <= b[4] <= a[4] + 30)
