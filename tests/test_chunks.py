@@ -331,3 +331,15 @@ def test_more_chunks_than_partitions(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.braidwork.singleTaskBytes")
         spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_table_functions_pass_rows_on_in_batches(spark):
+    """What a row gives is no batch of its own, which costs more than the row."""
+
+    class Same:
+        def eval(self, row):
+            yield row["id"], row["value"]
+
+    made = seq_of(spark, rows_of(200, True, 4), True).flat_map_table(Same, "id long, value long", order=["id"])
+    assert "ArrowEvalPythonUDTF" not in made.df._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.value or 0) for r in made.df.collect()) == [(r[0], r[3] or 0) for r in rows_of(200, True, 4)]
