@@ -333,6 +333,40 @@ def test_more_chunks_than_partitions(spark, monkeypatch):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+def test_a_task_holds_one_chunk(spark, monkeypatch):
+    """Chunks are dealt one to a task, however many there are; by hash several would meet in one, and more so the more there are."""
+    from braidwork.plans import ordered
+
+    spark.conf.set("spark.braidwork.singleTaskBytes", "0")
+    spark.conf.set("spark.sql.shuffle.partitions", "24")
+    monkeypatch.setattr(ordered, "BELIEVED", 0)
+    try:
+        for most in (1 << 20, 20_000):  # as many chunks as partitions, and more
+            monkeypatch.setattr(ordered, "CHUNK_BYTES", most)
+            cut = Ordered(spark.range(0, 20_000, 1, 5), ["id"])
+            assert (cut.parts > 24) == (most == 20_000)
+            placed = cut.position("_pos").neighbour("_next", F.col("id"), 1)
+            tasks = placed.df.groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct(CHUNK).alias("chunks")).collect()
+            assert [t.chunks for t in tasks] == [1] * cut.parts
+            wrong = placed.df.where("_pos != id OR coalesce(_next, 20000) != id + 1")
+            assert placed.df.count() == 20_000 and wrong.count() == 0
+            gated = gates.placed(cut, cut.df).groupBy(F.spark_partition_id().alias("task")).agg(F.count_distinct(CHUNK).alias("chunks")).collect()
+            assert [t.chunks for t in gated] == [1] * cut.parts
+    finally:
+        spark.conf.unset("spark.braidwork.singleTaskBytes")
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_chunks_of_narrow_rows(spark):
+    """A chunk is counted as a sort holds it: narrow rows take several times the bytes of their values."""
+    rows = spark.range(9_000_000)
+    spark.conf.set("spark.braidwork.singleTaskBytes", str(8 << 20))
+    try:
+        assert Ordered(rows, ["id"]).parts == 9_000_000 * 48 // (64 << 20)
+    finally:
+        spark.conf.unset("spark.braidwork.singleTaskBytes")
+
+
 def test_table_functions_pass_rows_on_in_batches(spark):
     """What a row gives is no batch of its own, which costs more than the row."""
 
